@@ -1,4 +1,4 @@
 """All registered queries; importing a family registers it."""
 
-from . import cleaning, features, graph, sources, text, threads  # noqa: F401
+from . import cleaning, features, graph, ordered, sources, text, threads  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

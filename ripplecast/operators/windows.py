@@ -1,0 +1,98 @@
+"""Event time cut into windows (batch)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from .graph import snapshot_edges
+from .threads import with_parent
+
+
+def hourly_snapshots(df: DataFrame, prob: str = "prob", hours: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(edges, comment features with target) keyed by time bin."""
+    step = hours * 3600
+    rows = with_parent(df)
+    features = rows.select(
+        (F.floor(F.col("created_utc") / step) * step).cast("bigint").alias("bin"), F.concat(F.lit("comment_"), "id").alias("node"),
+        "subreddit", F.col("score").alias("score_f"), C.text_length(F.col("body")).alias("text_length"),
+        C.threshold_class(F.col(prob)).alias("class_self"), F.col(prob).alias("target"))
+    return snapshot_edges(df, hours), features
+
+
+def with_window_id(df: DataFrame, hours: float = 12, ts: str = "created_utc", unit: int = 1) -> DataFrame:
+    """Number of the half-open window each row falls in, counted from the first time floored to the hour."""
+    origin = df.agg((F.floor(F.min(ts) / (3600 * unit)) * 3600 * unit).cast("bigint").alias("_origin"))
+    width = int(max(1, hours) * 3600 * unit)
+    out = df.join(F.broadcast(origin))  # one row
+    return out.withColumn("window_id", F.floor((F.col(ts) - F.col("_origin")) / width).cast("bigint")).drop("_origin")
+
+
+def fixed_windows(df: DataFrame, hours: float = 12, min_hate: int = 1, label: str = "is_hate", ts: str = "created_utc", unit: int = 1) -> DataFrame:
+    """One row per non-empty window with at least ``min_hate`` labelled rows."""
+    return with_window_id(df, hours, ts, unit).groupBy("window_id").agg(
+        F.min(ts).cast("bigint").alias("start_time"), F.max(ts).cast("bigint").alias("end_time"),
+        F.count("*").alias("num_comments"), F.count_if(F.col(label) == 1).alias("num_hate")).where(F.col("num_hate") >= min_hate)
+
+
+def split_windows(windows: DataFrame) -> DataFrame:
+    """Add ``split``: the last windows test, those before validate, the rest train.
+
+    The table has one row per time window, so numbering it is a small step.
+    """
+    total = windows.agg(F.count("*").alias("_total"))
+    numbered = windows.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("window_id"))).join(F.broadcast(total))
+    n = F.col("_total")
+    val = F.when(n >= 4, 2).otherwise(1)
+    test = F.when(n >= val + 3, F.least(F.lit(4), F.greatest(F.lit(2), n - val - 1))).otherwise(F.greatest(F.lit(1), n - val - 1))
+    train = F.greatest(n - val - test, F.lit(1))
+    split = F.when(n < 3, "train").when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")
+    return numbered.withColumn("split", split).drop("_r", "_total")
+
+
+def merge_windows(windows: DataFrame, min_hate: int) -> DataFrame:
+    """Greedy left-to-right groups of windows holding ``min_hate`` hate rows; a short tail joins the group before it.
+
+    Adds ``group_id``, the first window of the group.  The fold runs over one
+    small array with an entry per time window; the data joins by window id.
+    """
+    pairs = windows.agg(F.sort_array(F.collect_list(F.struct("window_id", "num_hate"))).alias("w"))
+    start = F.struct(F.expr("cast(array() as array<struct<window_id:bigint,group_id:bigint>>)").alias("out"),
+                     F.lit(None).cast("bigint").alias("open"), F.lit(None).cast("bigint").alias("prev"), F.lit(0).cast("bigint").alias("hate"))
+
+    def step(acc, x):
+        fresh = acc["open"].isNull() | (acc["hate"] >= min_hate)
+        group = F.when(fresh, x["window_id"]).otherwise(acc["open"])
+        return F.struct(
+            F.concat(acc["out"], F.array(F.struct(x["window_id"].alias("window_id"), group.alias("group_id")))).alias("out"),
+            group.alias("open"), F.when(fresh, acc["open"]).otherwise(acc["prev"]).alias("prev"),
+            (F.when(fresh, F.lit(0).cast("bigint")).otherwise(acc["hate"]) + x["num_hate"]).alias("hate"))
+
+    def finish(acc):
+        short = (acc["hate"] < min_hate) & acc["prev"].isNotNull()
+        return F.transform(acc["out"], lambda r: F.struct(
+            r["window_id"].alias("window_id"),
+            F.when(short & (r["group_id"] == acc["open"]), acc["prev"]).otherwise(r["group_id"]).alias("group_id"),
+            ((acc["hate"] < min_hate) & acc["prev"].isNull()).alias("dropped")))
+
+    groups = pairs.select(F.explode(F.aggregate("w", start, step, finish)).alias("g")).select("g.*")
+    return windows.join(groups.where("not dropped").drop("dropped"), "window_id")
+
+
+def merged_windows(windows: DataFrame, min_hate: int) -> DataFrame:
+    """One row per group of :func:`merge_windows`."""
+    return merge_windows(windows, min_hate).groupBy(F.col("group_id").alias("window_id")).agg(
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.sum("num_comments").alias("num_comments"), F.sum("num_hate").alias("num_hate"))
+
+
+def window_candidates(df: DataFrame, windows: DataFrame, hours: float = 12, label: str = "is_hate") -> DataFrame:
+    """Rows of the kept windows as candidates: ``is_reply`` when the parent is known and not the submission."""
+    rows = with_window_id(df, hours).join(windows.select("window_id", F.col("start_time").alias("window_start")), "window_id")
+    parent, link = C.norm_id(F.col("parent_id")), C.norm_id(F.col("link_id"))
+    return rows.select(
+        "window_id", "window_start", "id", C.norm_id(F.col("id")).alias("id_norm"), parent.alias("parent_norm"), link.alias("link_norm"),
+        F.coalesce("author", F.lit("[unknown]")).alias("author"), F.coalesce("body", F.lit("")).alias("body"), "subreddit", "created_utc",
+        F.coalesce(F.col(label), F.lit(0)).alias("hate_label"),
+        F.coalesce(F.col("parent_id").isNotNull() & (parent != "") & (link.isNull() | (parent != link)), F.lit(False)).alias("is_reply"))
