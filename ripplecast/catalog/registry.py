@@ -44,12 +44,14 @@ def with_views(sql: str, shared: dict[str, str] | None = None) -> str:
     views = {**fixtures.VIEW_SQL, **(shared or {})}
     wanted: list[str] = []
 
+    open_names: set[str] = set()
+
     def need(text: str) -> None:
         for name in views:
-            if re.search(rf"\b{name}\b", text) and name not in wanted:
+            if name not in open_names and re.search(rf"\b{name}\b", text):
+                open_names.add(name)
                 need(views[name])
-                if name not in wanted:
-                    wanted.append(name)
+                wanted.append(name)
 
     need(sql)
     if not wanted:
