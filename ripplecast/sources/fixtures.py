@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def c_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary reply trees made of ``conversations``."""
-    t = table(spark, sf_dir, "conversations")
-    return t.selectExpr(
+    return c_view(table(spark, sf_dir, "conversations"))
+
+
+def c_view(conversations: DataFrame) -> DataFrame:
+    return conversations.selectExpr(
         "concat(conv_id,'_',turn) id",
         "concat('t3_',conv_id) link_id",
         """case when turn=0 then concat('t3_',conv_id)
@@ -27,6 +30,15 @@ def c_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A given table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(sf_dir)
+
+
 def d_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat set of texts made of ``documents`` and ``labels``."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -45,7 +57,11 @@ def d_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply forest in time order made of ``events``."""
-    t = table(spark, sf_dir, "events").selectExpr(
+    return e_view(table(spark, sf_dir, "events"))
+
+
+def e_view(events: DataFrame) -> DataFrame:
+    t = events.selectExpr(
         "event_id", "user_id", "event_type", "value",
         "unix_micros(cast(ts as timestamp)) us",
         "cast(get_json_object(props,'$.k') as bigint) k",
