@@ -137,9 +137,9 @@ with deep as (select * from {v}_comments where link_id in (select link_id from {
 select id, link_id, subreddit from deep where subreddit in (select subreddit from deep group by 1 having count(*) >= {n})"""
 
 
-@query("h11_filter_threads", FILTERED.format(v="e", d=12, n=500), ALL)
+@query("h11_filter_threads", FILTERED.format(v="e", d=8, n=20), ALL)
 def _(q):
-    return H.filter_threads(q.e, 12, 500).select("id", "link_id", "subreddit")
+    return H.filter_threads(q.e, 8, 20).select("id", "link_id", "subreddit")
 
 
 @query("h11_filter_threads_relaxed", FILTERED.format(v="c", d=2, n=2), ALL)
