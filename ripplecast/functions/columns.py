@@ -21,9 +21,10 @@ def comment_key(c: Column) -> Column:
 
 def parent_comment(parent: Column, link: Column) -> Column:
     """Bare id of the parent comment, null when the parent is the submission."""
+    # the common marked forms need no regular expression: joins copy this into scan filters
     bare = norm_id(parent)
-    is_submission = parent.startswith("t3_") | (~parent.startswith("t1_") & (bare == norm_id(link)))
-    return F.when(~is_submission, bare)
+    return F.when(parent.startswith("t1_"), F.substr(parent, F.lit(4))).when(
+        ~parent.startswith("t3_") & (bare != norm_id(link)), bare)
 
 
 def epoch_to_ts(c: Column) -> Column:

@@ -144,7 +144,7 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     One frontier join per hop; nodes already reached are removed before the next.
     ``edges`` hold both directions.
     """
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
+    step = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
     seen = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")).distinct())
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -251,7 +251,7 @@ def propagate_features(edges: DataFrame, features: DataFrame, names: list[str],
 
     All features move in one join and one combining aggregate per round.
     """
-    e = both_ways(edges)
+    e = cut_lineage(both_ways(edges))  # read in every round
     deg = e.groupBy(F.col("src").alias("node")).agg((F.count("*") + 1).alias("deg"))
     x = features.select("node", *[F.col(n).cast("double").alias(n) for n in names]).join(deg, "node", "left")
     state = x.select("node", F.coalesce("deg", F.lit(1)).alias("deg"), *names)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.lineage import cut_lineage
+from ..plans.spread import spread
 from .features import class_weights
 from .ordered import stratified_split
 from .scoring import EDGE_NUMBERS, REPLY_FEATURES, fallback_score
@@ -78,7 +79,7 @@ def _text_stages(max_features: int, n: int, min_df: float, max_df: float, stop_w
 
 
 def with_tokens(df: DataFrame, text: str = "body") -> DataFrame:
-    return df.withColumn("_w", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
+    return spread(df).withColumn("_w", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
 
 
 def train_text_baseline(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.spread import spread
 
 LEXICON_LIMIT = 5_000  # terms up to which a lexicon travels inside the plan
 WORD = r"[^\p{L}\p{N}_\s]"
@@ -41,6 +42,7 @@ def lexicon_match(
     every substring with the length of some term meets the lexicon by equality.
     """
     terms = small_terms(lexicon, limit)
+    df = spread(df)
     if terms is not None:
         out = df.withColumn("_low", F.lower(text)).withColumn("matched_terms", terms_in(F.col("_low"), terms))
         return out.drop("_low").withColumn("is_hit", F.size("matched_terms") > 0)
@@ -78,7 +80,7 @@ def flagged_rows(df: DataFrame, label: str = "is_hate") -> DataFrame:
 def regex_flags(df: DataFrame, patterns: dict[str, str], text: str = "body") -> DataFrame:
     """One boolean per named pattern, case ignored; null text is false."""
     low = F.coalesce(F.lower(text), F.lit(""))
-    return df.select("*", *[low.rlike(p).alias(n) for n, p in patterns.items()])
+    return spread(df).select("*", *[low.rlike(p).alias(n) for n, p in patterns.items()])
 
 
 def ordinal_label(
@@ -88,7 +90,7 @@ def ordinal_label(
     tiers: dict[str, list[str]] = {"hate": [], "offensive": [], "context": []}
     for row in lexicon.select(F.lower("term").alias("t"), "tier").distinct().limit(LEXICON_LIMIT).collect():
         tiers.setdefault(row["tier"], []).append(row["t"])
-    low = df.withColumn("_low", F.coalesce(F.lower(text), F.lit("")))
+    low = spread(df).withColumn("_low", F.coalesce(F.lower(text), F.lit("")))
     has = {tier: F.size(terms_in(F.col("_low"), sorted(ts))) for tier, ts in tiers.items()}
     pattern_hit = C.any_of([F.col("_low").rlike(p) for p in patterns])
     label = F.when((has["hate"] > 0) | pattern_hit, 2).when(has["offensive"] > 0, 1).otherwise(0)
@@ -163,13 +165,14 @@ def ngrams(words: Column, n: int) -> Column:
         return words
     return F.when(
         F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.concat_ws(" ", F.slice(words, i, n))),
+        F.transform(
+            F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)])),
     ).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def top_ngrams(df: DataFrame, n: int = 2, k: int = 50, text: str = "body") -> DataFrame:
     """The ``k`` most frequent n-grams (ties by text): counted before the shuffle, top-k per task."""
-    words = df.where(F.col(text).isNotNull()).select(tokens(F.col(text)).alias("w"))
+    words = spread(df.where(F.col(text).isNotNull()).select(text)).select(tokens(F.col(text)).alias("w"))
     grams = words.select(F.explode(ngrams(F.col("w"), n)).alias("ngram"))
     counts = grams.groupBy("ngram").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "ngram").limit(k)
@@ -204,7 +207,7 @@ def tfidf(
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
-    docs = df.select(F.col(key), F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("w"))
+    docs = spread(df.select(key, text)).select(F.col(key), F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("w"))
     grams = F.concat(*[ngrams(F.col("w"), n) for n in range(ngram_range[0], ngram_range[1] + 1)])
     tf = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n_docs = df.agg(F.count("*")).scalar()
@@ -230,7 +233,7 @@ def hashed_tfidf(df: DataFrame, text: str = "body", dim: int = 1024, out: str =
         MF.IDF(inputCol="_tf", outputCol="_idf"),
         MF.Normalizer(inputCol="_idf", outputCol=out),
     ]
-    words = df.withColumn("_words", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
+    words = spread(df).withColumn("_words", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
     return Pipeline(stages=stages).fit(words).transform(words).drop("_words", "_tf", "_idf")
 
 

@@ -64,18 +64,19 @@ def e_view(events: DataFrame) -> DataFrame:
     t = events.selectExpr(
         "event_id", "user_id", "event_type", "value",
         "unix_micros(cast(ts as timestamp)) us",
-        "cast(get_json_object(props,'$.k') as bigint) k",
+        # props is {"k": n}; this is cheap enough for the copies that filter pushdown makes of it
+        """cast(translate(props, '{"k: }', '') as bigint) k""",
     )
     return t.selectExpr(
         "cast(event_id as string) id",
-        "concat('t3_',cast(floor(event_id/50) as bigint)) link_id",
-        """case when event_id-(k%7+1)>=0 and floor((event_id-(k%7+1))/50)=floor(event_id/50)
-                then concat('t1_',event_id-(k%7+1))
-                else concat('t3_',cast(floor(event_id/50) as bigint)) end parent_id""",
+        "concat('t3_', event_id div 50) link_id",
+        # the (k % 7 + 1)-th event before, if it lies in the same block of 50
+        """case when event_id % 50 > k % 7 then concat('t1_', event_id - k % 7 - 1)
+                else concat('t3_', event_id div 50) end parent_id""",
         "concat('u',user_id) author",
         "event_type subreddit",
         "us",
-        "cast(floor(us/1000000) as bigint) created_utc",
+        "us div 1000000 created_utc",
         "value score",
         "cast(k%10=0 as int) is_hate",
         "cast(null as string) body",
