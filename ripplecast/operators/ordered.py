@@ -95,7 +95,7 @@ def author_history(
     own = F.struct(F.col(ts).alias("at"), F.lit(0).alias("back"), F.lit(1).alias("kind"), F.col("_n").alias("n"), F.col("_h").alias("h"))
     points = events.select("author", F.col(ts).alias("_owner"), F.explode(F.array(own, *marks)).alias("p")).select("author", "_owner", "p.*")
     # a mark sorts before an event of the same time, so the lower bound is inclusive
-    sums = running(points, ["author"], ["at", "kind"], {"_cn": F.col("n"), "_ch": F.col("h")}, chunk=time_chunk("at", unit, 24))
+    sums = running(points, ["author"], ["at", "kind"], {"_cn": F.col("n"), "_ch": F.col("h")}, chunk=time_chunk("at", unit))
     at = lambda back, c: F.max(F.when(F.col("back") == back, F.col(c)))
     wide = sums.groupBy("author", F.col("_owner").alias(ts)).agg(
         *[(at(0, "_cn") - at(d, "_cn")).alias(f"_n{d}") for d in days], *[(at(0, "_ch") - at(d, "_ch")).alias(f"_h{d}") for d in days])
@@ -111,7 +111,7 @@ def author_running_rate(df: DataFrame, label: str = "is_hate", ts: str = "create
     base = df.where(F.col("author").isNotNull()).select("id", "author", ts, label)
     sums = running(
         base, ["author"], [ts, "id"],
-        {"before": F.lit(1).cast("bigint"), "_h": F.when(F.col(label) == 1, 1).otherwise(0).cast("bigint")}, chunk=time_chunk(ts, unit, 24))
+        {"before": F.lit(1).cast("bigint"), "_h": F.when(F.col(label) == 1, 1).otherwise(0).cast("bigint")}, chunk=time_chunk(ts, unit))
     return sums.select("id", "author", "before", C.ratio(F.col("_h"), F.col("before")).alias("running_rate"))
 
 
@@ -123,8 +123,8 @@ def author_gap(df: DataFrame, ts: str = "created_utc", unit: int = 1, first: int
     """
     base = df.where(F.col("author").isNotNull()).select("id", "author", ts)
     per_time = base.groupBy("author", ts).agg(F.count("*").alias("_n"))
-    earlier = running(per_time, ["author"], [ts], {"_before": F.col("_n")}, chunk=time_chunk(ts, unit, 24)).drop("_n")
-    ranked = rank_within(base, ["author"], [ts, "id"], "_rank", time_chunk(ts, unit, 24)).where(F.col("_rank") <= first)
+    earlier = running(per_time, ["author"], [ts], {"_before": F.col("_n")}, chunk=time_chunk(ts, unit)).drop("_n")
+    ranked = rank_within(base, ["author"], [ts, "id"], "_rank", time_chunk(ts, unit)).where(F.col("_rank") <= first)
     # at most ``first`` rows per author
     heads = ranked.groupBy("author").agg(F.sort_array(F.collect_list(ts)).alias("_times"))
     out = base.join(earlier, ["author", ts]).join(heads, "author")

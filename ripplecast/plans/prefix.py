@@ -7,7 +7,7 @@ same columns.  The rows are shuffled once; the second input of the join holds
 one row per ``(key, chunk)``.
 
 Any number that rises with the order is a right chunk; it decides balance, not
-results.  Time-ordered callers use hours, digest-ordered callers the head of the
+results.  Time-ordered callers use minutes, digest-ordered callers the head of the
 digest, all others let a range partitioning cut equal parts.
 """
 
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
 
-HOUR = 3600
+def time_chunk(ts: str, unit: int = 1, seconds: int = 60) -> Column:
+    """Chunk for rows ordered by time; ``unit`` is the number of ticks in a second.
 
-
-def time_chunk(ts: str, unit: int = 1, hours: float = 1) -> Column:
-    """Chunk for rows ordered by time; ``unit`` is the number of ticks in a second."""
-    return F.floor(F.col(ts) / int(hours * HOUR * unit)).cast("bigint")
+    A minute keeps what one key sends to one task small even when that key holds a
+    third of the table, and leaves the offsets of a key at one row per minute.
+    """
+    return F.floor(F.col(ts) / (seconds * unit)).cast("bigint")
 
 
 def hash_chunk(digest: str | Column) -> Column:
