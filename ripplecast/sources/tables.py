@@ -16,9 +16,15 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None = None) -> DataFrame:
-    """Newline JSON, plain or compressed (gz, bz2, zst by file ending); blank and broken lines are skipped."""
-    raw = spark.read.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Newline JSON, plain or compressed (gz, bz2, zst by file ending).
+
+    Blank and broken lines are skipped, bytes that are no UTF-8 are left out.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    parsed = lines.select(F.from_json(text, _with_corrupt(schema), {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    good = parsed.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
     return good if max_rows is None else good.limit(max_rows)
 
 
