@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.lineage import cut_lineage
 from ..plans.prefix import digest_rank
 from .features import known_author
 from .graph import connectivity, temporal_edges, temporal_nodes
@@ -46,10 +47,15 @@ def flag_targets(df: DataFrame, r: Rules = Rules()) -> DataFrame:
 
 
 def _chosen(flagged: DataFrame, key: str, share: float, seed: int, least: int = 0) -> DataFrame:
-    """A repeatable ``share`` of the flagged keys: floor(share * n), at least ``least``."""
+    """A repeatable ``share`` of the flagged keys: floor(share * n), at least ``least``.
+
+    The keys are stored: strategies that build on each other would otherwise
+    work out every earlier choice again for each use.
+    """
+    flagged = cut_lineage(flagged.select(key))
     n = flagged.agg(F.count("*")).scalar()
     ranked = digest_rank(flagged.select(key), [], key, seed, "_rank")
-    return ranked.where(F.col("_rank") <= F.greatest(F.floor(n * F.lit(share) + 1e-9), F.lit(least))).select(key)
+    return cut_lineage(ranked.where(F.col("_rank") <= F.greatest(F.floor(n * F.lit(share) + 1e-9), F.lit(least))).select(key))
 
 
 def remove_content(df: DataFrame, share: float = 0.2, r: Rules = Rules()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.lineage import cut_lineage
 from ..plans.prefix import digest_rank
 from .evaluate import top_k
 from .graph import parent_similarity
@@ -149,7 +150,7 @@ def hard_negatives(events: DataFrame, ratio: int = 5, seed: int = 42, label: str
     # at most 3 * ratio candidates per positive reach this step
     digest = F.md5(F.concat(F.lit(f"{seed}|"), "pos_id", F.lit("|"), "neg_id"))
     near = top_k(draw(slim).withColumn("_d", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")), "pos_id", "neg_id", "_d", ratio)
-    near = near.select("pos_id", "neg_id")
+    near = cut_lineage(near.select("pos_id", "neg_id"))
     alone = events.where(F.col(label) == 1).select("id").join(near.select(F.col("pos_id").alias("id")).distinct(), "id", "left_anti")
     anyone = alone.withColumn("_pos", F.lit(True)).unionByName(
         events.where(F.col(label) != 1).select("id").withColumn("_pos", F.lit(False))).withColumn("key", F.lit("any"))
