@@ -41,8 +41,11 @@ def lexicon_match(
     A lexicon of checked size is tested inside the scan.  A larger one is joined:
     every substring with the length of some term meets the lexicon by equality.
     """
+    return _match(spread(df), lexicon, text, key, limit)
+
+
+def _match(df: DataFrame, lexicon: DataFrame, text: str, key: str, limit: int) -> DataFrame:
     terms = small_terms(lexicon, limit)
-    df = spread(df)
     if terms is not None:
         out = df.withColumn("_low", F.lower(text)).withColumn("matched_terms", terms_in(F.col("_low"), terms))
         return out.drop("_low").withColumn("is_hit", F.size("matched_terms") > 0)
@@ -84,17 +87,17 @@ def regex_flags(df: DataFrame, patterns: dict[str, str], text: str = "body") ->
 
 
 def ordinal_label(
-    df: DataFrame, lexicon: DataFrame, patterns: Sequence[str] = (), text: str = "body"
+    df: DataFrame, lexicon: DataFrame, patterns: Sequence[str] = (), text: str = "body", key: str = "id", limit: int = LEXICON_LIMIT
 ) -> DataFrame:
     """2 = hate term or pattern, 1 = offensive term, 0 = neither; context terms only add evidence."""
-    tiers: dict[str, list[str]] = {"hate": [], "offensive": [], "context": []}
-    for row in lexicon.select(F.lower("term").alias("t"), "tier").distinct().limit(LEXICON_LIMIT).collect():
-        tiers.setdefault(row["tier"], []).append(row["t"])
-    low = spread(df).withColumn("_low", F.coalesce(F.lower(text), F.lit("")))
-    has = {tier: F.size(terms_in(F.col("_low"), sorted(ts))) for tier, ts in tiers.items()}
-    pattern_hit = C.any_of([F.col("_low").rlike(p) for p in patterns])
-    label = F.when((has["hate"] > 0) | pattern_hit, 2).when(has["offensive"] > 0, 1).otherwise(0)
-    return low.select(*df.columns, label.alias("ordinal_label"), has["context"].cast("bigint").alias("context_terms"))
+    out = spread(df)
+    for tier in ("hate", "offensive", "context"):
+        found = _match(out, lexicon.where(F.col("tier") == tier), text, key, limit)
+        out = found.withColumn(f"_{tier}", F.size("matched_terms")).drop("is_hit", "matched_terms")
+    low = F.coalesce(F.lower(text), F.lit(""))
+    pattern_hit = C.any_of([low.rlike(p) for p in patterns])
+    label = F.when((F.col("_hate") > 0) | pattern_hit, 2).when(F.col("_offensive") > 0, 1).otherwise(0)
+    return out.select(*df.columns, label.alias("ordinal_label"), F.col("_context").cast("bigint").alias("context_terms"))
 
 
 def keyword_label(df: DataFrame, keywords: Sequence[str], text: str = "body") -> DataFrame:

@@ -35,8 +35,9 @@ def test_lexicon_match_is_containment(docs, lexicon, limit):
     assert got == {"1": (True, ["bad"]), "2": (True, ["bad", "ugh"]), "3": (False, []), "4": (False, []), "5": (True, ["über"]), "6": (False, [])}
 
 
-def test_ordinal_label(docs, lexicon):
-    got = {r.id: r.ordinal_label for r in X.ordinal_label(docs, lexicon, [r"\bfine\b"]).collect()}
+@pytest.mark.parametrize("limit", [5000, 0])
+def test_ordinal_label(docs, lexicon, limit):
+    got = {r.id: r.ordinal_label for r in X.ordinal_label(docs, lexicon, [r"\bfine\b"], limit=limit).collect()}
     assert got == {"1": 2, "2": 2, "3": 0, "4": 0, "5": 2, "6": 2}
 
 
