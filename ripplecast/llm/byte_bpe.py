@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added
+from .common import added, extended
 
 LONG = 1 << 16  # characters after which a text is cut
 # White space after a letter or digit always starts a new match of the pattern, and no match looks back, so what
@@ -85,7 +85,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
             out = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, extended(rows.schema, "decoded binary"))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

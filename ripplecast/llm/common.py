@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import _parse_datatype_string as parsed
 
 from ..plans.lineage import cut_lineage
 
@@ -103,10 +105,15 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         values = mix((fold_case() if lower else np.arange(256)).astype(np.uint64) + np.uint64(1))
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[:-1], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        up, _ = powers(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * up[:-1], out=self._total[1:])
+        self.hashes = self.hash_spans(self.starts, self.ends)
+
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes from ``starts`` to ``ends``."""
+        _, down = powers(len(self._total))
+        return mix((self._total[ends] - self._total[starts]) * down[starts])
 
     def sequences(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the ``k`` words from each word on, and which of them lie within one text."""
@@ -222,20 +229,26 @@ def pick(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def extended(schema: StructType, new: str) -> StructType:
+    """A schema with more columns behind its own."""
+    more: list[StructField] = parsed(new).fields
+    return StructType([*schema.fields, *more])
+
+
 def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) -> DataFrame:
     """Kept columns plus ``new`` columns worked out from a text column in Arrow batches.
 
     ``start()`` runs once per task and returns a function from a text array to the list of new arrays.
     ``keep`` None keeps all columns.  A kept column whose name (in any case) is also a new one is replaced.
     """
-    fields = df.sparkSession.createDataFrame([], new).schema.fields
+    fields = parsed(new).fields
     taken = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     inner = "_text"
     while inner.lower() in {c.lower() for c in kept} | taken:
         inner = "_" + inner
     rows = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text}`"].cast("string").alias(inner))
-    schema = type(rows.schema)([rows.schema[c] for c in kept] + fields)
+    schema = StructType([rows.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -244,3 +257,14 @@ def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) ->
             yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])
 
     return rows.mapInArrow(run, schema)
+
+
+def bounded_sample(df: DataFrame, key: str, by: str, per_class: int, classes: int = 200) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by`` (all of a smaller class), chosen by a hash of the key.
+
+    Of more than ``classes`` values the most frequent are kept, so that the sample is bounded.
+    """
+    counts = df.groupBy(by).count().orderBy(F.desc("count"), F.asc(by)).limit(classes).collect()
+    share = df.sparkSession.createDataFrame([(r[0], min(1.0, per_class / r["count"])) for r in counts], StructType([df.schema[by], StructField("_share", parsed("double"))]))
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(F.broadcast(share), by).where(drawn < F.col("_share")).drop("_share")  # at most ``classes`` rows

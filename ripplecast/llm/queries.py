@@ -1,10 +1,18 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .byte_bpe import op7_byte_bpe
+from .fingerprints import op4_fingerprints
+from .language import op5_language
+from .quality import op8_quality
 from .token_counts import op3_token_counts
+from .url_filter import SQL_OP10, op10_url_filter
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_language": op5_language,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality": op8_quality,
+    "op10_url_filter": op10_url_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_url_filter": SQL_OP10}
