@@ -194,17 +194,28 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
 
 
 class BitFilter:
-    """Fixed-size set of 64-bit hashes that may say yes wrongly, never no; at most ``2**MOST`` bits (16 MB)."""
+    """Fixed-size set of 64-bit hashes that may say yes wrongly, never no; at most ``2**MOST`` bits (16 MB).
+
+    Every hash sets two bits.  With 64 bits for each hash (up to two million of them) one in a thousand other hashes
+    gets a wrong yes, beyond that more; results never depend on it, only how many rows the next step sees.
+    """
 
     MOST = 27
 
     def __init__(self, bits: np.ndarray, log: int):
-        self.bits, self.shift = bits, np.uint64(64 - log)
+        self.bits, self.log = bits, log
 
-    def maybe(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
+    def _bit(self, at: np.ndarray) -> np.ndarray:
         return (self.bits[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        if self.log == 0:
+            return np.zeros(len(hashes), bool)
+        out = self._bit(hashes >> np.uint64(64 - self.log))
+        at = np.flatnonzero(out)
+        out[at] = self._bit(hashes[at] & np.uint64((1 << self.log) - 1))
+        return out
+
 
 def bit_filter(df: DataFrame, column: str) -> BitFilter:
     """Filter over a column of 64-bit hashes (as signed longs).
@@ -213,10 +224,12 @@ def bit_filter(df: DataFrame, column: str) -> BitFilter:
     numbers however many hashes there are, which is what makes it fit to be broadcast.
     """
     n = df.select(column).count()
-    log = int(min(max(np.ceil(np.log2(16 * max(n, 1))), 12), BitFilter.MOST))
-    at = F.shiftrightunsigned(F.col(column), 64 - log)
+    if n == 0:
+        return BitFilter(np.zeros(1, np.uint8), 0)
+    log = int(min(max(np.ceil(np.log2(64 * n)), 12), BitFilter.MOST))
+    at = F.array(F.shiftrightunsigned(F.col(column), 64 - log), F.col(column).bitwiseAND((1 << log) - 1))
     rows = (
-        df.where(F.col(column).isNotNull()).select(at.alias("a"))
+        df.where(F.col(column).isNotNull()).select(F.explode(at).alias("a"))
         .select(F.shiftright("a", 5).cast("int").alias("g"), F.expr("shiftleft(1L, cast(a & 31 as int))").alias("b"))
         .groupBy("g").agg(F.bit_or("b").alias("b")).toPandas()
     )
