@@ -1,18 +1,26 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .byte_bpe import op7_byte_bpe
+from .decontaminate import SQL_OP1, op1_decontaminate
 from .fingerprints import op4_fingerprints
 from .language import op5_language
+from .language_model import op2_language_model
+from .near_dedup import op9_near_dedup
 from .quality import op8_quality
+from .repeated_phrases import SQL_OP6, op6_repeated_phrases
 from .token_counts import op3_token_counts
 from .url_filter import SQL_OP10, op10_url_filter
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_language_model": op2_language_model,
     "op3_token_counts": op3_token_counts,
     "op4_fingerprints": op4_fingerprints,
     "op5_language": op5_language,
+    "op6_repeated_phrases": op6_repeated_phrases,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality": op8_quality,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES = {"op10_url_filter": SQL_OP10}
+ORACLES = {"op1_decontaminate": SQL_OP1, "op6_repeated_phrases": SQL_OP6, "op10_url_filter": SQL_OP10}
