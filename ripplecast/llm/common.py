@@ -238,8 +238,33 @@ def bit_filter(df: DataFrame, column: str) -> BitFilter:
     return BitFilter(groups.view(np.uint8), log)
 
 
-def pick(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the other columns of ``found``, met on ``_key`` (null is a value) and ``_hash``; null where not found.
+
+    Rows whose hash is surely not in ``found`` go straight on and are not shuffled.
+    """
+    more = [c for c in found.columns if c not in ("_key", "_hash")]
+    sent = rows.sparkSession.sparkContext.broadcast(bit_filter(found, "_hash"))
+    at = rows.columns.index("_hash")
+
+    def chosen(yes: bool):
+        def run(batches):
+            for batch in batches:
+                hit = sent.value.maybe(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(hit if yes else ~hit))
+
+        return run
+
+    same = (F.col("r._hash") == F.col("f._hash")) & F.col("r._key").eqNullSafe(F.col("f._key"))
+    some = rows.mapInArrow(chosen(True), rows.schema).alias("r").join(found.alias("f"), same, "left")
+    some = some.select(*[F.col(f"r.`{c}`") for c in rows.columns], *[F.col(f"f.`{c}`") for c in more])
+    rest = rows.mapInArrow(chosen(False), rows.schema)
+    return some.union(rest.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]))
+
+
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """All columns, ``_key`` and ``_hash``, by which decisions find their rows again."""
+    return df.withColumn("_key", F.col(f"`{key}`")).withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
 
 def extended(schema: StructType, new: str) -> StructType:

@@ -195,4 +195,4 @@ def identify(df: DataFrame, net: Network | None, text: str = "text", keep: list[
 def op5_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = fit(docs.where(F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))))
-    return identify(docs, net, keep=["doc_id"]).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, net, keep=["doc_id"]).select("doc_id", F.coalesce((remainder("doc_id", 4) == 2), F.lit(False)).alias("held_out"), "lang_pred", "score")

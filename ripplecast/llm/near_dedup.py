@@ -24,7 +24,7 @@ from .common import Words, added, bit_filter, blocks, documents, mix, not_space,
 from .components import components
 
 SHINGLE, ROWS, SIDE = 5, 3, 12
-AGREE = 5  # of 2 * SIDE entries; a pair of similarity 0.85 has fewer in common with probability 2e-5
+AGREE = 4  # of 2 * SIDE entries; a pair of similarity 0.85 has fewer in common with probability 2e-6
 STARS = 3
 WORD_BYTES = not_space()
 _MULTIPLY = numbers(2 * SIDE * ROWS, 11)
@@ -190,20 +190,21 @@ def _leftovers(members: DataFrame, classes: DataFrame, tested: DataFrame) -> Dat
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, percent: int = 85) -> DataFrame:
-    """Add ``n_shingles``, ``component_id`` (smallest key reachable over links, itself included) and ``kept``.
+    """Add ``n_shingles``, ``component_id`` (smallest key reachable over links, itself included), ``kept`` and ``first``.
 
     Two documents are linked if the sets of their five-word shingles share at least ``percent`` of their union.  With
     fewer words the whole sequence is the one shingle; without words, or for null texts, a document is linked with
     nothing.  Copies, also of the same key, are linked.  A null key is never the smallest of several; a row is ``kept``
-    if its key is the component's.  Every input row gives one row.
+    if its key is the component's.  ``first`` marks exactly one row of each component, also among rows of one key.
+    Every input row gives one row.
     """
-    new = {"n_shingles", "component_id", "kept", "_set", "_signature", "_key", "_hash"}
+    new = {"n_shingles", "component_id", "kept", "first", "_row", "_set", "_signature", "_key", "_hash"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     base = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("_body"))
     base = base.withColumn("_hash", F.xxhash64("_body"))
-    rows = cut_lineage(_documents(base, "_body", [c for c in base.columns if c != "_body"]))
-    rep = F.min(F.struct(F.col("_key").isNull().alias("x"), F.col("_key").alias("k"), F.col("_hash").alias("h")))
-    classes = rows.where("n_shingles > 0").groupBy("_set").agg(rep.alias("rep"), F.min("_key").alias("least"), F.min("_signature").alias("signature"))
+    rows = numbered(_documents(base, "_body", [c for c in base.columns if c != "_body"]))
+    rep = F.min(F.struct(F.col("_key").isNull().alias("x"), F.col("_key").alias("k"), F.col("_row").alias("r"), F.col("_hash").alias("h")))
+    classes = rows.where("n_shingles > 0").groupBy("_set").agg(rep.alias("rep"), F.min("_signature").alias("signature"))
     classes = numbered(classes, "node")
     sources = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].cast("string").alias("t")).withColumn("h", F.xxhash64("t")).select("k", "h", "t")
 
@@ -227,12 +228,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
             pairs = cut_lineage(more.join(tested, ["a", "b"], "left_anti"))
         elif turn < STARS:
             pairs = cut_lineage(_leftovers(now, classes, tested))
-    named = classes.join(joined, "node", "left").select("_set", "least", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("_set"), "component_id")
-    out = rows.join(named, "_set", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key")))
-    return out.select(*[out[f"`{c}`"] for c in kept], "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("_key")).alias("kept"))
+    named = classes.join(joined, "node", "left").select("_set", "rep", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("rep")).select("component", F.col("rep.k").alias("_least"), F.col("rep.r").alias("_first"))
+    named = named.drop("rep").join(smallest, "component").drop("component")
+    out = rows.join(named, "_set", "left")
+    alone = F.col("n_shingles") == 0
+    out = out.withColumn("component_id", F.when(alone, F.col("_key")).otherwise(F.col("_least")))
+    return out.select(
+        *[out[f"`{c}`"] for c in kept], "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("_key")).alias("kept"),
+        (alone | (F.col("_row") == F.col("_first"))).alias("first"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), keep=["doc_id"])
+    return near_duplicates(documents(spark, sf_dir), keep=["doc_id"]).drop("first")
+
+
+SQL_OP9 = r"""
+with d as (select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct r, array_to_string(w[i : i + 4], ' ') as x from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+pairs as (select a.r as a, b.r as b, count(*) as k from s a join s b on a.x = b.x and a.r < b.r group by a.r, b.r),
+links as (select a, b from pairs join n na on na.r = a join n nb on nb.r = b where 100 * k >= 85 * (na.n + nb.n - k)),
+two_way as (select a, b from links union all select b, a from links),
+reach as (
+  with recursive t(r, m) as (select r, r from d union select w.b, t.m from t join two_way w on w.a = t.r) select r, m from t),
+least as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.m group by reach.r)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from d join least using (r) left join n using (r)
+"""

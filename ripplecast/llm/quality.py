@@ -220,4 +220,4 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
     taught = F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))
     machine = fit(docs.select("doc_id", "text").where(taught).join(labels.where(taught), "doc_id"), "quality")
     out = score_quality(docs, machine, keep=["doc_id"])
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce((remainder("doc_id", 3) == 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ from .decontaminate import SQL_OP1, op1_decontaminate
 from .fingerprints import op4_fingerprints
 from .language import op5_language
 from .language_model import op2_language_model
-from .near_dedup import op9_near_dedup
+from .near_dedup import SQL_OP9, op9_near_dedup
 from .quality import op8_quality
 from .repeated_phrases import SQL_OP6, op6_repeated_phrases
 from .token_counts import op3_token_counts
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES = {"op1_decontaminate": SQL_OP1, "op6_repeated_phrases": SQL_OP6, "op10_url_filter": SQL_OP10}
+ORACLES = {"op1_decontaminate": SQL_OP1, "op6_repeated_phrases": SQL_OP6, "op9_near_dedup": SQL_OP9, "op10_url_filter": SQL_OP10}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
-from .common import Words, bit_filter, blocks, documents, mix, not_space, powers
+from .common import Words, attach, bit_filter, blocks, documents, extended, mix, not_space, powers
 
 WINDOW, ANCHOR = 35, 8
 HOT = 20_000  # occurrences from which an anchor's segments are confirmed by a distributed count, not in one task
@@ -247,12 +247,13 @@ def _hot(contents: DataFrame, window: int) -> DataFrame:
     return once.join(flags, ["anchor", "content"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, window: int = WINDOW, hot: int = HOT, untouched: bool = False) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
     Words are runs of anything but ASCII white space, unchanged.  A word goes if a window of ``window`` words that
     covers it starts anywhere else as well, in any row, the same included; all windows are judged on the input.  Null
     texts have no words; texts shorter than a window keep all; copies of a row count as other places.
+    With ``untouched`` a text that loses nothing is ``kept_text`` as it was, white space included.
     """
     new = {"n_words", "n_removed", "kept_text", "_key", "_hash", "_body", "_spans"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
@@ -274,26 +275,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     shift = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop")))
     cuts = cut_lineage(found.select("_key", "_hash", F.explode(shift).alias("s")).groupBy("_key", "_hash").agg(F.collect_set("s").alias("_spans")))
 
-    # only documents that lose words meet their spans; all others go straight on
-    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(cuts, "_hash"))
-    at = rows.columns.index("_hash")
+    out = attach(rows, cuts)  # only documents that may lose words are shuffled
+    return _cut(out.select(*[F.col(f"`{c}`") for c in kept], "_body", "_spans"), kept, untouched)
 
-    def chosen(yes: bool):
-        def run(batches):
-            for batch in batches:
-                hit = sent.value.maybe(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(hit if yes else ~hit))
 
-        return run
-
-    some = rows.mapInArrow(chosen(True), rows.schema).alias("r").join(cuts.alias("c"), (F.col("r._hash") == F.col("c._hash")) & F.col("r._key").eqNullSafe(F.col("c._key")), "left")
-    some = some.select(*[F.col(f"r.`{c}`") for c in kept], F.col("r._body").alias("_body"), F.col("c._spans").alias("_spans"))
-    rest = rows.mapInArrow(chosen(False), rows.schema).select(*[F.col(f"`{c}`") for c in kept], "_body").withColumn("_spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
-    return _cut(some, kept).union(_cut(rest, kept))
-
-
-def _cut(rows: DataFrame, kept: list[str]) -> DataFrame:
+def _cut(rows: DataFrame, kept: list[str], untouched: bool) -> DataFrame:
     n = len(kept)
+    schema = extended(rows.select(*[F.col(f"`{c}`") for c in kept]).schema, "n_words long, n_removed long, kept_text string")
+    names = schema.names
 
     def run(batches):
         for batch in batches:
@@ -309,13 +298,10 @@ def _cut(rows: DataFrame, kept: list[str]) -> DataFrame:
                     stay = np.cumsum(gone[:-1]) == 0
                     own = [own[i] for i in np.flatnonzero(stay).tolist()]
                 removed.append(words[-1] - len(own))
-                texts.append(b" ".join(own).decode())
+                texts.append(body if untouched and not removed[-1] else b" ".join(own).decode())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=names)
 
-    names = [*kept, "n_words", "n_removed", "kept_text"]
-    from .common import extended
-
-    return rows.mapInArrow(run, extended(rows.select(*[F.col(f"`{c}`") for c in kept]).schema, "n_words long, n_removed long, kept_text string"))
+    return rows.mapInArrow(run, schema)
 
 
 def op6_repeated_phrases(spark, sf_dir: str) -> DataFrame:
