@@ -43,7 +43,7 @@ class EliasFano:
         flags = np.zeros(((n + (top >> bits) + 1) // 64 + 2) * 64, bool)
         flags[high + np.arange(n)] = True
         words = np.packbits(flags, bitorder="little").view("<u8")
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.uint32 if n < 1 << 32 else np.int64)
         return cls(words, ones, _packed(values, bits), n, bits)
 
     def mapped(self, folder: str, name: str) -> EliasFano:
@@ -70,10 +70,10 @@ class EliasFano:
 
     def _one(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, "right") - 1
-        return word * 64 + self._in_word(self.words[word], k - self.ones[word])
+        return word * 64 + self._in_word(self.words[word], k - self.ones[word].astype(np.int64))
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        zeros = np.arange(len(self.ones)) * 64 - self.ones
+        zeros = np.arange(len(self.ones)) * 64 - self.ones.astype(np.int64)
         word = np.searchsorted(zeros, k, "right") - 1
         return word * 64 + self._in_word(~self.words[word], k - zeros[word])
 

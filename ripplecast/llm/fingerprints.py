@@ -5,7 +5,7 @@ not matter, equal multisets have equal states, and adding or taking away paragra
 The state has ``WIDE`` lanes of full numbers modulo 2**64, which decide equality, and ``SIGNS`` lanes of +1 and -1
 modulo 2**32, whose scalar products estimate how many paragraphs two texts share.
 
-A paragraph is a line; a long line is cut after words chosen by their own hash (one in ``CUT``), so that a change moves
+A paragraph is a line, empty or not; a long line is cut after words chosen by their own hash (one in ``CUT``), so that a change moves
 no cut elsewhere.  Cuts depend on nothing outside the line: whole lines may be added and taken away exactly.
 """
 
@@ -36,18 +36,28 @@ def _paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros((2, len(data) + 1), np.uint64)
     for row, table in zip(total, _TABLES, strict=True):
         np.cumsum(table[data] * up[:-1], out=row[1:])
-    line = np.flatnonzero(data == 10)
-    # a cut lies behind white space; the word before it decides
+    # lines: text ends come before a line feed at the same place, which is the next text's
+    feeds = np.flatnonzero(data == 10)
+    stops = np.concatenate([offsets[1:], feeds])
+    feed = np.arange(len(stops)) >= block.n
+    by = np.lexsort((feed, stops))
+    stops, feed = stops[by], feed[by]
+    starts = np.concatenate([[0], stops[:-1] + feed[:-1]]).astype(np.int64)
+    owner = np.cumsum(~feed) - ~feed
+    # a cut lies behind white space inside a line; the word before it decides
     space = np.flatnonzero(_SPACE[data])
-    before = np.maximum.reduce([np.zeros_like(space), _last(space, np.concatenate([[-1], space[:-1]])), _last(space, line), _last(space, offsets[:-1] - 1)])
+    before = np.maximum.reduce([np.zeros_like(space), _last(space, np.concatenate([[-1], space[:-1]])), _last(space, feeds), _last(space, offsets[:-1] - 1)])
     word = mix((total[0][space] - total[0][before]) * down[before])
-    cuts = space[(space > before) & (word % np.uint64(CUT) == 0)]
-    ends = np.unique(np.concatenate([line + 1, cuts + 1, offsets[1:]]))
-    ends = ends[ends > 0]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    stops = np.where(data[ends - 1] == 10, ends - 1, ends) if len(ends) else ends  # the line feed itself says nothing
-    h = [mix((t[stops] - t[starts]) * down[starts] + np.uint64(i + 1)) for i, t in enumerate(total)]
-    return h[0], h[1], np.searchsorted(starts, offsets)
+    of = np.searchsorted(stops, space, "right")
+    cut = (space > before) & (word % np.uint64(CUT) == 0) & (space + 1 < stops[of])
+    line = np.concatenate([np.arange(len(starts)), of[cut]])
+    a = np.concatenate([starts, space[cut] + 1])
+    by = np.lexsort((a, line))
+    line, a = line[by], a[by]
+    more = np.concatenate([line[1:] == line[:-1], [False]])
+    b = np.where(more, np.concatenate([a[1:], [0]]), stops[line])
+    h = [mix((t[b] - t[a]) * down[a] + np.uint64(i + 1)) for i, t in enumerate(total)]
+    return h[0], h[1], np.searchsorted(owner[line], np.arange(block.n + 1))
 
 
 def _last(at: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -59,7 +69,7 @@ def _last(at: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def states(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of a column of texts: ``(n, WIDE)`` uint64 and ``(n, SIGNS)`` int32; null and empty texts are all 0."""
+    """Sums of a column of texts: ``(n, WIDE)`` uint64 and ``(n, SIGNS)`` int32; null counts as empty, which is one empty line."""
     wide, signs = [np.zeros((0, WIDE), np.uint64)], [np.zeros((0, SIGNS), np.int32)]
     for block in blocks(texts, 1 << 19):
         a, b, first = _paragraphs(block)
@@ -115,7 +125,7 @@ def edit(state: bytes, inserted: list[str] = (), removed: list[str] = ()) -> byt
     """State after lines were added and taken away, without the rest of the text."""
     wide, signs = unpack([state])
     for lines, add in ((inserted, True), (removed, False)):
-        w, s = states(pa.array([x for x in lines if x], pa.string()))
+        w, s = states(pa.array(list(lines), pa.string()))
         w, s = w.sum(0, dtype=np.uint64), s.sum(0, dtype=np.int32)
         wide, signs = (wide + w, signs + s) if add else (wide - w, signs - s)
     return pack(wide, signs)[0]
@@ -157,8 +167,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", pa
     The next text is that of the next lower key (after the last: the first).  Null texts are empty; of rows with the
     same key the order is that of a hash of their text, so equal rows follow each other; a single row follows itself.
     """
-    # whole texts are sorted: a quarter of the usual partition keeps a task small
-    parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = in_order(df, key, text, parts)
     kind = rows.schema["k"].dataType.simpleString()
     schema = (
