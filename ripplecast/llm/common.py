@@ -8,6 +8,7 @@ never a loop over words or characters.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -184,6 +185,22 @@ def python_remainder(value, by: int) -> int:
     return zlib.crc32(str(value).encode()) % by
 
 
+def tidy() -> None:
+    """Give freed memory back: the executors' Python processes live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Whole texts are long: unless the session says otherwise, hand them to Python in batches of fewer rows."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(name, usual) == usual:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -194,13 +211,13 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
 
 
 class BitFilter:
-    """Fixed-size set of 64-bit hashes that may say yes wrongly, never no; at most ``2**MOST`` bits (16 MB).
+    """Fixed-size set of 64-bit hashes that may say yes wrongly, never no; at most ``2**MOST`` bits (4 MB).
 
-    Every hash sets two bits.  With 64 bits for each hash (up to two million of them) one in a thousand other hashes
+    Every hash sets two bits.  With 64 bits for each hash (up to half a million of them) one in a thousand other hashes
     gets a wrong yes, beyond that more; results never depend on it, only how many rows the next step sees.
     """
 
-    MOST = 27
+    MOST = 25
 
     def __init__(self, bits: np.ndarray, log: int):
         self.bits, self.log = bits, log
@@ -220,7 +237,7 @@ class BitFilter:
 def bit_filter(df: DataFrame, column: str) -> BitFilter:
     """Filter over a column of 64-bit hashes (as signed longs).
 
-    Spark sets the bits in groups of 32; the driver gets at most ``2**MOST / 32`` pairs of
+    Spark sets the bits in groups of 64; the driver gets at most ``2**MOST / 64`` pairs of
     numbers however many hashes there are, which is what makes it fit to be broadcast.
     """
     n = df.select(column).count()
@@ -230,35 +247,39 @@ def bit_filter(df: DataFrame, column: str) -> BitFilter:
     at = F.array(F.shiftrightunsigned(F.col(column), 64 - log), F.col(column).bitwiseAND((1 << log) - 1))
     rows = (
         df.where(F.col(column).isNotNull()).select(F.explode(at).alias("a"))
-        .select(F.shiftright("a", 5).cast("int").alias("g"), F.expr("shiftleft(1L, cast(a & 31 as int))").alias("b"))
-        .groupBy("g").agg(F.bit_or("b").alias("b")).toPandas()
+        .select(F.shiftright("a", 6).cast("int").alias("g"), F.expr("shiftleft(1L, cast(a & 63 as int))").alias("b"))
+        .groupBy("g").agg(F.bit_or("b").alias("b")).toArrow()
     )
-    groups = np.zeros(1 << (log - 5), np.uint32)
-    groups[rows["g"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    groups = np.zeros(1 << (log - 6), np.uint64)
+    groups[rows.column("g").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
     return BitFilter(groups.view(np.uint8), log)
 
 
+def by_hash(batch: pa.RecordBatch, at: int, bits: BitFilter, yes: bool) -> pa.RecordBatch:
+    """Rows whose hash (column number ``at``) may be in the filter, or those whose hash surely is not."""
+    hit = bits.maybe(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+    return batch.filter(pa.array(hit if yes else ~hit))
+
+
+def meet(rows: DataFrame, found: DataFrame, bits) -> DataFrame:
+    """Rows whose ``_hash`` may be in ``found`` with the other columns of ``found``, met on ``_key`` (null is a value) and ``_hash``."""
+    at = small_batches(rows).columns.index("_hash")
+    more = [c for c in found.columns if c not in ("_key", "_hash")]
+    same = (F.col("r._hash") == F.col("f._hash")) & F.col("r._key").eqNullSafe(F.col("f._key"))
+    some = rows.mapInArrow(lambda batches: (by_hash(b, at, bits.value, True) for b in batches), rows.schema).alias("r").join(found.alias("f"), same, "left")
+    return some.select(*[F.col(f"r.`{c}`") for c in rows.columns], *[F.col(f"f.`{c}`") for c in more])
+
+
 def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the other columns of ``found``, met on ``_key`` (null is a value) and ``_hash``; null where not found.
 
     Rows whose hash is surely not in ``found`` go straight on and are not shuffled.
     """
     more = [c for c in found.columns if c not in ("_key", "_hash")]
-    sent = rows.sparkSession.sparkContext.broadcast(bit_filter(found, "_hash"))
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(found, "_hash"))
     at = rows.columns.index("_hash")
-
-    def chosen(yes: bool):
-        def run(batches):
-            for batch in batches:
-                hit = sent.value.maybe(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(hit if yes else ~hit))
-
-        return run
-
-    same = (F.col("r._hash") == F.col("f._hash")) & F.col("r._key").eqNullSafe(F.col("f._key"))
-    some = rows.mapInArrow(chosen(True), rows.schema).alias("r").join(found.alias("f"), same, "left")
-    some = some.select(*[F.col(f"r.`{c}`") for c in rows.columns], *[F.col(f"f.`{c}`") for c in more])
-    rest = rows.mapInArrow(chosen(False), rows.schema)
+    some = meet(rows, found, bits)
+    rest = rows.mapInArrow(lambda batches: (by_hash(b, at, bits.value, False) for b in batches), rows.schema)
     return some.union(rest.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]))
 
 
@@ -280,6 +301,7 @@ def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) ->
     ``keep`` None keeps all columns.  A kept column whose name (in any case) is also a new one is replaced.
     """
     fields = parsed(new).fields
+    small_batches(df)
     taken = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     inner = "_text"
@@ -293,6 +315,8 @@ def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) ->
         for batch in batches:
             arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in work(batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])
+        del work
+        tidy()
 
     return rows.mapInArrow(run, schema)
 

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import scratch_path
-from .common import blocks, documents, mix, not_space, per_text, remainder
+from .common import blocks, documents, mix, not_space, per_text, remainder, small_batches, tidy
 from .elias_fano import Level, Quantiser
 
 WORD_BYTES = not_space()
 END = mix(np.array([0xE0D], np.uint64))[0]
-BATCH = 1 << 25  # bytes of text in one batch
+BATCH = 1 << 23  # bytes of text in one batch
 ORDER = 2
 _CODE = np.uint64((1 << Level.BITS) - 1)
 
@@ -102,7 +102,7 @@ class Batch:
 
 def _stored(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
     """One row per batch of texts, written once: number, keys, flags and packed tokens."""
-    rows = docs.select(docs[f"`{key}`"].alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[f"`{text}`"].cast("string").alias("t"))
+    rows = small_batches(docs).select(docs[f"`{key}`"].alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[f"`{text}`"].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches):
@@ -120,6 +120,8 @@ def _stored(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
                     pa.array([packed(x) for x in (b.hashes,)], pa.binary()), pa.array([packed(b.tokens)], pa.binary()),
                     pa.array([packed(b.first.astype(np.int64))], pa.binary()), pa.array([packed(b.train.astype(np.uint8))], pa.binary()),
                     pa.array([int(np.diff(b.first)[b.train].sum())], pa.int64())], names=["keys", "hashes", "tokens", "first", "train", "n"])
+                del b, hashes, counts
+        tidy()
 
     path = scratch_path(docs.sparkSession, "batches")
     rows.mapInArrow(run, f"keys array<{kind}>, hashes binary, tokens binary, first binary, train binary, n long").withColumn("batch", F.monotonically_increasing_id()).write.parquet(path)
@@ -209,6 +211,8 @@ def _answers(packets: DataFrame) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
         out = _answer_words(rows) if rows[0]["level"] == 1 else _answer_grams(rows)
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        del rows
+        tidy()
         return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_ANSWER))
 
     return packets.groupBy("shard", "level").applyInArrow(answer, _ANSWER)

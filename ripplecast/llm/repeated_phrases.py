@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
-from .common import Words, attach, bit_filter, blocks, documents, extended, mix, not_space, powers
+from .common import Words, bit_filter, blocks, by_hash, documents, extended, meet, mix, not_space, powers, small_batches
 
 WINDOW, ANCHOR = 35, 8
 HOT = 20_000  # occurrences from which an anchor's segments are confirmed by a distributed count, not in one task
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     new = {"n_words", "n_removed", "kept_text", "_key", "_hash", "_body", "_spans"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     rows = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{key}`"].alias("_key"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("_body"))
-    rows = rows.withColumn("_hash", F.xxhash64("_body"))
+    rows = small_batches(rows).withColumn("_hash", F.xxhash64("_body"))
     counts = cut_lineage(_anchor_counts(rows, window))
     wanted, frequent = bit_filter(counts, "anchor"), counts.where(F.col("n") > hot)
     contents = _contents(rows, window, wanted)
@@ -275,17 +275,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     shift = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop")))
     cuts = cut_lineage(found.select("_key", "_hash", F.explode(shift).alias("s")).groupBy("_key", "_hash").agg(F.collect_set("s").alias("_spans")))
 
-    out = attach(rows, cuts)  # only documents that may lose words are shuffled
-    return _cut(out.select(*[F.col(f"`{c}`") for c in kept], "_body", "_spans"), kept, untouched)
+    # only documents that may lose words are shuffled; the others are finished where they are read
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(cuts, "_hash"))
+    columns = [*[F.col(f"`{c}`") for c in kept], F.col("_body")]
+    some = meet(rows, cuts, bits).select(*columns, "_spans")
+    rest = rows.select(*columns, F.lit(None).cast("array<struct<start:int,stop:int>>").alias("_spans"), "_hash")
+    return _cut(some, kept, untouched).union(_cut(rest, kept, untouched, bits))
 
 
-def _cut(rows: DataFrame, kept: list[str], untouched: bool) -> DataFrame:
+def _cut(rows: DataFrame, kept: list[str], untouched: bool, but=None) -> DataFrame:
+    """Cut the spans out of the texts; with ``but`` only of rows whose hash is not in that filter."""
     n = len(kept)
     schema = extended(rows.select(*[F.col(f"`{c}`") for c in kept]).schema, "n_words long, n_removed long, kept_text string")
     names = schema.names
 
     def run(batches):
         for batch in batches:
+            if but is not None:
+                batch = by_hash(batch, n + 2, but.value, False)
             words, removed, texts = [], [], []
             for body, spans in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 own = body.encode().split()
