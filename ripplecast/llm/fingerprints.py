@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, added, blocks, documents, mix, numbers, per_text, powers
+from .common import Block, added, blocks, documents, mix, numbers, per_text, powers, small_batches
 
 WIDE, SIGNS, CUT = 32, 256, 8
 STATE = WIDE * 8 + SIGNS * 4
@@ -167,8 +167,9 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", pa
     The next text is that of the next lower key (after the last: the first).  Null texts are empty; of rows with the
     same key the order is that of a hash of their text, so equal rows follow each other; a single row follows itself.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_order(df, key, text, parts)
+    # whole texts are sorted: a quarter of the usual partition keeps a task small
+    parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_order(small_batches(df), key, text, parts)
     kind = rows.schema["k"].dataType.simpleString()
     schema = (
         f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
