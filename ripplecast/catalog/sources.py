@@ -18,7 +18,12 @@ COMMENT_JSON = T.StructType([T.StructField(n, t) for n, t in [
 @query("s1_read_ndjson", "select id, link_id, author, subreddit, created_utc, score, body from d_comments")
 def _(q):
     path = scratch_path(q.spark, "ndjson")
-    good = q.d.select(F.to_json(F.struct(*COMMENT_JSON.names)).alias("value"))
+    # numbers come as numbers, as text and with a decimal point; texts of numbers stay texts
+    third = F.pmod(F.xxhash64("id"), F.lit(3))
+    number = F.col("created_utc").cast("string")
+    made = F.when(third == 0, number).when(third == 1, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(F.concat(number, F.lit(".0")))
+    rest = F.to_json(F.struct(*[c for c in COMMENT_JSON.names if c != "created_utc"]))
+    good = q.d.select(F.concat(F.lit('{"created_utc":'), made, F.lit(","), F.substring(rest, 2, 1 << 30)).alias("value"))
     broken = q.d.select(F.concat(F.lit('{"id": "'), F.col("id"), F.lit('", broken')).alias("value"))
     good.unionAll(broken).unionAll(q.d.select(F.lit("").alias("value"))).write.option("compression", "gzip").text(path)
     return tables.read_ndjson(q.spark, path, COMMENT_JSON)
@@ -60,19 +65,16 @@ def _(q):
 @query("s6_read_csv_tolerant", """
 select id, author, body, cast(created_utc as varchar) created_utc, cast(null as varchar) hate_label from d_comments""")
 def _(q):
-    # every row once, plus one over-long row per document, which has to be dropped
+    # files with their columns in two orders; every row once, and over-long rows that have to be dropped
     path = scratch_path(q.spark, "csv")
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    row = F.concat_ws(",", "id", "author", quoted("body"), "created_utc")
-    bad = F.concat_ws(",", "id", "author", F.lit("x"), "created_utc", F.lit("one"), F.lit("two"), F.lit("many"))
-    q.d.select(F.concat(row, F.lit("\n"), bad).alias("value")).write.text(path)
-    header = "id,author,body,created_utc\n"
-    # one header per file, as a CSV writer would put it
-    head = scratch_path(q.spark, "csv-with-header")
-    q.spark.read.text(path, wholetext=True).select(
-        F.concat(F.lit(header), "value").alias("value")).write.text(head)
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    q.d.where(half == 0).select("id", "author", "body", "created_utc").write.option("header", True).option("escape", '"').csv(f"{path}/a")
+    q.d.where(half == 1).select("created_utc", "body", "id", "author").write.option("header", True).option("escape", '"').csv(f"{path}/b")
+    q.d.select("id", "author", F.lit("x").alias("body"), "created_utc", F.lit("one").alias("e"), F.lit("two").alias("f")).write.csv(f"{path}/long")
+    bad = q.spark.read.text(f"{path}/long").select(F.col("value").alias("id,author,body,created_utc"))
+    bad.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(f"{path}/c")
     want = ["id", "author", "body", "created_utc", "hate_label"]
-    return tables.read_csv_tolerant(q.spark, head, want, ["UTF-8", "ISO-8859-1"])
+    return tables.read_csv_tolerant(q.spark, f"{path}/[abc]", want, ["UTF-8", "ISO-8859-1"], multi_line=True)
 
 
 @query("s7_write_splits", "select id, case when is_hate = 1 then 'flagged' else 'plain' end split from e_comments")

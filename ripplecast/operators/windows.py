@@ -21,17 +21,23 @@ def hourly_snapshots(df: DataFrame, prob: str = "prob", hours: int = 1) -> tuple
     return snapshot_edges(df, hours), features
 
 
-def with_window_id(df: DataFrame, hours: float = 12, ts: str = "created_utc", unit: int = 1) -> DataFrame:
-    """Number of the half-open window each row falls in, counted from the first time floored to the hour."""
+def with_window_id(df: DataFrame, hours: float = 12, ts: str = "created_utc", unit: int = 1, start: int | None = None) -> DataFrame:
+    """Number of the half-open window each row falls in, counted from the first time floored to the hour.
+
+    With ``start`` windows are counted from there: rows that come in pieces then keep their numbers.
+    """
+    if start is not None:
+        width = int(max(1, hours) * 3600 * unit)
+        return df.withColumn("window_id", F.floor((F.col(ts) - start * unit) / width).cast("bigint"))
     origin = df.agg((F.floor(F.min(ts) / (3600 * unit)) * 3600 * unit).cast("bigint").alias("_origin"))
     width = int(max(1, hours) * 3600 * unit)
     out = df.join(F.broadcast(origin))  # one row
     return out.withColumn("window_id", F.floor((F.col(ts) - F.col("_origin")) / width).cast("bigint")).drop("_origin")
 
 
-def fixed_windows(df: DataFrame, hours: float = 12, min_hate: int = 1, label: str = "is_hate", ts: str = "created_utc", unit: int = 1) -> DataFrame:
+def fixed_windows(df: DataFrame, hours: float = 12, min_hate: int = 1, label: str = "is_hate", ts: str = "created_utc", unit: int = 1, start: int | None = None) -> DataFrame:
     """One row per non-empty window with at least ``min_hate`` labelled rows."""
-    return with_window_id(df, hours, ts, unit).groupBy("window_id").agg(
+    return with_window_id(df, hours, ts, unit, start).groupBy("window_id").agg(
         F.min(ts).cast("bigint").alias("start_time"), F.max(ts).cast("bigint").alias("end_time"),
         F.count("*").alias("num_comments"), F.count_if(F.col(label) == 1).alias("num_hate")).where(F.col("num_hate") >= min_hate)
 
@@ -87,9 +93,9 @@ def merged_windows(windows: DataFrame, min_hate: int) -> DataFrame:
         F.sum("num_comments").alias("num_comments"), F.sum("num_hate").alias("num_hate"))
 
 
-def window_candidates(df: DataFrame, windows: DataFrame, hours: float = 12, label: str = "is_hate") -> DataFrame:
+def window_candidates(df: DataFrame, windows: DataFrame, hours: float = 12, label: str = "is_hate", start: int | None = None) -> DataFrame:
     """Rows of the kept windows as candidates: ``is_reply`` when the parent is known and not the submission."""
-    rows = with_window_id(df, hours).join(windows.select("window_id", F.col("start_time").alias("window_start")), "window_id")
+    rows = with_window_id(df, hours, start=start).join(windows.select("window_id", F.col("start_time").alias("window_start")), "window_id")
     parent, link = C.norm_id(F.col("parent_id")), C.norm_id(F.col("link_id"))
     return rows.select(
         "window_id", "window_start", "id", C.norm_id(F.col("id")).alias("id_norm"), parent.alias("parent_norm"), link.alias("link_norm"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,24 +17,53 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with every scalar as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(T.StringType(), _as_text(kind.valueType))
+    return T.StringType()
+
+
+def _typed(c: Column, kind: T.DataType) -> Column:
+    """Text back in its type; what does not fit becomes null, whole numbers may be written as 1.0."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _typed(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _typed(x, kind.valueType))
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(c.try_cast(kind), c.try_cast("double").try_cast(kind))
+    return c if isinstance(kind, T.StringType) else c.try_cast(kind)
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None = None) -> DataFrame:
     """Newline JSON, plain or compressed (gz, bz2, zst by file ending).
 
-    Blank and broken lines are skipped, bytes that are no UTF-8 are left out.
+    Only lines that are no JSON object are skipped; a value that does not fit its column (``"n/a"`` for a number)
+    becomes null, one that does in another dress (``"17"``, ``17.0``) is read.  Bytes that are no UTF-8 are left out.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.startswith(F.ltrim("value"), F.lit("{")))
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
-    parsed = lines.select(F.from_json(text, _with_corrupt(schema), {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    good = parsed.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
-    return good if max_rows is None else good.limit(max_rows)
+    parsed = lines.select(F.from_json(text, _with_corrupt(_as_text(schema)), {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    good = parsed.where(F.col(f"r.{CORRUPT}").isNull())
+    out = good.select(*[_typed(F.col("r")[f.name], f.dataType).alias(f.name) for f in schema])
+    return out if max_rows is None else out.limit(max_rows)
 
 
 def read_parquet_glob(
     spark: SparkSession, folder: str, pattern: str = "*.parquet", fallback: str | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, skip_corrupt: bool = False,
 ) -> DataFrame:
-    """All part files whose name fits the pattern; unreadable files are skipped."""
+    """All part files whose name fits the pattern.
+
+    An unreadable file is an error; with ``skip_corrupt`` it is left out, and :func:`unreadable_parts` names it.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -42,54 +73,110 @@ def read_parquet_glob(
         return found is not None and len(found) > 0
 
     where = folder if fallback is None or holds_files(folder) else fallback
-    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", skip_corrupt)
     return (reader if schema is None else reader.schema(schema)).parquet(where)
 
 
-def best_encoding(spark: SparkSession, path: str, encodings: Sequence[str]) -> str:
-    """The first encoding that decodes every line, else the one with the fewest bad lines; one job."""
+def unreadable_parts(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """``path`` of the part files that are no complete Parquet files: their last four bytes are not the format's mark."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.where(F.coalesce(F.expr("right(cast(content as string), 4) <> 'PAR1'"), F.lit(True)) | (F.col("length") < 12)).select("path")
+
+
+# Encodings that Spark's CSV reader takes; others must have one byte per character.
+SPARK_ENCODINGS = ("UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "US-ASCII", "ISO-8859-1")
+
+
+def _known(name: str) -> str:
+    upper = name.upper().replace("_", "-").replace("UTF8", "UTF-8").replace("LATIN-1", "ISO-8859-1").replace("LATIN1", "ISO-8859-1")
+    return upper if upper in SPARK_ENCODINGS else name
+
+
+def _high_half(name: str) -> str:
+    """The characters of bytes 128-255 in a one-byte encoding, from its codec."""
+    return bytes(range(128, 256)).decode(name, errors="replace")
+
+
+def _raw_lines(spark: SparkSession, path) -> DataFrame:
     # ISO-8859-1 keeps each byte as one character, so the bytes can be tried again in any encoding
-    lines = (
+    return (
         spark.read.option("encoding", "ISO-8859-1").option("header", False)
         .option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
     )
 
+
+def best_encoding(spark: SparkSession, path: str, encodings: Sequence[str]) -> str:
+    """The first encoding that decodes every line, else the one with the fewest bad lines; one job."""
     def bad(name: str) -> Column:
-        if name.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        if _known(name) == "UTF-8":
             ok = F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
             return F.sum(F.when(ok, 0).otherwise(1))
-        return F.sum(F.lit(0))  # single-byte sets accept every byte
+        if _known(name) in SPARK_ENCODINGS:
+            return F.sum(F.lit(0))  # taken as they are
+        gaps = "".join(chr(128 + i) for i, c in enumerate(_high_half(name)) if c == "\ufffd")
+        return F.sum(F.when(F.translate("line", gaps, "") != F.col("line"), 1).otherwise(0)) if gaps else F.sum(F.lit(0))
 
-    counts = lines.agg(*[bad(n).alias(f"b{i}") for i, n in enumerate(encodings)]).first()
+    counts = _raw_lines(spark, path).agg(*[bad(n).alias(f"b{i}") for i, n in enumerate(encodings)]).first()
     return min(enumerate(encodings), key=lambda e: (counts[e[0]] or 0, e[0]))[1]
 
 
+def _unquoted(line: Column, escape: str) -> Column:
+    """Fields of a line without quoting: an escaped character is always part of the field."""
+    e = re.escape(escape)
+    fields = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(rf"((?:[^,{e}]|{e}.)*),"), F.lit(1))
+    return F.transform(fields, lambda f: F.regexp_replace(f, rf"{e}(.)", "$1"))
+
+
 def read_csv_tolerant(
     spark: SparkSession, path: str, columns: Sequence[str], encodings: Sequence[str] = ("UTF-8",),
-    max_rows: int | None = None, multi_line: bool = True,
+    max_rows: int | None = None, multi_line: bool = False, quote: str = '"', escape: str = '"', quoting: bool = True,
 ) -> DataFrame:
     """Every column as text in the given order, malformed rows skipped, missing columns null.
 
-    Files without line breaks inside quotes should be read with ``multi_line=False``,
-    which lets Spark split them.
+    Files may name their columns in different orders: each is read by its own header.  Inside quotes a quote is written
+    as ``escape`` and a quote (doubled, or with a backslash); with ``quoting=False`` quotes are ordinary characters and
+    ``escape`` keeps a comma in its field.  ``multi_line`` allows line breaks inside quotes; such a file is one task, so
+    it is off by default.  ``encodings`` may be any one-byte codec besides those Spark reads, such as cp775.
     """
     encoding = encodings[0] if len(encodings) == 1 else best_encoding(spark, path, encodings)
-
-    def options(reader):
-        reader = reader.option("header", True).option("multiLine", multi_line).option("encoding", encoding)
-        return reader.option("quote", '"').option("escape", '"')
-
-    names = options(spark.read).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (
-        options(spark.read).schema(_with_corrupt(schema)).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path)
-    )
-    good = raw.where(F.col(CORRUPT).isNull())
-    have = {n.strip().lower(): n for n in names}
-    out = good.select(
-        *[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None).cast("string")).alias(c) for c in columns]
-    )
+    own = _known(encoding) in SPARK_ENCODINGS
+    read_as = _known(encoding) if own else "ISO-8859-1"
+
+    def decoded(c: Column) -> Column:
+        return c if own else F.translate(c, bytes(range(128, 256)).decode("latin-1"), _high_half(encoding))
+
+    # one row per file: its first line
+    lines = spark.read.option("encoding", read_as).option("header", False).option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "line", F.monotonically_increasing_id().alias("n")).where("at = 0")
+    heads = first.groupBy("file").agg(F.min_by("line", "n").alias("head")).collect()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        text = r["head"].removeprefix("\ufeff").removeprefix("\xef\xbb\xbf")
+        names = next(csv.reader([text], quotechar=quote or None, escapechar=None if escape == quote else escape, quoting=csv.QUOTE_MINIMAL if quoting and quote else csv.QUOTE_NONE))
+        groups.setdefault(tuple(n.strip() for n in names), []).append(r["file"])
+    parts = []
+    for names, files in groups.items():
+        fields = [f"c{i}" for i in range(len(names))]
+        at = {}
+        for i, n in enumerate(names):
+            at.setdefault(n.lower(), i)
+        if quoting:
+            reader = spark.read.option("header", True).option("multiLine", multi_line).option("encoding", read_as).option("quote", quote).option("escape", escape)
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
+            raw = reader.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(files)
+            good = raw.where(F.col(CORRUPT).isNull())
+        else:
+            rows = spark.read.option("encoding", read_as).option("header", True).option("sep", "\u0001").option("quote", "").schema("line string").csv(files)
+            split = rows.where("line is not null").select(_unquoted(F.col("line"), escape).alias("f")).where(F.size("f") == len(fields))
+            good = split.select(*[F.nullif(F.col("f")[i], F.lit("")).alias(n) for i, n in enumerate(fields)])
+        # a file with none of the columns still has rows; Spark wants one of its fields to be read for that
+        none = F.lit(None).cast("string") if any(c.lower() in at for c in columns) else F.nullif(F.substring(fields[0], 1, 0), F.lit(""))
+        parts.append(good.select(*[(decoded(F.col(fields[at[c.lower()]])) if c.lower() in at else none).alias(c) for c in columns]))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out if max_rows is None else out.limit(max_rows)
 
 
@@ -134,8 +221,12 @@ class ScoreCache:
         return stored.groupBy("key").agg(F.max("score").alias("score"))
 
     def fill(self, texts: DataFrame, score: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
-        """Score the texts the cache does not know and store them; returns the whole cache."""
+        """Score the texts the cache does not know and store them; returns the scores of the given texts.
+
+        A null or NaN score is a failure and is not stored, so the text is tried again next time.
+        """
         wanted = texts.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), F.col(text).alias("text"))
         misses = wanted.groupBy("key").agg(F.min("text").alias("text")).join(self.read(), "key", "left_anti")
-        score(misses).select("key", "score").write.mode("append").parquet(self.path)
-        return self.read()
+        scored = score(misses).select("key", "score").where(F.col("score").isNotNull() & ~F.isnan("score"))
+        scored.write.mode("append").parquet(self.path)
+        return self.read().join(wanted.select("key").distinct(), "key", "left_semi")
