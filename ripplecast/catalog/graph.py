@@ -108,15 +108,20 @@ def _(q):
 
 
 @query("n8_proximity", f"""
-with p as (select s source, 'user_' || author node from {SOURCES.format(v='c', k=20)}, (select distinct author from c_comments) a where s <> 'user_' || author),
-walk as (select distinct source, source node, 0 hops from p union select w.source, g.dst, w.hops + 1 from walk w join cgraph g on g.src = w.node where w.hops < 6),
-best as (select source, node, min(hops) hops from walk group by 1, 2)
-select p.source, p.node, round(coalesce(1.0/(1+hops), 0.1), 6) proximity from p left join best b on p.source = b.source and p.node = b.node""", G)
+with u as (select 'user_' || author node, cast('0x' || substr(md5(author),1,8) as bigint) % 7 b from (select distinct author from c_comments) a),
+p as (select s source, u.node from {SOURCES.format(v='c', k=100)} join u mine on mine.node = s join u on u.b = mine.b and u.node <> s),
+walk(source, node, hops) using key (source, node) as (
+  select distinct source, source, 0 from p
+  union select w.source, g.dst, min(w.hops + 1) from walk w join cgraph g on g.src = w.node
+    where not exists (select 1 from recurring.walk r where r.source = w.source and r.node = g.dst) group by 1, 2)
+select p.source, p.node, round(coalesce(1.0/(1+hops), 0.1), 6) proximity from p left join walk b on p.source = b.source and p.node = b.node""", G)
 def _(q):
-    users = q.c.select(F.concat(F.lit("user_"), "author").alias("node")).distinct()
-    src = sources(q.c, 20).select(F.col("node").alias("source"))  # 20 rows
-    pairs = users.join(F.broadcast(src), F.col("source") != F.col("node")).select("source", "node")
-    return rounded(N.proximity(N.user_comment_graph(q.c), pairs, 6), "proximity")
+    from ..functions.columns import hash_bucket
+
+    users = q.c.select("author").distinct().select(F.concat(F.lit("user_"), "author").alias("node"), hash_bucket(F.col("author"), 7).alias("_b"))
+    chosen = users.join(sources(q.c, 100), "node", "left_semi").select(F.col("node").alias("source"), "_b")
+    pairs = users.join(chosen, "_b").where("source <> node").select("source", "node")
+    return rounded(N.proximity(N.user_comment_graph(q.c), pairs), "proximity")
 
 
 CONNECT = """
@@ -176,7 +181,7 @@ def _(q):
 
 
 VEC = """select id, list_transform(embedding, lambda v: cast(v as double)) v from (select *, row_number() over (order by id) - 1 k from c_comments) c
-  join embeddings e on e.vec_id = cast('0x' || substr(md5(c.id),1,8) as bigint) % 500"""
+  join embeddings e on e.vec_id = cast('0x' || substr(md5(c.id),1,8) as bigint) % (select count(*) from embeddings)"""
 
 
 def vectors(q, ids):
@@ -184,7 +189,7 @@ def vectors(q, ids):
     from ..functions.columns import hash_bucket
 
     e = q.table("embeddings").select(F.col("vec_id").alias("_k"), "embedding")
-    return ids.select("id", hash_bucket(F.col("id"), 500).alias("_k")).join(e, "_k").select("id", "embedding")
+    return ids.select("id", hash_bucket(F.col("id"), q.table("embeddings").agg(F.count("*")).scalar()).alias("_k")).join(e, "_k").select("id", "embedding")
 
 
 @query("n11_parent_similarity", f"""

@@ -181,10 +181,29 @@ def hate_prone_users(df: DataFrame, k: int = 100, label: str = "is_hate") -> Dat
     return f.orderBy(F.desc("hate_ratio"), "author").limit(k)
 
 
-def proximity(edges: DataFrame, pairs: DataFrame, max_hops: int, unreachable: float = 0.1) -> DataFrame:
-    """``1 / (1 + shortest path)`` for each ``(source, node)`` pair."""
-    hops = reach(edges, pairs.select(F.col("source").alias("node")), max_hops)
-    near = hops.select("source", "node", (1.0 / (1.0 + F.col("hops"))).alias("_p"))
+def proximity(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, unreachable: float = 0.1) -> DataFrame:
+    """``1 / (1 + shortest path)`` for each ``(source, node)`` pair, ``unreachable`` without a path.
+
+    The search goes on until every pair is answered or no frontier is left; a source all of whose pairs are
+    answered is searched no further.  ``max_hops`` ends it earlier.
+    """
+    step = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
+    asked = cut_lineage(pairs.select("source", "node").distinct())
+    seen = frontier = cut_lineage(asked.select("source", F.col("source").alias("node")).distinct())
+    answers = asked.where("source = node").select("source", "node", F.lit(0).alias("hops"))
+    asked = cut_lineage(asked.where("source <> node"))
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        frontier = frontier.join(asked.select("source").distinct(), "source", "left_semi")
+        found = frontier.join(step, "node").select("source", F.col("_next").alias("node")).distinct()
+        frontier = cut_lineage(found.join(seen, ["source", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        answers = answers.unionByName(asked.join(frontier, ["source", "node"], "left_semi").withColumn("hops", F.lit(hop)))
+        asked = cut_lineage(asked.join(frontier, ["source", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    near = answers.select("source", "node", (1.0 / (1.0 + F.col("hops"))).alias("_p"))
     return pairs.join(near, ["source", "node"], "left").select(
         *pairs.columns, F.coalesce("_p", F.lit(unreachable)).alias("proximity"))
 

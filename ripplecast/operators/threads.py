@@ -15,22 +15,30 @@ def with_parent(df: DataFrame) -> DataFrame:
         "id", C.norm_id(F.col("id")))
 
 
-def one_per_id(df: DataFrame, order: tuple[str, ...] = ("created_utc", "body")) -> DataFrame:
-    """One row per id: the last by time, then text."""
-    rest = [c for c in df.columns if c != "id"]
-    last = F.max_by(F.struct(*rest), F.struct(*[c for c in order if c in df.columns]))
-    return df.groupBy("id").agg(last.alias("_r")).select("id", "_r.*").select(*df.columns)
+def one_per_id(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per id with some columns: the last by time, then by the digest of its text, then by what is selected.
+
+    Only the digest travels, not the text, and any order of the rows gives the same choice.
+    """
+    rest = [c for c in columns if c != "id"]
+    digest = [F.md5(F.col("body"))] if "body" in df.columns else []
+    last = F.max_by(F.struct(*rest), F.struct("created_utc", *digest, *rest))
+    return df.groupBy("id").agg(last.alias("_r")).select("id", "_r.*").select(*columns)
 
 
 def thread_stats(df: DataFrame, label: str = "is_hate", ts: str = "created_utc") -> DataFrame:
-    """One row per thread; the community is that of the earliest comment."""
+    """One row per thread; the community is that of the earliest comment; an id counts once."""
     root = F.col("parent_id").isNull() | F.col("parent_id").startswith("t3_") | (F.col("parent_id") == F.col("link_id"))
-    return df.where(F.col("link_id").isNotNull()).groupBy("link_id").agg(
+    rows = df.where(F.col("link_id").isNotNull()).withColumn("id", C.norm_id(F.col("id"))).withColumn("_root", root)
+    if ts != "created_utc":
+        rows = rows.withColumn("created_utc", F.col(ts))
+    rows = one_per_id(rows, *dict.fromkeys(["id", "link_id", "author", "subreddit", ts, label, "_root"]))
+    return rows.groupBy("link_id").agg(
         F.count("*").alias("comments"),
         F.count_distinct("author").alias("authors"),
         (F.max(ts) - F.min(ts)).cast("bigint").alias("span"),
         F.min(ts).cast("bigint").alias("start"),
-        F.count_if(root).alias("roots"),
+        F.count_if("_root").alias("roots"),
         F.min_by("subreddit", F.struct(ts, "id")).alias("subreddit"),
         F.count_if(F.col(label) == 1).alias("hate"),
     )
@@ -41,7 +49,7 @@ def reply_depth(df: DataFrame) -> DataFrame:
 
     Rows whose ancestors form a cycle have no depth and are reported.
     """
-    rows = forest(one_per_id(with_parent(df).select("id", "pid", "created_utc")))
+    rows = forest(one_per_id(with_parent(df), "id", "pid"))
     rows = rows.select("id", "up", F.lit(1).cast("bigint").alias("thread_depth"), F.col("id").alias("root_id"))
     done, cyclic = double(rows, {"thread_depth": lambda a, b: a + b, "root_id": lambda a, b: b})
     none = F.lit(None)
@@ -53,23 +61,25 @@ def reply_depth(df: DataFrame) -> DataFrame:
 def thread_closure(seeds: DataFrame, df: DataFrame) -> DataFrame:
     """Comments that are seeds, ancestors of seeds or descendants of seeds."""
     rows = with_parent(df)
-    keep = mark_closure(forest(one_per_id(rows.select("id", "pid", "created_utc"))), seeds)
+    keep = mark_closure(forest(one_per_id(rows, "id", "pid")), seeds)
     return rows.join(keep, "id", "left_semi").select(*df.columns)
 
 
 def thread_path(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``(id, path, hops)`` with ``path`` from the root comment down to the comment.
 
-    With ``wanted`` only those ids and their ancestors take part.
+    With ``wanted`` only those ids and their ancestors take part.  Ids whose ancestors form a cycle have no path: null.
+    A path is as long as the comment is deep, so all paths of one chain of n comments hold n * n / 2 ids.
     """
-    rows = forest(one_per_id(with_parent(df).select("id", "pid", "created_utc")))
+    rows = forest(one_per_id(with_parent(df), "id", "pid"))
     if wanted is not None:
         rows = rows.join(mark_closure(rows, wanted), "id", "left_semi")
     rows = rows.select("id", "up", F.array("id").alias("path"))
-    done, _ = double(rows, {"path": lambda mine, above: F.concat(above, mine)})
+    done, cyclic = double(rows, {"path": lambda mine, above: F.concat(above, mine)})
+    done = done.unionByName(cyclic.select("id", F.lit(None).cast("array<string>").alias("path")))
     if wanted is not None:
         done = done.join(wanted.select("id").distinct(), "id", "left_semi")
-    return done.select("id", "path", (F.size("path") - 1).cast("bigint").alias("hops"))
+    return done.select("id", "path", F.when(F.col("path").isNotNull(), F.size("path") - 1).cast("bigint").alias("hops"))
 
 
 def subtree(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -279,7 +289,7 @@ def parent_attributes(
     ``compute`` (``rescore(rows)`` returns ``(id, prob)`` for the parents).
     """
     rows = with_parent(df)
-    own = one_per_id(rows.select("id", "created_utc", "score", prob, *[c for c in ("body",) if c in df.columns]))
+    own = one_per_id(rows, "id", "created_utc", "score", prob, *[c for c in ("body",) if c in df.columns and policy == "compute"])
     if policy == "compute":
         used = own.join(rows.select(F.col("pid").alias("id")).where("id is not null").distinct(), "id", "left_semi")
         own = own.drop(prob).join(rescore(used).select("id", F.col(prob)), "id", "left")

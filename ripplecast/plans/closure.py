@@ -59,13 +59,18 @@ def double(rows: DataFrame, carry: dict[str, Merge]) -> tuple[DataFrame, DataFra
 
 
 def mark_closure(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``id`` of the seeds, all their ancestors and all their descendants."""
+    """``id`` of the seeds, all their ancestors and all their descendants; on a cycle these are all its rows."""
     state = cut_lineage(rows.select("id", "up").join(
         seeds.select("id").distinct().withColumn("_seed", F.lit(True)), "id", "left"
     ).select("id", "up", F.coalesce("_seed", F.lit(False)).alias("below"), F.coalesce("_seed", F.lit(False)).alias("above")))
     # below: a seed among the row and its ancestors seen so far; above: a seed among its descendants seen so far
-    left = state.where("up is not null").count()
-    while left:
+    marks = None
+    while True:
+        # the marked part of a chain doubles in every round, cycles included; a round that marks nothing is the last
+        open_rows, now = state.agg(F.count("up"), F.sum(F.col("below").cast("bigint") + F.col("above").cast("bigint"))).first()
+        if not open_rows or now == marks:
+            break
+        marks = now
         anc = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("below").alias("_below"))
         reached = state.where("above and up is not null").select(F.col("up").alias("id")).distinct().withColumn("_hit", F.lit(True))
         step = state.join(anc, "up", "left").select(
@@ -73,8 +78,4 @@ def mark_closure(rows: DataFrame, seeds: DataFrame) -> DataFrame:
         step = step.join(reached, "id", "left").select(
             "id", "up", "below", (F.col("above") | F.coalesce("_hit", F.lit(False))).alias("above"))
         state = cut_lineage(step)
-        now = state.where("up is not null").count()
-        if now == left:
-            break
-        left = now
     return state.where("below or above").select("id")

@@ -140,3 +140,41 @@ def test_capped_candidates_are_repeatable(spark):
     assert a == b and len(a) == 10
     assert N.khop_candidates(e, src, 1, min_candidates=51).count() == 0
     assert N.khop_candidates(e, src, 1).count() == 50
+
+
+def test_closure_covers_a_cycle(spark):
+    ring = [(f"c{i}", f"t1_c{(i + 1) % 10}") for i in range(10)]
+    df = comments(spark, [*ring, ("leaf", "t1_c3"), ("other", "t3_L"), *[(f"d{i}", f"t1_d{i - 1}" if i else "t1_c0") for i in range(20)]])
+    got = {r.id for r in H.thread_closure(spark.createDataFrame([("c4",)], "id string"), df).collect()}
+    assert got == {f"c{i}" for i in range(10)} | {"leaf"} | {f"d{i}" for i in range(20)}
+
+
+def test_paths_report_cycles(spark):
+    df = comments(spark, [("a", "t1_b"), ("b", "t1_a"), ("c", "t1_a", None, None, None, 5, 1), ("d", "t3_L", None, None, None, 6, 1)])
+    got = {r.id: (r.path, r.hops) for r in H.thread_path(df).collect()}
+    assert got == {"a": (None, None), "b": (None, None), "c": (None, None), "d": (["d"], 0)}
+    assert {r.id: r.path for r in H.hate_paths(df).collect()} == {"c": None, "d": ["d"]}
+
+
+def test_duplicates_of_one_time_go_by_their_text(spark):
+    rows = [("r", "t3_L", "t3_L", "a", "s", 1, 1.0, 0, "x"), ("m", "t1_r", "t3_L", "a", "s", 2, 1.0, 0, "x"),
+            ("k", "t1_r", "t3_L", "b", "s", 9, 1.0, 1, "one text"), ("k", "t1_m", "t3_L", "c", "s", 9, 1.0, 0, "another")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, COMMENT).repartition(3)
+        depth = {r.id: r.thread_depth for r in H.reply_depth(df).collect()}
+        stats = H.thread_stats(df).first()
+        assert (stats.comments, stats.roots) == (3, 1)
+        path = {r.id: tuple(r.path) for r in H.thread_path(df).collect()}["k"]
+        assert depth["k"] == len(path)
+        seen.add((depth["k"], path, stats.hate, stats.authors))
+    assert len(seen) == 1
+
+
+def test_proximity_goes_as_far_as_needed(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(15)] + [("x", "y")]
+    edges = spark.createDataFrame(chain + [(b, a) for a, b in chain], "src string, dst string")
+    pairs = spark.createDataFrame([("n0", "n15"), ("n0", "n2"), ("n0", "x"), ("n3", "n3"), ("gone", "n0")], "source string, node string")
+    got = {(r.source, r.node): r.proximity for r in N.proximity(edges, pairs).collect()}
+    assert got == {("n0", "n15"): 1 / 16, ("n0", "n2"): 1 / 3, ("n0", "x"): 0.1, ("n3", "n3"): 1.0, ("gone", "n0"): 0.1}
+    assert {r.proximity for r in N.proximity(edges, pairs.where("node = 'n15'"), 6).collect()} == {0.1}
