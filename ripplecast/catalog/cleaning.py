@@ -19,12 +19,13 @@ def _(q):
 
 
 @query("p2_clean_comments", """
-select id, coalesce(body,'') body, case when is_hate = 1 then author else '[deleted]' end author,
-  coalesce(is_hate, 0) hate_label, created_utc from d_comments
-where trim(coalesce(body,'')) not in ('','[removed]','[deleted]') and created_utc % 10 <> 0""")
+select id, coalesce(body,'') body, author, coalesce(is_hate, 0) hate_label, created_utc from d_comments
+where trim(coalesce(body,'')) not in ('','[removed]','[deleted]') and created_utc % 10 <> 0 and length(body) % 3 <> 0 and length(body) % 5 <> 0""")
 def _(q):
+    n = F.length("body")
+    author = F.when(n % 3 == 0, F.lit(None)).when(n % 5 == 0, F.lit("[deleted]")).otherwise(F.col("author"))
     dirty = q.d.select(
-        "id", "body", F.when(F.col("is_hate") == 1, F.col("author")).alias("author"),
+        "id", "body", author.alias("author"),
         F.when(F.col("is_hate").isNull(), "n/a").otherwise(F.col("is_hate").cast("string")).alias("is_hate"),
         F.when(F.col("created_utc") % 10 == 0, "soon").otherwise(F.col("created_utc").cast("string")).alias("created_utc"))
     return clean.clean_comments(dirty).select("id", "body", "author", "hate_label", "created_utc")
@@ -55,11 +56,9 @@ def _(q):
 
 @query("p6_text_length", r"""
 select id, coalesce(length(body),0) text_length,
-  len(list_filter(regexp_split_to_array(body, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) token_count from d_comments
-where len(list_filter(regexp_split_to_array(body, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) < 512""")
+  len(list_filter(regexp_split_to_array(body, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) token_count from d_comments""")
 def _(q):
-    out = q.d.select("id", C.text_length(F.col("body")).alias("text_length"), C.token_count(F.col("body")).alias("token_count"))
-    return out.where("token_count < 512")
+    return q.d.select("id", C.text_length(F.col("body")).alias("text_length"), C.token_count(F.col("body")).alias("token_count"))
 
 
 @query("p7_encode_keys", """

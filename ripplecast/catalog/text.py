@@ -27,7 +27,7 @@ def _(q):
 select d.id, count(l.term) > 0 is_hit, coalesce(string_agg(l.term, ',' order by l.term), '') terms
 from c_comments d left join lexicon l on contains(lower(d.body), l.term) group by 1""")
 def _(q):
-    out = X.lexicon_match(q.c, q.lexicon, limit=2)  # the join way for lexicons over the limit
+    out = X.lexicon_match(q.c, q.lexicon, block=2)  # a lexicon of several blocks
     return out.select("id", "is_hit", F.concat_ws(",", "matched_terms").alias("terms"))
 
 
@@ -83,12 +83,13 @@ def _(q):
 
 
 @query("t7_toxicity", """
-select id, round(least(1.0, greatest(0.0, (length(body) % 7)/10.0 + (length(body) % 13)/10.0)), 6) toxicity,
+select id, round(least(1.0, greatest(0.0, (length(body) % 7)/10.0 + (length(body) % 13)/10.0)), 6) toxicity,  -- the compound names count as harmless
   case when least(1.0, (length(body) % 7)/10.0 + (length(body) % 13)/10.0) >= 0.5 then 'toxic' else 'non_toxic' end class_self from d_comments""")
 def _(q):
     n = F.length("body")
     part = lambda name, x: F.struct(F.lit(name).alias("label"), x.cast("double").alias("score"))
-    labels = F.array(part("Hate", (n % 7) / 10), part("normal", n % 3), part("Offensive", (n % 13) / 10), part("NEUTRAL", n % 2))
+    labels = F.array(part("Hate", (n % 7) / 10), part("normal", n % 3), part("Offensive", (n % 13) / 10), part("NEUTRAL", n % 2),
+                     part("Non-Toxic text", n % 5), part("clean_speech", n % 11))
     p = C.toxicity(labels)
     return q.d.select("id", F.round(p, 6).alias("toxicity"), C.threshold_class(F.round(p, 9), 0.5).alias("class_self"))
 
@@ -143,28 +144,45 @@ def _(q):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("t12_reduce_dim_svd")
-def _(q):
-    return X.reduce_dim(X.hashed_tfidf(q.d, dim=512), "tfidf", 16).select("id", "reduced")
+TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(body, '')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
 
 
-@query("t12_reduce_dim_pca")
+# a projection on all directions keeps the length of a row
+@query("t12_reduce_dim_svd", f"""
+select id, case when len({TOKENS}) > 0 then 1.0::double else 0.0::double end squares from d_comments""")
 def _(q):
-    from pyspark.ml.functions import array_to_vector
+    out = X.reduce_dim(X.hashed_tfidf(q.d.select("id", "body"), dim=256), "tfidf", 256)
+    return out.select("id", F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"))
+
 
-    v = q.table("embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    return X.reduce_dim(v, "v", 8, "pca").select("vec_id", "reduced")
+# ... and all principal components keep the total variance
+@query("t12_reduce_dim_pca", """
+select round(sum(v), 3) variance, count(*) directions from (select i, var_samp(cast(embedding[i] as double)) v from embeddings, range(1, 65) r(i) group by 1) z""")
+def _(q):
+    out = X.reduce_dim(q.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 128, "pca")
+    per = out.select(F.posexplode("reduced").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v"))
+    return per.agg(F.round(F.sum("v"), 3).alias("variance"), F.count("*").alias("directions"))
 
 
-@query("t13_embed_texts")
+@query("t13_embed_texts", f"""
+with t as (select id, unnest({TOKENS}) term from d_comments),
+tf as (select id, cast(cast('0x' || substr(md5(term),1,8) as bigint) % 256 as int) slot, count(*) tf from t group by 1, 2),
+n as (select count(distinct coalesce(body, '')) n from d_comments),
+one as (select min(id) id from d_comments group by coalesce(body, '')),
+idf as (select slot, ln((1.0+max(n))/(1.0+count(*)))+1.0 idf from tf join one using (id), n group by 1),
+w as (select id, slot, tf*idf w from tf join idf using (slot)),
+l as (select id, sqrt(sum(w*w)) l from w group by 1)
+select id, slot, round(cast(cast(w/l as real) as double), 7) weight from w join l using (id)""")
 def _(q):
-    return X.embed_texts(q.d, dim=64)
+    out = X.embed_texts(q.d).select("id", F.posexplode("embedding").alias("slot", "weight")).where("weight <> 0")
+    return out.select("id", "slot", F.round(F.col("weight").cast("double"), 7).alias("weight"))
 
 
-@query("t14_node_text_features")
+@query("t14_node_text_features", "select id, 128 width, true finite from c_comments")
 def _(q):
     per_author = q.c.groupBy("author").agg(F.count("*").cast("double").alias("n"), F.avg("is_hate").alias("ratio"))
-    return X.node_text_features(q.c.join(per_author, "author"), ["n", "ratio"], dim=128, k=16).select("id", "features")
+    out = X.node_text_features(q.c.join(per_author, "author"), ["n", "ratio"])
+    return out.select("id", F.size("features").alias("width"), F.forall("features", lambda x: ~F.isnan(x)).alias("finite"))
 
 
 @query("t15_vector_or_fallback", """

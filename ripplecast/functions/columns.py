@@ -57,7 +57,7 @@ def preview(c: Column, length: int = 100) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit("..."))).otherwise(c)
 
 
-def hash_bucket(c: Column, buckets: int = 1000) -> Column:
+def hash_bucket(c: Column, buckets: int | Column = 1000) -> Column:
     """The same number in every process: first 32 bits of md5."""
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint") % buckets
 
@@ -71,8 +71,14 @@ HARMLESS_CLASSES = ["normal", "neutral", "non-toxic", "non_hate", "clean"]
 
 
 def toxicity(labels: Column) -> Column:
-    """Share of harmful classes in ``array<struct<label,score>>``, clamped to [0, 1]."""
-    harmful = F.filter(labels, lambda l: ~F.lower(l["label"]).isin(HARMLESS_CLASSES))
+    """Share of harmful classes in ``array<struct<label,score>>``, clamped to [0, 1].
+
+    A class whose name contains a harmless word is harmless; a class without a name is harmful.
+    """
+    def harmless(name: Column) -> Column:
+        return F.coalesce(any_of([F.contains(F.lower(name), F.lit(h)) for h in HARMLESS_CLASSES]), F.lit(False))
+
+    harmful = F.filter(labels, lambda l: ~harmless(l["label"]))
     total = F.aggregate(harmful, F.lit(0.0), lambda acc, l: acc + l["score"])
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..plans.prefix import global_position, quantiles
 
+# The input columns of the supervision files.
 CONTRACT = [
     "id", "parent_id", "link_id", "author", "body",
     "score", "subreddit", "created_utc", "is_hate", "hate_label",
@@ -55,7 +56,7 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 
 def clean_comments(df: DataFrame, label: str = "is_hate") -> DataFrame:
-    """Usable comments: text, author, label and time in one shape, removed texts left out."""
+    """Usable comments: text, author, label and time in one shape; removed texts and deleted or unknown authors are left out."""
     number = F.col(label).cast("string").try_cast("double")
     out = df.select(
         *[c for c in df.columns if c not in ("body", "author", "created_utc", "hate_label")],
@@ -65,7 +66,7 @@ def clean_comments(df: DataFrame, label: str = "is_hate") -> DataFrame:
         F.col("created_utc").cast("string").try_cast("double").try_cast("bigint").alias("created_utc"),
     )
     return out.where(
-        (F.col("created_utc") >= EARLIEST) & ~F.trim("body").isin("", "[removed]", C.DELETED)
+        (F.col("created_utc") >= EARLIEST) & ~F.trim("body").isin("", "[removed]", C.DELETED) & (F.col("author") != C.DELETED)
     )
 
 

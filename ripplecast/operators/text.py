@@ -2,74 +2,78 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml import feature as MF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.spread import spread
 
-LEXICON_LIMIT = 5_000  # terms up to which a lexicon travels inside the plan
+BLOCK_OF_TERMS = 100_000  # terms in one automaton; a larger lexicon is applied block by block
 WORD = r"[^\p{L}\p{N}_\s]"
 
 
-def small_terms(lexicon: DataFrame, limit: int = LEXICON_LIMIT) -> list[str] | None:
-    """Distinct lower-case terms, or None when there are more than ``limit``."""
-    rows = lexicon.select(F.lower("term").alias("t")).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r["t"] for r in rows)
+def terms_in(text: Column, terms: Broadcast) -> Column:
+    """Terms contained in the lower-cased text, sorted: one Aho-Corasick automaton per task, built when first used."""
 
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
 
-def terms_in(text: Column, terms: Sequence[str]) -> Column:
-    """Terms contained in the text (substring, lower case), in term order; null text gives []."""
-    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.expr("cast(array() as array<string>)")
-    found = F.filter(listed, lambda t: F.contains(text, t))
-    return F.coalesce(found, F.expr("cast(array() as array<string>)"))
+        words = [t for t in terms.value if t]
+        always = [""] if "" in terms.value else []
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([None if t is None else always + sorted({w for _, w in automaton.iter(t)}) if words else always for t in batch], dtype=object)
 
+    return F.coalesce(found(text), F.expr("cast(array() as array<string>)"))
 
-def lexicon_match(
-    df: DataFrame, lexicon: DataFrame, text: str = "body", key: str = "id", limit: int = LEXICON_LIMIT
-) -> DataFrame:
-    """Add ``is_hit`` and ``matched_terms``: which lexicon terms the lower-cased text contains.
 
-    A lexicon of checked size is tested inside the scan.  A larger one is joined:
-    every substring with the length of some term meets the lexicon by equality.
-    """
-    return _match(spread(df), lexicon, text, key, limit)
+def _blocks(lexicon: DataFrame, size: int) -> Iterator[list[str]]:
+    """The different lower-case terms, ``size`` at a time; the driver holds one block."""
+    block: list[str] = []
+    for row in lexicon.select(F.lower("term").alias("t")).where("t is not null").distinct().toLocalIterator():
+        block.append(row["t"])
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
-def _match(df: DataFrame, lexicon: DataFrame, text: str, key: str, limit: int) -> DataFrame:
-    terms = small_terms(lexicon, limit)
-    if terms is not None:
-        out = df.withColumn("_low", F.lower(text)).withColumn("matched_terms", terms_in(F.col("_low"), terms))
-        return out.drop("_low").withColumn("is_hit", F.size("matched_terms") > 0)
-    words = lexicon.select(F.lower("term").alias("_term")).distinct()
-    lengths = sorted(r[0] for r in words.select(F.length("_term")).distinct().collect() if r[0])
-    low = F.col("_low")
+def lexicon_match(df: DataFrame, lexicon: DataFrame, text: str = "body", block: int = BLOCK_OF_TERMS) -> DataFrame:
+    """Add ``is_hit`` and ``matched_terms``: which lexicon terms the lower-cased text contains, sorted.
 
-    def pieces(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n)))
-        return F.when(F.length(low) >= n, every).otherwise(F.expr("cast(array() as array<string>)"))
+    Every row is judged by its own text, so repeated and null ids make no difference.  Null texts match nothing; an
+    empty term is contained in every other text.  A lexicon of any size takes the same way, in blocks of terms.
+    """
+    return _match(spread(df), lexicon, text, block)
 
-    substrings = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in lengths])))
-    hits = (
-        df.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
-        .select(key, F.explode(substrings).alias("_term")).join(words, "_term").groupBy(key).agg(F.sort_array(F.collect_set("_term")).alias("matched_terms"))
-    )
-    out = df.join(hits, key, "left")
-    none = F.expr("cast(array() as array<string>)")
-    return out.withColumn("matched_terms", F.coalesce("matched_terms", none)).withColumn(
-        "is_hit", F.size("matched_terms") > 0)
 
+def _match(df: DataFrame, lexicon: DataFrame, text: str, block: int = BLOCK_OF_TERMS) -> DataFrame:
+    out, parts = df.withColumn("_low", F.lower(text)), []
+    for terms in _blocks(lexicon, block):
+        parts.append(f"_terms{len(parts)}")
+        out = out.withColumn(parts[-1], terms_in(F.col("_low"), df.sparkSession.sparkContext.broadcast(terms)))
+    matched = F.array_sort(F.concat(*parts)) if parts else F.expr("cast(array() as array<string>)")
+    out = out.withColumn("matched_terms", matched).drop("_low", *parts)
+    return out.withColumn("is_hit", F.size("matched_terms") > 0)
 
-def lexicon_prefilter(df: DataFrame, lexicon: DataFrame, text: str = "body", key: str = "id") -> DataFrame:
-    return lexicon_match(df, lexicon, text, key).where("is_hit")
+
+def lexicon_prefilter(df: DataFrame, lexicon: DataFrame, text: str = "body") -> DataFrame:
+    return lexicon_match(df, lexicon, text).where("is_hit")
 
 
 def flagged_rows(df: DataFrame, label: str = "is_hate") -> DataFrame:
@@ -87,12 +91,12 @@ def regex_flags(df: DataFrame, patterns: dict[str, str], text: str = "body") ->
 
 
 def ordinal_label(
-    df: DataFrame, lexicon: DataFrame, patterns: Sequence[str] = (), text: str = "body", key: str = "id", limit: int = LEXICON_LIMIT
+    df: DataFrame, lexicon: DataFrame, patterns: Sequence[str] = (), text: str = "body"
 ) -> DataFrame:
     """2 = hate term or pattern, 1 = offensive term, 0 = neither; context terms only add evidence."""
     out = spread(df)
     for tier in ("hate", "offensive", "context"):
-        found = _match(out, lexicon.where(F.col("tier") == tier), text, key, limit)
+        found = _match(out, lexicon.where(F.col("tier") == tier), text)
         out = found.withColumn(f"_{tier}", F.size("matched_terms")).drop("is_hit", "matched_terms")
     low = F.coalesce(F.lower(text), F.lit(""))
     pattern_hit = C.any_of([low.rlike(p) for p in patterns])
@@ -108,53 +112,74 @@ def keyword_label(df: DataFrame, keywords: Sequence[str], text: str = "body") ->
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def lexicon_scorer(terms: Sequence[str]) -> Scorer:
-    """Built-in scorer: share of the terms a text contains."""
-    words = sorted({t.lower() for t in terms})
+class lexicon_scorer:
+    """Built-in scorer: share of the terms a text contains; a column expression, no Python process."""
 
-    def score(batches):
-        for b in batches:
-            low = b["text"].str.lower()
-            hits = sum((low.str.contains(w, regex=False).astype("int64") for w in words), low.str.len() * 0)
-            yield b[["key"]].assign(score=hits.astype("float64") / max(len(words), 1))
+    def __init__(self, terms: Sequence[str]):
+        self.words = sorted({t.lower() for t in terms})
 
-    return score
+    def column(self, text: Column) -> Column:
+        low = F.lower(text)
+        hits = [F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in self.words]
+        return sum(hits, F.lit(0)).cast("double") / max(len(hits), 1)
 
 
 def guarded(scorer: Scorer) -> Scorer:
-    """A batch whose scorer fails scores 0."""
+    """Start the scorer once for all batches of a task; a batch it fails on gets null scores and it starts anew behind it."""
 
     def score(batches):
-        for b in batches:
+        source, waiting = iter(batches), []
+
+        def hand_out(first):
+            waiting.append(first)
+            yield first
+            for b in source:
+                waiting.append(b)
+                yield b
+
+        for first in source:
             try:
-                yield from list(scorer(iter([b])))
+                for out in scorer(hand_out(first)):
+                    waiting.pop(0)
+                    yield out[["key", "score"]]
             except Exception:
-                yield b[["key"]].assign(score=0.0)
+                pass
+            while waiting:  # handed out, but never answered
+                yield waiting.pop(0)[["key"]].assign(score=float("nan"))
 
     return score
 
 
 def score_texts(
-    df: DataFrame, scorer: Scorer, text: str = "body", cache=None, max_chars: int | None = None
+    df: DataFrame, scorer, text: str = "body", cache=None, max_chars: int | None = None
 ) -> DataFrame:
-    """Add ``score`` in [0, 1] per text; each distinct text is scored once, blank text is 0.
+    """Add ``text_score`` in [0, 1] and ``score_failed``; each distinct text is scored once, blank text is 0.
 
-    ``cache`` is a :class:`~ripplecast.sources.tables.ScoreCache`; ``max_chars``
-    cuts texts for models with a limit (off by default).
+    ``scorer`` works on batches ``(key, text)`` and yields ``(key, score)`` for each, or has a method ``column``.  A text
+    whose batch failed has a null score, is flagged and never cached, so that a later run tries it again.  ``cache`` is a
+    :class:`~ripplecast.sources.tables.ScoreCache`; ``max_chars`` cuts texts for models with a limit (off by default).
     """
     clean = F.trim(F.coalesce(F.col(text), F.lit("")))
     if max_chars is not None:
         clean = F.substring(clean, 1, max_chars)
     rows = df.withColumn("_text", clean).withColumn("_key", F.when(F.col("_text") != "", F.md5("_text")))
-    run = lambda t: t.select("key", "text").mapInPandas(guarded(scorer), "key string, score double")
+
+    def run(t: DataFrame) -> DataFrame:
+        if hasattr(scorer, "column"):
+            return t.select("key", scorer.column(F.col("text")).alias("score"))
+        return t.select("key", "text").mapInPandas(guarded(scorer), "key string, score double")
+
     if cache is not None:
         scores = cache.fill(rows.where(F.col("_text") != ""), run, "_text")
     else:
         distinct = rows.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key")).agg(F.min("_text").alias("text"))
         # the executors score a text once even if one copy fills a third of the table
         scores = run(distinct)
-    scores = scores.withColumnRenamed("key", "_key").withColumnRenamed("score", "_score")
-    return rows.join(scores, "_key", "left").select(*df.columns, F.coalesce("_score", F.lit(0.0)).alias("text_score"))
+    scores = scores.select(F.col("key").alias("_key"), F.nanvl("score", F.lit(None).cast("double")).alias("_score"))
+    out = rows.join(scores, "_key", "left")
+    return out.select(
+        *df.columns, F.when(F.col("_key").isNull(), 0.0).otherwise(F.col("_score")).alias("text_score"),
+        (F.col("_key").isNotNull() & F.col("_score").isNull()).alias("score_failed"))
 
 
 def tokens(text: Column) -> Column:
@@ -207,37 +232,108 @@ def tfidf(
     The vocabulary holds the ``max_features`` most frequent terms that pass the
     document-frequency cuts (whole numbers are counts, fractions are shares).
     """
+    terms = vocabulary(df, text, max_features, ngram_range, min_df, max_df, stop_words)
+    weighed = weigh_terms(df.select(key, text), terms, text, ngram_range, sublinear, stop_words)
+    return weighed.select(key, F.explode("weights").alias("e")).select(key, "e.term", "e.weight")
+
+
+def _words(text: str, stop_words: Sequence[str]) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
-    docs = spread(df.select(key, text)).select(F.col(key), F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("w"))
-    grams = F.concat(*[ngrams(F.col("w"), n) for n in range(ngram_range[0], ngram_range[1] + 1)])
-    tf = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return F.coalesce(words, F.expr("cast(array() as array<string>)"))
+
+
+def _grams(words: Sequence[str], ngram_range: tuple[int, int]) -> list[str]:
+    return [" ".join(words[i : i + n]) for n in range(ngram_range[0], ngram_range[1] + 1) for i in range(len(words) - n + 1)]
+
+
+def vocabulary(
+    df: DataFrame, text: str = "body", max_features: int = 5000, ngram_range: tuple[int, int] = (1, 1), min_df: float = 1, max_df: float = 1.0,
+    stop_words: Sequence[str] = (),
+) -> DataFrame:
+    """``(term, slot, idf)`` of at most ``max_features`` terms, the most frequent first.
+
+    Every batch of texts adds up its own counts, so (document, term) pairs are never shuffled.
+    """
     n_docs = df.agg(F.count("*")).scalar()
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from collections import Counter
+
+        for batch in batches:
+            docs, total = Counter(), Counter()
+            for words in batch["w"]:
+                own = _grams(words, ngram_range)
+                total.update(own)
+                docs.update(set(own))
+            yield pd.DataFrame({"term": list(total), "df": [docs[t] for t in total], "cf": list(total.values())}).astype({"term": object, "df": "int64", "cf": "int64"})
+
+    each = spread(df.select(text)).select(_words(text, stop_words).alias("w")).mapInPandas(count, "term string, df long, cf long")
+    stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     low = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * n_docs
     high = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * n_docs
-    vocabulary = (
-        stats.where((F.col("df") >= low) & (F.col("df") <= high))
-        .orderBy(F.desc("cf"), "term").limit(max_features)
-        .select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    )
-    part = (1.0 + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
-    # at most max_features rows are broadcast
-    raw = tf.join(F.broadcast(vocabulary), "term").select(key, "term", (part * F.col("idf")).alias("w"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
+    kept = stats.where((F.col("df") >= low) & (F.col("df") <= high)).orderBy(F.desc("cf"), "term").limit(max_features)
+    listed = kept.select(F.struct((-F.col("cf")).alias("c"), "term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).alias("e"))
+    return listed.agg(F.sort_array(F.collect_list("e")).alias("l")).select(F.posexplode("l").alias("slot", "e")).select("e.term", "slot", "e.idf")
+
+
+def weigh_terms(
+    df: DataFrame, terms: DataFrame, text: str = "body", ngram_range: tuple[int, int] = (1, 1), sublinear: bool = False, stop_words: Sequence[str] = (),
+    out: str = "weights",
+) -> DataFrame:
+    """Add ``out``, an array of ``(slot, term, weight)`` by slot, for a vocabulary: row by row, nothing is shuffled.
+
+    The vocabulary, which has as many terms as were asked for, is sent to every executor.
+    """
+    sent = df.sparkSession.sparkContext.broadcast({r["term"]: (r["slot"], r["idf"]) for r in terms.select("term", "slot", "idf").toLocalIterator()})
+
+    @F.pandas_udf("array<struct<slot:int,term:string,weight:double>>")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import math
+        from collections import Counter
+
+        known = sent.value
+        for batch in batches:
+            rows = []
+            for words in batch:
+                tf = Counter(g for g in _grams(words, ngram_range) if g in known)
+                w = sorted((known[t][0], t, ((1.0 + math.log(n)) if sublinear else float(n)) * known[t][1]) for t, n in tf.items())
+                length = math.sqrt(sum(x * x for _, _, x in w))
+                rows.append([{"slot": s, "term": t, "weight": x / length} for s, t, x in w])
+            yield pd.Series(rows, dtype=object)
+
+    return spread(df).withColumn(out, weigh(_words(text, stop_words)))
 
 
 def hashed_tfidf(df: DataFrame, text: str = "body", dim: int = 1024, out: str = "tfidf") -> DataFrame:
-    """Sparse TF-IDF vector column of fixed width."""
-    stages = [
-        MF.HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-        MF.IDF(inputCol="_tf", outputCol="_idf"),
-        MF.Normalizer(inputCol="_idf", outputCol=out),
-    ]
-    words = spread(df).withColumn("_words", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
-    return Pipeline(stages=stages).fit(words).transform(words).drop("_words", "_tf", "_idf")
+    """TF-IDF of fixed width as an array: a word's place is the head of its md5, modulo ``dim``; rows of length one.
+
+    Weights are smooth, ``ln((1 + n) / (1 + df)) + 1``; what reaches the driver is ``dim`` numbers.
+    """
+    places = F.transform("_words", lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+    rows = spread(df).withColumn("_words", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)")))
+    rows = rows.withColumn("_places", places).drop("_words")
+    held = rows.select(F.explode(F.array_distinct("_places")).alias("p")).groupBy("p").agg(F.count("*").alias("df")).collect()
+    n = df.count()
+    idf = [math.log(1.0 + n) + 1.0] * dim
+    for r in held:
+        idf[r["p"]] = math.log((1.0 + n) / (1.0 + r["df"])) + 1.0
+
+    @F.pandas_udf("array<double>")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        scale = np.array(idf)
+        for batch in batches:
+            vectors = []
+            for slots in batch:
+                v = np.bincount(np.asarray(slots, dtype=np.int64), minlength=dim) * scale
+                length = math.sqrt((v * v).sum())
+                vectors.append(v / length if length > 0 else v)
+            yield pd.Series(vectors, dtype=object)
+
+    return rows.withColumn(out, weigh("_places")).drop("_places")
 
 
 def embed_texts(
@@ -247,8 +343,7 @@ def embed_texts(
     rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_h", F.md5("text"))
     distinct = rows.groupBy("_h").agg(F.min("text").alias("text"))
     if model is None:
-        vectors = hashed_tfidf(distinct, "text", dim, "_v").select(
-            "_h", vector_to_array("_v", "float32").alias("embedding"))
+        vectors = hashed_tfidf(distinct, "text", dim, "_v").select("_h", F.col("_v").cast("array<float>").alias("embedding"))
     else:
         vectors = distinct.withColumnRenamed("_h", "key").mapInPandas(model, "key string, embedding array<float>")
         vectors = vectors.withColumnRenamed("key", "_h")
@@ -258,12 +353,14 @@ def embed_texts(
 def reduce_dim(df: DataFrame, vector: str, k: int, method: str = "svd", out: str = "reduced") -> DataFrame:
     """Project a vector column on its first ``k`` directions.
 
-    ``svd`` is uncentred and takes wide sparse rows; ``pca`` centres and needs a
-    width whose square fits the driver.  What is shipped back is width * k numbers.
+    ``svd`` is uncentred, ``pca`` centres; both need a width whose square fits the driver.  ``k`` above the width is the
+    width.  The column may be an array or a vector; what is shipped back is width * k numbers.
     """
+    if not isinstance(df.schema[vector].dataType, VectorUDT):
+        df = df.withColumn(vector, array_to_vector(vector))
+    first = df.select(F.size(vector_to_array(vector))).first()
+    k = min(k, first[0]) if first else k
     if method == "pca":
-        width = df.select(F.size(vector_to_array(vector))).first()
-        k = min(k, width[0]) if width else k
         return MF.PCA(k=k, inputCol=vector, outputCol="_p").fit(df).transform(df).withColumn(
             out, vector_to_array("_p")).drop("_p")
     rows = MLUtils.convertVectorColumnsFromML(df.select(vector), vector).persist()
@@ -286,8 +383,8 @@ def node_text_features(
     filled = nodes.withColumn(
         "_text", F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "empty").otherwise(F.col(text)))
     wide = hashed_tfidf(filled, "_text", dim, "_t")
-    both = MF.VectorAssembler(inputCols=["_t", *numbers], outputCol="_all", handleInvalid="keep").transform(
-        wide.fillna(0, list(numbers)))
+    own = F.array(*[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)) for n in numbers])
+    both = wide.withColumn("_all", F.concat("_t", own) if numbers else F.col("_t"))
     return reduce_dim(both, "_all", k, "pca", "features").drop("_t", "_all", "_text")
 
 

@@ -29,15 +29,31 @@ def docs(spark):
     return spark.createDataFrame(rows, "id string, body string")
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
-def test_lexicon_match_is_containment(docs, lexicon, limit):
-    got = {r.id: (r.is_hit, r.matched_terms) for r in X.lexicon_match(docs, lexicon, limit=limit).collect()}
+@pytest.mark.parametrize("block", [X.BLOCK_OF_TERMS, 1])
+def test_lexicon_match_is_containment(docs, lexicon, block):
+    got = {r.id: (r.is_hit, r.matched_terms) for r in X.lexicon_match(docs, lexicon, block=block).collect()}
     assert got == {"1": (True, ["bad"]), "2": (True, ["bad", "ugh"]), "3": (False, []), "4": (False, []), "5": (True, ["über"]), "6": (False, [])}
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_ordinal_label(docs, lexicon, limit):
-    got = {r.id: r.ordinal_label for r in X.ordinal_label(docs, lexicon, [r"\bfine\b"], limit=limit).collect()}
+@pytest.mark.parametrize("block", [X.BLOCK_OF_TERMS, 2])
+def test_lexicon_match_goes_by_rows(spark, block):
+    rows = [("1", "abc"), ("1", "xyz"), (None, "abc"), (None, None), ("2", "")]
+    df = spark.createDataFrame(rows, "id string, body string")
+    terms = spark.createDataFrame([("bc",), ("BC",), ("abcd",), ("",), (None,), ("x",), ("c",)], "term string")
+    got = sorted(((r.id, r.body, r.is_hit, tuple(r.matched_terms)) for r in X.lexicon_match(df, terms, block=block).collect()), key=repr)
+    want = [("1", "abc", True, ("", "bc", "c")), ("1", "xyz", True, ("", "x")), (None, "abc", True, ("", "bc", "c")), (None, None, False, ()), ("2", "", True, ("",))]
+    assert got == sorted(want, key=repr)
+    assert not any(r.is_hit for r in X.lexicon_match(df, terms.limit(0)).collect())
+
+
+def test_large_lexicon(spark):
+    terms = spark.createDataFrame([(f"t{i}z",) for i in range(6000)], "term string")
+    df = spark.createDataFrame([("a", "t17z T5999Z t6000z")], "id string, body string")
+    assert X.lexicon_match(df, terms).first().matched_terms == ["t17z", "t5999z"]
+
+
+def test_ordinal_label(docs, lexicon):
+    got = {r.id: r.ordinal_label for r in X.ordinal_label(docs, lexicon, [r"\bfine\b"]).collect()}
     assert got == {"1": 2, "2": 2, "3": 0, "4": 0, "5": 2, "6": 2}
 
 
@@ -61,12 +77,44 @@ def test_each_distinct_text_is_scored_once(spark, docs, tmp_path):
     assert sorted(seen) == sorted(["This is BAD, very bad", "badly ugh", "ÜBER alles", "fine"])
 
 
-def test_failing_scorer_scores_zero(docs):
+def test_failing_scorer_is_flagged_and_not_cached(spark, docs, tmp_path):
     def broken(batches):
         raise RuntimeError("no model")
         yield
 
-    assert {r.text_score for r in X.score_texts(docs, broken).collect()} == {0.0}
+    cache = tables.ScoreCache(spark, str(tmp_path / "cache"))
+    got = {r.id: (r.text_score, r.score_failed) for r in X.score_texts(docs, broken, cache=cache).collect()}
+    assert got == {i: (None, True) for i in "1256"} | {i: (0.0, False) for i in "34"}
+    again = X.score_texts(docs, X.lexicon_scorer(["bad"]), cache=cache).where("id = '1'").first()
+    assert (again.text_score, again.score_failed) == (1.0, False)
+
+
+def test_scorer_starts_once_per_task(spark, tmp_path):
+    out = str(tmp_path / "starts")
+
+    def scorer(batches):
+        import os
+        import uuid
+
+        os.makedirs(out, exist_ok=True)
+        open(f"{out}/{uuid.uuid4().hex}", "w").close()
+        for b in batches:
+            if b["text"].str.contains("poison").any():
+                raise ValueError("bad batch")
+            yield b[["key"]].assign(score=1.0)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        many = spark.range(2000).selectExpr("cast(id as string) id", "concat('text ', id) body").repartition(2)
+        assert X.score_texts(many, scorer).agg(F.sum("text_score")).first()[0] == 2000.0
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert len(list((tmp_path / "starts").iterdir())) <= tasks
+        mixed = many.unionAll(spark.createDataFrame([("p", "poison")], "id string, body string"))
+        got = X.score_texts(mixed, scorer).groupBy("score_failed").count().collect()
+        failed = {r.score_failed: r["count"] for r in got}
+        assert 1 <= failed[True] <= 50 and sum(failed.values()) == 2001
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_cache_keeps_scores(spark, docs, tmp_path):
@@ -134,17 +182,75 @@ def test_ndjson_skips_broken_lines(spark, tmp_path):
     assert tables.read_ndjson(spark, str(tmp_path), SCHEMA, max_rows=1).count() == 1
 
 
+def test_ndjson_reads_numbers_in_any_dress(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType()),
+                           T.StructField("s", T.StructType([T.StructField("k", T.ArrayType(T.IntegerType()))]))])
+    lines = ['{"id": 1, "n": "1700000001", "x": "2.5"}', '{"id": "2", "n": 1700000002.0, "x": 3}', '{"id": "3", "n": "n/a", "s": {"k": ["1", 2.0, "z"]}}', '[1]', '"x"', "{broken"]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    got = {r.id: (r.n, r.x, r.s.k if r.s else None) for r in tables.read_ndjson(spark, str(tmp_path), schema).collect()}
+    assert got == {"1": (1700000001, 2.5, None), "2": (1700000002, 3.0, None), "3": (None, None, [1, 2, None])}
+
+
+def test_csv_headers_in_any_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,author\n1,ann\n")
+    (tmp_path / "b.csv").write_text("Author, id ,more\nbob,2,x\n")
+    (tmp_path / "c.csv").write_text("more\ny\n")
+    got = {(r.id, r.author) for r in tables.read_csv_tolerant(spark, str(tmp_path), ["id", "author"]).collect()}
+    assert got == {("1", "ann"), ("2", "bob"), (None, None)}
+
+
+def test_csv_escapes_and_code_pages(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('id,body\n1,it\\, then \\"so\\"\n2,"plain\n3,a,b\n4,õ\n'.encode("cp775"))
+    got = {r.id: r.body for r in tables.read_csv_tolerant(spark, str(tmp_path), ["id", "body"], ["cp775"], escape="\\", quoting=False).collect()}
+    assert got == {"1": 'it, then "so"', "2": '"plain', "4": "õ"}
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "b.csv").write_text('id,body\n1,"he said \\"no\\", then"\n')
+    assert tables.read_csv_tolerant(spark, str(tmp_path / "q"), ["body"], escape="\\").first().body == 'he said "no", then'
+
+
 def test_csv_with_dirt(spark, tmp_path):
     body = 'id,body,score\n1,"two\nlines, ""quoted""",3\n2,x,4,too,long\n3,café,5\n'
     (tmp_path / "a.csv").write_bytes(body.encode("latin-1"))
     assert tables.best_encoding(spark, str(tmp_path), ["UTF-8", "ISO-8859-1"]) == "ISO-8859-1"
     got = {r.id: (r.body, r.score, r.author) for r in tables.read_csv_tolerant(
-        spark, str(tmp_path), ["id", "author", "body", "score"], ["UTF-8", "ISO-8859-1"]).collect()}
+        spark, str(tmp_path), ["id", "author", "body", "score"], ["UTF-8", "ISO-8859-1"], multi_line=True).collect()}
     assert got == {"1": ('two\nlines, "quoted"', "3", None), "3": ("café", "5", None)}
 
 
-def test_parquet_glob_falls_back_and_skips_bad_files(spark, tmp_path):
+def test_parquet_glob_falls_back_and_names_bad_files(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "good"))
     (tmp_path / "good" / "part-zzz.parquet").write_bytes(b"no parquet")
-    out = tables.read_parquet_glob(spark, str(tmp_path / "none"), "part-*.parquet", str(tmp_path / "good"), "id bigint")
+    out = tables.read_parquet_glob(spark, str(tmp_path / "none"), "part-*.parquet", str(tmp_path / "good"), "id bigint", skip_corrupt=True)
     assert out.count() == 3
+    assert [r.path.endswith("part-zzz.parquet") for r in tables.unreadable_parts(spark, str(tmp_path / "good")).collect()] == [True]
+    with pytest.raises(Exception, match="(?i)parquet"):
+        tables.read_parquet_glob(spark, str(tmp_path / "good"), "part-*.parquet", schema="id bigint").count()
+
+
+def test_compound_class_names_are_harmless(spark):
+    row = spark.range(1).select(
+        C.toxicity(F.array(F.struct(F.lit("Non-Toxic text").alias("label"), F.lit(0.9).alias("score")))).alias("a"),
+        C.toxicity(F.array(F.struct(F.lit("Toxic").alias("label"), F.lit(0.7).alias("score")), F.struct(F.lit("clean_speech").alias("label"), F.lit(0.3).alias("score")))).alias("b"),
+        C.toxicity(F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(0.2).alias("score")))).alias("c")).first()
+    assert tuple(row) == (0.0, 0.7, 0.2)
+
+
+def test_cleaning_leaves_deleted_authors_out(spark):
+    from ripplecast.operators import clean
+
+    rows = [("a", "ann", "x", "1", "1700000000"), ("b", "[deleted]", "x", "0", "1700000000"), ("c", None, "x", "0", "1700000000"), ("d", "dan", "[removed]", "0", "1700000000")]
+    df = spark.createDataFrame(rows, "id string, author string, body string, is_hate string, created_utc string")
+    assert [r.id for r in clean.clean_comments(df).collect()] == ["a"]
+
+
+def test_hashed_tfidf_by_hand(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a", "red red blue"), ("b", "red"), ("c", None)], "id string, body string")
+    got = {r.id: r.tfidf for r in X.hashed_tfidf(df, dim=32).collect()}
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32 for w in ("red", "blue")}
+    red, blue = 2 * (math.log(4 / 3) + 1), math.log(4 / 2) + 1
+    want = [0.0] * 32
+    want[place["red"]] += red / math.hypot(red, blue)
+    want[place["blue"]] += blue / math.hypot(red, blue)
+    assert got["a"] == pytest.approx(want) and sum(got["c"]) == 0.0 and got["b"][place["red"]] == pytest.approx(1.0)
