@@ -50,6 +50,13 @@ def _(q):
     return rounded(out, "user_hate_ratio_ord")
 
 
+@query("a3_user_binary_hate", """
+select author, count(*) filter (is_hate=1) user_hate_comments_ord, round(count(*) filter (is_hate=1) / count(*), 6) user_hate_ratio_ord from e_comments group by 1""")
+def _(q):
+    # no number in hate_label: is_hate stands in
+    return rounded(A.user_ordinal_hate(q.e.withColumn("hate_label", F.lit("n/a"))), "user_hate_ratio_ord")
+
+
 @query("a4_submission_features", """
 with x as (select d.*, e.embedding v, length(body) % 3 o from d_comments d left join embeddings e on d.id = 'd' || e.vec_id)
 select link_id, count(*) comments, round(avg(cast(o=2 as int)),6) hate_ratio, round(avg(cast(o=1 as int)),6) offensive_ratio,

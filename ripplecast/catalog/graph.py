@@ -62,6 +62,22 @@ def _(q):
     return rounded(N.node_features(c, "o"), "u_hate", "u_offensive", "u_gap_hours", "u_length", "s_hate", "s_offensive")
 
 
+@query("n5_submission_features", """
+with x as (select c.*, cast(length(body) % 3 as int) o, cast(length(body) as double) n, v from c_comments c left join (VECTORS) e using (id)),
+s as (select subreddit, cast(count(*) as double) s_posts, avg(cast(o=2 as int)) s_hate, avg(cast(o=1 as int)) s_offensive from x group by 1),
+l as (select link_id id, cast(count(*) as double) u_posts, avg(cast(o=2 as int)) u_hate, avg(cast(o=1 as int)) u_offensive, cast(count(distinct subreddit) as double) u_diversity,
+  cast(0 as double) u_gap_hours, avg(n) u_length, arg_min(subreddit, (created_utc, id)) subreddit, cast(max(cast(o=2 as int)) as double) c_hate, avg(n) c_length,
+  avg(v[1]) v0, avg(v[64]) v63 from x group by 1)
+select id, u_posts, round(u_hate,6) u_hate, round(u_offensive,6) u_offensive, u_diversity, u_gap_hours, round(u_length,6) u_length, s_posts, round(s_hate,6) s_hate,
+  round(s_offensive,6) s_offensive, c_hate, round(c_length,6) c_length, cast(0 as double) is_comment, cast(1 as double) is_submission, round(v0,5) v0, round(v63,5) v63
+from l join s using (subreddit)""".replace("VECTORS", """select c.id, list_transform(embedding, lambda y: cast(y as double)) v from c_comments c
+  join embeddings e on e.vec_id = cast('0x' || substr(md5(c.id),1,8) as bigint) % (select count(*) from embeddings)"""))
+def _(q):
+    out = N.submission_node_features(q.c.withColumn("o", F.length("body") % 3), "o", vectors(q, q.c), 64)
+    out = out.withColumn("v0", F.get("vector", 0)).withColumn("v63", F.get("vector", 63)).drop("vector")
+    return rounded(rounded(out, "u_hate", "u_offensive", "u_length", "s_hate", "s_offensive", "c_length"), "v0", "v63", to=5)
+
+
 @query("n5_comment_features", r"""
 select id, coalesce(length(body),0) text_length, len(list_filter(regexp_split_to_array(body, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) token_count,
   score, coalesce(is_hate=1, false) is_hate, pid is null is_root from cp""")
@@ -75,11 +91,11 @@ def _(q):
 
 
 @query("n6_top_subgraph", """
-with one as (select distinct least(src,dst) src, greatest(src,dst) dst from egraph),
-top as (select node from (select src node, count(*) d from egraph group by 1) z order by d desc, node limit 100)
+with one as (select distinct least(src,dst) src, greatest(src,dst) dst from egraph where edge_type = 'reply' and src <> dst),
+top as (select node from (select node, count(*) d from (select src node from one union all select dst from one) y group by 1) z order by d desc, node limit 100)
 select src, dst from one where src in (select node from top) and dst in (select node from top)""", G)
 def _(q):
-    return N.top_subgraph(N.one_way(N.user_comment_graph(q.e)), 100)
+    return N.top_subgraph(N.one_way(N.user_comment_graph(q.e, users=False)), 100)
 
 
 SOURCES = """(select 'user_' || author s from (select author, avg(is_hate) r from {v}_comments group by 1) z order by r desc, author limit {k})"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,22 @@ def community_features(df: DataFrame, label: str = "is_hate", ts: str = "created
     return df.where(F.col("subreddit").isNotNull()).groupBy("subreddit").agg(*aggs)
 
 
-def user_ordinal_hate(df: DataFrame, label: str = "hate_label") -> DataFrame | None:
-    """Hate counts under the 0-4 scale (3, 4) or, if the data holds neither, under 0/1; else None."""
-    value = F.col(label).cast("string").try_cast("double").cast("int")
-    seen = df.agg(F.max(value.isin(3, 4)).alias("scale"), F.max(value == 1).alias("binary")).first()
-    if not (seen["scale"] or seen["binary"]):
+def user_ordinal_hate(df: DataFrame, labels: Sequence[str] = ("hate_label", "is_hate")) -> DataFrame | None:
+    """Hate counts under the 0-4 scale (3, 4) or, if the data holds neither, under 0/1; else None.
+
+    The first label column that holds a number is used.
+    """
+    numbers = {c: F.col(c).cast("string").try_cast("double").cast("int") for c in labels if c in df.columns}
+    if not numbers:
+        return None
+    seen = df.agg(*[x.alias(f"{c}_{n}") for c, v in numbers.items() for n, x in (
+        ("any", F.max(v.isNotNull())), ("scale", F.max(v.isin(3, 4))), ("binary", F.max(v == 1)))]).first()
+    label = next((c for c in numbers if seen[f"{c}_any"]), None)
+    if label is None or not (seen[f"{label}_scale"] or seen[f"{label}_binary"]):
         return None
-    hit = value.isin(3, 4) if seen["scale"] else value == 1
+    value = numbers[label]
+    scale = seen[f"{label}_scale"]
+    hit = value.isin(3, 4) if scale else value == 1
     return df.groupBy("author").agg(
         F.count_if(hit).alias("user_hate_comments_ord"), C.ratio(F.count_if(hit), F.count("*")).alias("user_hate_ratio_ord"))
 

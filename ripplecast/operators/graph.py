@@ -87,6 +87,31 @@ def comment_features(df: DataFrame, label: str = "is_hate") -> DataFrame:
         "score", F.coalesce((F.col(label) == 1), F.lit(False)).alias("is_hate"), F.col("pid").isNull().alias("is_root"))
 
 
+def submission_node_features(df: DataFrame, ordinal: str, vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
+    """Submission nodes in the columns of :func:`node_features`: numbers of their comments, their first comment's community,
+    and, if given, the mean of their comments' vectors (one sum per dimension, so it combines before the shuffle)."""
+    rows = with_parent(df).where("link_id is not null").withColumn("_len", C.text_length(F.col("body")).cast("double"))
+    is2, is1 = F.col(ordinal) == 2, F.col(ordinal) == 1
+    n = F.count("*")
+    aggs = [
+        n.cast("double").alias("u_posts"), C.ratio(F.count_if(is2), n).alias("u_hate"), C.ratio(F.count_if(is1), n).alias("u_offensive"),
+        F.lit(0.0).alias("u_gap_hours"), F.avg("_len").alias("u_length"), F.min_by("subreddit", F.struct("created_utc", "id")).alias("subreddit"),
+        F.max(F.when(is2, 1.0).otherwise(0.0)).alias("c_hate"), F.avg("_len").alias("c_length")]
+    if vectors is not None:
+        rows = rows.join(vectors.select("id", F.col("embedding").alias("_v")), "id", "left")
+        aggs.append(F.array(*[F.avg(F.get("_v", i).cast("double")) for i in range(dim)]).alias("_mean"))
+    diversity = rows.groupBy("link_id").agg(F.count_distinct("subreddit").cast("double").alias("u_diversity"))
+    community = rows.groupBy("subreddit").agg(
+        n.cast("double").alias("s_posts"), C.ratio(F.count_if(is2), n).alias("s_hate"), C.ratio(F.count_if(is1), n).alias("s_offensive"))
+    out = rows.groupBy("link_id").agg(*aggs).join(diversity, "link_id").join(community, "subreddit", "left")
+    cols = [F.col("link_id").alias("id"), "u_posts", "u_hate", "u_offensive", "u_diversity", "u_gap_hours", "u_length",
+            F.coalesce("s_posts", F.lit(1.0)).alias("s_posts"), F.coalesce("s_hate", F.lit(0.0)).alias("s_hate"),
+            F.coalesce("s_offensive", F.lit(0.0)).alias("s_offensive"), "c_hate", "c_length", F.lit(0.0).alias("is_comment"), F.lit(1.0).alias("is_submission")]
+    if vectors is not None:
+        cols.append(F.when(F.col("_mean")[0].isNotNull(), F.col("_mean")).alias("vector"))
+    return out.select(*cols)
+
+
 def node_features(df: DataFrame, ordinal: str, vectors: DataFrame | None = None) -> DataFrame:
     """Comment nodes with 8 author numbers, 3 community numbers, node type and, if given, a vector.
 

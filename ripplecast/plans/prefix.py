@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
+from .spread import planned_bytes
 
 def time_chunk(ts: str, unit: int = 1, seconds: int = 60) -> Column:
     """Chunk for rows ordered by time; ``unit`` is the number of ticks in a second.
@@ -29,9 +30,9 @@ def time_chunk(ts: str, unit: int = 1, seconds: int = 60) -> Column:
     return F.floor(F.col(ts) / (seconds * unit)).cast("bigint")
 
 
-def hash_chunk(digest: str | Column) -> Column:
-    """Chunk for rows ordered by a hex digest: its first three digits."""
-    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+def hash_chunk(digest: str | Column, digits: int = 3) -> Column:
+    """Chunk for rows ordered by a hex digest: its first digits, three of which make 4,096 chunks."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 
 
 def running(
@@ -42,15 +43,18 @@ def running(
     *,
     inclusive: bool = False,
     chunk: Column | None = None,
+    depth: int = 1,
 ) -> DataFrame:
     """Add running sums per key in ``order`` (ascending; keys must not be null).
 
     ``chunk`` must rise with the order; by default the rows are range-partitioned
-    on ``order[0]`` and stored once, so that the chunks are about equal.
+    on the whole order, so that equal first columns do not meet in one task, and
+    stored once.  With ``depth`` 2 the chunks of a key are themselves summed up in
+    groups of 4,096, for keys with millions of chunks.
     """
     keys = list(keys)
     if chunk is None:
-        rows = cut_lineage(df.repartitionByRange(order[0]).withColumn("_chunk", F.spark_partition_id()))
+        rows = cut_lineage(df.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()))
     else:
         rows = df.withColumn("_chunk", chunk)
     rows = rows.select("*", *[c.alias(f"_v_{n}") for n, c in totals.items()])
@@ -61,13 +65,19 @@ def running(
     )
     local = rows.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in totals])
     per_chunk = rows.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
-    # one row per chunk of a key reaches one task here
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_chunk.select(
-        *keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in totals]
-    )
+    if depth > 1:
+        sums = {f"_o_{n}": F.col(f"_t_{n}") for n in totals}
+        group = F.floor(F.col("_c") / 4096).cast("bigint")
+        offsets = running(per_chunk.withColumnRenamed("_chunk", "_c"), keys, ["_c"], sums, chunk=group, depth=depth - 1)
+        offsets = offsets.select(*keys, F.col("_c").alias("_chunk"), *sums)
+    else:
+        # one row per chunk of a key reaches one task here
+        before = (
+            Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        offsets = per_chunk.select(
+            *keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in totals]
+        )
     joined = local.join(offsets, [*keys, "_chunk"])
     zero = F.lit(0)
     return joined.select(
@@ -80,16 +90,22 @@ def running(
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", chunk: Column | None = None, depth: int = 1
 ) -> DataFrame:
     """1-based position inside the key."""
-    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, inclusive=True, chunk=chunk)
+    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, inclusive=True, chunk=chunk, depth=depth)
 
 
-def digest_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int | str, name: str = "rank") -> DataFrame:
-    """Repeatable random position inside the key: order of ``md5(seed|id)``."""
+def digest_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int | str, name: str = "rank", digits: int | None = None) -> DataFrame:
+    """Repeatable random position inside the key: order of ``md5(seed|id)``.
+
+    A key is cut into ``16**digits`` chunks: three digits, or six (in two steps) for tables beyond 100 million rows,
+    so that a chunk stays small whatever the size.  Results do not depend on it.
+    """
     d = df.withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
-    return rank_within(d, keys, ["_digest", id_col], name, hash_chunk("_digest")).drop("_digest")
+    if digits is None:
+        digits = 3 if planned_bytes(df) < 10**10 else 6
+    return rank_within(d, keys, ["_digest", id_col], name, hash_chunk("_digest", digits), 1 if digits <= 3 else 2).drop("_digest")
 
 
 def global_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame
 SPLIT = 128 << 20  # default bytes per scan task
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a plan, as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all cores if the files are too small to do so themselves.
 
@@ -15,6 +21,4 @@ def spread(df: DataFrame) -> DataFrame:
     at most that bounded amount; larger inputs are left where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SPLIT else df
+    return df.repartition(cores) if planned_bytes(df) < cores * SPLIT else df

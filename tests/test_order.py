@@ -181,3 +181,21 @@ def test_user_with_deleted_name_is_left_out(spark):
     df = spark.createDataFrame([("1", "[deleted]", "s", 1, 1), ("2", None, "s", 2, 1), ("3", "a", "s", 3, 0)],
                                "id string, author string, subreddit string, created_utc bigint, is_hate int")
     assert [r.author for r in features.user_features(df).collect()] == ["a"]
+
+
+def test_ranks_agree_at_any_depth(spark):
+    from ripplecast.plans import prefix
+
+    df = spark.createDataFrame([(f"k{i % 3}", f"id{i}") for i in range(500)], "k string, id string")
+    plain = {r.id: r["rank"] for r in prefix.digest_rank(df, ["k"], "id", 42).collect()}
+    assert plain == {r.id: r["rank"] for r in prefix.digest_rank(df, ["k"], "id", 42, digits=6).collect()}
+    assert plain == {r.id: r["rank"] for r in prefix.digest_rank(df, ["k"], "id", 42, digits=1).collect()}
+
+
+def test_one_frequent_value_is_cut_by_the_whole_order(spark):
+    from ripplecast.plans import prefix
+
+    df = spark.createDataFrame([(0.0 if i % 2 else float(i), i) for i in range(2000)], "score double, id int")
+    got = {r.id: r["rank"] for r in prefix.rank_within(df, [], ["score", "id"]).collect()}
+    want = {i: n + 1 for n, (_, i) in enumerate(sorted((0.0 if i % 2 else float(i), i) for i in range(2000)))}
+    assert got == want
