@@ -157,6 +157,17 @@ def _(q):
     return rounded(out, "accuracy", "precision", "recall", "f1", "f1_improvement")
 
 
+@query("e13_ranking_report", """
+with b as (select link_id, max(n) n, min(k) filter (y=1) b from ranked where pos > 0 group by 1),
+j as (select count(*) filter (y=1 and p>0.1) b, count(*) filter (y=1 or p>0.1) e from scored group by link_id)
+select round(avg(cast(b <= 1 as int)) filter (n >= 1), 6) hit_1, round(avg(cast(b <= 5 as int)) filter (n >= 5), 6) hit_5, round(avg(cast(b <= 10 as int)) filter (n >= 10), 6) hit_10,
+  round(avg(cast(b <= 20 as int)) filter (n >= 20), 6) hit_20, round(avg(1.0/b), 6) mrr, (select round(avg(coalesce(b/nullif(e,0),0)), 6) from j) jaccard,
+  (select count(*) from patterns where side = 'high') high_patterns, (select count(*) from patterns where side = 'low') low_patterns from b""", {**RANKED, **PATTERNS})
+def _(q):
+    out = E.ranking_report(ranking(q), patterns(q), "link_id", "id", threshold=0.1)
+    return rounded(out, "hit_1", "hit_5", "hit_10", "hit_20", "mrr", "jaccard")
+
+
 # moderation: a label that makes some authors and one community stand out
 FLAG = "cast(is_hate = 1 or (author_no % 5 = 0 and cast(id as bigint) % 3 <> 0) or (subreddit = 'error' and cast(id as bigint) % 2 = 0) as int)"
 MOD = {

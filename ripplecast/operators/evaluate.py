@@ -169,6 +169,18 @@ def compare_models(predictions: DataFrame, baseline: str, model: str = "model",
     return out.withColumn("f1_improvement", gain).drop("_base")
 
 
+def ranking_report(
+    df: DataFrame, patterns: DataFrame, group: str, key: str, score: str = "score", label: str = "label", ks: Sequence[int] = (1, 5, 10, 20), threshold: float = 0.5
+) -> DataFrame:
+    """One row: Hit@k, MRR and Jaccard of a ranking, and how many sources show a high and a low pattern."""
+    sides = patterns.agg(F.count_if(F.col("side") == "high").alias("high_patterns"), F.count_if(F.col("side") == "low").alias("low_patterns"))
+    parts = [hit_at_k(df, group, key, score, label, ks), mrr(df, group, key, score, label), jaccard(df, group, score, label, threshold), sides]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
+
+
 def best_strategy(impacts: DataFrame) -> DataFrame:
     """Strategy with the highest effectiveness (ties by name)."""
     best = F.min(F.struct((-F.col("effectiveness")).alias("e"), "strategy"))
