@@ -160,13 +160,16 @@ class Machine:
                 self.bias -= (rate * err.sum() / np.sqrt(m_bias)).astype(np.float32)
 
 
-def fit(df: DataFrame, label: str, text: str = "text", key: str = "doc_id", per_class: int = PER_CLASS) -> Machine | None:
-    """Train on at most about ``per_class`` rows of each label (0 and 1); other labels and null texts teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", per_class: int = PER_CLASS) -> Machine | None:
+    """Train on the texts of at most about ``per_class`` labels of each value (0 and 1), chosen by a hash of the key.
 
-    The features are worked out by the executors; without rows of both classes there is no machine (None).
+    Other labels and null texts teach nothing; a key labelled twice counts twice.  The features are worked out by the
+    executors; without rows of both classes there is no machine (None).
     """
-    rows = df.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    drawn = bounded_sample(rows, "k", "y", per_class)
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    chosen = bounded_sample(rows, "k", "y", per_class)  # its size is bounded, so it is sent to the texts
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    drawn = texts.join(F.broadcast(chosen), "k")
 
     def start():
         def work(texts):
@@ -218,6 +221,6 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = documents(spark, sf_dir, "labels").select("doc_id", "quality")
     taught = F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))
-    machine = fit(docs.select("doc_id", "text").where(taught).join(labels.where(taught), "doc_id"), "quality")
+    machine = fit(docs, labels.where(taught), "quality")
     out = score_quality(docs, machine, keep=["doc_id"])
     return out.select("doc_id", F.coalesce((remainder("doc_id", 3) == 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
