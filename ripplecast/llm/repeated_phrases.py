@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
-from .common import Words, bit_filter, blocks, by_hash, documents, extended, meet, mix, not_space, powers, small_batches
+from .common import Words, bit_filter, blocks, by_hash, documents, extended, meet, mix, not_space, powers, small_batches, tidy
 
 WINDOW, ANCHOR = 35, 8
 HOT = 20_000  # occurrences from which an anchor's segments are confirmed by a distributed count, not in one task
@@ -81,16 +81,19 @@ def _anchor_counts(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("_body").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _contents(docs: DataFrame, window: int, wanted) -> DataFrame:
-    """Different segments of each batch with an anchor that is met twice: ``(anchor, content, n, words)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _contents(docs: DataFrame, window: int, wanted, frequent, hot: bool) -> DataFrame:
+    """Different segments of each batch with an anchor that is met twice: ``(anchor, content, n, words)``.
+
+    Those of frequent anchors, or all others.  A filter decides by the anchor alone, so an anchor is never in both.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, frequent))
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple[int, int], list] = {}
             for block in blocks(batch.column(0)):
                 s = Segments(block.words(WORD_BYTES, False), window)
-                for i in np.flatnonzero(sent.value.maybe(s.anchor)).tolist():
+                for i in np.flatnonzero(sent.value[0].maybe(s.anchor) & (sent.value[1].maybe(s.anchor) == hot)).tolist():
                     own = seen.setdefault((int(s.anchor[i].view(np.int64)), int(s.content[i].view(np.int64))), [0, None])
                     own[0] += 1
                     own[1] = own[1] or s.text(i)
@@ -182,8 +185,8 @@ def located(texts: list[str], w: Words, flags: np.ndarray, groups: list[int], wi
 def _spans(contents: DataFrame, window: int, confirmed: bool) -> DataFrame:
     """``(anchor, content, spans)`` of segments with recurring passages.
 
-    Unless ``confirmed`` (column ``recurs``: the recurring windows), the rows come sorted by anchor, all of one anchor in
-    one partition; a batch's last anchor waits for the next batch.
+    Unless ``confirmed`` (column ``recurs``: the recurring windows), all rows of an anchor meet: anchors are dealt to
+    buckets and a bucket is a group, which nothing that Spark does to partitions can tear apart.
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -207,20 +210,24 @@ def _spans(contents: DataFrame, window: int, confirmed: bool) -> DataFrame:
             pa.array([keys[i][0] for i in full], pa.int64()), pa.array([keys[i][1] for i in full], pa.int64()),
             pa.array([[{"start": a, "stop": b} for a, b in spans[i]] for i in full], kind)], names=["anchor", "content", "spans"])
 
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            held += zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield judged(held[:cut])
-                held = held[cut:]
-        if held:
-            yield judged(held)
+    schema = "anchor long, content long, spans array<struct<start:int,stop:int>>"
+    if confirmed:
+        return contents.mapInArrow(lambda batches: (judged(list(zip(*[c.to_pylist() for c in b.columns], strict=True))) for b in batches if b.num_rows), schema)
+
+    def bucket(table: pa.Table) -> pa.Table:
+        table = table.select(["anchor", "content", "n", "words"]).sort_by([("anchor", "ascending"), ("content", "ascending")])
+        anchors = table.column("anchor").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, [len(anchors)]])
+        out, i = [], 0
+        while i < len(anchors):  # some thousand rows at a time, whole anchors each
+            j = int(edges[min(np.searchsorted(edges, i + 2000), len(edges) - 1)])
+            out.append(judged(list(zip(*[c.to_pylist() for c in table.slice(i, j - i).columns], strict=True))))
+            i = j
+        tidy()
+        return pa.Table.from_batches(out)
 
-    return contents.mapInArrow(run, "anchor long, content long, spans array<struct<start:int,stop:int>>")
+    buckets = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contents.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(bucket, schema)
 
 
 def _hot(contents: DataFrame, window: int) -> DataFrame:
@@ -261,16 +268,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     rows = small_batches(rows).withColumn("_hash", F.xxhash64("_body"))
     counts = cut_lineage(_anchor_counts(rows, window))
     wanted, frequent = bit_filter(counts, "anchor"), counts.where(F.col("n") > hot)
-    contents = _contents(rows, window, wanted)
+    often = bit_filter(frequent, "anchor")
+    spans = _spans(_contents(rows, window, wanted, often, False), window, False)
     if frequent.limit(1).count():
-        # kept apart by the anchors themselves, of which there are few: one for ``hot`` segments at most
-        apart = contents.join(frequent.select("anchor"), "anchor", "left_semi")
-        contents = contents.join(frequent.select("anchor"), "anchor", "left_anti")
-        more = _spans(_hot(apart, window).select("anchor", "content", "n", "words", "recurs"), window, True)
-    else:
-        more = None
-    spans = _spans(contents.repartition("anchor").sortWithinPartitions("anchor", "content"), window, False)
-    spans = cut_lineage(spans if more is None else spans.union(more))
+        apart = _hot(_contents(rows, window, wanted, often, True), window)
+        spans = spans.union(_spans(apart.select("anchor", "content", "n", "words", "recurs"), window, True))
+    spans = cut_lineage(spans)
     found = _occurrences(rows, window, bit_filter(spans, "anchor")).join(spans, ["anchor", "content"])
     shift = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop")))
     cuts = cut_lineage(found.select("_key", "_hash", F.explode(shift).alias("s")).groupBy("_key", "_hash").agg(F.collect_set("s").alias("_spans")))

@@ -49,6 +49,25 @@ def test_remove_repeats(spark, odd_texts, hot):
     assert rows(out, "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.without_repeats(odd_texts), key=repr)
 
 
+def test_remove_repeats_with_some_hot_anchors(spark):
+    """Joins that shuffle and split must not tear an anchor's segments apart."""
+    rng = np.random.default_rng(7)
+    lines = [" ".join(f"p{j}w{x}" for x in rng.integers(0, 9, 40)) for j in range(12)]
+    docs = [(i, " ".join([f"own{i}", *[lines[j] for j in rng.choice(12, rng.integers(0, 4), p=np.array([.5, *[.5 / 11] * 11]), replace=False)], f"end{i}"])) for i in range(150)]
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.shuffle.partitions": "9"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        for hot in (8, 40):
+            out = repeated_phrases.remove_repeats(text_frame(spark, docs), keep=["doc_id"], hot=hot)
+            assert rows(out, "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.without_repeats(docs), key=repr)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("window", [3, 9])
 def test_remove_repeats_of_other_widths(spark, window):
     rng = np.random.default_rng(window)
