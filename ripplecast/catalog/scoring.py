@@ -54,7 +54,10 @@ def _(q):
 
 
 # A trained model is compared by what does not depend on its weights: its rows, their labels and the range of its scores.
-IN_RANGE = F.col("score").between(0.0, 1.0).alias("in_range")
+def in_range():
+    return F.col("score").between(0.0, 1.0).alias("in_range")
+
+
 REPLIES = {**RATES, "replies": """
 select p.id, case when h/n > 0.2 then 1 else 0 end y from ep p join (select pid, count(*) n, count(*) filter (is_hate=1) h from ep where pid is not null group by 1) c on c.pid = p.id"""}
 
@@ -64,7 +67,7 @@ select id, y as "label", true in_range from replies
 qualify row_number() over (partition by y order by md5('42|' || id), id) <= floor(count(*) over (partition by y)*0.3+0.5)""", REPLIES)
 def _(q):
     _, scored = M.train_reply_classifier(R.reply_hate_dataset(q.e))
-    return scored.select("id", "label", IN_RANGE)
+    return scored.select("id", "label", in_range())
 
 
 def author_vectors(q, df):
@@ -230,7 +233,7 @@ qualify row_number() over (partition by is_hate order by md5('42|' || id), id) <
 def _(q):
     data = W.stratified_split(text_data(q), 0.2, "label")
     model = M.train_text_baseline(data.where("split = 'train'"), grid=M.GRID)
-    return M.score_text_baseline(model, data.where("split = 'test'")).select("id", "label", IN_RANGE)
+    return M.score_text_baseline(model, data.where("split = 'test'")).select("id", "label", in_range())
 
 
 @query("r12_top_coefficients", r"""
@@ -292,7 +295,7 @@ def _(q):
     model, heat, limit = M.train_edge_ranker(events, slots={"community_slot": 32, "thread_slot": 64})
     scored = M.score_window(events.where("split = 'val'"), model, heat)
     cut = limit.select("threshold").scalar()
-    return scored.select("window_id", "id", "label", IN_RANGE, (F.col("score") >= cut).isNotNull().alias("decided"))
+    return scored.select("window_id", "id", "label", in_range(), (F.col("score") >= cut).isNotNull().alias("decided"))
 
 
 @query("r16_occurred_subset", "select id, is_hate as \"label\" from e_comments where created_utc % 2 = 1")
@@ -306,4 +309,4 @@ select window_id, id, is_hate as "label", true in_range from cand join parts usi
 def _(q):
     events = split_events(q)
     model, heat, _ = M.train_edge_ranker(events)
-    return M.score_window(events.where("split = 'test'"), model, heat).select("window_id", "id", "label", IN_RANGE)
+    return M.score_window(events.where("split = 'test'"), model, heat).select("window_id", "id", "label", in_range())
