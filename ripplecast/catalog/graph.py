@@ -124,19 +124,16 @@ def _(q):
 
 
 @query("n8_proximity", f"""
-with u as (select 'user_' || author node, cast('0x' || substr(md5(author),1,8) as bigint) % 7 b from (select distinct author from c_comments) a),
-p as (select s source, u.node from {SOURCES.format(v='c', k=100)} join u mine on mine.node = s join u on u.b = mine.b and u.node <> s),
+with u as (select distinct 'user_' || author node from c_comments where author is not null),
+p as (select s source, u.node from {SOURCES.format(v='c', k=100)} join u on u.node <> s),
 walk(source, node, hops) using key (source, node) as (
   select distinct source, source, 0 from p
   union select w.source, g.dst, min(w.hops + 1) from walk w join cgraph g on g.src = w.node
     where not exists (select 1 from recurring.walk r where r.source = w.source and r.node = g.dst) group by 1, 2)
 select p.source, p.node, round(coalesce(1.0/(1+hops), 0.1), 6) proximity from p left join walk b on p.source = b.source and p.node = b.node""", G)
 def _(q):
-    from ..functions.columns import hash_bucket
-
-    users = q.c.select("author").distinct().select(F.concat(F.lit("user_"), "author").alias("node"), hash_bucket(F.col("author"), 7).alias("_b"))
-    chosen = users.join(sources(q.c, 100), "node", "left_semi").select(F.col("node").alias("source"), "_b")
-    pairs = users.join(chosen, "_b").where("source <> node").select("source", "node")
+    users = q.c.where("author is not null").select(F.concat(F.lit("user_"), "author").alias("node")).distinct()
+    pairs = N.source_pairs(sources(q.c, 100), users)
     return rounded(N.proximity(N.user_comment_graph(q.c), pairs), "proximity")
 
 

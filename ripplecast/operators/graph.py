@@ -206,6 +206,15 @@ def hate_prone_users(df: DataFrame, k: int = 100, label: str = "is_hate") -> Dat
     return f.orderBy(F.desc("hate_ratio"), "author").limit(k)
 
 
+def source_pairs(sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(source, node)``: every source with every other node.
+
+    The sources are a query set of a stated size; as one row they go to the nodes, which stay where they are.
+    """
+    asked = sources.agg(F.collect_set("node").alias("_sources"))
+    return nodes.select("node").crossJoin(F.broadcast(asked)).select(F.explode("_sources").alias("source"), "node").where("source <> node")
+
+
 def proximity(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, unreachable: float = 0.1) -> DataFrame:
     """``1 / (1 + shortest path)`` for each ``(source, node)`` pair, ``unreachable`` without a path.
 
