@@ -44,12 +44,12 @@ def _(q):
 
 
 @query("h2_thread_closure", """
-with seeds as (select id, pid from ep where is_hate = 1 and cast(id as bigint) % 3 = 0),
+with seeds as (select id, pid from ep where is_hate = 1),
 up as (select id, pid from seeds union select x.id, x.pid from ep x join up on up.pid = x.id),
 down as (select id from seeds union select x.id from ep x join down on x.pid = down.id)
 select id, link_id from e_comments where id in (select id from up) or id in (select id from down)""", ALL)
 def _(q):
-    seeds = q.e.where("is_hate = 1 and cast(id as bigint) % 3 = 0").select("id")
+    seeds = q.e.where("is_hate = 1").select("id")
     return H.thread_closure(seeds, q.e).select("id", "link_id")
 
 

@@ -30,3 +30,21 @@ def test_proximity_asks_every_user(spark, sf_dir):
     rows = entry.queries()["n8_proximity"](spark, sf_dir).collect()
     assert len(rows) == len(chosen) * (len(users) - 1)
     assert {(r.source, r.node): r.proximity for r in rows} == want
+
+
+def test_closure_starts_from_every_hit(spark, sf_dir):
+    rows = {r.id: r for r in Inputs(spark, sf_dir).e.select("id", "parent_id", "link_id", "is_hate").collect()}
+    up = {i: r.parent_id[3:] for i, r in rows.items() if r.parent_id.startswith("t1_") and r.parent_id[3:] in rows}
+    below = defaultdict(list)
+    for i, p in up.items():
+        below[p].append(i)
+    want = set()
+    for hit in (i for i, r in rows.items() if r.is_hate == 1):
+        line, n = [hit], hit
+        while line:
+            want.add(m := line.pop())
+            line += below[m]
+        while n in up:
+            want.add(n := up[n])
+    got = entry.queries()["h2_thread_closure"](spark, sf_dir).collect()
+    assert sorted((r.id, r.link_id) for r in got) == sorted((i, rows[i].link_id) for i in want)
