@@ -24,7 +24,7 @@ from .elias_fano import Level, Quantiser
 WORD_BYTES = not_space()
 END = mix(np.array([0xE0D], np.uint64))[0]
 BATCH = 1 << 23  # bytes of text in one batch
-ORDER = 2
+ORDER = 3
 _CODE = np.uint64((1 << Level.BITS) - 1)
 
 

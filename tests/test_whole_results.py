@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import __spark_entry__ as entry
+import pytest
 from ripplecast.catalog import graph
 from ripplecast.catalog.registry import Inputs
+from ripplecast.llm import language_model
+from ripplecast.llm.common import documents, remainder
 from ripplecast.operators import graph as N
 
 
@@ -48,3 +51,15 @@ def test_closure_starts_from_every_hit(spark, sf_dir):
             want.add(n := up[n])
     got = entry.queries()["h2_thread_closure"](spark, sf_dir).collect()
     assert sorted((r.id, r.link_id) for r in got) == sorted((i, rows[i].link_id) for i in want)
+
+
+def test_language_model_is_registered_with_trigrams(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scores = {}
+    for order in (2, 3):
+        rows = language_model.score_texts(docs, remainder("doc_id", 7) == 2, order=order, shards=3).collect()
+        scores[order] = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    rows = entry.queries()["op2_language_model"](spark, sf_dir).collect()
+    got = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    print(scores, got)
+    assert got == pytest.approx(scores[3], rel=1e-3) and abs(got - scores[2]) > 0.01
