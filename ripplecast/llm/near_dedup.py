@@ -24,7 +24,6 @@ from .common import Words, added, bit_filter, blocks, documents, mix, not_space,
 from .components import components
 
 SHINGLE, ROWS, SIDE = 5, 3, 12
-AGREE = 4  # of 2 * SIDE entries; a pair of similarity 0.85 has fewer in common with probability 2e-6
 STARS = 3
 WORD_BYTES = not_space()
 _MULTIPLY = numbers(2 * SIDE * ROWS, 11)
@@ -160,7 +159,7 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leftovers(members: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of members of one key in different components whose signatures agree enough.
+    """Untested pairs of members of one key in different components, each named by the first table in which it meets.
 
     Members of a key are cut into groups of about 500, and every task compares two groups; a large key is many tasks.
     """
@@ -177,10 +176,13 @@ def _leftovers(members: DataFrame, classes: DataFrame, tested: DataFrame) -> Dat
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u8").reshape(len(node), -1)
         g, i, j = (batch.column(c).to_numpy() for c in "gij")
         left, right = np.flatnonzero(g == i), np.flatnonzero(g == j)
+        key = batch.column("key").to_numpy().view(np.uint64)
         out = []
-        for p in left:
+        for p, own in zip(left, table_keys(sig[left].astype(np.uint64)), strict=True):
             q = right[(comp[right] != comp[p]) & (node[right] > node[p] if i[p] == j[p] else True)]
-            q = q[(sig[q] == sig[p]).sum(1) >= AGREE]
+            same = sig[q] == sig[p]
+            first = own[same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)]
+            q = q[first == key[p]]
             out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])]))
         both = np.concatenate([np.zeros((2, 0), np.int64), *out], 1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
