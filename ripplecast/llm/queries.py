@@ -2,11 +2,13 @@
 
 from .byte_bpe import op7_byte_bpe
 from .decontaminate import SQL_OP1, op1_decontaminate
+from .exact_dedup import SQL_OP12, op12_exact_dedup
 from .fingerprints import op4_fingerprints
 from .language import op5_language
 from .language_model import op2_language_model
 from .near_dedup import SQL_OP9, op9_near_dedup
 from .quality import op8_quality
+from .ranked_search import SQL_OP13, op13_ranked_search
 from .repeated_phrases import SQL_OP6, op6_repeated_phrases
 from .token_counts import op3_token_counts
 from .url_filter import SQL_OP10, op10_url_filter
@@ -22,5 +24,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_ranked_search": op13_ranked_search,
+}
+ORACLES = {
+    "op1_decontaminate": SQL_OP1, "op6_repeated_phrases": SQL_OP6, "op9_near_dedup": SQL_OP9, "op10_url_filter": SQL_OP10,
+    "op12_exact_dedup": SQL_OP12, "op13_ranked_search": SQL_OP13,
 }
-ORACLES = {"op1_decontaminate": SQL_OP1, "op6_repeated_phrases": SQL_OP6, "op9_near_dedup": SQL_OP9, "op10_url_filter": SQL_OP10}
