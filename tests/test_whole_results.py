@@ -5,12 +5,8 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import __spark_entry__ as entry
-import numpy as np
-import pytest
 from ripplecast.catalog import graph
 from ripplecast.catalog.registry import Inputs
-from ripplecast.llm import language_model, near_dedup
-from ripplecast.llm.common import documents, remainder
 from ripplecast.operators import graph as N
 
 
@@ -52,26 +48,3 @@ def test_closure_starts_from_every_hit(spark, sf_dir):
             want.add(n := up[n])
     got = entry.queries()["h2_thread_closure"](spark, sf_dir).collect()
     assert sorted((r.id, r.link_id) for r in got) == sorted((i, rows[i].link_id) for i in want)
-
-
-def test_language_model_is_registered_with_trigrams(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    scores = {}
-    for order in (2, 3):
-        rows = language_model.score_texts(docs, remainder("doc_id", 7) == 2, order=order, shards=3).collect()
-        scores[order] = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
-    rows = entry.queries()["op2_language_model"](spark, sf_dir).collect()
-    got = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
-    print(scores, got)
-    assert got == pytest.approx(scores[3], rel=1e-3) and abs(got - scores[2]) > 0.01
-
-
-def test_leftovers_name_every_pair_that_meets(spark):
-    sign = np.arange(3 * 2 * near_dedup.SIDE, dtype=np.uint64).reshape(3, -1)
-    sign[1, [2, near_dedup.SIDE + 5]] = sign[0, [2, near_dedup.SIDE + 5]]  # one table
-    sign[2, [0, 1, 2, near_dedup.SIDE, near_dedup.SIDE + 1]] = sign[0, [0, 1, 2, near_dedup.SIDE, near_dedup.SIDE + 1]]  # six tables
-    keys = near_dedup.table_keys(sign).view(np.int64)
-    members = spark.createDataFrame([(int(k), n, n) for n in range(3) for k in keys[n]], "key long, node long, component long")
-    classes = spark.createDataFrame([(n, bytearray(sign[n].astype("<u8").tobytes())) for n in range(3)], "node long, signature binary")
-    none = spark.createDataFrame([], "a long, b long")
-    assert sorted(map(tuple, near_dedup._leftovers(members, classes, none).collect())) == [(0, 1), (0, 2)]
