@@ -8,11 +8,16 @@ its own, because on a cluster a machine-local path is lost with its machine.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _inside, _before = threading.Lock(), 0, "false"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +38,45 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside give the disk of their shuffles back when they end; the session's own setting is restored."""
+    global _inside, _before
+    with _lock:
+        if not _inside:
+            _before = spark.conf.get(_FREE, "false")
+            spark.conf.set(_FREE, "true")
+        _inside += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _inside -= 1
+            if not _inside:
+                spark.conf.set(_FREE, _before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably and go on from the stored rows."""
+    """Store ``df`` reliably and go on from the stored rows; what was shuffled to make them is freed."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession) + "/checkpoints")
-    return df.checkpoint(eager=True)
+    with freed_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it from there: like ``cut_lineage``, compressed."""
+    path = scratch_path(df.sparkSession, label)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, when nothing will read it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/scratch/" in top:
+            path = jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(conf).delete(path, True)
