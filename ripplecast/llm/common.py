@@ -9,6 +9,7 @@ never a loop over words or characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +23,9 @@ from pyspark.sql.types import _parse_datatype_string as parsed
 from ..plans.lineage import cut_lineage
 
 BLOCK = 1 << 20
-_RATIO = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_RATIO = np.uint64(0x9E3779B97F4A7C13)  # odd
+_SHORT = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)  # the low n bytes
+LANES = 64  # spans of more than eight times so many bytes are hashed one by one
 
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
 
@@ -41,16 +42,41 @@ def numbers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _RATIO + np.uint64(seed * 7919 + 1)) | np.uint64(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the ratio and of its inverse modulo 2**64."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _RATIO)]), dtype=np.uint64)
-            inverse = np.uint64(pow(int(_RATIO), -1, 1 << 64))
-            _inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]), dtype=np.uint64)
-    return _powers[:n], _inverses[:n]
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes from ``starts`` to ``ends``.
+
+    Eight bytes at a time are mixed into the hash, so no sums of them cancel out; long spans go through BLAKE2.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _RATIO + np.uint64(2 * seed + 1))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    long = size > 8 * LANES
+    at, lane = np.flatnonzero((size > 0) & ~long), 0
+    while len(at):
+        left = size[at] - lane
+        bits = eight[starts[at] + lane] & _SHORT[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ bits) * _RATIO + np.uint64(1))
+        lane += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(4, "little")).digest(), "little")
+    return out
+
+
+def hash_runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` values from each place on, put together from runs of half the length."""
+    if len(hashes) < k:
+        return np.zeros(0, np.uint64)
+    out, size = hashes, 1
+    for bit in bin(k)[3:]:
+        out = mix(out[: len(out) - size] * _RATIO + out[size:])
+        size *= 2
+        if bit == "1":
+            out = mix(out[: len(hashes) - size] * _RATIO + hashes[size:])
+            size += 1
+    return out
 
 
 def fold_case() -> np.ndarray:
@@ -105,27 +131,17 @@ class Words:
         self.ends = np.flatnonzero(ok & ~nxt[1:]) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        values = mix((fold_case() if lower else np.arange(256)).astype(np.uint64) + np.uint64(1))
-        up, _ = powers(len(data) + 1)
-        self._total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[:-1], out=self._total[1:])
+        self._folded = fold_case()[data] if lower else data
         self.hashes = self.hash_spans(self.starts, self.ends)
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the bytes from ``starts`` to ``ends``."""
-        _, down = powers(len(self._total))
-        return mix((self._total[ends] - self._total[starts]) * down[starts])
+        return hash_spans(self._folded, starts, ends)
 
     def sequences(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the ``k`` words from each word on, and which of them lie within one text."""
-        n = len(self.hashes)
-        if n < k:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * up[:-1], out=total[1:])
-        out = mix((total[k:] - total[:-k]) * down[: n - k + 1])
-        return out, self.last[: n - k + 1] >= np.arange(k, n + 1)
+        out = hash_runs(self.hashes, k)
+        return out, self.last[: len(out)] >= np.arange(k, k + len(out))
 
     @property
     def last(self) -> np.ndarray:
@@ -193,15 +209,19 @@ def tidy() -> None:
         trim(0)
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """Whole texts are long: unless the session says otherwise, hand them to Python in batches of fewer rows."""
+def small_batches(spark) -> None:
+    """Whole texts are long: unless the session says otherwise, hand them to Python in batches of 2,000 rows.
+
+    For the registered queries and the pipeline, which own their session; operators leave the session as it is.
+    """
     name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if df.sparkSession.conf.get(name, usual) == usual:
-        df.sparkSession.conf.set(name, str(rows))
-    return df
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, "2000")
 
 
 def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A given table, for a registered query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -263,7 +283,7 @@ def by_hash(batch: pa.RecordBatch, at: int, bits: BitFilter, yes: bool) -> pa.Re
 
 def meet(rows: DataFrame, found: DataFrame, bits) -> DataFrame:
     """Rows whose ``_hash`` may be in ``found`` with the other columns of ``found``, met on ``_key`` (null is a value) and ``_hash``."""
-    at = small_batches(rows).columns.index("_hash")
+    at = rows.columns.index("_hash")
     more = [c for c in found.columns if c not in ("_key", "_hash")]
     same = (F.col("r._hash") == F.col("f._hash")) & F.col("r._key").eqNullSafe(F.col("f._key"))
     some = rows.mapInArrow(lambda batches: (by_hash(b, at, bits.value, True) for b in batches), rows.schema).alias("r").join(found.alias("f"), same, "left")
@@ -301,7 +321,6 @@ def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) ->
     ``keep`` None keeps all columns.  A kept column whose name (in any case) is also a new one is replaced.
     """
     fields = parsed(new).fields
-    small_batches(df)
     taken = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     inner = "_text"

@@ -140,47 +140,42 @@ class Quantiser:
 
 
 class Level:
-    """Successors of a shard's contexts.
+    """A shard's part of a level: the nodes below its nodes of the level above.
 
-    ``contexts`` are the sorted context hashes, ``pointers`` where the successors of each begin, ``successors`` their
-    ``BITS``-bit codes, made one rising sequence by adding each context's base.  ``shares`` are the codes of the
-    discounted probabilities, ``rests`` those of what the discount leaves to the lower order.
+    ``contexts`` are the numbers of those nodes in rising order, ``pointers`` where the successors of each begin,
+    ``successors`` the successors' words, made one rising sequence by adding each context's place.  ``shares`` are the
+    codes of the discounted probabilities, ``rests`` those of what the discount leaves to the lower order.
     """
 
-    BITS = 40
-
-    def __init__(self, contexts: np.ndarray, codes: np.ndarray, counts: np.ndarray, folder: str, name: str):
-        """``contexts`` (hash), ``codes`` and ``counts`` (> 0) of all different n-grams, sorted by context and code."""
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float, rest: Quantiser, share: Quantiser, folder: str, name: str):
+        """``contexts``, ``words`` and ``counts`` (> 0) of all different n-grams, sorted by context and word."""
         own, first, size = np.unique(contexts, return_index=True, return_counts=True)
-        assert len(own) < 1 << 24, "too many contexts in one shard: raise spark.sql.shuffle.partitions"
         index = np.repeat(np.arange(len(own)), size)
-        once, twice = (counts == 1).sum(), (counts == 2).sum()
-        discount = once / (once + 2 * twice) if once and twice else 0.5
         total = np.add.reduceat(counts, first).astype(np.float64) if len(own) else np.zeros(0)
-        share = (counts - discount) / total[index] if len(own) else np.zeros(0)
-        rest = discount * size / total if len(own) else np.zeros(0)
-        self.share, self.rest = Quantiser(share), Quantiser(rest)
-        self.shares, self.rests = self.share.codes(share), self.rest.codes(rest)
+        self.top = int(words.max()) if len(words) else 0
+        self.bits = np.uint64(self.top.bit_length())
         self.contexts = EliasFano.build(own).mapped(folder, name + ".contexts")
-        self.pointers = EliasFano.build(np.concatenate([first, [len(codes)]])).mapped(folder, name + ".pointers")
-        base = index.astype(np.uint64) << np.uint64(self.BITS)
-        self.successors = EliasFano.build(base | codes).mapped(folder, name + ".successors")
-        for part in ("shares", "rests"):
+        self.pointers = EliasFano.build(np.concatenate([first, [len(words)]])).mapped(folder, name + ".pointers")
+        self.successors = EliasFano.build((index.astype(np.uint64) << self.bits) | words.astype(np.uint64)).mapped(folder, name + ".successors")
+        codes = {"shares": share.codes((counts - discount) / total[index] if len(own) else total), "rests": rest.codes(discount * size / total if len(own) else total)}
+        for part, array in codes.items():
             path = os.path.join(folder, f"{name}.{part}")
-            array = np.concatenate([getattr(self, part), np.zeros(1, np.uint8)])
-            array.tofile(path)
+            np.concatenate([array, np.zeros(1, np.uint8)]).tofile(path)
             setattr(self, part, np.memmap(path, np.uint8, "r"))
 
-    def look_up(self, contexts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the rest of every context and of the share of every successor; ``sizes`` successors follow each context."""
-        i, known = self.contexts.successor(contexts)
+    def look_up(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the rest of every context and of the share of every successor, and the successor's place (-1: none).
+
+        ``sizes`` successors follow each context.
+        """
+        i, known = self.contexts.successor(contexts.astype(np.uint64))
         i = np.where(known, i, 0)
         rests = np.where(known, self.rests[i], 0).astype(np.uint8)
         if not known.any():
-            return rests, np.zeros(len(codes), np.uint8)
+            return rests, np.zeros(len(words), np.uint8), np.full(len(words), -1, np.int64)
         lo, hi = self.pointers.get(i).astype(np.int64), self.pointers.get(i + 1).astype(np.int64)
         of = np.repeat(np.arange(len(contexts)), sizes)
-        x = (i.astype(np.uint64) << np.uint64(self.BITS))[of] | codes
+        x = (i.astype(np.uint64) << self.bits)[of] | np.minimum(words, self.top).astype(np.uint64)
         at, found = self.successors.successor(x, lo[of], hi[of])
-        found &= known[of]
-        return rests, np.where(found, self.shares[np.where(found, at, 0)], 0).astype(np.uint8)
+        found &= known[of] & (words <= self.top)
+        return rests, np.where(found, self.shares[np.where(found, at, 0)], 0).astype(np.uint8), np.where(found, at, -1)

@@ -19,12 +19,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, added, blocks, documents, mix, numbers, per_text, powers, small_batches
+from .common import Block, added, blocks, documents, hash_spans, mix, numbers, per_text
 
 WIDE, SIGNS, CUT = 32, 256, 8
 STATE = WIDE * 8 + SIGNS * 4
 _LANES = numbers(2 * WIDE, 4).reshape(2, WIDE)
-_TABLES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * s)) for s in (1, 2)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 
@@ -32,10 +31,6 @@ _SPACE[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 def _paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of every paragraph of a block, and the first paragraph of each text."""
     data, offsets = block.data, block.offsets
-    up, down = powers(len(data) + 1)
-    total = np.zeros((2, len(data) + 1), np.uint64)
-    for row, table in zip(total, _TABLES, strict=True):
-        np.cumsum(table[data] * up[:-1], out=row[1:])
     # lines: text ends come before a line feed at the same place, which is the next text's
     feeds = np.flatnonzero(data == 10)
     stops = np.concatenate([offsets[1:], feeds])
@@ -47,7 +42,7 @@ def _paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # a cut lies behind white space inside a line; the word before it decides
     space = np.flatnonzero(_SPACE[data])
     before = np.maximum.reduce([np.zeros_like(space), _last(space, np.concatenate([[-1], space[:-1]])), _last(space, feeds), _last(space, offsets[:-1] - 1)])
-    word = mix((total[0][space] - total[0][before]) * down[before])
+    word = hash_spans(data, before, np.maximum(space, before))
     of = np.searchsorted(stops, space, "right")
     cut = (space > before) & (word % np.uint64(CUT) == 0) & (space + 1 < stops[of])
     line = np.concatenate([np.arange(len(starts)), of[cut]])
@@ -56,8 +51,7 @@ def _paragraphs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line, a = line[by], a[by]
     more = np.concatenate([line[1:] == line[:-1], [False]])
     b = np.where(more, np.concatenate([a[1:], [0]]), stops[line])
-    h = [mix((t[b] - t[a]) * down[a] + np.uint64(i + 1)) for i, t in enumerate(total)]
-    return h[0], h[1], np.searchsorted(owner[line], np.arange(block.n + 1))
+    return hash_spans(data, a, b, 1), hash_spans(data, a, b, 2), np.searchsorted(owner[line], np.arange(block.n + 1))
 
 
 def _last(at: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -169,7 +163,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", pa
     """
     # whole texts are sorted: a quarter of the usual partition keeps a task small
     parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_order(small_batches(df), key, text, parts)
+    rows = in_order(df, key, text, parts)
     kind = rows.schema["k"].dataType.simpleString()
     schema = (
         f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

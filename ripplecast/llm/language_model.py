@@ -1,15 +1,23 @@
-"""Language-model scores from an Elias-Fano n-gram trie that is spread over shards.
-
-A batch of texts is turned into numbers of its own different words and stored.  For each order it sends every shard one
-packet: the contexts of that shard with their successors and how often training texts have them.  A shard adds up the
-packets, builds its level of the trie in memory-mapped files, and answers every packet with one code per successor and
-context.  Back at its batch, an n-gram's probability is its share plus the context's rest times the lower order.  So no
-count, vocabulary or trie passes the driver or is copied to every executor; only two totals are.
+"""Language-model scores from an Elias-Fano n-gram trie whose levels are spread over shards.
+
+A batch of texts is turned into numbers of its own different words and stored.  Level 1 numbers the training words.  A
+node of level n is a word below a node of level n - 1: a batch asks the shard of each node which of its words' successors
+exist, and the answer names the nodes that the next level's questions start from.  Words and contexts that training texts
+do not have are never asked about again.
+
+A question is one packet for each batch and shard that it concerns: contexts in rising order, the successors of each with
+their training counts.  A shard adds up all packets, builds its part of the level in memory-mapped files, and answers
+every packet with one code per context and successor.  Discounts and the range of the codes come from totals over all
+shards, so the model does not depend on how many there are.  Back at its batch, an n-gram's probability is its share plus
+the context's rest times the lower order.  No count, vocabulary or trie passes the driver or is copied to every executor;
+a few totals are.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import scratch_path
-from .common import blocks, documents, mix, not_space, per_text, remainder, small_batches, tidy
+from ..plans.lineage import forget, stored
+from .common import blocks, documents, mix, not_space, per_text, remainder, tidy
 from .elias_fano import Level, Quantiser
 
 WORD_BYTES = not_space()
 END = mix(np.array([0xE0D], np.uint64))[0]
 BATCH = 1 << 23  # bytes of text in one batch
 ORDER = 3
-_CODE = np.uint64((1 << Level.BITS) - 1)
+SHARD_TOKENS = 8_000_000  # so many tokens for each shard at most
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -40,6 +48,24 @@ def unpacked(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def rising(x: np.ndarray) -> bytes:
+    """Rising numbers as packed differences."""
+    return packed(np.diff(x, prepend=0).astype(np.uint64))
+
+
+def risen(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, "<u8"), dtype=np.uint64).astype(np.int64)
+
+
+def numbers_of(x: np.ndarray) -> bytes:
+    """Node numbers, of which -1 is none, in as few bytes as they need."""
+    return packed((x + 1).astype(np.uint64))
+
+
+def numbers_in(b: bytes) -> np.ndarray:
+    return unpacked(b, "<u8").astype(np.int64) - 1
+
+
 class Batch:
     """Tokens of some texts: ``hashes`` of the different words, ``tokens`` (numbers of these), ``first`` of each text, ``train``."""
 
@@ -66,43 +92,50 @@ class Batch:
     def words_of(self, shard: int, shards: int) -> np.ndarray:
         return np.flatnonzero(self.hashes % np.uint64(shards) == np.uint64(shard))
 
-    def grams(self, order: int, shards: int) -> tuple[np.ndarray, ...]:
-        """Different n-grams by shard, context and code.
-
-        Returns their contexts' hashes, how many n-grams each context has, the n-grams' codes and training counts, the
-        number of the first context and n-gram of each shard, and for every token its n-gram and its context.
-        """
-        end = int(np.flatnonzero(self.hashes == END)[0])
-        before = np.concatenate([[end], self.tokens[:-1]])
-        before[self.first[:-1]] = end
-        context = self.hashes[before]
-        for _ in range(order - 2):
-            before = np.concatenate([[end], before[:-1]])
-            before[self.first[:-1]] = end
-            context = mix(context * np.uint64(3) + self.hashes[before])
-        context = mix(context + np.uint64(order))
-        own, local = np.unique(context, return_inverse=True)
-        by = np.argsort(own % np.uint64(shards), kind="stable")
+
+class Grams(NamedTuple):
+    """What a batch asks of one level, by shard and then by context.
+
+    ``contexts`` (node numbers of the level above), ``sizes`` (successors of each), ``words`` and training ``counts`` of
+    the successors, where each shard's contexts and successors begin, and for every token its context and its n-gram (-1: none).
+    """
+
+    contexts: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    contexts_at: np.ndarray
+    words_at: np.ndarray
+    context: np.ndarray
+    gram: np.ndarray
+
+    @classmethod
+    def of(cls, context: np.ndarray, word: np.ndarray, weights: np.ndarray, shards: int) -> Grams:
+        known = np.flatnonzero(context >= 0)
+        own, inverse = np.unique(context[known], return_inverse=True)
+        shard = (mix(own.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
         place = np.empty(len(own), np.int64)
         place[by] = np.arange(len(own))
-        own, local = own[by], place[local]
-        # a successor's code is relative to its context
-        code = mix(self.hashes[self.tokens] ^ context) & _CODE
-        key = (local.astype(np.uint64) << np.uint64(Level.BITS)) | code
-        assert len(own) < 1 << 24, "too many contexts in one batch"
-        gram, inverse = np.unique(key, return_inverse=True)
-        counts = np.bincount(inverse, self.weights(), len(gram)).astype(np.int64)
-        of = (gram >> np.uint64(Level.BITS)).astype(np.int64)
-        sizes = np.bincount(of, minlength=len(own))
-        shard = (own % np.uint64(shards)).astype(np.int64)
-        contexts_at = np.searchsorted(shard, np.arange(shards + 1))
-        grams_at = np.concatenate([[0], np.cumsum(sizes)])[contexts_at]
-        return own, sizes, gram & _CODE, counts, contexts_at, grams_at, inverse, local
-
-
-def _stored(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
+        local = np.full(len(context), -1, np.int64)
+        local[known] = place[inverse]
+        both = np.flatnonzero((local >= 0) & (word >= 0))
+        order = np.lexsort((word[both], local[both]))
+        c, w = local[both][order], word[both][order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
+        of = np.cumsum(new) - 1
+        gram = np.full(len(context), -1, np.int64)
+        gram[both[order]] = of
+        n = int(new.sum())
+        counts = np.bincount(of, weights[both[order]], n).astype(np.int64)
+        sizes = np.bincount(c[new], minlength=len(own))
+        contexts_at = np.searchsorted(shard[by], np.arange(shards + 1))
+        return cls(own[by], sizes, w[new], counts, contexts_at, np.concatenate([[0], np.cumsum(sizes)])[contexts_at], local, gram)
+
+
+def _batches(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
     """One row per batch of texts, written once: number, keys, flags and packed tokens."""
-    rows = small_batches(docs).select(docs[f"`{key}`"].alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[f"`{text}`"].cast("string").alias("t"))
+    rows = docs.select(docs[f"`{key}`"].alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[f"`{text}`"].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches):
@@ -119,103 +152,186 @@ def _stored(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
                     pa.array([batch.column(0).slice(part.rows.start, part.n).to_pylist()], pa.list_(batch.schema.field(0).type)),
                     pa.array([packed(x) for x in (b.hashes,)], pa.binary()), pa.array([packed(b.tokens)], pa.binary()),
                     pa.array([packed(b.first.astype(np.int64))], pa.binary()), pa.array([packed(b.train.astype(np.uint8))], pa.binary()),
-                    pa.array([int(np.diff(b.first)[b.train].sum())], pa.int64())], names=["keys", "hashes", "tokens", "first", "train", "n"])
+                    pa.array([int(np.diff(b.first)[b.train].sum())], pa.int64()), pa.array([len(b.tokens)], pa.int64()),
+                ], names=["keys", "hashes", "tokens", "first", "train", "n", "all"])
                 del b, hashes, counts
         tidy()
 
-    path = scratch_path(docs.sparkSession, "batches")
-    rows.mapInArrow(run, f"keys array<{kind}>, hashes binary, tokens binary, first binary, train binary, n long").withColumn("batch", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    schema = f"keys array<{kind}>, hashes binary, tokens binary, first binary, train binary, n long, all long"
+    return stored(rows.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "batches")
 
 
 def _batch(row: dict) -> Batch:
     return Batch(unpacked(row["hashes"], "<u8"), unpacked(row["tokens"], "<u4"), unpacked(row["first"], "<i8"), unpacked(row["train"], "u1").astype(bool))
 
 
-_PACKET = "shard int, level int, batch long, contexts binary, sizes binary, codes binary, counts binary"
+_PACKET = "shard int, batch long, contexts binary, sizes binary, words binary, counts binary"
+_ANSWER = "shard int, batch long, level int, nodes binary, totals binary, rests binary, shares binary"
 
 
-def _packets(stored: DataFrame, orders: list[int], shards: int) -> DataFrame:
-    """One row per batch, level and shard; level 1 holds single words (as contexts, with counts)."""
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.Table.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    def run(batches):
-        for batch in batches:
+
+def _word_packets(batches: DataFrame, shards: int) -> DataFrame:
+    """Words of each batch with their training counts, as contexts; a shard that has none gets no packet."""
+
+    def run(rows):
+        for batch in rows:
             for row in batch.to_pylist():
                 b = _batch(row)
-                for level in orders:
-                    out = []
-                    if level == 1:
-                        counts = np.bincount(b.tokens, b.weights(), len(b.hashes)).astype(np.uint32)
-                        for s in range(shards):
-                            at = b.words_of(s, shards)
-                            out.append((s, 1, row["batch"], packed(b.hashes[at]), b"", b"", packed(counts[at])))
-                    else:
-                        own, sizes, codes, counts, contexts_at, grams_at, _, _ = b.grams(level, shards)
-                        five = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : Level.BITS // 8]
-                        for s in range(shards):
-                            c, g = slice(contexts_at[s], contexts_at[s + 1]), slice(grams_at[s], grams_at[s + 1])
-                            out.append((s, level, row["batch"], own[c].astype("<u8").tobytes(), packed(sizes[c].astype(np.uint32)), five[g].tobytes(), packed(counts[g].astype(np.uint32))))
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_PACKET))
+                counts = np.bincount(b.tokens, b.weights(), len(b.hashes)).astype(np.uint32)
+                out = [(s, row["batch"], packed(b.hashes[at]), b"", b"", packed(counts[at])) for s in range(shards) if len(at := b.words_of(s, shards))]
+                yield from _table(out, _PACKET).to_batches()
 
-    return stored.select("hashes", "tokens", "first", "train", "batch").mapInArrow(run, _PACKET)
+    return batches.select("hashes", "tokens", "first", "train", "batch").mapInArrow(run, _PACKET)
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def _numbered_words(packets: DataFrame, shards: int) -> DataFrame:
+    """Level 1: numbers and total training counts of every packet's words; a word that training texts lack has no number."""
 
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+        hashes = [unpacked(r["contexts"], "<u8") for r in rows]
+        own, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([unpacked(r["counts"], "<u4") for r in rows]), len(own)).astype(np.int64)
+        node = np.full(len(own), -1, np.int64)
+        known = np.flatnonzero(total > 0)
+        known = known[np.lexsort((own[known], -total[known]))]  # frequent words get small numbers
+        node[known] = np.arange(len(known)) * shards + rows[0]["shard"]
+        at = np.cumsum([0, *map(len, hashes)])
+        out = [(r["shard"], r["batch"], 1, numbers_of(node[inverse[a:b]]), packed(total[inverse[a:b]]), b"", b"") for r, a, b in zip(rows, at, at[1:], strict=False)]
+        tidy()
+        return _table(out, _ANSWER)
 
-_ANSWER = "shard int, level int, batch long, known long, values binary, shares binary, tables binary"
+    return packets.groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
-def _answer_words(rows: list[dict]) -> list[tuple]:
-    """Total training counts of every packet's words; ``known`` is the shard's number of different training words."""
-    hashes = [unpacked(r["contexts"], "<u8") for r in rows]
-    own, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([unpacked(r["counts"], "<u4") for r in rows]), len(own)).astype(np.int64)
-    at = np.cumsum([0, *map(len, hashes)])
-    return [(r["shard"], 1, r["batch"], int((total > 0).sum()), packed(total[inverse[a:b]]), b"", b"") for r, a, b in zip(rows, at, at[1:], strict=False)]
+class Known(NamedTuple):
+    """What the answers say about a batch: counts and numbers of its words, its tokens' nodes, and by level their rests and shares."""
 
+    counts: np.ndarray
+    word: np.ndarray
+    node: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray]]
 
-def _five(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, Level.BITS // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : raw.shape[1]] = raw
-    return out.view("<u8").ravel()
 
+def _known(b: Batch, answers: list[dict], upto: int, shards: int, tables: list[np.ndarray]) -> Known:
+    by = {(a["level"], a["shard"]): a for a in answers}
+    word, counts = np.full(len(b.hashes), -1, np.int64), np.zeros(len(b.hashes), np.int64)
+    for s in range(shards):
+        if (1, s) in by:
+            at = b.words_of(s, shards)
+            word[at], counts[at] = numbers_in(by[1, s]["nodes"]), unpacked(by[1, s]["totals"], "<i8")
+    node, levels = word[b.tokens], []
+    for level in range(2, upto + 1):
+        g = _asked(b, word, node, level, shards)
+        nodes, rests, shares = np.full(len(g.words), -1, np.int64), np.zeros(len(g.contexts), np.uint8), np.zeros(len(g.words), np.uint8)
+        for s in range(shards):
+            if a := by.get((level, s)):
+                w = slice(g.words_at[s], g.words_at[s + 1])
+                if a["nodes"]:
+                    nodes[w] = numbers_in(a["nodes"])
+                if tables:
+                    rests[g.contexts_at[s] : g.contexts_at[s + 1]], shares[w] = unpacked(a["rests"], "u1"), unpacked(a["shares"], "u1")
+        node = np.where(g.gram >= 0, nodes[g.gram], -1) if len(nodes) else np.full(len(node), -1, np.int64)
+        if tables:
+            table = tables[level - 2]
+            rest = np.where(g.context >= 0, table[0][rests[g.context]], 0.0) if len(rests) else np.zeros(len(node))
+            share = np.where(g.gram >= 0, table[1][shares[g.gram]], 0.0) if len(shares) else np.zeros(len(node))
+            levels.append((rest, share))
+    return Known(counts, word, node, levels)
+
+
+def _asked(b: Batch, word: np.ndarray, node: np.ndarray, level: int, shards: int) -> Grams:
+    """N-grams of a level: below the node of the token before; a text begins below the end, and higher orders not before that."""
+    context = np.concatenate([[-1], node[:-1]])
+    context[b.first[:-1]] = word[np.flatnonzero(b.hashes == END)[0]] if level == 2 else -1
+    return Grams.of(context, word[b.tokens], b.weights(), shards)
+
+
+def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: int) -> DataFrame:
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            b = _batch(row)
+            known = _known(b, right.to_pylist(), level - 1, shards, [])
+            g = _asked(b, known.word, known.node, level, shards)
+            for s in range(shards):
+                c, w = slice(g.contexts_at[s], g.contexts_at[s + 1]), slice(g.words_at[s], g.words_at[s + 1])
+                if c.stop > c.start:
+                    out.append((s, row["batch"], rising(g.contexts[c]), packed(g.sizes[c].astype(np.uint32)), packed(g.words[w].astype(np.uint64)), packed(g.counts[w].astype(np.uint32))))
+        tidy()
+        return _table(out, _PACKET)
+
+    left = batches.select("batch", "hashes", "tokens", "first", "train")
+    return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask, _PACKET)
+
+
+class Added(NamedTuple):
+    """All packets of a shard added up: its training n-grams in order, and what each packet asks."""
+
+    contexts: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-def _answer_grams(rows: list[dict]) -> list[tuple]:
-    """Build the shard's level from all packets and look up every packet in it."""
-    contexts = [np.frombuffer(r["contexts"], "<u8") for r in rows]
-    sizes = [unpacked(r["sizes"], "<u4").astype(np.int64) for r in rows]
-    codes = [_five(r["codes"]) for r in rows]
+
+def _added(rows: list[dict]) -> Added:
+    asked = [(risen(r["contexts"]), unpacked(r["sizes"], "<u4").astype(np.int64), unpacked(r["words"], "<u8").astype(np.int64)) for r in rows]
     counts = np.concatenate([unpacked(r["counts"], "<u4") for r in rows]).astype(np.int64)
-    own, local = np.unique(np.concatenate(contexts), return_inverse=True)
-    key = (np.repeat(local, np.concatenate(sizes)).astype(np.uint64) << np.uint64(Level.BITS)) | np.concatenate(codes)
     seen = counts > 0
-    grams, inverse = np.unique(key[seen], return_inverse=True)
-    total = np.bincount(inverse, counts[seen], len(grams)).astype(np.int64)
-    del key, inverse
-    out = []
-    with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-        level = Level(own[(grams >> np.uint64(Level.BITS)).astype(np.int64)], grams & _CODE, total, folder, "level")
-        tables = np.concatenate([level.rest.table(), level.share.table()]).astype("<f8").tobytes()
-        for r, c, s, k in zip(rows, contexts, sizes, codes, strict=True):
-            rests, shares = level.look_up(c, s, k)
-            out.append((r["shard"], r["level"], r["batch"], len(own), packed(rests), packed(shares), tables))
-    return out
-
-
-def _answers(packets: DataFrame) -> DataFrame:
+    context = np.concatenate([np.repeat(c, n) for c, n, _ in asked])[seen]
+    word = np.concatenate([w for _, _, w in asked])[seen]
+    order = np.lexsort((word, context))
+    context, word, counts = context[order], word[order], counts[seen][order]
+    if not len(word):
+        return Added(context, word, counts, asked)
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+    return Added(context[first], word[first], np.add.reduceat(counts, first), asked)
+
+
+def _totals(packets: DataFrame) -> tuple[float, int]:
+    """Discount of a level and the largest total of a context, over all shards."""
+    schema = "once long, twice long, most long"
+
+    def count(table: pa.Table) -> pa.Table:
+        all_of = _added(table.to_pylist())
+        first = np.flatnonzero(np.diff(all_of.contexts, prepend=-1))
+        most = int(np.add.reduceat(all_of.counts, first).max()) if len(first) else 0
+        tidy()
+        return _table([(int((all_of.counts == 1).sum()), int((all_of.counts == 2).sum()), most)], schema)
+
+    r = packets.groupBy("shard").applyInArrow(count, schema).agg(F.sum("once"), F.sum("twice"), F.max("most")).first()
+    once, twice, most = (x or 0 for x in r)
+    return once / (once + 2 * twice) if once and twice else 0.5, most
+
+
+def quantisers(discount: float, most: int) -> tuple[Quantiser, Quantiser]:
+    """Of rests and shares, over all values that they can have."""
+    return Quantiser(np.array([discount / max(most, 1), 1.0])), Quantiser(np.array([(1 - discount) / max(most, 1), 1.0]))
+
+
+def _answered(packets: DataFrame, level: int, last: bool, shards: int, discount: float, most: int) -> DataFrame:
+    """Build each shard's part of the level and look every packet up in it."""
+
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        out = _answer_words(rows) if rows[0]["level"] == 1 else _answer_grams(rows)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
-        del rows
+        all_of, shard = _added(rows), rows[0]["shard"]
+        out = []
+        with tempfile.TemporaryDirectory(prefix="trie-") as folder:
+            trie = Level(all_of.contexts, all_of.words, all_of.counts, discount, *quantisers(discount, most), folder, "level")
+            for r, asked in zip(rows, all_of.asked, strict=True):
+                rests, shares, at = trie.look_up(*asked)
+                nodes = b"" if last else numbers_of(np.where(at >= 0, at * shards + shard, -1))
+                out.append((shard, r["batch"], level, nodes, b"", packed(rests), packed(shares)))
         tidy()
-        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_ANSWER))
+        return _table(out, _ANSWER)
 
-    return packets.groupBy("shard", "level").applyInArrow(answer, _ANSWER)
+    return packets.groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
 def single(counts: np.ndarray, n: int, v: int, discount: float = 0.5) -> np.ndarray:
@@ -225,58 +341,58 @@ def single(counts: np.ndarray, n: int, v: int, discount: float = 0.5) -> np.ndar
     return q.table()[q.codes(p)]
 
 
-def _scored(b: Batch, answers: list[dict], orders: list[int], shards: int, n: int, v: int) -> list[np.ndarray]:
-    by = {(a["level"], a["shard"]): a for a in answers}
-    counts = np.zeros(len(b.hashes), np.int64)
-    for s in range(shards):
-        counts[b.words_of(s, shards)] = unpacked(by[1, s]["values"], "<i8")
-    p = single(counts, n, v)[b.tokens]
-    for level in orders[1:]:
-        _, _, _, _, contexts_at, grams_at, gram, context = b.grams(level, shards)
-        rests, shares = np.zeros(contexts_at[-1]), np.zeros(grams_at[-1])
-        for s in range(shards):
-            a = by[level, s]
-            tables = np.frombuffer(a["tables"], "<f8")
-            rests[contexts_at[s] : contexts_at[s + 1]] = tables[:256][unpacked(a["values"], "u1")]
-            shares[grams_at[s] : grams_at[s + 1]] = tables[256:][unpacked(a["shares"], "u1")]
-        rest = rests[context]
-        p = shares[gram] + np.where(rest > 0, rest, 1.0) * p  # an unknown context leaves all to the lower order
-    c = counts[b.tokens]
-    base = np.log10((c + 1) / (n + 1 * (v + 1)))
-    return [np.diff(b.first), per_text((c > 0).astype(np.int64), b.first), per_text(base, b.first), per_text(np.log10(p), b.first)]
-
-
 def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", order: int = ORDER, shards: int | None = None) -> DataFrame:
     """Score all texts by a model of the texts for which ``held_out`` (a column) is not true.
 
     Tokens are words between ASCII white space, A-Z folded, and one end.  Columns: the key, ``held_out``, ``n_tokens``,
     ``n_known`` (seen in training), ``train_tokens``, ``base_score`` (add-one unigram, log10) and ``score`` (the model's
     log10 probability).  Null texts are empty and score their end; a null ``held_out`` counts as false; without any
-    training text every word is equally unknown.  Every row is scored, repeated or not.
+    training text every word is equally unknown.  Every row is scored, repeated or not.  ``shards`` changes no score.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = list(range(1, order + 1))
-    stored = _stored(docs, text, key, held_out)
-    path = scratch_path(spark, "answers")
-    _answers(_packets(stored, orders, shards)).write.parquet(path)
-    answers = spark.read.parquet(path)
-    n = stored.agg(F.sum("n")).first()[0] or 0
-    v = answers.where("level = 1").groupBy("shard").agg(F.max("known").alias("v")).agg(F.sum("v")).first()[0] or 0
+    batches = _batches(docs, text, key, held_out)
+    total = batches.agg(F.sum("n").alias("n"), F.sum("all").alias("all")).first()
+    n = total["n"] or 0
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["all"] or 0) // SHARD_TOKENS))
+    answers = stored(_numbered_words(_word_packets(batches, shards), shards), "answers")
+    tables: list[np.ndarray] = []
+    for level in range(2, order + 1):
+        packets = stored(_gram_packets(batches, answers, level, shards), "packets")
+        discount, most = _totals(packets)
+        answers = answers.union(stored(_answered(packets, level, level == order, shards, discount, most), "answers"))
+        forget(packets)
+        tables.append(np.stack([q.table() for q in quantisers(discount, most)]))
+    v = _vocabulary(answers, shards)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, b = left.to_pylist()[0], None
-        b = _batch(row)
-        tokens, known, base, score = _scored(b, right.to_pylist(), orders, shards, n, v)
+        b = _batch(left.to_pylist()[0])
+        known = _known(b, right.to_pylist(), order, shards, tables)
+        p = single(known.counts, n, v)[b.tokens]
+        for rest, share in known.levels:
+            p = share + np.where(rest > 0, rest, 1.0) * p  # an unknown context leaves all to the lower order
+        c = known.counts[b.tokens]
+        base = np.log10((c + 1) / (n + 1 * (v + 1)))
+        out = [np.diff(b.first), per_text((c > 0).astype(np.int64), b.first), np.full(len(b.train), n), per_text(base, b.first), per_text(np.log10(p), b.first)]
         keys = left.column("keys").combine_chunks().flatten()
-        return pa.Table.from_arrays([
-            keys, pa.array(~b.train), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), n), pa.int64()),
-            pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=names)
+        return pa.Table.from_arrays([keys, pa.array(~b.train), *[pa.array(x, pa.int64()) for x in out[:3]], *[pa.array(x, pa.float64()) for x in out[3:]]], names=names)
 
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return stored.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, schema)
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, schema)
+
+
+def _vocabulary(answers: DataFrame, shards: int) -> int:
+    """Number of different training words: the numbers that the shards of level 1 gave."""
+    schema = "shard int, n long"
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out = [(s, int(numbers_in(b).max(initial=-1)) // shards + 1) for s, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield from _table(out, schema).to_batches()
+
+    found = answers.where("level = 1").select("shard", "nodes").mapInArrow(run, schema)
+    return found.groupBy("shard").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
 def op2_language_model(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
-from .common import Words, bit_filter, blocks, by_hash, documents, extended, meet, mix, not_space, powers, small_batches, tidy
+from .common import Words, bit_filter, blocks, by_hash, documents, extended, meet, mix, not_space, tidy
 
 WINDOW, ANCHOR = 35, 8
 HOT = 20_000  # occurrences from which an anchor's segments are confirmed by a distributed count, not in one task
@@ -58,9 +58,14 @@ class Segments:
         last = np.flatnonzero(ok & (~after | np.concatenate([first[1:], [True]])))
         self.stop = last + window
         self.anchor = value[self.start]
-        up, down = powers(len(words.hashes) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * up[:-1], dtype=np.uint64)])
-        self.content = mix((total[self.stop] - total[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64))
+        # a segment is told by its windows: the first, each `window` words further, the last, and its length
+        self.content = mix(whole[self.start] + (self.stop - self.start).astype(np.uint64))
+        at, place = np.arange(len(self.start)), self.start.copy()
+        while len(at):
+            more = place[at] + window < self.stop[at]
+            at = at[more]
+            place[at] = np.minimum(place[at] + window, self.stop[at] - window)
+            self.content[at] = mix(self.content[at] * np.uint64(3) + whole[place[at]])
 
     def text(self, i: int) -> bytes:
         w = self.words
@@ -265,7 +270,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     new = {"n_words", "n_removed", "kept_text", "_key", "_hash", "_body", "_spans"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     rows = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{key}`"].alias("_key"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("_body"))
-    rows = small_batches(rows).withColumn("_hash", F.xxhash64("_body"))
+    rows = rows.withColumn("_hash", F.xxhash64("_body"))
     counts = cut_lineage(_anchor_counts(rows, window))
     wanted, frequent = bit_filter(counts, "anchor"), counts.where(F.col("n") > hot)
     often = bit_filter(frequent, "anchor")

@@ -56,6 +56,41 @@ def language_model_base(docs, held_out):
     return [(k, held_out(k), len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in t)) for t, (k, _) in zip(tokens, docs, strict=True)]
 
 
+class LanguageModel:
+    """Interpolated absolute discounting, unquantised: counts of all n-grams in dictionaries."""
+
+    def __init__(self, docs, held_out, order):
+        self.order = order
+        self.grams = [Counter() for _ in range(order + 1)]
+        for k, t in docs:
+            if not held_out(k):
+                words = [None, *spaced(fold(t or "")), None]
+                for n in range(1, order + 1):
+                    self.grams[n].update(tuple(words[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(words)))
+        self.discounts = [0.0, 0.5]
+        for n in range(2, order + 1):
+            once, twice = (sum(c == x for c in self.grams[n].values()) for x in (1, 2))
+            self.discounts.append(once / (once + 2 * twice) if once and twice else 0.5)
+        self.below = [defaultdict(list) for _ in range(order + 1)]
+        for n in range(2, order + 1):
+            for g, c in self.grams[n].items():
+                self.below[n][g[:-1]].append(c)
+
+    def p(self, context, word):
+        n, v = sum(self.grams[1].values()), len(self.grams[1])
+        out = max(self.grams[1][word,] - 0.5, 0) / max(n, 1) + (0.5 * v / n if n else 1.0) / (v + 1)
+        for k in range(2, self.order + 1):
+            own = self.below[k].get(tuple(context[len(context) - k + 1 :])) if len(context) >= k - 1 else None
+            if own:
+                d = self.discounts[k]
+                out = max(self.grams[k][(*context[len(context) - k + 1 :], word)] - d, 0) / sum(own) + d * len(own) / sum(own) * out
+        return out
+
+    def score(self, text):
+        words = [None, *spaced(fold(text or "")), None]
+        return sum(math.log10(self.p(words[max(0, i - self.order + 1) : i], words[i])) for i in range(1, len(words)))
+
+
 def held(by: int, rest: int):
     return lambda k: k is not None and zlib.crc32(str(k).encode()) % by == rest
 

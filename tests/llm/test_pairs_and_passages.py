@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from ripplecast.llm import decontaminate, elias_fano, language_model, near_dedup, repeated_phrases
+from ripplecast.llm import decontaminate, elias_fano, fingerprints, language_model, near_dedup, queries, repeated_phrases
+from ripplecast.llm.common import documents, remainder
 from ripplecast.llm.components import components
 
 from . import brute
@@ -147,27 +150,30 @@ def test_language_model(spark, odd_texts):
     assert all(r.score < 0 for r in out.collect())
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_probabilities_sum_to_one(spark, order):
-    """All words after one context, with the unknown one, have about 1 together; steps of the codes are all that is lost."""
-    docs = [(i, f"a b c{i % 5} a b") for i in range(50)]
-    seen = ["a", "b", *[f"c{i}" for i in range(5)], ""]
-    asked = [(1000 + i, ("a b " + w).strip()) for i, w in enumerate([*seen[:-1], "unknown"])] + [(2000, "a b")]
-    frame = spark.createDataFrame(docs + asked, "doc_id long, text string")
-    out = {r.doc_id: r.score for r in language_model.score_texts(frame, frame.doc_id >= 1000, order=order, shards=3).collect()}
-    again = spark.createDataFrame(docs + [(3000, "a"), (3001, "a b")], "doc_id long, text string")
-    less = {r.doc_id: r.score for r in language_model.score_texts(again, again.doc_id >= 1000, order=order, shards=3).collect()}
-    assert less[3001] != less[3000] and all(s < 0 for s in out.values())
-    assert out[1002] > out[1007]  # a word known after the context is likelier than an unknown one
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_scores(spark, odd_texts, order):
+    rng = random.Random(order)
+    docs = odd_texts + [(100 + i, " ".join(rng.choice("the a cat dog ran sat fast slow".split()) for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    docs += [(1000 + i, t) for i, t in enumerate(["the cat", "the cat ran", "nothing like it", "a dog nothing sat the fast cat"])]
+    model = brute.LanguageModel(docs, brute.held(7, 2), order)
+    for context in ([None], [None, "the"], ["the", "cat", "ran"], ["dog", "nowhere"]):
+        every = [w for w, in model.grams[1]]
+        assert sum(model.p(context, w) for w in [*every, "\0"]) == pytest.approx(1)
+    got = language_model.score_texts(text_frame(spark, docs), language_model.remainder("doc_id", 7) == 2, order=order)
+    want = sorted(((k, model.score(t), len(brute.spaced(t)) + 1) for k, t in docs), key=repr)
+    # a code is off by half a step of a logarithm at most, and errors cancel out over a text
+    assert all(abs(r[1] - w[1]) <= 0.012 * w[2] for r, w in zip(rows(got, "doc_id", "score"), want, strict=True))
 
 
-def test_language_model_shards_agree(spark):
-    docs = [(i, " ".join(f"t{(i * j) % 17}" for j in range(20))) for i in range(40)]
+def test_language_model_shards_agree(spark, odd_texts):
+    docs = odd_texts + [(i, " ".join(f"t{(i * j) % 17}" for j in range(20))) for i in range(100, 140)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    one, many = (rows(language_model.score_texts(frame, frame.doc_id % 5 == 0, shards=s), "doc_id", "n_known", "base_score") for s in (1, 7))
-    assert one == many
+    one, *others = ([r for r in rows(language_model.score_texts(frame, frame.doc_id % 5 == 0, shards=s), "doc_id", "n_known", "base_score", "score")] for s in (1, 7, 211))
+    for many in others:
+        assert [r[:2] for r in many] == [r[:2] for r in one]
+        assert np.allclose([r[2:] for r in many], [r[2:] for r in one], rtol=1e-9, atol=1e-9)
     assert language_model.score_texts(frame.limit(0), frame.doc_id == 0).count() == 0
-    nothing = language_model.score_texts(frame, frame.doc_id >= 0)  # no training text at all
+    nothing = language_model.score_texts(frame, frame.doc_id.isNull() | (frame.doc_id >= 0))  # no training text at all
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing.collect())
 
 
@@ -192,12 +198,43 @@ def test_elias_fano_bucket_search_and_size():
 
 def test_level_round_trip(tmp_path):
     rng = np.random.default_rng(1)
-    pairs = np.unique(rng.integers(0, [50, 1 << 20], (3000, 2)), axis=0).astype(np.uint64)
+    pairs = np.unique(rng.integers(0, [50, 1 << 20], (3000, 2)), axis=0)
     counts = rng.integers(1, 9, len(pairs))
-    level = elias_fano.Level(pairs[:, 0], pairs[:, 1], counts, str(tmp_path), "l")
+    rest, share = language_model.quantisers(0.6, 500)
+    level = elias_fano.Level(pairs[:, 0], pairs[:, 1], counts, 0.6, rest, share, str(tmp_path), "l")
     own, sizes = np.unique(pairs[:, 0], return_counts=True)
-    rests, shares = level.look_up(own, sizes, pairs[:, 1])
-    total = np.bincount(np.repeat(np.arange(len(own)), sizes), level.share.table()[shares]) + level.rest.table()[rests]
+    rests, shares, at = level.look_up(own, sizes, pairs[:, 1])
+    assert (at == np.arange(len(pairs))).all()
+    total = np.bincount(np.repeat(np.arange(len(own)), sizes), share.table()[shares]) + rest.table()[rests]
     assert np.allclose(total, 1, atol=0.02)
-    _, none = level.look_up(np.array([77], np.uint64), np.array([1]), np.array([5], np.uint64))
-    assert none.tolist() == [0]
+    for context, word in ((77, 5), (3, 1 << 40)):
+        _, none, at = level.look_up(np.array([context]), np.array([1]), np.array([word]))
+        assert none.tolist() == [0] and at.tolist() == [-1]
+
+
+def test_language_model_is_registered_with_trigrams(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scores = {}
+    for order in (2, 3):
+        rows = language_model.score_texts(docs, remainder("doc_id", 7) == 2, order=order, shards=3).collect()
+        scores[order] = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    rows = queries.QUERIES["op2_language_model"](spark, sf_dir).collect()
+    got = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    print(scores, got)
+    assert got == pytest.approx(scores[3], rel=1e-3) and abs(got - scores[2]) > 0.01
+
+
+def test_words_whose_sums_cancel(spark):
+    """Two complementary Thue-Morse words: hashes that are sums over powers modulo 2**64 cannot tell them apart."""
+    one = "a"
+    for _ in range(11):
+        one += one.translate({97: 98, 98: 97})
+    two = one.translate({97: 98, 98: 97})
+    frame = spark.createDataFrame([(1, one), (2, two), (3, " ".join(one)), (4, " ".join(two))], "doc_id long, text string")
+    assert len({r.fingerprint for r in fingerprints.fingerprint(frame).collect()}) == 4
+    near = near_dedup.near_duplicates(frame.where("doc_id < 3"))
+    assert [r.component_id for r in near.orderBy("doc_id").collect()] == [1, 2]
+    words = [f"w{i}" for i in range(34)]
+    windows = [(1, " ".join([*words, one])), (2, " ".join([*words, two])), (3, " ".join([one, *words])), (4, " ".join([two, *words]))]
+    out = repeated_phrases.remove_repeats(spark.createDataFrame(windows, "doc_id long, text string"))
+    assert [r.n_removed for r in out.collect()] == [0, 0, 0, 0]
