@@ -5,9 +5,9 @@ for ``2 * SIDE * ROWS`` minimum hashes instead of ``2 * SIDE**2 * ROWS``.  A pai
 with probability ``(1 - (1 - s**ROWS)**SIDE)**2``: 0.99998 at 0.85 and more above.
 
 Documents with equal sets are one class, and only classes are hashed.  In each table the class with the least number is
-compared with the others of its key, exactly, on whole sets.  What these stars link is joined into components; then only
-members of one key that are still in different components are compared with each other, so no candidate of any table
-stays untested unless a link path already makes it needless.
+compared with the others of its key, exactly, on whole sets.  What these stars link is joined into components.  Members
+of one key that are still in different components then go through an exact set join with prefixes, which finds every
+link among them, so no candidate of any table is left unless a link path already makes it needless.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage, scratch_path
+from ..plans.lineage import cut_lineage, stored
 from .common import Words, added, bit_filter, blocks, documents, mix, not_space, numbered, numbers, per_text
 from .components import components
 
@@ -113,10 +113,8 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok))
 
     near = docs.mapInArrow(run, docs.schema)
-    path = scratch_path(docs.sparkSession, "texts")
     found = near.alias("d").join(wanted.alias("w"), (F.col("d.h") == F.col("w.h")) & F.col("d.k").eqNullSafe(F.col("w.k")))
-    found.select("w.node", "d.t").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return stored(found.select("w.node", "d.t"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -158,39 +156,48 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *values]), np.concatenate(bounds)
 
 
-def _leftovers(members: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of members of one key in different components, each named by the first table in which it meets.
+def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, component, size, tokens)`` of some nodes: their shingle hashes."""
+    rows = texts.join(nodes, "node").select("node", "component", "t")
 
-    Members of a key are cut into groups of about 500, and every task compares two groups; a large key is many tasks.
+    def run(batches):
+        for batch in batches:
+            values, first = _sets(batch.column(2))
+            lists = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first), pa.int64()), lists], names=["node", "component", "size", "tokens"])
+
+    return rows.mapInArrow(run, "node long, component long, size long, tokens array<long>")
+
+
+def _leftovers(members: DataFrame, texts: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs of different components that can be linked, among the members of keys with several components.
+
+    A set join with prefixes: shingles of one component only link nothing; of the others, rarest first, two sets that
+    share enough have a common one among the first few of each, at a place that leaves room for the rest.
     """
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-    rows = members.join(mixed.select("key", "n"), "key").join(classes.select("node", "signature"), "node")
-    rows = rows.withColumn("groups", F.ceil(F.col("n") / 500).cast("int")).withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("o")
-    sent = rows.select("key", "node", "component", "signature", "g", other).select(
-        "key", "node", "component", "signature", "g", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"))
-    cell = sent.withColumn("cell", F.xxhash64("key", "i", "j")).select("cell", "key", "i", "j", "g", "node", "component", "signature")
-
-    def compare(batch: pa.Table) -> pa.Table:
-        node, comp = batch.column("node").to_numpy(), batch.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u8").reshape(len(node), -1)
-        g, i, j = (batch.column(c).to_numpy() for c in "gij")
-        left, right = np.flatnonzero(g == i), np.flatnonzero(g == j)
-        key = batch.column("key").to_numpy().view(np.uint64)
-        out = []
-        for p, own in zip(left, table_keys(sig[left].astype(np.uint64)), strict=True):
-            q = right[(comp[right] != comp[p]) & (node[right] > node[p] if i[p] == j[p] else True)]
-            same = sig[q] == sig[p]
-            first = own[same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)]
-            q = q[first == key[p]]
-            out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])]))
-        both = np.concatenate([np.zeros((2, 0), np.int64), *out], 1)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
-
-    pairs = cell.groupBy("cell", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    sets = stored(_sets_of(texts, members.join(mixed, "key").select("node", "component").distinct()), "sets")
+    tokens = sets.select("node", "component", "size", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token", "n")
+    by_node = Window.partitionBy("node")  # a node has one set
+    rows = tokens.join(shared, "token").withColumn("s", F.count("*").over(by_node)).where(100 * F.col("s") >= percent * F.col("size"))
+    rows = rows.withColumn("p", F.row_number().over(by_node.orderBy("n", "token")) - 1)
+    rows = stored(rows.where(F.col("p") <= F.col("s") - F.ceil(percent * F.col("size") / 100)).select("token", "node", "component", "size", "s", "p"), "prefixes")
+    names = ("node", "component", "size", "s", "p")
+    a, b = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    room = F.least(F.col("a_s") - F.col("a_p"), F.col("b_s") - F.col("b_p"))
+    fits = (
+        (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+        & (100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")) & ((100 + percent) * room >= percent * (F.col("a_size") + F.col("b_size"))))
+    pairs = a.join(b, (a["token"] == b["token"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def recall(percent: int) -> float:
+    """Probability that two documents of just this similarity meet in a table."""
+    return (1 - (1 - (percent / 100) ** ROWS) ** SIDE) ** 2
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, percent: int = 85) -> DataFrame:
     """Add ``n_shingles``, ``component_id`` (smallest key reachable over links, itself included), ``kept`` and ``first``.
 
@@ -198,8 +205,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
     fewer words the whole sequence is the one shingle; without words, or for null texts, a document is linked with
     nothing.  Copies, also of the same key, are linked.  A null key is never the smallest of several; a row is ``kept``
     if its key is the component's.  ``first`` marks exactly one row of each component, also among rows of one key.
-    Every input row gives one row.
+    Every input row gives one row.  A ``percent`` at which the tables would miss one pair in ten is refused.
     """
+    if recall(percent) < 0.9:
+        raise ValueError(f"{SIDE}^2 tables of 2 x {ROWS} minimum hashes find {recall(percent):.2f} of the pairs of {percent} %")
     new = {"n_shingles", "component_id", "kept", "first", "_row", "_set", "_signature", "_key", "_hash"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     base = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("_body"))
@@ -229,7 +238,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
             more = more.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
             pairs = cut_lineage(more.join(tested, ["a", "b"], "left_anti"))
         elif turn < STARS:
-            pairs = cut_lineage(_leftovers(now, classes, tested))
+            pairs = cut_lineage(_leftovers(now, texts, tested, percent))
     named = classes.join(joined, "node", "left").select("_set", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("rep")).select("component", F.col("rep.k").alias("_least"), F.col("rep.r").alias("_first"))
     named = named.drop("rep").join(smallest, "component").drop("component")

@@ -238,3 +238,28 @@ def test_words_whose_sums_cancel(spark):
     windows = [(1, " ".join([*words, one])), (2, " ".join([*words, two])), (3, " ".join([one, *words])), (4, " ".join([two, *words]))]
     out = repeated_phrases.remove_repeats(spark.createDataFrame(windows, "doc_id long, text string"))
     assert [r.n_removed for r in out.collect()] == [0, 0, 0, 0]
+
+
+def test_leftovers_find_every_link(spark):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(120)] = f"x{i}{rng.random()}"
+        docs.append((i, " ".join(words[: rng.choice([120, 118, 100])])))
+    texts = spark.createDataFrame(docs, "node long, t string")
+    members = spark.createDataFrame([(5, n, n // 2) for n, _ in docs], "key long, node long, component long")
+    none = spark.createDataFrame([], "a long, b long")
+    sets = {n: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for n, t in docs}
+    for percent in (80, 85, 95):
+        found = {tuple(r) for r in near_dedup._leftovers(members, texts, none, percent).collect()}
+        links = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert links <= found and len(found) < 60 * 59 / 2 - 30
+        assert {tuple(r) for r in near_dedup._verified(spark.createDataFrame(sorted(found) or [(0, 0)], "a long, b long"), texts, percent).collect()} - {(0, 0)} == links
+
+
+def test_low_percents_are_refused(spark):
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=60)
