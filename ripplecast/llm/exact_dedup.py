@@ -90,7 +90,8 @@ def exact_duplicates(
     base = docs.select(*[docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(kept)], docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("_text"))
     rows = name_texts(base, "_text", size, address)
     best = F.max(F.struct(F.col("_key").isNotNull().alias("x"), F.col("_key").alias("k"), (-F.col("_row")).alias("r"))).alias("best")
-    groups = rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
+    # stored, so that the join has two shuffled sides and a large group can be split
+    groups = cut_lineage(rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size")))
     out = rows.join(groups, ["level", "name"])
     return out.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], F.col("best.k").alias("keep_id"), "group_size",
