@@ -340,12 +340,14 @@ def added(df: DataFrame, text: str, keep: list[str] | None, new: str, start) ->
     return rows.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, key: str, by: str, per_class: int, classes: int = 200) -> DataFrame:
-    """About ``per_class`` rows of each value of ``by`` (all of a smaller class), chosen by a hash of the key.
+def bounded_sample(df: DataFrame, key: list[str], by: str, per_class: int, classes: int) -> DataFrame:
+    """About ``per_class`` different rows of each value of ``by`` (all of a smaller class), chosen by a hash of ``key``.
 
-    Of more than ``classes`` values the most frequent are kept, so that the sample is bounded.
+    Equal rows count once, so the sample is bounded by ``per_class`` times ``classes``; more values than that are refused.
     """
-    counts = df.groupBy(by).count().orderBy(F.desc("count"), F.asc(by)).limit(classes).collect()
-    share = df.sparkSession.createDataFrame([(r[0], min(1.0, per_class / r["count"])) for r in counts], StructType([df.schema[by], StructField("_share", parsed("double"))]))
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(share), by).where(drawn < F.col("_share")).drop("_share")  # at most ``classes`` rows
+    counts = df.groupBy(by).agg(F.approx_count_distinct(F.xxhash64(*key)).alias("n")).limit(classes + 1).collect()
+    if len(counts) > classes:
+        raise ValueError(f"more than {classes} values of {by}: raise the bound")
+    share = df.sparkSession.createDataFrame([(r[0], min(1.0, per_class / max(r["n"], 1))) for r in counts], StructType([df.schema[by], StructField("_share", parsed("double"))]))
+    drawn = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(F.broadcast(share), by).where(drawn < F.col("_share")).drop("_share").distinct()  # at most ``classes`` rows are sent

@@ -15,7 +15,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,23 +125,28 @@ def edit(state: bytes, inserted: list[str] = (), removed: list[str] = ()) -> byt
 
 
 def in_order(df: DataFrame, key: str, text: str, parts: int) -> DataFrame:
-    """Rows dealt to ``parts`` ranges of descending keys, each followed by a copy of the row after its last.
+    """Rows dealt to about ``parts`` ranges of descending keys, each followed by a copy of the row after its last.
 
-    Columns ``part``, ``ghost``, the key, the text.  Only the ranges' bounds and first keys pass the driver.  Equal keys
-    go by a hash of their text, null keys come last; the row after the very last is the first.
+    Columns ``part``, ``ghost``, the key, the text.  Only the first key of each range passes the driver.  Equal keys go by
+    a hash of their text and may lie in several ranges, null keys come last; the row after the very last is the first.
     """
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    cuts = sorted(set(rows.select(F.col("k").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    rows = rows.withColumn("d", F.col("k").cast("double")).withColumn("b", F.lit(0.0))
-    if cuts:
-        split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="b", handleInvalid="keep")
-        rows = split.transform(rows.drop("b"))
-    # null keys get a number of their own behind all others
-    rows = rows.withColumn("part", F.when(F.col("k").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.col("b")).cast("int")).drop("d", "b")
-    top = rows.groupBy("part").agg(F.max(F.struct("k", "h")).alias("m")).orderBy("part").collect()  # one row per range
-    heads = [(top[i]["part"], top[i]["m"]["k"], top[i]["m"]["h"], top[i - 1]["part"]) for i in range(len(top))]
-    kind = rows.schema["k"].dataType.simpleString()
-    first = rows.sparkSession.createDataFrame(heads, f"part int, hk {kind}, hh long, before int")
+    order = [F.col("k").desc_nulls_last(), F.col("h").desc()]
+    ranges = rows.select("k", "h").repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("k", "h")).alias("m"))
+    heads = [r["m"] for r in ranges.orderBy("p").collect()]  # one row per range
+    kind = rows.schema["k"].dataType
+    first = rows.sparkSession.createDataFrame([(i, m["k"], m["h"], (i - 1) % len(heads)) for i, m in enumerate(heads)], f"part int, hk {kind.simpleString()}, hh long, before int")
+    # how many ranges begin at or above the row: first by every step-th head, then by those between two of them
+    step = max(int(len(heads) ** 0.5), 1)
+    typed = [F.struct(F.lit(m["k"]).cast(kind).alias("k"), F.lit(m["h"]).alias("h")) for m in heads]
+    own = F.struct("k", "h")
+    upto = lambda some: F.size(F.filter(some, lambda m: m >= own))
+    if heads:
+        groups = F.array(*[F.array(*typed[i : i + step]) for i in range(0, len(typed), step)])
+        group = upto(F.array(*typed[::step])) - 1
+        rows = rows.withColumn("_group", group).withColumn("part", F.col("_group") * step + upto(F.element_at(groups, F.col("_group") + 1)) - 1).drop("_group")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
     marked = rows.join(F.broadcast(first), "part")  # as many rows as there are ranges
     to = F.when(F.col("k").eqNullSafe(F.col("hk")) & (F.col("h") == F.col("hh")), F.array("part", "before")).otherwise(F.array("part"))
     sent = marked.select(F.posexplode(to).alias("ghost", "part"), "k", "h", "t")
@@ -158,7 +162,7 @@ def edited(text: str, other: str) -> str:
 def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to each other and to the next text's.
 
-    The next text is that of the next lower key (after the last: the first).  Null texts are empty; of rows with the
+    The next text is that of the next lower key (after the last: the first).  Null texts are empty; keys may have any type that sorts; of rows with the
     same key the order is that of a hash of their text, so equal rows follow each other; a single row follows itself.
     """
     # whole texts are sorted: a quarter of the usual partition keeps a task small

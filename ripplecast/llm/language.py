@@ -21,6 +21,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_CLASS = 1200  # labelled texts of a language that training sees, three windows each
+CLASSES = 2000  # languages that may be told apart
 EPOCHS = 12
 BATCH = 1 << 17  # bytes convolved at once
 UNKNOWN = "und"
@@ -129,14 +130,15 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, size, first
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_class: int = PER_CLASS) -> Network | None:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_class: int = PER_CLASS, classes: int = CLASSES) -> Network | None:
     """Train on a sample of at most about ``per_class`` texts a language, three windows from anywhere in each.
 
-    Rows without text or label teach nothing; without any labelled row there is no network (None).
+    Rows without text or label teach nothing, equal rows teach once; without any labelled row there is no network (None).
+    More than ``classes`` languages are an error, so that none is left out unseen.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     at = [F.lit(1) + F.pmod(F.xxhash64("k", F.lit(i)), F.greatest(F.length("t") - (WINDOW - 1), F.lit(1))).cast("int") for i in range(3)]
-    drawn = bounded_sample(rows, "k", "l", per_class).select("l", F.explode(F.array_distinct(F.array(*[F.substr("t", a, F.lit(WINDOW)) for a in at]))).alias("w"))
+    drawn = bounded_sample(rows, ["k", "t"], "l", per_class, classes).select("l", F.explode(F.array_distinct(F.array(*[F.substr("t", a, F.lit(WINDOW)) for a in at]))).alias("w"))
     sample = sorted((r["l"], r["w"]) for r in drawn.collect())
     if not sample:
         return None

@@ -163,13 +163,13 @@ class Machine:
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", per_class: int = PER_CLASS) -> Machine | None:
     """Train on the texts of at most about ``per_class`` labels of each value (0 and 1), chosen by a hash of the key.
 
-    Other labels and null texts teach nothing; a key labelled twice counts twice.  The features are worked out by the
-    executors; without rows of both classes there is no machine (None).
+    Other labels and null texts teach nothing; equal labels of a key and equal texts of a key count once.  The features
+    are worked out by the executors; without rows of both classes there is no machine (None).
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    chosen = bounded_sample(rows, "k", "y", per_class)  # its size is bounded, so it is sent to the texts
+    chosen = bounded_sample(rows, ["k"], "y", per_class, 2)  # its size is bounded, so it is sent to the texts
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    drawn = texts.join(F.broadcast(chosen), "k")
+    drawn = bounded_sample(texts.join(F.broadcast(chosen), "k"), ["k", "t"], "y", per_class, 2)  # a key may have many texts
 
     def start():
         def work(texts):

@@ -6,6 +6,7 @@ then only split into pre-tokens: a proved pre-token counts 1 without any merging
 
 from __future__ import annotations
 
+import json
 import re
 
 import regex
@@ -24,6 +25,25 @@ PLAIN_SPLIT = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|v
 WORD_END = "</w>"
 
 
+# What the file must say for the shortcut to hold: fixed values of the format.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_file(path: str) -> None:
+    """Refuse a tokenizer whose normalising, splitting or word ends are not those that the shortcut is proved for."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    held = {
+        "normalizer": ((file.get("normalizer") or {}).get("normalizers")) == NORMALIZER,
+        "split": [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT} and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"],
+        "word end": file["model"].get("end_of_word_suffix") == WORD_END,
+    }
+    if not all(held.values()):
+        raise ValueError(f"{path}: another " + ", ".join(k for k, v in held.items() if not v) + " than the shortcut is proved for")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,7 +102,9 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
 
     A special string inside a text is its one token, as by the library's default.  Null and empty texts have 0 and 0;
     nothing is truncated.  The proof is worked out once and sent along: it has at most one entry per vocabulary string.
+    A tokenizer that splits or normalises in another way is refused.
     """
+    check_file(path)
     proved = df.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def start():

@@ -228,6 +228,7 @@ URLS = [
     (8, "http://de.example.com/de/1"), (9, "http://badexample.com/de/1"), (10, "ftp://y.org/fr/?z"), (11, "http://spam-farm.example.org/x"), (12, "a://b://c.net/d"),
     (13, "http://net/q"), (14, "http://h/porn/1"), (14, "http://h/porn/1"), (15, "http://w/wp-login.php"), (16, "http://w/wp-login.phpx"), (17, "http://é.net/" + "x" * 50_000),
     (18, "http:///only/path"), (None, "http://ads.z.org/fr/"),
+    (19, "http://h/PORN/1"), (20, "http://h/a?go=/porn/"), (21, "http://h/#/Casino/"), (22, "HTTP://ADS.H/"), (23, "http://h/?u=http://ads.h"), (24, "ads.h/"), (25, "http://x.org/FR/"),
 ]
 
 
@@ -240,6 +241,8 @@ def test_urls(spark):
         (6, None, None, "allow"), (7, "net/", None, "block"), (8, "example.com/de/", None, "block"), (9, None, None, "allow"), (10, "org/fr/", None, "allow"),
         (11, None, "||spam-farm.", "block"), (12, None, None, "allow"), (13, "net/", None, "block"), (14, None, "/porn/", "block"),
         (15, None, "/wp-login.php^", "block"), (16, None, None, "allow"), (17, "net/", None, "block"), (18, None, None, "allow"), (None, "org/fr/", None, "allow"),
+        (19, None, "/porn/", "block"), (20, None, "/porn/", "block"), (21, None, "/casino/", "block"), (22, None, "||ads.", "block"), (23, None, None, "allow"),
+        (24, None, None, "allow"), (25, None, None, "allow"),
     }
     assert got == want and out.count() == len(URLS)
 
@@ -250,12 +253,12 @@ def test_rules_found_by_their_token_are_all_that_match(spark, size, monkeypatch)
     monkeypatch.setattr(url_filter, "BLOCK_OF_RULES", size)
     rng = random.Random(4)
     parts = ["a", "b", "ab", "x1", "net", "é"]
-    addresses = ["http://" + ".".join(rng.choices(parts, k=3)) + "/" + rng.choice("/-_.").join(rng.choices(parts, k=3)) for _ in range(300)]
+    addresses = ["http://" + ".".join(rng.choices(parts, k=3)) + "/" + rng.choice("/-_.?#").join(rng.choices([*parts, "AB"], k=3)) for _ in range(300)]
     made = {rng.choice(["", "|", "||"]) + rng.choice(parts) + rng.choice(["*", "^", ".", "/", "-"]) + rng.choice(parts) + rng.choice(["", "|", "*", "^"]) for _ in range(40)}
     rules = [url_filter.Rule(p, p, "block") for p in sorted(made)]
-    out = url_filter.judge_urls(spark.createDataFrame([(u,) for u in addresses], "url string"), rules).collect()
+    out = url_filter.judge_urls(spark.createDataFrame([(u,) for u in addresses], "url string"), rules, keep=["url"]).collect()
     for r in out:
-        fitting = [rule for rule in rules if re.search(rule.regex, r.host + r.path)]
+        fitting = [rule for rule in rules if re.search(rule.regex, brute.fold(r.url))]
         assert r.pattern == (min(fitting, key=lambda rule: rule.order).name if fitting else None)
 
 
@@ -268,3 +271,44 @@ def test_remainder(spark):
     got = spark.range(50).select(common.remainder("id", 7).alias("r")).collect()
     assert [r.r for r in got] == [common.python_remainder(i, 7) for i in range(50)]
     assert spark.range(1).select(common.remainder(F.lit(None).cast("long"), 7).alias("r")).first().r is None
+
+
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(i, f"{i} {i % 300:03d} " * 5, f"l{i % 300}") for i in range(900)], "doc_id long, text string, lang string")
+    drawn = common.bounded_sample(df, ["doc_id", "text"], "lang", 2, 1000)
+    assert drawn.select("lang").distinct().count() > 200
+    with pytest.raises(ValueError):
+        common.bounded_sample(df, ["doc_id", "text"], "lang", 2, 299)
+    assert len(language.fit(df, per_class=3).classes) == 300
+
+
+def test_sample_of_one_repeated_key_is_bounded(spark):
+    df = spark.createDataFrame([(7, f"t{i}", "a") for i in range(3000)] + [(8, "same", "b")] * 3000, "doc_id long, text string, lang string")
+    drawn = common.bounded_sample(df, ["doc_id", "text"], "lang", 10, 5).collect()
+    assert 1 <= sum(r.lang == "a" for r in drawn) <= 40 and sum(r.lang == "b" for r in drawn) <= 1
+    labels = spark.createDataFrame([(7, 1)] * 500 + [(8, 0)] * 500, "doc_id long, y int")
+    assert quality.fit(df, labels, "y", per_class=10) is not None
+
+
+def test_counts_of_another_tokenizer_are_refused(spark):
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public.path("byte_bpe_50k.json"))
+
+
+def test_next_texts_of_text_keys(spark):
+    docs = [(f"k{i:02d}", f"text {i} " * 3) for i in range(30)] + [(None, "none"), ("k03", "twice")]
+    out = fingerprints.compare_with_next(spark.createDataFrame(docs, "name string, text string"), key="name", parts=4).collect()
+    ranked = sorted([d for d in docs if d[0] and d[0] != "k03"], reverse=True)
+    want = {k: brute.sha(fingerprints.edited(t, ranked[i + 1][1])) for i, (k, t) in enumerate(ranked[:-1]) if k != "k04"}
+    got = {r.name: r.edited_sha256 for r in out}
+    assert len(out) == len(docs) and all(got[k] == v for k, v in want.items())
+    big = [(2**53 + i, f"n{i} " * 4) for i in range(8)]
+    out = fingerprints.compare_with_next(spark.createDataFrame(big, "doc_id long, text string"), parts=3).collect()
+    assert {r.doc_id: r.edited_sha256 for r in out} == {k: brute.sha(fingerprints.edited(t, big[i - 1][1])) for i, (k, t) in enumerate(big)}
+
+
+def test_session_is_left_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    fingerprints.fingerprint(spark.createDataFrame([("a",)], "text string")).count()
+    assert spark.conf.get(name) == before
