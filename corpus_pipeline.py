@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast.llm import byte_bpe, decontaminate, language, near_dedup, repeated_phrases
-from ripplecast.llm.common import attach, keyed
-from ripplecast.plans.lineage import cut_lineage, scratch_path
+from ripplecast.llm.common import attach, keyed, small_batches
+from ripplecast.plans.lineage import cut_lineage, stored
 
 LEAST_SCORE = 0.3  # mean probability below which a language is no more than a guess
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language; fill in a missing ``lang``.  Learns from labelled documents."""
+    small_batches(spark)
     out = language.identify(docs, language.fit(docs))
     out = out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[f"`{c}`" for c in docs.columns])
@@ -29,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Groups are linked by a similarity of 0.8 or more of five-word shingles.
     """
+    small_batches(spark)
     rows = keyed(docs, "doc_id", "text")
     judged = near_dedup.near_duplicates(rows.select("doc_id", "text", "_hash").withColumnRenamed("_hash", "mark"), keep=["doc_id", "mark"], percent=80)
     judged = judged.groupBy("doc_id", "mark").agg(F.max("first").alias("_stays"), F.sum(F.col("first").cast("int")).alias("staying"), F.count("*").alias("n"))
@@ -41,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out passages of 35 words and more that are found anywhere else; a document that loses all stays, empty."""
+    small_batches(spark)
     keep = [c for c in docs.columns if c not in ("text", "n_chars")]
     out = repeated_phrases.remove_repeats(docs, keep=keep, untouched=True).withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
@@ -48,6 +51,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which one word in twenty or more is benchmark text."""
+    small_batches(spark)
     rows = keyed(docs, "doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     judged = decontaminate.decontaminate(rows.select("doc_id", "text", "_hash").withColumnRenamed("_hash", "mark"), items, keep=["doc_id", "mark"])
@@ -57,6 +61,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (little-endian unsigned 32-bit integers) and whether their decoding is the text again."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     keep = [c for c in docs.columns if c != "text"]
     rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -77,7 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
