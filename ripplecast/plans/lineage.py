@@ -57,16 +57,18 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably and go on from the stored rows; what was shuffled to make them is freed."""
+    """Store ``df`` reliably, partition by partition, and go on from the stored rows."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession) + "/checkpoints")
-    with freed_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it from there: like ``cut_lineage``, compressed."""
+    """Write ``df`` as Parquet below the shared folder and read it from there.
+
+    Smaller than ``cut_lineage`` and what was shuffled is freed at once, but rows may come back in other partitions.
+    """
     path = scratch_path(df.sparkSession, label)
     with freed_shuffles(df.sparkSession):
         df.write.parquet(path)
