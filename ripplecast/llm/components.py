@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import forget, freed_shuffles, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,17 +14,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round points nodes at the least of their neighbours, so the rounds grow with the logarithm of the longest
     path.  Neighbours are never gathered: a node's least neighbour is an aggregate, and a join hands it to them.
     """
-    edges = cut_lineage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        new = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
+        new = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        with freed_shuffles(links.sparkSession):  # sets of one size, one inside the other, are one
+            same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        forget(edges)
         edges = new
-        if not changed:
+        if same:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage, stored
+from ..plans.lineage import forget, stored
 from .common import Words, added, bit_filter, blocks, documents, mix, not_space, numbered, numbers, per_text
 from .components import components
 
@@ -104,7 +104,7 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Texts that surely belong to none of them are dropped where they are read; only the others are shuffled.
     """
-    wanted = cut_lineage(nodes.join(classes.select("node", "rep.k", "rep.h"), "node"))
+    wanted = stored(nodes.join(classes.select("node", "rep.k", "rep.h"), "node"), "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "h"))
 
     def run(batches):
@@ -216,18 +216,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
     rows = numbered(_documents(base, "_body", [c for c in base.columns if c != "_body"]))
     rep = F.min(F.struct(F.col("_key").isNull().alias("x"), F.col("_key").alias("k"), F.col("_row").alias("r"), F.col("_hash").alias("h")))
     classes = rows.where("n_shingles > 0").groupBy("_set").agg(rep.alias("rep"), F.min("_signature").alias("signature"))
-    classes = numbered(classes, "node")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sources = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].cast("string").alias("t")).withColumn("h", F.xxhash64("t")).select("k", "h", "t")
 
-    shared = cut_lineage(_keys(classes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key", F.col("x").alias("centre")))
-    members = cut_lineage(_keys(classes, bit_filter(shared, "key")).join(shared, "key"))
+    shared = stored(_keys(classes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key", F.col("x").alias("centre")), "keys")
+    members = stored(_keys(classes, bit_filter(shared, "key")).join(shared, "key"), "members")
+    forget(shared)
     texts = _texts(sources, classes, members.select("node").distinct())
 
-    pairs = cut_lineage(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = stored(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = tested = None
     for turn in range(STARS + 1):
         found = _verified(pairs, texts, percent)
-        links = cut_lineage(found if links is None else links.union(found))
+        found = stored(found, "links")
+        links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         joined = components(links)
         now = members.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -236,9 +238,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
             picked = now.groupBy("key").agg(centre.alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
             more = now.join(picked.select("key", "c.node", "c.component").toDF("key", "centre", "of"), "key").where("component <> of")
             more = more.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            pairs = cut_lineage(more.join(tested, ["a", "b"], "left_anti"))
+            pairs = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         elif turn < STARS:
-            pairs = cut_lineage(_leftovers(now, texts, tested, percent))
+            pairs = stored(_leftovers(now, texts, tested, percent), "pairs")
     named = classes.join(joined, "node", "left").select("_set", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("rep")).select("component", F.col("rep.k").alias("_least"), F.col("rep.r").alias("_first"))
     named = named.drop("rep").join(smallest, "component").drop("component")
