@@ -37,33 +37,26 @@ SHARD_TOKENS = 8_000_000  # so many tokens for each shard at most
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers byte by byte (all first bytes, then all second ones ...), compressed."""
-    planes = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Numbers from 0 on, byte by byte (all first bytes, then all second ones ...) in as many as the largest needs, compressed."""
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(len(x), 8)
+    size = max((int(x.max(initial=0)).bit_length() + 7) // 8, 1)
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :size].T).tobytes())
 
 
-def unpacked(b: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+def unpacked(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : b[0]] = raw.T
+    return out.view("<i8").ravel()
 
 
 def rising(x: np.ndarray) -> bytes:
     """Rising numbers as packed differences."""
-    return packed(np.diff(x, prepend=0).astype(np.uint64))
+    return packed(np.diff(x, prepend=0))
 
 
 def risen(b: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(b, "<u8"), dtype=np.uint64).astype(np.int64)
-
-
-def numbers_of(x: np.ndarray) -> bytes:
-    """Node numbers, of which -1 is none, in as few bytes as they need."""
-    return packed((x + 1).astype(np.uint64))
-
-
-def numbers_in(b: bytes) -> np.ndarray:
-    return unpacked(b, "<u8").astype(np.int64) - 1
+    return np.cumsum(unpacked(b))
 
 
 class Batch:
@@ -89,8 +82,15 @@ class Batch:
     def weights(self) -> np.ndarray:
         return np.repeat(self.train, np.diff(self.first))
 
-    def words_of(self, shard: int, shards: int) -> np.ndarray:
-        return np.flatnonzero(self.hashes % np.uint64(shards) == np.uint64(shard))
+    def words_of(self, shards: int) -> list[np.ndarray]:
+        """The words of every shard."""
+        return dealt((self.hashes % np.uint64(shards)).astype(np.int64), shards)
+
+
+def dealt(shard: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Which elements belong to each shard, in their order."""
+    by = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return np.split(by, np.searchsorted(shard[by], np.arange(1, shards)))
 
 
 class Grams(NamedTuple):
@@ -110,27 +110,45 @@ class Grams(NamedTuple):
     gram: np.ndarray
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, weights: np.ndarray, shards: int) -> Grams:
+    def of(cls, context: np.ndarray, tokens: np.ndarray, word: np.ndarray, weights: np.ndarray, shards: int) -> Grams:
+        """``context`` (node or -1) of every token, ``tokens`` as numbers of the batch's words, ``word`` the numbers of these."""
+        ranked = np.argsort(word, kind="stable")
+        rank = np.empty(len(word), np.int64)
+        rank[ranked] = np.arange(len(word))
         known = np.flatnonzero(context >= 0)
-        own, inverse = np.unique(context[known], return_inverse=True)
+        bits = len(word).bit_length()
+        if int(context.max(initial=0)).bit_length() + bits > 63:  # room for more nodes than any corpus has
+            nodes, dense = np.unique(context[known], return_inverse=True)
+        else:
+            nodes, dense = None, context[known]
+        key = (dense << bits) | rank[tokens[known]]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        pair = key[new]
+        counts = np.add.reduceat(weights[known][order].astype(np.int64), np.flatnonzero(new)) if len(pair) else np.zeros(0, np.int64)
+        above = pair >> bits
+        first = np.concatenate([[True], above[1:] != above[:-1]]) if len(pair) else np.zeros(0, bool)
+        own = above[first] if nodes is None else nodes[above[first]]
+        of = np.cumsum(first) - 1
+        words = word[ranked[pair & ((1 << bits) - 1)]]
+        # deal contexts and their known successors to the shards
         shard = (mix(own.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(shard, kind="stable")
+        lists = dealt(shard, shards)
+        by = np.concatenate(lists)
         place = np.empty(len(own), np.int64)
         place[by] = np.arange(len(own))
-        local = np.full(len(context), -1, np.int64)
-        local[known] = place[inverse]
-        both = np.flatnonzero((local >= 0) & (word >= 0))
-        order = np.lexsort((word[both], local[both]))
-        c, w = local[both][order], word[both][order]
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
-        of = np.cumsum(new) - 1
-        gram = np.full(len(context), -1, np.int64)
-        gram[both[order]] = of
-        n = int(new.sum())
-        counts = np.bincount(of, weights[both[order]], n).astype(np.int64)
-        sizes = np.bincount(c[new], minlength=len(own))
-        contexts_at = np.searchsorted(shard[by], np.arange(shards + 1))
-        return cls(own[by], sizes, w[new], counts, contexts_at, np.concatenate([[0], np.cumsum(sizes)])[contexts_at], local, gram)
+        kept = np.flatnonzero(words >= 0)
+        kept = kept[np.argsort(place[of[kept]], kind="stable")]
+        number = np.full(len(pair), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        at = np.empty(len(known), np.int64)
+        at[order] = np.cumsum(new) - 1
+        local, gram = (np.full(len(context), -1, np.int64) for _ in range(2))
+        local[known], gram[known] = place[of][at], number[at]
+        sizes = np.bincount(place[of[kept]], minlength=len(own))
+        contexts_at = np.cumsum([0, *map(len, lists)])
+        return cls(own[by], sizes, words[kept], counts[kept], contexts_at, np.concatenate([[0], np.cumsum(sizes)])[contexts_at], local, gram)
 
 
 def _batches(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
@@ -150,8 +168,8 @@ def _batches(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
                 b = Batch.of(np.concatenate(hashes), np.concatenate(counts), ~held.to_numpy(zero_copy_only=False).astype(bool))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0).slice(part.rows.start, part.n).to_pylist()], pa.list_(batch.schema.field(0).type)),
-                    pa.array([packed(x) for x in (b.hashes,)], pa.binary()), pa.array([packed(b.tokens)], pa.binary()),
-                    pa.array([packed(b.first.astype(np.int64))], pa.binary()), pa.array([packed(b.train.astype(np.uint8))], pa.binary()),
+                    pa.array([b.hashes.astype("<u8").tobytes()], pa.binary()), pa.array([packed(b.tokens)], pa.binary()),
+                    pa.array([rising(b.first)], pa.binary()), pa.array([packed(b.train.astype(np.uint8))], pa.binary()),
                     pa.array([int(np.diff(b.first)[b.train].sum())], pa.int64()), pa.array([len(b.tokens)], pa.int64()),
                 ], names=["keys", "hashes", "tokens", "first", "train", "n", "all"])
                 del b, hashes, counts
@@ -162,7 +180,7 @@ def _batches(docs: DataFrame, text: str, key: str, held_out) -> DataFrame:
 
 
 def _batch(row: dict) -> Batch:
-    return Batch(unpacked(row["hashes"], "<u8"), unpacked(row["tokens"], "<u4"), unpacked(row["first"], "<i8"), unpacked(row["train"], "u1").astype(bool))
+    return Batch(np.frombuffer(row["hashes"], "<u8"), unpacked(row["tokens"]), risen(row["first"]), unpacked(row["train"]).astype(bool))
 
 
 _PACKET = "shard int, batch long, contexts binary, sizes binary, words binary, counts binary"
@@ -183,8 +201,8 @@ def _word_packets(batches: DataFrame, shards: int) -> DataFrame:
         for batch in rows:
             for row in batch.to_pylist():
                 b = _batch(row)
-                counts = np.bincount(b.tokens, b.weights(), len(b.hashes)).astype(np.uint32)
-                out = [(s, row["batch"], packed(b.hashes[at]), b"", b"", packed(counts[at])) for s in range(shards) if len(at := b.words_of(s, shards))]
+                counts = np.bincount(b.tokens, b.weights(), len(b.hashes)).astype(np.int64)
+                out = [(s, row["batch"], b.hashes[at].tobytes(), b"", b"", packed(counts[at])) for s, at in enumerate(b.words_of(shards)) if len(at)]
                 yield from _table(out, _PACKET).to_batches()
 
     return batches.select("hashes", "tokens", "first", "train", "batch").mapInArrow(run, _PACKET)
@@ -195,15 +213,15 @@ def _numbered_words(packets: DataFrame, shards: int) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        hashes = [unpacked(r["contexts"], "<u8") for r in rows]
+        hashes = [np.frombuffer(r["contexts"], "<u8") for r in rows]
         own, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpacked(r["counts"], "<u4") for r in rows]), len(own)).astype(np.int64)
+        total = np.bincount(inverse, np.concatenate([unpacked(r["counts"]) for r in rows]), len(own)).astype(np.int64)
         node = np.full(len(own), -1, np.int64)
         known = np.flatnonzero(total > 0)
         known = known[np.lexsort((own[known], -total[known]))]  # frequent words get small numbers
         node[known] = np.arange(len(known)) * shards + rows[0]["shard"]
         at = np.cumsum([0, *map(len, hashes)])
-        out = [(r["shard"], r["batch"], 1, numbers_of(node[inverse[a:b]]), packed(total[inverse[a:b]]), b"", b"") for r, a, b in zip(rows, at, at[1:], strict=False)]
+        out = [(r["shard"], r["batch"], 1, packed(node[inverse[a:b]] + 1), packed(total[inverse[a:b]]), b"", b"") for r, a, b in zip(rows, at, at[1:], strict=False)]
         tidy()
         return _table(out, _ANSWER)
 
@@ -222,27 +240,22 @@ class Known(NamedTuple):
 def _known(b: Batch, answers: list[dict], upto: int, shards: int, tables: list[np.ndarray]) -> Known:
     by = {(a["level"], a["shard"]): a for a in answers}
     word, counts = np.full(len(b.hashes), -1, np.int64), np.zeros(len(b.hashes), np.int64)
-    for s in range(shards):
-        if (1, s) in by:
-            at = b.words_of(s, shards)
-            word[at], counts[at] = numbers_in(by[1, s]["nodes"]), unpacked(by[1, s]["totals"], "<i8")
+    for s, at in enumerate(b.words_of(shards)):
+        if len(at):
+            word[at], counts[at] = unpacked(by[1, s]["nodes"]) - 1, unpacked(by[1, s]["totals"])
     node, levels = word[b.tokens], []
     for level in range(2, upto + 1):
         g = _asked(b, word, node, level, shards)
-        nodes, rests, shares = np.full(len(g.words), -1, np.int64), np.zeros(len(g.contexts), np.uint8), np.zeros(len(g.words), np.uint8)
+        nodes, rests, shares = np.full(len(g.words) + 1, -1, np.int64), np.zeros(len(g.contexts) + 1, np.uint8), np.zeros(len(g.words) + 1, np.uint8)
         for s in range(shards):
             if a := by.get((level, s)):
                 w = slice(g.words_at[s], g.words_at[s + 1])
+                rests[g.contexts_at[s] : g.contexts_at[s + 1]], shares[w] = unpacked(a["rests"]), unpacked(a["shares"])
                 if a["nodes"]:
-                    nodes[w] = numbers_in(a["nodes"])
-                if tables:
-                    rests[g.contexts_at[s] : g.contexts_at[s + 1]], shares[w] = unpacked(a["rests"], "u1"), unpacked(a["shares"], "u1")
-        node = np.where(g.gram >= 0, nodes[g.gram], -1) if len(nodes) else np.full(len(node), -1, np.int64)
+                    nodes[w][shares[w] > 0] = risen(a["nodes"])  # in the order of the trie
+        node = nodes[g.gram]  # none is the last
         if tables:
-            table = tables[level - 2]
-            rest = np.where(g.context >= 0, table[0][rests[g.context]], 0.0) if len(rests) else np.zeros(len(node))
-            share = np.where(g.gram >= 0, table[1][shares[g.gram]], 0.0) if len(shares) else np.zeros(len(node))
-            levels.append((rest, share))
+            levels.append((tables[level - 2][0][rests[g.context]], tables[level - 2][1][shares[g.gram]]))
     return Known(counts, word, node, levels)
 
 
@@ -250,7 +263,7 @@ def _asked(b: Batch, word: np.ndarray, node: np.ndarray, level: int, shards: int
     """N-grams of a level: below the node of the token before; a text begins below the end, and higher orders not before that."""
     context = np.concatenate([[-1], node[:-1]])
     context[b.first[:-1]] = word[np.flatnonzero(b.hashes == END)[0]] if level == 2 else -1
-    return Grams.of(context, word[b.tokens], b.weights(), shards)
+    return Grams.of(context, b.tokens, word, b.weights(), shards)
 
 
 def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: int) -> DataFrame:
@@ -263,7 +276,7 @@ def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: in
             for s in range(shards):
                 c, w = slice(g.contexts_at[s], g.contexts_at[s + 1]), slice(g.words_at[s], g.words_at[s + 1])
                 if c.stop > c.start:
-                    out.append((s, row["batch"], rising(g.contexts[c]), packed(g.sizes[c].astype(np.uint32)), packed(g.words[w].astype(np.uint64)), packed(g.counts[w].astype(np.uint32))))
+                    out.append((s, row["batch"], rising(g.contexts[c]), packed(g.sizes[c]), packed(g.words[w]), packed(g.counts[w])))
         tidy()
         return _table(out, _PACKET)
 
@@ -272,26 +285,34 @@ def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: in
 
 
 class Added(NamedTuple):
-    """All packets of a shard added up: its training n-grams in order, and what each packet asks."""
+    """All packets of a shard added up: the different n-grams asked about in order, their training counts, and whose they are.
+
+    ``contexts`` are all contexts asked about, ``of`` the context of each n-gram; ``context_at`` and ``gram_at`` lead from
+    the contexts and n-grams of the packets, one packet behind the other, to these.
+    """
 
     contexts: np.ndarray
+    of: np.ndarray
     words: np.ndarray
     counts: np.ndarray
-    asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-
+    context_at: np.ndarray
+    gram_at: np.ndarray
+    sizes: list[tuple[int, int]]
 
-def _added(rows: list[dict]) -> Added:
-    asked = [(risen(r["contexts"]), unpacked(r["sizes"], "<u4").astype(np.int64), unpacked(r["words"], "<u8").astype(np.int64)) for r in rows]
-    counts = np.concatenate([unpacked(r["counts"], "<u4") for r in rows]).astype(np.int64)
-    seen = counts > 0
-    context = np.concatenate([np.repeat(c, n) for c, n, _ in asked])[seen]
-    word = np.concatenate([w for _, _, w in asked])[seen]
-    order = np.lexsort((word, context))
-    context, word, counts = context[order], word[order], counts[seen][order]
-    if not len(word):
-        return Added(context, word, counts, asked)
-    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-    return Added(context[first], word[first], np.add.reduceat(counts, first), asked)
+    @classmethod
+    def up(cls, rows: list[dict]) -> Added:
+        contexts, sizes, words, counts = ([f(r[c]) for r in rows] for c, f in (("contexts", risen), ("sizes", unpacked), ("words", unpacked), ("counts", unpacked)))
+        own, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+        word = np.concatenate(words)
+        bits = int(word.max(initial=0)).bit_length()
+        key = (np.repeat(context_at, np.concatenate(sizes)) << bits) | word
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        gram_at = np.empty(len(key), np.int64)
+        gram_at[order] = np.cumsum(new) - 1
+        total = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
+        return cls(own, key[new] >> bits, key[new] & ((1 << bits) - 1), total, context_at, gram_at, [(len(c), len(w)) for c, w in zip(contexts, words, strict=True)])
 
 
 def _totals(packets: DataFrame) -> tuple[float, int]:
@@ -299,9 +320,8 @@ def _totals(packets: DataFrame) -> tuple[float, int]:
     schema = "once long, twice long, most long"
 
     def count(table: pa.Table) -> pa.Table:
-        all_of = _added(table.to_pylist())
-        first = np.flatnonzero(np.diff(all_of.contexts, prepend=-1))
-        most = int(np.add.reduceat(all_of.counts, first).max()) if len(first) else 0
+        all_of = Added.up(table.to_pylist())
+        most = int(np.bincount(all_of.of, all_of.counts).max(initial=0))
         tidy()
         return _table([(int((all_of.counts == 1).sum()), int((all_of.counts == 2).sum()), most)], schema)
 
@@ -320,14 +340,19 @@ def _answered(packets: DataFrame, level: int, last: bool, shards: int, discount:
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        all_of, shard = _added(rows), rows[0]["shard"]
-        out = []
+        asked, shard = Added.up(rows), rows[0]["shard"]
+        out, seen = [], asked.counts > 0
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-            trie = Level(all_of.contexts, all_of.words, all_of.counts, discount, *quantisers(discount, most), folder, "level")
-            for r, asked in zip(rows, all_of.asked, strict=True):
-                rests, shares, at = trie.look_up(*asked)
-                nodes = b"" if last else numbers_of(np.where(at >= 0, at * shards + shard, -1))
-                out.append((shard, r["batch"], level, nodes, b"", packed(rests), packed(shares)))
+            trie = Level(asked.contexts[asked.of[seen]], asked.words[seen], asked.counts[seen], discount, *quantisers(discount, most), folder, "level")
+            rests, shares, at = trie.look_up(asked.contexts, np.bincount(asked.of, minlength=len(asked.contexts)), asked.words)
+        c = w = 0
+        for r, (contexts, words) in zip(rows, asked.sizes, strict=True):
+            own = asked.gram_at[w : w + words]
+            nodes = at[own]
+            # words of a context rise, contexts rise: so do their nodes
+            named = b"" if last else rising(nodes[nodes >= 0] * shards + shard)
+            out.append((shard, r["batch"], level, named, b"", packed(rests[asked.context_at[c : c + contexts]]), packed(shares[own])))
+            c, w = c + contexts, w + words
         tidy()
         return _table(out, _ANSWER)
 
@@ -388,7 +413,7 @@ def _vocabulary(answers: DataFrame, shards: int) -> int:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = [(s, int(numbers_in(b).max(initial=-1)) // shards + 1) for s, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            out = [(s, (int(unpacked(b).max(initial=0)) - 1) // shards + 1) for s, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield from _table(out, schema).to_batches()
 
     found = answers.where("level = 1").select("shard", "nodes").mapInArrow(run, schema)
