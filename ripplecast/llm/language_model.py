@@ -5,6 +5,9 @@ node of level n is a word below a node of level n - 1: a batch asks the shard of
 exist, and the answer names the nodes that the next level's questions start from.  Words and contexts that training texts
 do not have are never asked about again.
 
+A node that only one batch asked about is that batch's own: all that follows it is in the batch, which works out its
+part of the next level alone and sends nothing.
+
 A question is one packet for each batch and shard that it concerns: contexts in rising order, the successors of each with
 their training counts.  A shard adds up all packets, builds its part of the level in memory-mapped files, and answers
 every packet with one code per context and successor.  Discounts and the range of the codes come from totals over all
@@ -184,7 +187,7 @@ def _batch(row: dict) -> Batch:
 
 
 _PACKET = "shard int, batch long, contexts binary, sizes binary, words binary, counts binary"
-_ANSWER = "shard int, batch long, level int, nodes binary, totals binary, rests binary, shares binary"
+_ANSWER = "shard int, batch long, level int, nodes binary, totals binary, rests binary, shares binary, alone binary"
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -220,8 +223,9 @@ def _numbered_words(packets: DataFrame, shards: int) -> DataFrame:
         known = np.flatnonzero(total > 0)
         known = known[np.lexsort((own[known], -total[known]))]  # frequent words get small numbers
         node[known] = np.arange(len(known)) * shards + rows[0]["shard"]
+        alone = np.bincount(inverse) == 1
         at = np.cumsum([0, *map(len, hashes)])
-        out = [(r["shard"], r["batch"], 1, packed(node[inverse[a:b]] + 1), packed(total[inverse[a:b]]), b"", b"") for r, a, b in zip(rows, at, at[1:], strict=False)]
+        out = [(r["shard"], r["batch"], 1, packed(node[i] + 1), packed(total[i]), b"", b"", np.packbits(alone[i]).tobytes()) for r, i in zip(rows, (inverse[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True)]
         tidy()
         return _table(out, _ANSWER)
 
@@ -229,41 +233,85 @@ def _numbered_words(packets: DataFrame, shards: int) -> DataFrame:
 
 
 class Known(NamedTuple):
-    """What the answers say about a batch: counts and numbers of its words, its tokens' nodes, and by level their rests and shares."""
+    """What a batch knows of its tokens: counts and numbers of its words, nodes (``shared``: their numbers, ``own``: the
+    batch's own, by their place in it; -1: neither), and by level the tokens' rests and shares."""
 
     counts: np.ndarray
     word: np.ndarray
-    node: np.ndarray
+    shared: np.ndarray
+    own: np.ndarray
     levels: list[tuple[np.ndarray, np.ndarray]]
 
 
-def _known(b: Batch, answers: list[dict], upto: int, shards: int, tables: list[np.ndarray]) -> Known:
+class Smoothing(NamedTuple):
+    """Discount of a level, and its codes of rests and shares."""
+
+    discount: float
+    rest: Quantiser
+    share: Quantiser
+
+    @classmethod
+    def of(cls, discount: float, most: int) -> Smoothing:
+        """``most`` is the largest total of a context: the codes span all values that there can be."""
+        return cls(discount, Quantiser(np.array([discount / max(most, 1), 1.0])), Quantiser(np.array([(1 - discount) / max(most, 1), 1.0])))
+
+    def codes(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the contexts' rests and of the n-grams' shares, if no other batch has these contexts."""
+        of = np.repeat(np.arange(len(g.contexts)), g.sizes)
+        total, kinds = np.bincount(of, g.counts, len(g.contexts)), np.bincount(of, g.counts > 0, len(g.contexts))
+        rest = np.where(total > 0, self.discount * kinds / np.maximum(total, 1), 0)
+        return self.rest.codes(rest), self.share.codes(np.where(g.counts > 0, (g.counts - self.discount) / np.maximum(total[of], 1), 0))
+
+
+def _bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
+
+
+def _known(b: Batch, answers: list[dict], upto: int, shards: int, smoothing: list[Smoothing] | None = None) -> Known:
     by = {(a["level"], a["shard"]): a for a in answers}
-    word, counts = np.full(len(b.hashes), -1, np.int64), np.zeros(len(b.hashes), np.int64)
+    word, counts, alone = np.full(len(b.hashes), -1, np.int64), np.zeros(len(b.hashes), np.int64), np.zeros(len(b.hashes), bool)
     for s, at in enumerate(b.words_of(shards)):
         if len(at):
             word[at], counts[at] = unpacked(by[1, s]["nodes"]) - 1, unpacked(by[1, s]["totals"])
-    node, levels = word[b.tokens], []
+            alone[at] = _bits(by[1, s]["alone"], len(at))
+    known = Known(counts, word, np.where(alone, -1, word)[b.tokens], np.where(alone & (word >= 0), np.arange(len(word)), -1)[b.tokens], [])
     for level in range(2, upto + 1):
-        g = _asked(b, word, node, level, shards)
-        nodes, rests, shares = np.full(len(g.words) + 1, -1, np.int64), np.zeros(len(g.contexts) + 1, np.uint8), np.zeros(len(g.words) + 1, np.uint8)
+        g, p = _asked(b, known, level, shards)
+        # one place more than there are: what none (-1) leads to
+        nodes, own = np.full(len(g.words) + 1, -1, np.int64), np.full(len(g.words) + 1, -1, np.int64)
+        rests, shares = np.zeros(len(g.contexts) + 1, np.uint8), np.zeros(len(g.words) + 1, np.uint8)
         for s in range(shards):
             if a := by.get((level, s)):
                 w = slice(g.words_at[s], g.words_at[s + 1])
                 rests[g.contexts_at[s] : g.contexts_at[s + 1]], shares[w] = unpacked(a["rests"]), unpacked(a["shares"])
-                if a["nodes"]:
-                    nodes[w][shares[w] > 0] = risen(a["nodes"])  # in the order of the trie
-        node = nodes[g.gram]  # none is the last
-        if tables:
-            levels.append((tables[level - 2][0][rests[g.context]], tables[level - 2][1][shares[g.gram]]))
-    return Known(counts, word, node, levels)
-
-
-def _asked(b: Batch, word: np.ndarray, node: np.ndarray, level: int, shards: int) -> Grams:
-    """N-grams of a level: below the node of the token before; a text begins below the end, and higher orders not before that."""
-    context = np.concatenate([[-1], node[:-1]])
-    context[b.first[:-1]] = word[np.flatnonzero(b.hashes == END)[0]] if level == 2 else -1
-    return Grams.of(context, b.tokens, word, b.weights(), shards)
+                if level < upto or not smoothing:
+                    found = np.flatnonzero(shares[w])
+                    alone = _bits(a["alone"], len(found))
+                    nodes[w][found[~alone]] = risen(a["nodes"])  # in the order of the trie
+                    own[w][found[alone]] = w.start + found[alone]
+        mine = np.concatenate([np.where(p.counts > 0, len(g.words) + np.arange(len(p.words)), -1), [-1]])
+        levels = known.levels
+        if smoothing:
+            now = smoothing[level - 2]
+            r, x = now.codes(p)
+            rest = np.where(p.context >= 0, now.rest.table()[np.append(r, 0)[p.context]], now.rest.table()[rests[g.context]])
+            levels = [*levels, (rest, np.where(p.gram >= 0, now.share.table()[np.append(x, 0)[p.gram]], now.share.table()[shares[g.gram]]))]
+        known = known._replace(shared=nodes[g.gram], own=np.where(p.gram >= 0, mine[p.gram], own[g.gram]), levels=levels)
+    return known
+
+
+def _asked(b: Batch, known: Known, level: int, shards: int) -> tuple[Grams, Grams]:
+    """N-grams of a level below shared nodes and below the batch's own.
+
+    A context is the node of the token before; a text begins below the end, and higher orders not before that.
+    """
+    end = np.flatnonzero(b.tokens == b.tokens[b.first[1] - 1])[0] if level == 2 else -1
+    out = []
+    for nodes, n in ((known.shared, shards), (known.own, 1)):
+        context = np.concatenate([[-1], nodes[:-1]])
+        context[b.first[:-1]] = nodes[end] if level == 2 else -1
+        out.append(Grams.of(context, b.tokens, known.word, b.weights(), n))
+    return out[0], out[1]
 
 
 def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: int) -> DataFrame:
@@ -271,12 +319,15 @@ def _gram_packets(batches: DataFrame, answers: DataFrame, level: int, shards: in
         out = []
         for row in left.to_pylist():
             b = _batch(row)
-            known = _known(b, right.to_pylist(), level - 1, shards, [])
-            g = _asked(b, known.word, known.node, level, shards)
+            known = _known(b, right.to_pylist(), level - 1, shards)
+            g, own = _asked(b, known, level, shards)
             for s in range(shards):
                 c, w = slice(g.contexts_at[s], g.contexts_at[s + 1]), slice(g.words_at[s], g.words_at[s + 1])
                 if c.stop > c.start:
                     out.append((s, row["batch"], rising(g.contexts[c]), packed(g.sizes[c]), packed(g.words[w]), packed(g.counts[w])))
+            # to the totals of the level, the batch's own part counts like any shard's
+            most = np.bincount(np.repeat(np.arange(len(own.contexts)), own.sizes), own.counts).max(initial=0)
+            out.append((-1 - row["batch"] % 1000, row["batch"], b"", b"", b"", packed(np.array([(own.counts == 1).sum(), (own.counts == 2).sum(), int(most)]))))
         tidy()
         return _table(out, _PACKET)
 
@@ -320,7 +371,11 @@ def _totals(packets: DataFrame) -> tuple[float, int]:
     schema = "once long, twice long, most long"
 
     def count(table: pa.Table) -> pa.Table:
-        all_of = Added.up(table.to_pylist())
+        rows = table.to_pylist()
+        if rows[0]["shard"] < 0:
+            each = np.array([unpacked(r["counts"]) for r in rows])
+            return _table([(int(each[:, 0].sum()), int(each[:, 1].sum()), int(each[:, 2].max()))], schema)
+        all_of = Added.up(rows)
         most = int(np.bincount(all_of.of, all_of.counts).max(initial=0))
         tidy()
         return _table([(int((all_of.counts == 1).sum()), int((all_of.counts == 2).sum()), most)], schema)
@@ -330,12 +385,7 @@ def _totals(packets: DataFrame) -> tuple[float, int]:
     return once / (once + 2 * twice) if once and twice else 0.5, most
 
 
-def quantisers(discount: float, most: int) -> tuple[Quantiser, Quantiser]:
-    """Of rests and shares, over all values that they can have."""
-    return Quantiser(np.array([discount / max(most, 1), 1.0])), Quantiser(np.array([(1 - discount) / max(most, 1), 1.0]))
-
-
-def _answered(packets: DataFrame, level: int, last: bool, shards: int, discount: float, most: int) -> DataFrame:
+def _answered(packets: DataFrame, level: int, last: bool, shards: int, smoothing: Smoothing) -> DataFrame:
     """Build each shard's part of the level and look every packet up in it."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -343,20 +393,23 @@ def _answered(packets: DataFrame, level: int, last: bool, shards: int, discount:
         asked, shard = Added.up(rows), rows[0]["shard"]
         out, seen = [], asked.counts > 0
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-            trie = Level(asked.contexts[asked.of[seen]], asked.words[seen], asked.counts[seen], discount, *quantisers(discount, most), folder, "level")
+            trie = Level(asked.contexts[asked.of[seen]], asked.words[seen], asked.counts[seen], *smoothing, folder, "level")
             rests, shares, at = trie.look_up(asked.contexts, np.bincount(asked.of, minlength=len(asked.contexts)), asked.words)
+        alone = np.bincount(asked.gram_at, minlength=len(asked.words)) == 1
         c = w = 0
         for r, (contexts, words) in zip(rows, asked.sizes, strict=True):
             own = asked.gram_at[w : w + words]
-            nodes = at[own]
+            found = own[at[own] >= 0]
             # words of a context rise, contexts rise: so do their nodes
-            named = b"" if last else rising(nodes[nodes >= 0] * shards + shard)
-            out.append((shard, r["batch"], level, named, b"", packed(rests[asked.context_at[c : c + contexts]]), packed(shares[own])))
+            named = b"" if last else rising(at[found[~alone[found]]] * shards + shard)
+            out.append((
+                shard, r["batch"], level, named, b"", packed(rests[asked.context_at[c : c + contexts]]), packed(shares[own]),
+                b"" if last else np.packbits(alone[found]).tobytes()))
             c, w = c + contexts, w + words
         tidy()
         return _table(out, _ANSWER)
 
-    return packets.groupBy("shard").applyInArrow(answer, _ANSWER)
+    return packets.where("shard >= 0").groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
 def single(counts: np.ndarray, n: int, v: int, discount: float = 0.5) -> np.ndarray:
@@ -380,20 +433,19 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
     n = total["n"] or 0
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["all"] or 0) // SHARD_TOKENS))
     answers = stored(_numbered_words(_word_packets(batches, shards), shards), "answers")
-    tables: list[np.ndarray] = []
+    smoothing: list[Smoothing] = []
     for level in range(2, order + 1):
         packets = stored(_gram_packets(batches, answers, level, shards), "packets")
-        discount, most = _totals(packets)
-        answers = answers.union(stored(_answered(packets, level, level == order, shards, discount, most), "answers"))
+        smoothing.append(Smoothing.of(*_totals(packets)))
+        answers = answers.union(stored(_answered(packets, level, level == order, shards, smoothing[-1]), "answers"))
         forget(packets)
-        tables.append(np.stack([q.table() for q in quantisers(discount, most)]))
     v = _vocabulary(answers, shards)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _batch(left.to_pylist()[0])
-        known = _known(b, right.to_pylist(), order, shards, tables)
+        known = _known(b, right.to_pylist(), order, shards, smoothing)
         p = single(known.counts, n, v)[b.tokens]
         for rest, share in known.levels:
             p = share + np.where(rest > 0, rest, 1.0) * p  # an unknown context leaves all to the lower order

@@ -200,7 +200,7 @@ def test_level_round_trip(tmp_path):
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, [50, 1 << 20], (3000, 2)), axis=0)
     counts = rng.integers(1, 9, len(pairs))
-    rest, share = language_model.quantisers(0.6, 500)
+    _, rest, share = language_model.Smoothing.of(0.6, 500)
     level = elias_fano.Level(pairs[:, 0], pairs[:, 1], counts, 0.6, rest, share, str(tmp_path), "l")
     own, sizes = np.unique(pairs[:, 0], return_counts=True)
     rests, shares, at = level.look_up(own, sizes, pairs[:, 1])
