@@ -133,8 +133,7 @@ walk(source, node, hops) using key (source, node) as (
 select p.source, p.node, round(coalesce(1.0/(1+hops), 0.1), 6) proximity from p left join walk b on p.source = b.source and p.node = b.node""", G)
 def _(q):
     users = q.c.where("author is not null").select(F.concat(F.lit("user_"), "author").alias("node")).distinct()
-    pairs = N.source_pairs(sources(q.c, 100), users)
-    return rounded(N.proximity(N.user_comment_graph(q.c), pairs), "proximity")
+    return rounded(N.proximity_to_all(N.user_comment_graph(q.c), sources(q.c, 100), users), "proximity")
 
 
 CONNECT = """

@@ -91,8 +91,9 @@ SIMILARITY = """
 with v as ({vec}),
 o as (select c.*, row_number() over (partition by link_id order by created_utc, id) k, v from {t} c left join v using (id)),
 r as (select author, avg(is_hate) author_ratio from {t} group by 1), s as (select subreddit, avg(is_hate) community_ratio from {t} group by 1),
-ctx as (select a.id, count(*) n, avg(b.is_hate) thread_ratio, count(b.v) m from o a join o b on a.link_id=b.link_id and b.k < a.k where a.v is not null group by 1),
-d as (select a.id, i, a.v[i] x, avg(b.v[i]) y from o a join o b on a.link_id=b.link_id and b.k < a.k, range(1,65) g(i) where a.v is not null group by 1, 2, 3),
+ctx as (select id, count(*) over w n, avg(is_hate) over w thread_ratio, count(v) over w m, v is not null has, link_id, k from o
+  window w as (partition by link_id order by k rows between unbounded preceding and 1 preceding) qualify has and count(*) over w > 0),
+d as (select id, i, v[i] x, avg(v[i]) over (partition by link_id, i order by k rows between unbounded preceding and 1 preceding) y from o, range(1,65) g(i) qualify v is not null),
 sim as (select id, sum(x*y)/(sqrt(sum(x*x))*sqrt(sum(y*y))+1e-8) similarity from d group by 1),
 f as (select o.id, o.link_id, o.is_hate actual, similarity, 0.4*greatest(0,similarity)+0.3*thread_ratio+0.2*author_ratio+0.1*community_ratio score,
   case when thread_ratio > 0.5 then 0.2 when community_ratio > 0.3 then 0.22 when m < 2 then 0.3 else 0.25 end tau
@@ -188,6 +189,33 @@ def _(q):
     return X.merged_windows(X.fixed_windows(q.e, hours=1), 4)
 
 
+GREEDY = """
+z as (select *, row_number() over (order by window_id) r, count(*) over () n from wins),
+parts as (select window_id, start_time, end_time, num_comments, num_hate, case when r <= n - 6 then 'train' when r <= n - 4 then 'val' else 'test' end split from z),
+o as (select *, row_number() over (partition by split order by window_id) k from parts where split <> 'train'),
+f as (select split, k, window_id, window_id g, num_hate h, cast(null as bigint) p from o where k = 1
+  union all select o.split, o.k, o.window_id, case when f.h >= {m} then o.window_id else f.g end, case when f.h >= {m} then o.num_hate else f.h + o.num_hate end,
+    case when f.h >= {m} then f.g else f.p end from f join o on o.split = f.split and o.k = f.k + 1),
+tail as (select split, arg_max(g, k) g, arg_max(h, k) h, max_by({{'p': p}}, k).p p from f group by split),
+r as (select f.split, f.window_id, case when tail.h < {m} and f.g = tail.g then tail.p else f.g end gid from f join tail using (split)),
+late as (select gid window_id, min(start_time) start_time, max(end_time) end_time, cast(sum(num_comments) as bigint) num_comments, cast(sum(num_hate) as bigint) num_hate, split
+  from r join parts using (window_id, split) where gid is not null group by gid, split),
+whole as (select * from parts where split = 'train' union all by name select * from late),
+ok as (select count(distinct split) = 3 ok from whole)
+select whole.* from whole, ok where ok
+union all by name select z.* exclude (r, n), case when r = n then 'test' when r = n - 1 then 'val' else 'train' end split from z, ok where not ok"""
+
+
+@query("x4_split_merged", "with recursive " + GREEDY.format(m=150), W1)
+def _(q):
+    return X.split_merged(X.fixed_windows(q.e, hours=1), 150)
+
+
+@query("x4_split_fallback", "with recursive " + GREEDY.format(m=1000000), W1)
+def _(q):
+    return X.split_merged(X.fixed_windows(q.e, hours=1), 1000000)
+
+
 @query("x8_window_candidates", """
 select w.window_id, w.start_time window_start, e.id, e.id id_norm, substr(parent_id,4) parent_norm, substr(link_id,4) link_norm, author, '' body, subreddit, created_utc,
   is_hate hate_label, substr(parent_id,4) <> substr(link_id,4) is_reply

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, stored
 from ..plans.prefix import hash_chunk, rank_within, time_chunk
 from .threads import with_parent
 
@@ -206,15 +206,6 @@ def hate_prone_users(df: DataFrame, k: int = 100, label: str = "is_hate") -> Dat
     return f.orderBy(F.desc("hate_ratio"), "author").limit(k)
 
 
-def source_pairs(sources: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(source, node)``: every source with every other node.
-
-    The sources are a query set of a stated size; as one row they go to the nodes, which stay where they are.
-    """
-    asked = sources.agg(F.collect_set("node").alias("_sources"))
-    return nodes.select("node").crossJoin(F.broadcast(asked)).select(F.explode("_sources").alias("source"), "node").where("source <> node")
-
-
 def proximity(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, unreachable: float = 0.1) -> DataFrame:
     """``1 / (1 + shortest path)`` for each ``(source, node)`` pair, ``unreachable`` without a path.
 
@@ -242,6 +233,58 @@ def proximity(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, u
         *pairs.columns, F.coalesce("_p", F.lit(unreachable)).alias("proximity"))
 
 
+def hops_from(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = None, max_hops: int | None = None) -> tuple[DataFrame, list]:
+    """All sources searched at once: ``(node, hop, masks)`` and the sources in the order of the masks' bits.
+
+    ``masks`` has a bit for every source that reaches the node in just ``hop`` steps, in words of 64.  A hop hands the
+    masks along the edges and joins them by bitwise or, so a frontier has one row a node however many sources there are.
+    The sources are a query set of a stated size.  With ``nodes`` the search ends when all of these are reached by all.
+    """
+    names = sorted(r["node"] for r in sources.select("node").where("node is not null").distinct().collect())
+    words = [f"_m{i}" for i in range(-(-len(names) // 64))]
+    spark = edges.sparkSession
+    bit = lambda i: 1 << (i % 64) if i % 64 < 63 else -(1 << 63)
+    start = [(n, *[bit(i) if i // 64 == w else 0 for w in range(len(words))]) for i, n in enumerate(names)]
+    frontier = spark.createDataFrame(start, ", ".join(["node string", *[f"{w} bigint" for w in words]]))
+    full = [-1 if len(names) - 64 * w >= 64 else (1 << (len(names) - 64 * w)) - 1 for w in range(len(words))]
+    step = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct(), "steps")
+    found = seen = frontier.withColumn("hop", F.lit(0))
+    hop = 0
+    joined = [F.bit_or(w).alias(w) for w in words]
+    while words and (max_hops is None or hop < max_hops):
+        hop += 1
+        sent = frontier.join(step, "node").groupBy(F.col("_next").alias("node")).agg(*joined)
+        before = seen.groupBy("node").agg(*[F.bit_or(w).alias(f"_o{w}") for w in words])
+        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_o{w}", F.lit(0).cast("bigint")))).alias(w) for w in words]
+        new = sent.join(before, "node", "left").select("node", *fresh).where(" or ".join(f"{w} <> 0" for w in words))
+        frontier = stored(new, "frontier")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier.withColumn("hop", F.lit(hop)))
+        seen = stored(found.groupBy("node").agg(*joined), "seen")
+        if nodes is not None:
+            whole = seen.where(" and ".join(f"{w} = {f}" for w, f in zip(words, full, strict=True)))
+            if nodes.join(whole, "node", "left_anti").isEmpty():
+                break
+    return found.select("node", "hop", F.array(*words).alias("masks") if words else F.expr("cast(array() as array<bigint>)").alias("masks")), names
+
+
+def proximity_to_all(edges: DataFrame, sources: DataFrame, nodes: DataFrame, max_hops: int | None = None, unreachable: float = 0.1) -> DataFrame:
+    """``(source, node, proximity)`` of every source with every other of ``nodes``, as :func:`proximity` has it.
+
+    Pairs are first written when they are answered: a node's masks become its rows.
+    """
+    found, names = hops_from(edges, sources, nodes, max_hops)
+    asked = nodes.select("node").where("node is not null").distinct()
+    hits = found.join(asked, "node").groupBy("node").agg(F.collect_list(F.struct("hop", "masks")).alias("h"))  # one entry a hop
+    rows = asked.join(hits, "node", "left")
+    number = F.sequence(F.lit(0), F.lit(len(names) - 1)) if names else F.expr("cast(array() as array<int>)")
+    named = F.array(*[F.lit(n) for n in names]) if names else F.expr("cast(array() as array<string>)")
+    hop = F.expr("array_min(transform(filter(h, x -> (shiftright(x.masks[cast(i div 64 as int)], cast(i % 64 as int)) & 1L) = 1L), x -> x.hop))")
+    out = rows.select("node", "h", F.explode(number).alias("i")).select(F.get(named, F.col("i")).alias("source"), "node", hop.alias("hop"))
+    return out.where("source <> node").select("source", "node", F.coalesce(1.0 / (1.0 + F.col("hop")), F.lit(unreachable)).alias("proximity"))
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(node, component)``: the smallest node reachable over undirected edges.
 

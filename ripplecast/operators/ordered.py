@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.prefix import digest_rank, global_position, quantiles, rank_within, running, time_chunk
+from ..plans.prefix import digest_rank, global_position, quantiles, rank_within, running, time_chunk, running_vectors
 from .features import community_features, user_features
 
 DAY = 86400
@@ -155,13 +155,14 @@ def context_similarity(
     if targets is not None:
         ranked = ranked.where(F.col("_rank") <= targets + 1)
     rows = ranked.join(vectors.select("id", "embedding"), "id", "left")
-    totals = {f"_d{i}": F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)) for i in range(dim)}
-    totals["_ctx"] = F.when(F.col("embedding").isNotNull(), 1).otherwise(0).cast("bigint")
-    totals["_size"] = F.lit(1).cast("bigint")
-    totals["_hate"] = F.when(F.col(label) == 1, 1).otherwise(0).cast("bigint")
-    sums = running(rows, ["link_id"], [ts, "id"], totals, chunk=time_chunk(ts))
+    # the counts go along as three more numbers of the vector
+    own = F.when(F.col("embedding").isNotNull(), F.slice(F.col("embedding").cast("array<double>"), 1, dim)).otherwise(F.array_repeat(F.lit(0.0), dim))
+    flags = [F.col("embedding").isNotNull(), F.lit(True), F.coalesce(F.col(label) == 1, F.lit(False))]
+    rows = rows.withColumn("_all", F.concat(own, F.array(*[f.cast("double") for f in flags])))
+    sums = running_vectors(rows, ["link_id"], [ts, "id"], "_all", dim + 3, time_chunk(ts), "_sums")
+    sums = sums.select("*", *[F.get("_sums", dim + i).cast("bigint").alias(c) for i, c in enumerate(("_ctx", "_size", "_hate"))])
     sums = sums.where("_size > 0 and embedding is not null")
-    mean = F.array(*[F.col(f"_d{i}") / F.col("_ctx") for i in range(dim)])
+    mean = F.transform(F.slice("_sums", 1, dim), lambda x: x / F.col("_ctx"))
     out = sums.select("id", "link_id", "author", "subreddit", label, "_ctx", F.when(F.col("_ctx") > 0, C.cosine(F.col("embedding"), mean)).alias("similarity"),
                       C.ratio(F.col("_hate"), F.col("_size")).alias("thread_ratio"))
     out = with_rates(out, df, label, ts)

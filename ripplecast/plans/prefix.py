@@ -89,6 +89,61 @@ def running(
     )
 
 
+def running_vectors(df: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, dim: int, chunk: Column, out: str = "sums") -> DataFrame:
+    """Add ``out``, the sum of the vectors before each row of its key (an array of ``dim`` doubles; keys must not be null).
+
+    Like ``running``, with one scan for all numbers of a vector: rows are sorted inside ``(key, chunk)`` and added up in
+    Arrow batches, and the sums of earlier chunks, which one aggregate makes, are scanned in the same way and joined.
+    Null vectors count as zeros.
+    """
+    keys = list(keys)
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    rows = df.withColumn("_chunk", chunk).withColumn("_own", F.coalesce(F.col(vector).cast("array<double>"), zeros))
+    local = _scan(rows, [*keys, "_chunk"], list(order), dim)
+    totals = rows.groupBy(*keys, "_chunk").agg(F.array(*[F.sum(F.get("_own", i)) for i in range(dim)]).alias("_own"))
+    earlier = _scan(totals, keys, ["_chunk"], dim).select(*keys, "_chunk", F.col("_before").alias("_offset"))
+    both = local.join(earlier, [*keys, "_chunk"])
+    return both.select(*df.columns, F.zip_with("_before", "_offset", lambda a, b: a + b).alias(out))
+
+
+def _scan(rows: DataFrame, keys: list[str], order: list[str], dim: int) -> DataFrame:
+    """Sums ``_before`` of ``_own`` over the rows before, inside each value of ``keys``, in place of ``_own``."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    kept = [c for c in rows.columns if c != "_own"]
+    schema = StructType([*[rows.schema[c] for c in kept], StructField("_before", ArrayType(DoubleType()))])
+
+    def run(batches):
+        carry, last = np.zeros(dim), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = np.zeros(n, bool)
+            for k in keys:
+                c = batch.column(kept.index(k))
+                fresh[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first = tuple(batch.column(kept.index(k))[0].as_py() for k in keys)
+            fresh[0] = first != last
+            own = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+            starts = np.flatnonzero(fresh)
+            before = np.zeros((n, dim))
+            for a, b in zip([*([] if fresh[0] else [0]), *starts], [*starts[0 if not fresh[0] else 1 :], n], strict=True):
+                before[a:b] = np.cumsum(own[a:b], axis=0) - own[a:b]
+                if a == 0 and not fresh[0]:
+                    before[a:b] += carry
+            carry = before[-1] + own[-1]
+            last = tuple(batch.column(kept.index(k))[n - 1].as_py() for k in keys)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(before.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], names=[*kept, "_before"])
+
+    placed = rows.select(*kept, "_own").repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInArrow(run, schema)
+
+
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", chunk: Column | None = None, depth: int = 1
 ) -> DataFrame:

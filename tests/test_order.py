@@ -214,3 +214,41 @@ def test_text_baseline_search_on_a_small_grid(spark):
     assert sum(r.predicted == r.label for r in out) > 0.8 * len(out) and all(0 <= r.score <= 1 for r in out)
     top = {r.term for r in models.top_coefficients(model, 2).where("side = 'for'").collect()}
     assert top & {"bad", "awful"}
+
+
+def fold(rows, least):
+    """Greedy groups, one window after the other: window -> first window of its group."""
+    groups = []
+    for w, hate in sorted(rows):
+        if not groups or groups[-1][1] >= least:
+            groups.append([[], 0])
+        groups[-1][0].append(w)
+        groups[-1][1] += hate
+    if groups and groups[-1][1] < least:
+        tail = groups.pop()
+        if groups:
+            groups[-1][0] += tail[0]
+    return {w: g[0][0] for g in groups for w in g[0]}
+
+
+@pytest.mark.parametrize("least", [0, 1, 3, 17, 10_000])
+def test_merged_windows_equal_the_fold(spark, least):
+    rng = random.Random(least)
+    rows = [(s, rng.randrange(10**9), rng.choice([0, 0, 1, 2, 9])) for s in "ab" for _ in range(400)]
+    df = spark.createDataFrame(rows, "part string, window_id bigint, num_hate bigint").repartition(3)
+    got = {(r.part, r.window_id): r.group_id for r in windows.merge_windows(df, least, "part").collect()}
+    assert got == {(s, w): g for s in "ab" for w, g in fold([r[1:] for r in rows if r[0] == s], least).items()}
+
+
+def test_sums_of_vectors(spark):
+    from ripplecast.plans.prefix import running_vectors
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), t, [float(rng.randint(-5, 5)) for _ in range(3)] if t % 7 else None) for t in range(500)]
+    df = spark.createDataFrame(rows, "k string, t int, v array<double>").repartition(4)
+    got = {r.t: r.s for r in running_vectors(df, ["k"], ["t"], "v", 3, F.floor(F.col("t") / 40), "s").collect()}
+    sums = {}
+    for k, t, v in rows:
+        own = sums.setdefault(k, [0.0] * 3)
+        assert got[t] == own
+        sums[k] = [a + b for a, b in zip(own, v or [0.0] * 3, strict=True)]

@@ -178,3 +178,18 @@ def test_proximity_goes_as_far_as_needed(spark):
     got = {(r.source, r.node): r.proximity for r in N.proximity(edges, pairs).collect()}
     assert got == {("n0", "n15"): 1 / 16, ("n0", "n2"): 1 / 3, ("n0", "x"): 0.1, ("n3", "n3"): 1.0, ("gone", "n0"): 0.1}
     assert {r.proximity for r in N.proximity(edges, pairs.where("node = 'n15'"), 6).collect()} == {0.1}
+
+
+@pytest.mark.parametrize("n", [3, 64, 130])
+def test_all_sources_at_once(spark, n):
+    rng = random.Random(n)
+    links = {(rng.randrange(200), rng.randrange(200)) for _ in range(420)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links] + [("n0", f"n{b}") for b in range(60)], "src string, dst string")
+    sources = spark.createDataFrame([(f"n{i}",) for i in range(n)] + [("nowhere",)], "node string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(0, 200, 3)] + [("apart",), ("n0",)], "node string")
+    pairs = sources.crossJoin(nodes.distinct().withColumnRenamed("node", "to")).select(F.col("node").alias("source"), F.col("to").alias("node")).where("source <> node")
+    for hops in (None, 2):
+        want = {(r.source, r.node): r.proximity for r in N.proximity(edges, pairs, hops).collect()}
+        got = {(r.source, r.node): r.proximity for r in N.proximity_to_all(edges, sources, nodes, hops).collect()}
+        assert got == want
+    assert N.proximity_to_all(edges, sources.limit(0), nodes).count() == 0
