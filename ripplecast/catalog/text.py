@@ -135,12 +135,12 @@ g as (select id, unnest(w) term from t union all select id, w[i] || ' ' || w[i+1
 tf as (select id, term, count(*) tf from g group by 1, 2),
 n as (select count(*) n from d_comments),
 v as (select term, ln((1.0+max(n))/(1.0+count(*)))+1.0 idf from tf, n group by term
-  having count(*) >= 2 and count(*) <= 0.9*max(n) order by sum(tf) desc, term limit 300),
+  having count(*) >= 2 and count(*) <= 0.9*max(n) order by sum(tf) desc, term limit 5000),
 raw as (select id, term, (1+ln(tf))*idf w from tf join v using (term)),
 len as (select id, sqrt(sum(w*w)) l from raw group by 1)
 select id, term, round(w/l, 6) weight from raw join len using (id)""")
 def _(q):
-    out = X.tfidf(q.d, max_features=300, ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear=True)
+    out = X.tfidf(q.d, max_features=5000, ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear=True)
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -155,6 +155,22 @@ def _(q):
     return out.select("id", F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"))
 
 
+# 256 directions of 10,000 terms: unit rows, none longer afterwards, and more energy kept than the 256 heaviest terms have
+@query("t12_truncated_svd", r"""
+with t as (select id, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}')) term from d_comments),
+v as (select term from t group by term having count(distinct id) >= 2 order by count(*) desc, term limit 10000)
+select count(distinct id) docs, true beats_terms, true no_row_grows from t join v using (term)""")
+def _(q):
+    terms = X.vocabulary(q.d, max_features=10_000, min_df=2)
+    rows = X.weigh_terms(q.d.select("id", "body"), terms).drop("body")
+    out, energy = X.truncated_svd(rows, "weights", 10_000, 256)
+    entries = rows.select(F.explode("weights").alias("e")).groupBy("e.slot").agg(F.sum(F.col("e.weight") * F.col("e.weight")).alias("own"))
+    heaviest = entries.orderBy(F.desc("own")).limit(256).agg(F.sum("own")).first()[0] or 0.0
+    length = F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x)
+    return out.where(F.size("weights") > 0).select(length.alias("l")).agg(
+        F.count("*").alias("docs"), (F.sum("l").between(heaviest, energy * (1 + 1e-6)) & (F.sum("l") > energy * (1 - 1e-6))).alias("beats_terms"), (F.max("l") <= 1 + 1e-9).alias("no_row_grows"))
+
+
 # ... and all principal components keep the total variance
 @query("t12_reduce_dim_pca", """
 select round(sum(v), 3) variance, count(*) directions from (select i, var_samp(cast(embedding[i] as double)) v from embeddings, range(1, 65) r(i) group by 1) z""")

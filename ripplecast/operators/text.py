@@ -14,8 +14,10 @@ from pyspark.mllib.util import MLUtils
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..plans.lineage import stored
 from ..plans.spread import spread
 
 BLOCK_OF_TERMS = 100_000  # terms in one automaton; a larger lexicon is applied block by block
@@ -244,8 +246,43 @@ def _words(text: str, stop_words: Sequence[str]) -> Column:
     return F.coalesce(words, F.expr("cast(array() as array<string>)"))
 
 
-def _grams(words: Sequence[str], ngram_range: tuple[int, int]) -> list[str]:
-    return [" ".join(words[i : i + n]) for n in range(ngram_range[0], ngram_range[1] + 1) for i in range(len(words) - n + 1)]
+class _Grams:
+    """Distinct n-grams of a batch of word lists: ``terms`` of all, and rising by row ``row``, ``term`` (its number) and ``count``."""
+
+    def __init__(self, lists, ngram_range: tuple[int, int], known=None):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), size)
+        last = np.repeat(np.cumsum(size), size)
+        own, terms, rows, ids, base = code, words, [], [], 0
+        parts = []
+        for n in range(1, ngram_range[1] + 1):
+            at = np.flatnonzero(np.arange(len(code)) + n <= last)
+            if n > 1:
+                # an n-gram is the one before it and a word
+                key = own[at] * max(len(words), 1) + code[at + n - 1]
+                pair, back = np.unique(key, return_inverse=True)
+                terms = pc.binary_join_element_wise(terms.take(pa.array(pair // max(len(words), 1))), words.take(pa.array(pair % max(len(words), 1))), " ")
+                own = np.zeros(len(code), np.int64)
+                own[at] = back
+            if n >= ngram_range[0]:
+                rows.append(row[at])
+                ids.append(own[at] + base)
+                parts.append(terms)
+                base += len(terms)
+        self.terms = pa.concat_arrays(parts)
+        rows, ids = np.concatenate(rows), np.concatenate(ids)
+        if known is not None:  # only n-grams of a vocabulary, by their numbers in it
+            place = pc.fill_null(pc.index_in(self.terms, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = place[ids]
+            rows, ids, base = rows[ids >= 0], ids[ids >= 0], len(known)
+        pairs, self.count = np.unique(rows * max(base, 1) + ids, return_counts=True)
+        self.row, self.term = pairs // max(base, 1), pairs % max(base, 1)
 
 
 def vocabulary(
@@ -258,18 +295,16 @@ def vocabulary(
     """
     n_docs = df.agg(F.count("*")).scalar()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
 
         for batch in batches:
-            docs, total = Counter(), Counter()
-            for words in batch["w"]:
-                own = _grams(words, ngram_range)
-                total.update(own)
-                docs.update(set(own))
-            yield pd.DataFrame({"term": list(total), "df": [docs[t] for t in total], "cf": list(total.values())}).astype({"term": object, "df": "int64", "cf": "int64"})
-
-    each = spread(df.select(text)).select(_words(text, stop_words).alias("w")).mapInPandas(count, "term string, df long, cf long")
+            g = _Grams(batch.column(0), ngram_range)
+            docs, total = np.bincount(g.term, minlength=len(g.terms)), np.bincount(g.term, g.count, len(g.terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([g.terms, pa.array(docs, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "cf"])
+
+    each = spread(df.select(text)).select(_words(text, stop_words).alias("w")).mapInArrow(count, "term string, df long, cf long")
     stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     low = F.lit(min_df) if isinstance(min_df, int) else F.lit(min_df) * n_docs
     high = F.lit(max_df) if isinstance(max_df, int) else F.lit(max_df) * n_docs
@@ -286,24 +321,110 @@ def weigh_terms(
 
     The vocabulary, which has as many terms as were asked for, is sent to every executor.
     """
-    sent = df.sparkSession.sparkContext.broadcast({r["term"]: (r["slot"], r["idf"]) for r in terms.select("term", "slot", "idf").toLocalIterator()})
-
-    @F.pandas_udf("array<struct<slot:int,term:string,weight:double>>")
-    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import math
-        from collections import Counter
+    listed = terms.select("term", "slot", "idf").orderBy("slot").collect()  # at most ``max_features`` rows
+    sent = df.sparkSession.sparkContext.broadcast(([r["term"] for r in listed], [r["idf"] for r in listed]))
+    rows = spread(df).withColumn("_words", _words(text, stop_words))
+    kept = [c for c in df.columns if c != out]
+    kind = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, kind)])
+
+    def weigh(batches):
+        import numpy as np
+        import pyarrow as pa
 
-        known = sent.value
+        known, idf = pa.array(sent.value[0], pa.string()), np.array(sent.value[1])
         for batch in batches:
-            rows = []
-            for words in batch:
-                tf = Counter(g for g in _grams(words, ngram_range) if g in known)
-                w = sorted((known[t][0], t, ((1.0 + math.log(n)) if sublinear else float(n)) * known[t][1]) for t, n in tf.items())
-                length = math.sqrt(sum(x * x for _, _, x in w))
-                rows.append([{"slot": s, "term": t, "weight": x / length} for s, t, x in w])
-            yield pd.Series(rows, dtype=object)
-
-    return spread(df).withColumn(out, weigh(_words(text, stop_words)))
+            g = _Grams(batch.column(len(kept)), ngram_range, known)
+            w = (1.0 + np.log(g.count) if sublinear else g.count.astype(float)) * idf[g.term]
+            length = np.sqrt(np.bincount(g.row, w * w, batch.num_rows))
+            upto = np.searchsorted(g.row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            entries = pa.StructArray.from_arrays([pa.array(g.term, pa.int32()), known.take(pa.array(g.term)), pa.array(w / length[g.row])], names=["slot", "term", "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(upto), entries)], names=[*kept, out])
+
+    return rows.select(*[f"`{c}`" for c in kept], "_words").mapInArrow(weigh, schema)
+
+
+def truncated_svd(df: DataFrame, weights: str, width: int, k: int, power: int = 2, extra: int = 16, seed: int = 7, out: str = "reduced") -> tuple[DataFrame, float]:
+    """Rows of a wide sparse table on its ``k`` main directions (randomised, uncentred), and the energy these keep.
+
+    ``weights`` is an array of ``(slot, weight)`` structs with slots below ``width``; null counts as no entry.  A random
+    basis of ``k + extra`` directions is multiplied by the table and its transpose ``power + 1`` times: every task adds up
+    its rows' part, Spark adds the parts by slot, and the driver, which only ever holds ``width * (k + extra)`` numbers,
+    makes the basis orthonormal again.  The energy is the sum of squares of the reduced rows.  ``k`` above the width is the
+    width.
+    """
+    import numpy as np
+
+    k = min(k, width)
+    size = min(k + extra, width)
+    slots, values = (F.coalesce(F.col(weights)[c].cast(f"array<{t}>"), F.expr(f"cast(array() as array<{t}>)")) for c, t in (("slot", "int"), ("weight", "double")))
+    both = F.struct(slots.alias("s"), values.alias("w"))
+    rows = df.select(slots.alias("s"), values.alias("w"))
+    rows = stored(rows.where(F.size("s") > 0), "sparse")
+    spark = df.sparkSession
+
+    def products(batch, basis):
+        """Slots, weights, rows and the product with the basis of a batch."""
+        slot, weight = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+        import pyarrow.compute as pc
+
+        count = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(count) - count
+        found = np.zeros((len(count), basis.shape[1]))
+        full = count > 0
+        for i in range(0, len(count), 500):  # some rows at a time keep the gathered part of the basis small
+            j = min(i + 500, len(count))
+            if full[i:j].any():
+                a, b = first[i], first[j - 1] + count[j - 1]
+                part = np.add.reduceat(basis[slot[a:b]] * weight[a:b, None], first[i:j][full[i:j]] - a, axis=0)
+                found[i:j][full[i:j]] = part
+        return slot, weight, np.repeat(np.arange(len(count)), count), found
+
+    def gathered(basis):
+        """The table's transpose times the table times the basis."""
+        sent = spark.sparkContext.broadcast(basis)
+
+        def run(batches):
+            import pyarrow as pa
+
+            total, seen = np.zeros((width, size)), np.zeros(width, bool)
+            for batch in batches:
+                slot, weight, row, found = products(batch, sent.value)
+                order = np.argsort(slot, kind="stable")
+                for i in range(0, len(order), 1 << 16):
+                    part = order[i : i + (1 << 16)]
+                    s = slot[part]
+                    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                    total[s[starts]] += np.add.reduceat(found[row[part]] * weight[part, None], starts, axis=0)
+                    seen[s[starts]] = True
+            at = np.flatnonzero(seen)
+            for i in range(0, len(at), 2000):
+                own = at[i : i + 2000]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * size, pa.int32()), pa.array(total[own].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), lists], names=["slot", "v"])
+
+        parts = rows.mapInArrow(run, "slot int, v array<double>")
+        sums = parts.groupBy("slot").agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(size)]).toArrow()
+        out = np.zeros((width, size))
+        out[sums.column("slot").to_numpy()] = np.stack([sums.column(f"v{i}").to_numpy() for i in range(size)], 1) if sums.num_rows else 0
+        return out
+
+    basis = np.random.default_rng(seed).standard_normal((width, size))
+    for _ in range(power + 1):
+        basis, _ = np.linalg.qr(gathered(basis))
+    inner = basis.T @ gathered(basis)
+    value, turn = np.linalg.eigh((inner + inner.T) / 2)
+    best = np.argsort(-value)[:k]
+    directions = spark.sparkContext.broadcast(basis @ turn[:, best])
+
+    @F.pandas_udf("array<double>")
+    def project(entries: pd.DataFrame) -> pd.Series:
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array(entries["s"], pa.list_(pa.int32())), pa.array(entries["w"], pa.list_(pa.float64()))], names=["s", "w"])
+        return pd.Series(list(products(batch, directions.value)[3]))
+
+    return df.withColumn(out, project(both)), float(value[best].sum())
 
 
 def hashed_tfidf(df: DataFrame, text: str = "body", dim: int = 1024, out: str = "tfidf") -> DataFrame:

@@ -254,3 +254,30 @@ def test_hashed_tfidf_by_hand(spark):
     want[place["red"]] += red / math.hypot(red, blue)
     want[place["blue"]] += blue / math.hypot(red, blue)
     assert got["a"] == pytest.approx(want) and sum(got["c"]) == 0.0 and got["b"][place["red"]] == pytest.approx(1.0)
+
+
+def test_truncated_svd_is_near_the_best(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    dense = np.where(rng.random((300, 80)) < 0.1, rng.random((300, 80)), 0) + np.outer(rng.random(300), np.arange(80) % 7 == 0)
+    dense[5] = 0
+    data = [(i, [(int(j), float(r[j])) for j in np.flatnonzero(r)] or None) for i, r in enumerate(dense)]
+    df = spark.createDataFrame(data, "id int, weights array<struct<slot:int,weight:double>>").repartition(5)
+    left, value, right = np.linalg.svd(dense)
+    for k in (1, 10, 80):
+        out, energy = X.truncated_svd(df, "weights", 80, k, power=3)
+        got = np.array([r.reduced for r in out.orderBy("id").collect()])
+        assert got.shape == (300, k) and not got[5].any()
+        best = (value[:k] ** 2).sum()
+        assert best * 0.999 <= energy <= best * (1 + 1e-9) and abs((got**2).sum() - energy) < 1e-6 * energy
+        if k == 10:  # distances in the reduced rows are those of the best projection
+            assert np.allclose(got @ got.T, (dense @ right[:k].T) @ (dense @ right[:k].T).T, atol=0.05)
+
+
+def test_tfidf_of_odd_texts(spark):
+    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "xx yy xx yy"), ("d", "yy xx"), ("e", "! ?")], "id string, body string")
+    got = {(r.id, r.term): r.weight for r in X.tfidf(df, ngram_range=(1, 3)).collect()}
+    assert {t for i, t in got if i == "c"} == {"xx", "yy", "xx yy", "yy xx", "xx yy xx", "yy xx yy"} and {t for i, t in got if i == "d"} == {"yy", "xx", "yy xx"}
+    assert sum(w * w for (i, _), w in got.items() if i == "c") == pytest.approx(1)
+    assert {t for _, t in {(r.id, r.term) for r in X.tfidf(df, ngram_range=(2, 2), max_features=1).collect()}} == {"yy xx"}
