@@ -157,16 +157,16 @@ def _(q):
 
 @query("r8_recall_report", """
 with k as (select *, row_number() over (partition by window_id order by round(s,9) desc, id) k from recall)
-select window_id, count(*) total, count(*) filter (y=1) positives, count(*) filter (k <= 50) selected, count(*) filter (y=1 and k <= 50) positives_selected,
-  round(coalesce(count(*) filter (y=1 and k <= 50)/nullif(count(*) filter (y=1),0),0),6) coverage from k group by 1""", RECALL)
+select window_id, count(*) total, count(*) filter (y=1) positives, count(*) filter (k <= 200) selected, count(*) filter (y=1 and k <= 200) positives_selected,
+  round(coalesce(count(*) filter (y=1 and k <= 200)/nullif(count(*) filter (y=1),0),0),6) coverage from k group by 1""", RECALL)
 def _(q):
     scored = recall(q).withColumn("recall_score", F.round("recall_score", 9))
-    return rounded(R.recall_report(scored, R.recall_topk(scored, 50)), "coverage")
+    return rounded(R.recall_report(scored, R.recall_topk(scored, 200)), "coverage")
 
 
-# candidate pairs for diffusion scores: 2-hop neighbours of the 10 most hate-prone users
+# candidate pairs for diffusion scores: 2-hop neighbours of the 100 most hate-prone users
 PAIRS = {**G, "cpairs": """
-with recursive walk as (select 'user_' || author source, 'user_' || author node, 0 hops from (select author, avg(is_hate) r from c_comments group by 1 order by 2 desc, 1 limit 10) z
+with recursive walk as (select 'user_' || author source, 'user_' || author node, 0 hops from (select author, avg(is_hate) r from c_comments group by 1 order by 2 desc, 1 limit 100) z
   union select w.source, g.dst, w.hops+1 from walk w join cgraph g on g.src = w.node where w.hops < 2)
 select source, node, 1.0/(1+min(hops)) proximity from walk where source <> node group by 1, 2""",
     "xv": "select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings",
@@ -182,7 +182,7 @@ def pair_features(q):
     from ..functions.columns import hash_bucket
 
     edges = N.user_comment_graph(q.c)
-    src = N.hate_prone_users(q.c, 10).select(F.concat(F.lit("user_"), "author").alias("node"))
+    src = N.hate_prone_users(q.c, 100).select(F.concat(F.lit("user_"), "author").alias("node"))
     pairs = N.khop_candidates(edges, src, 2).select("source", "node", (1.0 / (1.0 + F.col("hops"))).alias("proximity"))
     nodes = edges.select(F.col("src").alias("node")).distinct()
     e = q.table("embeddings").select(F.col("vec_id").alias("_k"), "embedding", "label", F.lit(1).alias("one"))

@@ -75,10 +75,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``, when nothing will read it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/scratch/" in top:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+            remove(df.sparkSession, top)

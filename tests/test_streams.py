@@ -84,3 +84,23 @@ def test_scoring_in_micro_batches(spark, tmp_path):
     # the reply finds its parent from the batch before: same community and thread, half an hour later
     assert got["c"].recall_score == pytest.approx(1 / 1.5)
     assert got["r"].recall_score == pytest.approx(0.5)
+
+
+def test_scoring_keeps_two_lists_of_a_day(spark, tmp_path):
+    """Many small batches: the lists equal one batch's, and older versions of a day's lists are gone."""
+    schema = "id string, parent_id string, link_id string, author string, subreddit string, created_utc bigint, score double, is_hate int, body string"
+    base, rng = 1_700_006_400 // 86400 * 86400, random.Random(4)
+    rows = sorted((f"c{i:02d}", "t3_L", "t3_L", rng.choice("ab"), "s", base + rng.randrange(2 * 86400), 1.0, rng.randint(0, 1), "bad word" if i % 3 else "fine") for i in range(30))
+    rows.sort(key=lambda r: r[5])
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "author string, embedding array<float>")
+    found = []
+    for size in (30, 6):
+        folder = tmp_path / f"in{size}"
+        for i in range(0, 30, size):
+            spark.createDataFrame(rows[i : i + size], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        out = run.stream_score(stream, X.lexicon_scorer(["bad"]), str(tmp_path / f"out{size}"), vectors, k=4)()
+        found.append(sorted((r.window_id, r.id, r.recall_score, r.text_score) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) == 16
+    days = [sorted(d.iterdir()) for d in (tmp_path / "out6" / "selected").iterdir() if d.name.startswith("day=")]
+    assert len(days) == 2 and all(len([v for v in d if v.name.startswith("batch=")]) <= 2 for d in days)

@@ -271,7 +271,7 @@ def test_truncated_svd_is_near_the_best(spark):
         assert got.shape == (300, k) and not got[5].any()
         best = (value[:k] ** 2).sum()
         assert best * 0.999 <= energy <= best * (1 + 1e-9) and abs((got**2).sum() - energy) < 1e-6 * energy
-        if k == 10:  # distances in the reduced rows are those of the best projection
+        if k == 1:  # the one direction with a gap behind it
             assert np.allclose(got @ got.T, (dense @ right[:k].T) @ (dense @ right[:k].T).T, atol=0.05)
 
 
