@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ripplecast.operators import ordered
 from ripplecast.operators import text as X
 from ripplecast.streaming import run
-from ripplecast.streaming.state import ROCKSDB, stream_author_state
+from ripplecast.streaming.state import ROCKSDB, _processor, stream_author_state
 from ripplecast.streaming.windows import stream_windows
 
 SCHEMA = "id string, author string, us bigint, is_hate int"
@@ -59,6 +61,94 @@ def test_author_state_equals_batch(spark, tmp_path, rows):
         assert (r.before, r.running_rate) == (rate[r.id].before, pytest.approx(rate[r.id].running_rate))
 
 
+class _Map(dict):
+    """A map state that notes what is written."""
+
+    def __init__(self):
+        super().__init__()
+        self.written = []
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.written.append(key)
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _Map())
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, _Value())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_author_state_writes_only_the_buckets_it_adds_to():
+    """Random batches against a count over all events; a month without timers, then timers take the old buckets."""
+    rng, hour = random.Random(5), 3600 * 1_000_000
+    events = sorted((rng.randrange(0, 50 * DAY, hour // 6), f"e{i:04d}", int(rng.random() < 0.3)) for i in range(600))
+    events += [(events[-1][0] + 7 * DAY, "last", 1), (events[-1][0] + 30 * DAY, "month", 0)]  # edges fall on times exactly
+    work, handle, clock = _processor((7, 30), 3600), _Handle(), 0
+    work.init(handle)
+    for start in range(0, len(events), 75):
+        part = events[start : start + 75]
+        frame = pd.DataFrame(part, columns=["us", "id", "is_hate"])
+        for m in handle.states.values():
+            m.written = []
+        shuffled = frame.sample(frac=1, random_state=start)
+        got = pd.concat(work.handleInputRows(("a",), iter([shuffled[:40], shuffled[40:]]), None)).set_index("id")
+        past = events[: start + len(part)]
+        for us, key, _ in part:
+            for d in (7, 30):
+                seen = [h for u, _, h in past if us - d * DAY <= u < us]
+                assert got.loc[key, f"count_{d}"] == pytest.approx(math.log1p(len(seen)))
+                assert got.loc[key, f"hate_rate_{d}"] == pytest.approx(sum(seen) / len(seen) if seen else 0.0)
+        assert {k for (k,) in handle.states["times"].written} == {us // hour for us, _, _ in part}
+        assert sorted(handle.states["sums"].written) == sorted(handle.states["times"].written)
+        clock = part[-1][0] // 1000
+        for at in [x for x in handle.timers if x <= clock]:
+            handle.timers.remove(at)
+            list(work.handleExpiredTimer(("a",), None, _Expired(at)))
+        assert all((k + 1) * hour > part[-1][0] - 30 * DAY for (k,) in handle.states["sums"])
+        assert handle.states["sums"].keys() == handle.states["times"].keys() and len(handle.timers) == len(handle.states["sums"])
+    assert handle.states["total"].get() == (len(events), sum(h for *_, h in events))
+
+
 def test_windows_drop_late_rows(spark, tmp_path):
     hour = 3600 * 1_000_000
     batches = [
