@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import threads as H
+from ..plans.lineage import stored
 from .registry import query
 
 # depth by recursion, for both forests
@@ -43,6 +44,35 @@ def _(q):
     return H.thread_stats(q.e)
 
 
+# of a sketch with 4,096 registers an estimate is within five standard deviations, and exact for a handful of authors
+NEAR = "abs(authors - {exact}) <= 0.5 + 0.08 * {exact}"
+
+
+@query("h1_thread_stats_approximate", "select * exclude (authors), true near from ethreads", ALL)
+def _(q):
+    exact = q.e.groupBy("link_id").agg(F.count_distinct("author").alias("_exact"))
+    out = H.thread_stats(q.e, author_error=0.016).join(exact, "link_id")
+    return out.withColumn("near", F.expr(NEAR.format(exact="_exact"))).drop("authors", "_exact")
+
+
+@query("h1_merged_threads", """
+with d as (select *, created_utc // 86400 as day from e_comments where link_id is not null),
+span as (select * from d where day between (select min(day) + 1 from d) and (select max(day) - 1 from d))
+select link_id, count(*) comments, true near, cast(max(created_utc) - min(created_utc) as bigint) span, cast(min(created_utc) as bigint) as start,
+  count(*) filter (starts_with(parent_id,'t3_')) roots, arg_min(subreddit, (created_utc, id)) subreddit, count(*) filter (is_hate = 1) hate
+from span group by 1""")
+def _(q):
+    # daily sketches are stored once; any span of days is added up from them
+    days = stored(H.thread_sketches(q.e), "thread-days")
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        first = last = 0
+    inside = q.e.where(F.floor(F.col("created_utc") / 86400).between(first + 1, last - 1))
+    exact = inside.groupBy("link_id").agg(F.count_distinct("author").alias("_exact"))
+    out = H.merged_threads(days, first + 1, last - 1).join(exact, "link_id")
+    return out.withColumn("near", F.expr(NEAR.format(exact="_exact"))).drop("authors", "_exact")
+
+
 @query("h2_thread_closure", """
 with seeds as (select id, pid from ep where is_hate = 1),
 up as (select id, pid from seeds union select x.id, x.pid from ep x join up on up.pid = x.id),

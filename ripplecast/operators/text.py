@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..plans.lineage import stored
+from ..plans.lineage import cut_lineage, stored
 from ..plans.spread import spread
 
 BLOCK_OF_TERMS = 100_000  # terms in one automaton; a larger lexicon is applied block by block
@@ -200,12 +200,31 @@ def ngrams(words: Column, n: int) -> Column:
     ).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def top_ngrams(df: DataFrame, n: int = 2, k: int = 50, text: str = "body") -> DataFrame:
-    """The ``k`` most frequent n-grams (ties by text): counted before the shuffle, top-k per task."""
+def top_ngrams(df: DataFrame, n: int = 2, k: int = 50, text: str = "body", buckets: int = 1 << 18) -> DataFrame:
+    """The ``k`` most frequent n-grams (ties by text), exactly, without shuffling every n-gram.
+
+    First the n-grams of each of ``buckets`` hash values are counted together, which every task adds up to at most that
+    many rows.  The n-grams of the fullest buckets are then counted by name; the k-th of their counts is a lower bound.
+    A bucket below it cannot hold a better n-gram, so only those that reach it, mostly none, are counted in a last pass.
+    """
     words = spread(df.where(F.col(text).isNotNull()).select(text)).select(tokens(F.col(text)).alias("w"))
     grams = words.select(F.explode(ngrams(F.col("w"), n)).alias("ngram"))
-    counts = grams.groupBy("ngram").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "ngram").limit(k)
+    grams = grams.withColumn("_b", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
+    full = cut_lineage(grams.groupBy("_b").agg(F.count("*").alias("_t")))
+    first = full.orderBy(F.desc("_t"), "_b").limit(4 * k)
+
+    def counted(which: DataFrame) -> DataFrame:
+        # at most ``buckets`` numbers whatever the data
+        mine = grams.join(F.broadcast(which.select("_b")), "_b", "left_semi")
+        return mine.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(k)
+
+    top = cut_lineage(counted(first))
+    found = top.agg(F.count("*").alias("c"), F.min("n").alias("least")).first()
+    bound = found["least"] if found["c"] == k else 0
+    rest = full.where(F.col("_t") >= bound).join(F.broadcast(first.select("_b")), "_b", "left_anti")
+    if rest.isEmpty():
+        return top.orderBy(F.desc("n"), "ngram")
+    return top.unionByName(counted(rest)).orderBy(F.desc("n"), "ngram").limit(k)
 
 
 def lexicon_coverage(grams: DataFrame, lexicon: DataFrame) -> DataFrame:

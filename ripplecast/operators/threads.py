@@ -26,16 +26,26 @@ def one_per_id(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("id").agg(last.alias("_r")).select("id", "_r.*").select(*columns)
 
 
-def thread_stats(df: DataFrame, label: str = "is_hate", ts: str = "created_utc") -> DataFrame:
-    """One row per thread; the community is that of the earliest comment; an id counts once."""
+def _thread_rows(df: DataFrame, label: str, ts: str) -> DataFrame:
+    """One row per id with what thread statistics need."""
     root = F.col("parent_id").isNull() | F.col("parent_id").startswith("t3_") | (F.col("parent_id") == F.col("link_id"))
     rows = df.where(F.col("link_id").isNotNull()).withColumn("id", C.norm_id(F.col("id"))).withColumn("_root", root)
     if ts != "created_utc":
         rows = rows.withColumn("created_utc", F.col(ts))
-    rows = one_per_id(rows, *dict.fromkeys(["id", "link_id", "author", "subreddit", ts, label, "_root"]))
+    return one_per_id(rows, *dict.fromkeys(["id", "link_id", "author", "subreddit", ts, label, "_root"]))
+
+
+def thread_stats(df: DataFrame, label: str = "is_hate", ts: str = "created_utc", author_error: float | None = None) -> DataFrame:
+    """One row per thread; the community is that of the earliest comment; an id counts once.
+
+    ``author_error`` counts authors by a sketch of that relative standard deviation, which keeps a thread at a few KB
+    where the exact count has to hold all its authors.
+    """
+    rows = _thread_rows(df, label, ts)
+    authors = F.count_distinct("author") if author_error is None else F.approx_count_distinct("author", author_error)
     return rows.groupBy("link_id").agg(
         F.count("*").alias("comments"),
-        F.count_distinct("author").alias("authors"),
+        authors.alias("authors"),
         (F.max(ts) - F.min(ts)).cast("bigint").alias("span"),
         F.min(ts).cast("bigint").alias("start"),
         F.count_if("_root").alias("roots"),
@@ -44,6 +54,39 @@ def thread_stats(df: DataFrame, label: str = "is_hate", ts: str = "created_utc")
     )
 
 
+SKETCH_BITS = 12  # 4,096 registers: a relative standard deviation of 1.04 / 64, about 1.6 %
+
+
+def thread_sketches(df: DataFrame, label: str = "is_hate", ts: str = "created_utc", bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per thread and day that can be stored and added up: counts, bounds, earliest comment, a sketch of the authors.
+
+    ``day`` counts days since the epoch.  An id counts once within ``df``; days that are sketched apart must not share ids.
+    """
+    rows = _thread_rows(df, label, ts).withColumn("day", F.floor(F.col(ts) / 86400).cast("bigint"))
+    # few rows of a group leave a task: sketches are built before the shuffle and merged after it
+    return rows.groupBy("link_id", "day").agg(
+        F.count("*").alias("comments"), F.hll_sketch_agg("author", bits).alias("authors"),
+        F.max(ts).cast("bigint").alias("end"), F.min(ts).cast("bigint").alias("start"), F.count_if("_root").alias("roots"),
+        F.min_by("subreddit", F.struct(ts, "id")).alias("subreddit"), F.min_by("id", F.struct(ts, "id")).alias("first_id"),
+        F.count_if(F.col(label) == 1).alias("hate"))
+
+
+def merged_threads(sketches: DataFrame, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """The columns of :func:`thread_stats` for a span of days (bounds included) from :func:`thread_sketches`.
+
+    ``authors`` is an estimate with the sketches' error; it is exact for threads of few authors.
+    """
+    rows = sketches
+    if first_day is not None:
+        rows = rows.where(F.col("day") >= first_day)
+    if last_day is not None:
+        rows = rows.where(F.col("day") <= last_day)
+    return rows.groupBy("link_id").agg(
+        F.sum("comments").alias("comments"), F.hll_sketch_estimate(F.hll_union_agg("authors")).alias("authors"),
+        (F.max("end") - F.min("start")).alias("span"), F.min("start").alias("start"), F.sum("roots").alias("roots"),
+        F.min_by("subreddit", F.struct("start", "first_id")).alias("subreddit"), F.sum("hate").alias("hate"))
+
+
 def reply_depth(df: DataFrame) -> DataFrame:
     """``(id, thread_depth, root_id, in_cycle)``: depth 1 where the parent is absent, else parent + 1.
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut_lineage, remove
+
 CORRUPT = "_corrupt_record"
 
 
@@ -204,21 +206,58 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ScoreCache:
-    """Scores kept in Parquet under ``md5(text)``; every upsert adds files, nothing is rewritten."""
+    """Scores kept in Parquet under ``md5(text)``, in one folder per head of the key.
+
+    Only the folders that hold wanted keys are read, and only their wanted keys are grouped, so a fill costs what it asks
+    for, not what the cache holds.  A fill adds at most a file to each of those folders; :meth:`compact` merges them.
+    There are ``16 ** digits`` folders: two digits suit caches of many millions of texts, and stay with a cache for good.
+    """
 
-    SCHEMA = "key string, score double"
+    SCHEMA = "key string, score double, shard string"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, digits: int = 1):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
 
-    def read(self) -> DataFrame:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(conf).exists(p):
+    def _shard(self) -> Column:
+        return F.concat(F.lit("k"), F.substring("key", 1, self.digits))  # a letter keeps 1e2 from being read as a number
+
+    def _generation(self) -> int | None:
+        """The newest complete generation: compaction writes a new one, which counts once it is marked as done."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/generation=*/_SUCCESS")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or ()), default=None)
+
+    def _rows(self, shards: Sequence[str] | None = None) -> DataFrame:
+        g = self._generation()
+        if g is None:
             return self.spark.createDataFrame([], self.SCHEMA)
-        stored = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/generation={g}")
+        return rows if shards is None else rows.where(F.col("shard").isin(list(shards)))
+
+    def _write(self, scores: DataFrame, generation: int, mode: str) -> None:
+        # one task per folder; sorted, so that a scan for some keys skips row groups
+        rows = scores.select("key", "score").withColumn("shard", self._shard())
+        rows = rows.repartition("shard").sortWithinPartitions("shard", "key")
+        rows.write.mode(mode).partitionBy("shard").parquet(f"{self.path}/generation={generation}")
+
+    @staticmethod
+    def _merged(rows: DataFrame) -> DataFrame:
         # two writers may have stored one text; any of the equal-key rows will do
-        return stored.groupBy("key").agg(F.max("score").alias("score"))
+        return rows.groupBy("key").agg(F.max("score").alias("score"))
+
+    def read(self) -> DataFrame:
+        return self._merged(self._rows())
+
+    def compact(self) -> None:
+        """One file and one row per key in each folder.
+
+        The old generation is removed when the new one is complete, so a run that dies leaves the cache as it was; scores
+        that another run adds meanwhile may be lost and are then worked out again.
+        """
+        old = self._generation()
+        if old is not None:
+            self._write(self.read(), old + 1, "overwrite")
+            remove(self.spark, f"{self.path}/generation={old}")
 
     def fill(self, texts: DataFrame, score: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
         """Score the texts the cache does not know and store them; returns the scores of the given texts.
@@ -226,7 +265,10 @@ class ScoreCache:
         A null or NaN score is a failure and is not stored, so the text is tried again next time.
         """
         wanted = texts.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), F.col(text).alias("text"))
-        misses = wanted.groupBy("key").agg(F.min("text").alias("text")).join(self.read(), "key", "left_anti")
-        scored = score(misses).select("key", "score").where(F.col("score").isNotNull() & ~F.isnan("score"))
-        scored.write.mode("append").parquet(self.path)
-        return self.read().join(wanted.select("key").distinct(), "key", "left_semi")
+        keys = cut_lineage(wanted.select("key").distinct())
+        shards = [r[0] for r in keys.select(self._shard()).distinct().collect()]  # at most 16 ** digits
+        missing = keys.join(self._rows(shards), "key", "left_anti")
+        misses = wanted.join(missing, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+        scored = score(misses).where(F.col("score").isNotNull() & ~F.isnan("score"))
+        self._write(scored, self._generation() or 0, "append")
+        return self._merged(self._rows(shards).join(keys, "key", "left_semi"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +127,44 @@ def test_cache_keeps_scores(spark, docs, tmp_path):
     assert X.score_texts(docs, X.lexicon_scorer(["zzz"]), cache=cache).where("id = '2'").first().text_score == 1.0
 
 
+def test_cache_reads_only_the_folders_it_needs(spark, tmp_path):
+    cache = tables.ScoreCache(spark, str(tmp_path / "cache"), digits=1)
+    one = lambda misses: misses.select("key", F.lit(1.0).alias("score"))
+    two = lambda misses: misses.select("key", F.lit(2.0).alias("score"))
+    texts = [f"text {i}" for i in range(60)]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    assert cache.read().count() == 0
+    assert cache.fill(frame(texts[:30] + texts[:5] + [None]), one).count() == 30
+    # a folder that no wanted key lies in may even be unreadable
+    key = hashlib.md5(b"text 0").hexdigest()
+    other = next(d for d in (tmp_path / "cache" / "generation=0").iterdir() if d.name.startswith("shard=") and d.name != f"shard=k{key[0]}")
+    (other / "part-bad.parquet").write_bytes(b"no parquet")
+    assert [tuple(r) for r in cache.fill(frame(["text 0"]), two).collect()] == [(key, 1.0)]
+    (other / "part-bad.parquet").unlink()
+    got = {r.key: r.score for r in cache.fill(frame(texts), two).collect()}
+    assert got == {hashlib.md5(t.encode()).hexdigest(): 1.0 if i < 30 else 2.0 for i, t in enumerate(texts)}
+
+
+def test_cache_compacts_to_one_file_a_folder(spark, tmp_path):
+    cache = tables.ScoreCache(spark, str(tmp_path / "cache"), digits=1)
+    cache.compact()  # nothing there yet
+    half = lambda misses: misses.select("key", F.lit(0.5).alias("score"))
+    for i in range(3):
+        cache.fill(spark.createDataFrame([(f"{i} {j}",) for j in range(20)], "text string"), half)
+    cache._write(cache.read(), 0, "append")  # as if another run had stored the same texts
+    before = sorted(tuple(r) for r in cache.read().collect())
+    cache.compact()
+    assert [d.name for d in (tmp_path / "cache").iterdir() if d.name.startswith("generation")] == ["generation=1"]
+    folders = [d for d in (tmp_path / "cache" / "generation=1").iterdir() if d.name.startswith("shard=")]
+    assert folders and all(len(list(d.glob("*.parquet"))) == 1 for d in folders)
+    assert sorted(tuple(r) for r in cache._rows().select("key", "score").collect()) == before and len(before) == 60
+    # a generation that was never finished does not count
+    (tmp_path / "cache" / "generation=2" / "shard=k0").mkdir(parents=True)
+    assert cache.read().count() == 60
+    cache.compact()
+    assert cache.read().count() == 60
+
+
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([("a", "red red blue"), ("b", "red")], "id string, body string")
     got = {(r.id, r.term): r.weight for r in X.tfidf(df).collect()}
@@ -140,6 +181,18 @@ def test_top_ngrams_break_ties_by_text(spark):
     assert X.top_ngrams(df, 3, 9).orderBy("ngram").first().ngram == "b c a"
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 18])
+def test_top_ngrams_are_exact_with_any_number_of_buckets(spark, buckets):
+    rng = random.Random(buckets)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(0, 30))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "body string")
+    for n, k in ((1, 3), (2, 5), (2, 40), (3, 5000)):
+        count = Counter(" ".join(w[i : i + n]) for w in map(str.split, texts) for i in range(len(w) - n + 1))
+        want = sorted(count.items(), key=lambda e: (-e[1], e[0]))[:k]
+        assert [tuple(r) for r in X.top_ngrams(df, n, k, buckets=buckets).collect()] == want
+    assert X.top_ngrams(df.where("body = 'none'"), 2, 5, buckets=buckets).count() == 0
+
+
 def test_svd_directions(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(40, 6))

@@ -193,3 +193,23 @@ def test_all_sources_at_once(spark, n):
         got = {(r.source, r.node): r.proximity for r in N.proximity_to_all(edges, sources, nodes, hops).collect()}
         assert got == want
     assert N.proximity_to_all(edges, sources.limit(0), nodes).count() == 0
+
+
+def test_thread_sketches_add_up_to_thread_stats(spark):
+    """Spans of days from stored sketches against statistics of the same days; a thread of many authors within the error."""
+    rng = random.Random(9)
+    rows = [(f"c{i:05d}", "t3_big" if i % 3 else f"t3_{i % 7}", "t3_big" if i % 5 else "t1_x", f"u{rng.randrange(3000)}", "s" + str(i % 2),
+             rng.randrange(0, 9 * 86400), int(rng.random() < 0.2)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id string, link_id string, parent_id string, author string, subreddit string, created_utc bigint, is_hate int")
+    days = H.thread_sketches(df)
+    for first, last in ((None, None), (2, 5), (20, 30)):
+        part = df.where(F.floor(F.col("created_utc") / 86400).between(0 if first is None else first, 99 if last is None else last))
+        want = {r.link_id: r for r in H.thread_stats(part).collect()}
+        got = {r.link_id: r for r in H.merged_threads(days, first, last).collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert got[k].asDict() | {"authors": 0} == w.asDict() | {"authors": 0}
+            assert abs(got[k].authors - w.authors) <= 0.06 * w.authors
+    loose = {r.link_id: r.authors for r in H.thread_stats(df, author_error=0.02).collect()}
+    exact = {r.link_id: r.authors for r in H.thread_stats(df).collect()}
+    assert all(abs(loose[k] - exact[k]) <= 0.08 * exact[k] + 0.5 for k in exact)
