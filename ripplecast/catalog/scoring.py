@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import graph as N
@@ -112,6 +113,23 @@ def edge_events(q, **more):
     return R.edge_features(q.e, X.fixed_windows(q.e), vectors(q, q.e), **more)
 
 
+@query("r5_edge_vectors", """
+with n as (select count(*) n from embeddings),
+v as (select c.id, a.v a, b.v b, t.v t from e_comments c, n
+  join ev a on a.vec_id = cast('0x'||substr(md5(c.author),1,8) as bigint) % n
+  join ev b on b.vec_id = cast('0x'||substr(md5(c.id),1,8) as bigint) % n left join ev t on c.id = 'e' || t.vec_id)
+select id, round(list_sum(a[1:48]), 4) author_sum, round(list_sum(b[1:48]), 4) comment_sum,
+  round(list_sum(list_transform(range(1, 49), lambda i: cast(abs(cast(a[i] as float) - cast(b[i] as float)) as double))), 4) difference_sum,
+  round(list_sum(list_transform(range(1, 49), lambda i: cast(cast(a[i] as float) * cast(b[i] as float) as double))), 4) product_sum,
+  round(coalesce(list_sum(t), 0), 4) text_sum, 4 * 48 + 80 width from v""", {"ev": EVENTS["ev"]})
+def _(q):
+    texts = q.table("embeddings").select(F.concat(F.lit("e"), "vec_id").alias("id"), "embedding")
+    out = R.edge_vectors(q.e, author_vectors(q, q.e), vectors(q, q.e), texts, dim=48, text_dim=80)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    parts = {"author_sum": "author_vector", "comment_sum": "comment_vector", "difference_sum": "difference", "product_sum": "product", "text_sum": "text_vector"}
+    return out.select("id", *[total(c).alias(n) for n, c in parts.items()], F.size(vector_to_array("edge_vector")).alias("width"))
+
+
 def sampling_events(q):
     return q.e.select("id", "link_id", "author", "subreddit", F.col("is_hate").alias("label")).withColumnRenamed("link_id", "link_norm")
 
@@ -310,3 +328,34 @@ def _(q):
     events = split_events(q)
     model, heat, _ = M.train_edge_ranker(events)
     return M.score_window(events.where("split = 'test'"), model, heat).select("window_id", "id", "label", in_range())
+
+
+# A regression on one set of slots without a penalty has a closed form: with classes that weigh the same, the odds of a
+# slot are (its share of the positives) / (its share of the negatives).
+CLOSED = {**PARTS, "train_odds": """
+with t as (select coalesce(slots_s.s, -1) slot, c.is_hate y from cand c join parts using (window_id) left join slots_s using (subreddit) where split = 'train')
+select slot, (count(*) filter (y = 1) / (select count(*) from t where y = 1)) / (count(*) filter (y = 0) / (select count(*) from t where y = 0)) odds from t group by 1""",
+    "closed": """
+select window_id, split, id, c.is_hate y, odds from cand c join parts using (window_id) left join slots_s using (subreddit)
+join train_odds on slot = coalesce(slots_s.s, -1)"""}
+
+
+def closed_model(q):
+    events = cut_lineage(split_events(q).withColumn("community_slot", F.when(F.col("community_slot") < 3, F.col("community_slot")).otherwise(-1)))
+    model = M.train_edge_classifier(events.where("split = 'train'"), features=(), slots={"community_slot": 3}, strength=0.0)
+    return events, model
+
+
+@query("r15_closed_form", """
+select window_id, id, y as "label", round(odds / (1 + odds), 3) score from closed where split = 'val'""", CLOSED)
+def _(q):
+    events, model = closed_model(q)
+    return rounded(M.score_window(events.where("split = 'val'"), model).select("window_id", "id", "label", "score"), "score", to=3)
+
+
+@query("r17_closed_form", """
+select window_id, id, y as "label", round(1 / (1 + odds ** -0.5), 3) score from closed where split = 'test'""", CLOSED)
+def _(q):
+    events, model = closed_model(q)
+    scored = M.score_window(events.where("split = 'test'"), model, temperature=2.0)
+    return rounded(scored.select("window_id", "id", "label", "score"), "score", to=3)

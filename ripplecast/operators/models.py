@@ -195,21 +195,27 @@ def train_edge_ranker(events: DataFrame, split: str = "split", **settings) -> tu
 
 
 def train_edge_classifier(
-    events: DataFrame, features: Sequence[str] = tuple(EDGE_NUMBERS), slots: dict[str, int] | None = None, boosted: bool = False, seed: int = 42
+    events: DataFrame, features: Sequence[str] = tuple(EDGE_NUMBERS), slots: dict[str, int] | None = None, boosted: bool = False, seed: int = 42,
+    vectors: dict[str, int] | None = None, strength: float = 0.01,
 ) -> PipelineModel:
-    """Logistic regression or boosted trees on event features with balanced classes."""
-    slots = slots or {}
+    """Logistic regression or boosted trees on event features with balanced classes.
+
+    ``vectors`` names vector columns (such as ``edge_vector``) and their widths; ``strength`` is that of the regression's
+    squared penalty.
+    """
+    slots, vectors = slots or {}, vectors or {}
+    widths = [MF.VectorSizeHint(inputCol=v, size=n, handleInvalid="error") for v, n in vectors.items()]
     onehot = [MF.OneHotEncoder(inputCols=[f"_i_{s}" for s in slots], outputCols=[f"_h_{s}" for s in slots], handleInvalid="keep", dropLast=True)] if slots else []
     # slot -1 (other) becomes the invalid index, which the encoder keeps as its own
     shift = [MF.SQLTransformer(statement="select *, " + ", ".join(
         f"cast(if({s} < 0, {n}, {s}) as double) _i_{s}" for s, n in slots.items()) + " from __THIS__")] if slots else []
-    assemble = MF.VectorAssembler(inputCols=[*features, *[f"_h_{s}" for s in slots]], outputCol="_x", handleInvalid="keep")
+    assemble = MF.VectorAssembler(inputCols=[*features, *vectors, *[f"_h_{s}" for s in slots]], outputCol="_x", handleInvalid="keep")
     if boosted:
         learner = MC.GBTClassifier(labelCol="label", featuresCol="_x", weightCol="weight", maxIter=20, maxDepth=4, seed=seed)
     else:
-        learner = MC.LogisticRegression(labelCol="label", featuresCol="_x", weightCol="weight", maxIter=50, regParam=0.01)
+        learner = MC.LogisticRegression(labelCol="label", featuresCol="_x", weightCol="weight", maxIter=50, regParam=strength)
     with held(weighted(events)) as rows:
-        return Pipeline(stages=[*shift, *onehot, assemble, learner]).fit(rows)
+        return Pipeline(stages=[*shift, *onehot, *widths, assemble, learner]).fit(rows)
 
 
 def score_window(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def edge_features(
         F.coalesce("community_slot", F.lit(-1)).cast("bigint").alias("community_slot"), F.coalesce("thread_slot", F.lit(-1)).cast("bigint").alias("thread_slot"))
 
 
+def edge_vectors(
+    events: DataFrame, authors: DataFrame, comments: DataFrame, texts: DataFrame, dim: int = 128, text_dim: int = 256
+) -> DataFrame:
+    """The vector part of an event: ``author_vector, comment_vector, difference, product, text_vector`` under its ``id``.
+
+    ``authors`` is ``(author, embedding)``, ``comments`` and ``texts`` are ``(id, embedding)``, one row per key each.
+    Vectors are padded with zeros or cut to ``dim`` and ``text_dim`` numbers; a missing one is zeros; events without an
+    author are ``[unknown]``.  ``edge_vector`` is all of them in a row, as a vector a classifier takes
+    (``4 * dim + text_dim`` numbers).  Each vector is shuffled once, the author's while the event is still narrow.
+    """
+    own = events.select("id", F.coalesce("author", F.lit("[unknown]")).alias("author"))
+    out = own.join(authors.select("author", F.col("embedding").alias("_a")), "author", "left")
+    by_id = comments.select("id", F.col("embedding").alias("_c")).join(texts.select("id", F.col("embedding").alias("_t")), "id", "full")
+    out = out.join(by_id, "id", "left").select(
+        "id", C.fit_width(F.col("_a"), dim).alias("author_vector"), C.fit_width(F.col("_c"), dim).alias("comment_vector"),
+        C.fit_width(F.col("_t"), text_dim).alias("text_vector"))
+    out = out.select(
+        "id", "author_vector", "comment_vector",
+        F.zip_with("author_vector", "comment_vector", lambda a, b: F.abs(a - b)).alias("difference"),
+        F.zip_with("author_vector", "comment_vector", lambda a, b: a * b).alias("product"), "text_vector")
+    return out.withColumn("edge_vector", array_to_vector(F.concat("author_vector", "comment_vector", "difference", "product", "text_vector").cast("array<double>")))
+
+
 EDGE_NUMBERS = [
     "log_parent_gap", "window_progress", "author_gap", "hour_frac", "is_weekend", "is_reply", "same_community", "same_thread",
     "log_delta_hours", "parent_similarity", "count_7", "hate_rate_7", "count_30", "hate_rate_30"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ripplecast.operators import clean, evaluate, features, moderation, ordered, scoring, windows
+from ripplecast.operators import clean, evaluate, features, models, moderation, ordered, scoring, windows
 from ripplecast.plans import prefix
 
 
@@ -202,7 +202,6 @@ def test_one_frequent_value_is_cut_by_the_whole_order(spark):
 
 
 def test_text_baseline_search_on_a_small_grid(spark):
-    from ripplecast.operators import models
 
     rng = random.Random(3)
     rows = [(str(i), " ".join(rng.choices(["bad", "awful"] if i % 3 == 0 else ["fine", "good"], k=4) + rng.choices(["the", "sun", "rain", "tree"], k=6)), int(i % 3 == 0)) for i in range(90)]
@@ -252,3 +251,24 @@ def test_sums_of_vectors(spark):
         own = sums.setdefault(k, [0.0] * 3)
         assert got[t] == own
         sums[k] = [a + b for a, b in zip(own, v or [0.0] * 3, strict=True)]
+
+
+def test_edge_vectors_by_hand_and_in_a_classifier(spark):
+    events = spark.createDataFrame([("e1", "a"), ("e2", None), ("e3", "nobody")], "id string, author string")
+    authors = spark.createDataFrame([("a", [1.0, -2.0, 9.0]), ("[unknown]", [3.0])], "author string, embedding array<float>")
+    comments = spark.createDataFrame([("e1", [4.0, 1.0]), ("e2", [2.0, 2.0])], "id string, embedding array<float>")
+    texts = spark.createDataFrame([("e1", [5.0, 6.0, 7.0, 8.0]), ("e3", [1.0])], "id string, embedding array<float>")
+    got = {r.id: r for r in scoring.edge_vectors(events, authors, comments, texts, dim=2, text_dim=3).collect()}
+    assert got["e1"].edge_vector.toArray().tolist() == [1, -2, 4, 1, 3, 3, 4, -2, 5, 6, 7]
+    assert got["e2"].edge_vector.toArray().tolist() == [3, 0, 2, 2, 1, 2, 6, 0, 0, 0, 0]
+    assert got["e3"].edge_vector.toArray().tolist() == [0] * 8 + [1, 0, 0]
+    assert got["e1"].difference == [3.0, 3.0] and got["e1"].product == [4.0, -2.0]
+    # authors and comments that point the same way are positives: only the product tells
+    rng = random.Random(3)
+    signs = [(f"x{i}", rng.choice((-1.0, 1.0)), rng.choice((-1.0, 1.0))) for i in range(200)]
+    who = spark.createDataFrame([(i, [a, 0.5]) for i, a, _ in signs], "author string, embedding array<float>")
+    what = spark.createDataFrame([(i, [b, 0.5]) for i, _, b in signs], "id string, embedding array<float>")
+    rows = spark.createDataFrame([(i, i, int(a == b)) for i, a, b in signs], "id string, author string, label int")
+    data = rows.drop("author").join(scoring.edge_vectors(rows, who, what, texts, dim=2, text_dim=1).select("id", "edge_vector"), "id")
+    model = models.train_edge_classifier(data, features=(), vectors={"edge_vector": 9})
+    assert models.score_window(data, model).where((F.col("score") > 0.5) != (F.col("label") == 1)).isEmpty()
