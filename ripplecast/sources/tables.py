@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,81 @@ def _unquoted(line: Column, escape: str) -> Column:
     return F.transform(fields, lambda f: F.regexp_replace(f, rf"{e}(.)", "$1"))
 
 
+def _line_ends(line: Column, quote: str, escape: str) -> Column:
+    """``(o, i)``: 1 if a quoted field is open after the line, when none (``o``) or one (``i``) was open before it."""
+    plain = line if escape == quote else F.regexp_replace(line, f"{re.escape(escape)}[{re.escape(escape + quote)}]", "xx")
+    parts = F.split(plain, re.escape(quote))  # a quote stands between two parts
+
+    def run(open_before: int) -> Column:
+        # state: 0 outside, 1 inside, 2 just behind a quote that closes; ``p`` is the part before the next quote
+        first = F.struct(F.lit(open_before).alias("s"), F.get(parts, 0).alias("p"), F.lit(True).alias("start"))
+
+        def step(a: Column, part: Column) -> Column:
+            opens = F.endswith(a["p"], F.lit(",")) | (a["start"] & (a["p"] == ""))
+            again = (a["s"] == 2) & (a["p"] == "")  # a doubled quote: still inside
+            state = F.when(a["s"] == 1, 2).when(again | opens, 1).otherwise(0)
+            return F.struct(state.alias("s"), part.alias("p"), F.lit(False).alias("start"))
+
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), first, step, lambda a: F.when(a["s"] == 1, 1).otherwise(0))
+
+    has = F.contains(line, F.lit(quote))
+    return F.struct(F.when(has, run(0)).otherwise(0).alias("o"), F.when(has, run(1)).otherwise(1).alias("i"))
+
+
+def _entering(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Compose the maps ``e`` along the order: ``_fixed`` is the state before a row where it is known whatever the first
+    state was, else the first state is changed if ``_flip`` is 1."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    swaps = F.coalesce(F.sum(F.when((F.col("e.o") == 1) & (F.col("e.i") == 0), 1).otherwise(0)).over(w), F.lit(0))
+    rows = rows.withColumn("_s", swaps)
+    rows = rows.withColumn("_k", F.last(F.when(F.col("e.o") == F.col("e.i"), F.struct(F.col("e.o").alias("v"), F.col("_s").alias("s"))), True).over(w))
+    return rows.withColumns({"_fixed": (F.col("_k.v") + F.col("_s") - F.col("_k.s")) % 2, "_flip": F.col("_s") % 2}).drop("_s", "_k")
+
+
+def _entered(first: Column) -> Column:
+    return F.coalesce("_fixed", (first + F.col("_flip")) % 2)
+
+
+def csv_records(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8", quote: str = '"', escape: str = '"') -> DataFrame:
+    """``record``: the records of CSV files without their first ones, line breaks inside quotes kept; a file is many tasks.
+
+    A line maps "a quoted field is open" before it to the same after it.  The maps of a scan block's lines are composed to
+    one, those of a file's blocks in order tell how each block begins, and with that every line knows whether a record
+    begins at it.  Lines are shuffled once, by block; only records of several lines are put together in a second step.
+    A quote that is never closed swallows the rest of its file, as in every reader.
+    """
+    raw = spark.read.option("lineSep", "\n").text(list(files)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+    text = F.make_valid_utf8("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = raw.select("file", "at", "n", F.regexp_replace(text, "^\ufeff|\r$", "").alias("line"))
+    lines = lines.withColumn("e", _line_ends(F.col("line"), quote, escape))
+    marks = _entering(lines.where("e.o <> 0 or e.i <> 1").select("file", "at", "n", "e"), ["file", "at"], "n")
+    after = lambda before: F.when(before == 0, F.col("e.o")).otherwise(F.col("e.i"))
+    opened = lambda before: F.max(F.when((_entered(before) == 0) & (F.col("e.o") == 1), F.struct("at", "n")))
+    per_block = marks.groupBy("file", "at").agg(
+        F.max_by(F.struct(after(_entered(F.lit(0))).alias("o"), after(_entered(F.lit(1))).alias("i")), "n").alias("e"),
+        opened(F.lit(0)).alias("opens_o"), opened(F.lit(1)).alias("opens_i"))
+    # one row per scan block
+    blocks = lines.groupBy("file", "at").agg(F.count("*").alias("_n")).drop("_n").join(per_block, ["file", "at"], "left")
+    blocks = blocks.withColumn("e", F.coalesce("e", F.struct(F.lit(0).alias("o"), F.lit(1).alias("i"))))
+    blocks = _entering(blocks, ["file"], "at").withColumn("begins", _entered(F.lit(0))).drop("_fixed", "_flip", "e")
+    earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("begins") == 0, F.col("opens_o")).otherwise(F.col("opens_i"))
+    blocks = blocks.select("file", "at", "begins", F.last(own, True).over(earlier).alias("carried"))
+
+    placed = _entering(lines, ["file", "at"], "n").join(blocks, ["file", "at"])
+    up_to = Window.partitionBy("file", "at").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("inside", _entered(F.col("begins")))
+    opener = F.last(F.when((F.col("inside") == 0) & (F.col("e.o") == 1), F.struct("at", "n")), True).over(up_to)
+    placed = placed.select(
+        "file", "at", "n", "line", F.when((F.col("inside") == 1) | (F.col("e.o") == 1), F.coalesce(opener, "carried")).alias("opener"),
+        ((F.col("at") == 0) & (F.row_number().over(Window.partitionBy("file", "at").orderBy("n")) == 1)).alias("head"))
+    single = placed.where("opener is null and not head").select(F.col("line").alias("record"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "n", "line"))), lambda x: x["line"]), "\n")
+    several = placed.where("opener is not null").groupBy("file", "opener").agg(joined.alias("record"), F.max("head").alias("head"))
+    return single.unionByName(several.where("not head").select("record")).where("record <> ''")
+
+
 def read_csv_tolerant(
     spark: SparkSession, path: str, columns: Sequence[str], encodings: Sequence[str] = ("UTF-8",),
     max_rows: int | None = None, multi_line: bool = False, quote: str = '"', escape: str = '"', quoting: bool = True,
@@ -137,8 +212,8 @@ def read_csv_tolerant(
 
     Files may name their columns in different orders: each is read by its own header.  Inside quotes a quote is written
     as ``escape`` and a quote (doubled, or with a backslash); with ``quoting=False`` quotes are ordinary characters and
-    ``escape`` keeps a comma in its field.  ``multi_line`` allows line breaks inside quotes; such a file is one task, so
-    it is off by default.  ``encodings`` may be any one-byte codec besides those Spark reads, such as cp775.
+    ``escape`` keeps a comma in its field.  ``multi_line`` allows line breaks inside quotes; it costs a shuffle
+    of the lines (see :func:`csv_records`) and is off by default.  Only UTF-16 and UTF-32 files are one task each then.  ``encodings`` may be any one-byte codec besides those Spark reads, such as cp775.
     """
     encoding = encodings[0] if len(encodings) == 1 else best_encoding(spark, path, encodings)
     own = _known(encoding) in SPARK_ENCODINGS
@@ -162,7 +237,12 @@ def read_csv_tolerant(
         at = {}
         for i, n in enumerate(names):
             at.setdefault(n.lower(), i)
-        if quoting:
+        if quoting and multi_line and not read_as.startswith(("UTF-16", "UTF-32")):
+            schema = _with_corrupt(T.StructType([T.StructField(n, T.StringType()) for n in fields]))
+            options = {"quote": quote, "escape": escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+            raw = csv_records(spark, files, read_as, quote, escape).select(F.from_csv("record", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"))
+            good = raw.where(F.col(f"r.{CORRUPT}").isNull() & F.col("r").isNotNull()).select("r.*")
+        elif quoting:
             reader = spark.read.option("header", True).option("multiLine", multi_line).option("encoding", read_as).option("quote", quote).option("escape", escape)
             schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
             raw = reader.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(files)

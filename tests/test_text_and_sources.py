@@ -165,6 +165,32 @@ def test_cache_compacts_to_one_file_a_folder(spark, tmp_path):
     assert cache.read().count() == 60
 
 
+@pytest.mark.parametrize("escape", ['"', "\\"])
+def test_multi_line_csv_in_many_blocks(spark, tmp_path, escape):
+    """Files cut into blocks of a few hundred bytes give the rows of one reader; quotes, breaks and stray quotes included."""
+    rng = random.Random(7)
+    pieces = ["a", "bc", "\n", "\n\n", '"', ",", "end", " ", "é", '"",', "\r\n"]
+    rows = [(str(i), "".join(rng.choices(pieces, k=rng.randrange(0, 12))), "".join(rng.choices(pieces, k=rng.randrange(0, 5)))) for i in range(400)]
+    rows[50] = ("50", "long\n" * 300, "x")  # spans several blocks
+    quoted = lambda v: '"' + v.replace('"', escape + '"') + '"' if any(c in v for c in '",\n\r') else v
+    for part in range(2):
+        mine = rows[part::2]
+        body = "id,body,note\n" + "".join(",".join(map(quoted, r)) + "\n" for r in mine)
+        (tmp_path / f"f{part}.csv").write_bytes((body + 'stray,in"side,t"\nshort,row\n\n' + "last,one,here").encode())
+    files = str(tmp_path / "*.csv")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "300")
+    try:
+        assert spark.read.option("lineSep", "\n").text(files).select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 20
+        got = sorted(tuple(r) for r in tables.read_csv_tolerant(spark, files, ["id", "body", "note"], multi_line=True, escape=escape).collect())
+    finally:
+        spark.conf.set(key, old)
+    clean = lambda v: v.replace("\r\n", "\n") or None
+    want = sorted([tuple(map(clean, r)) for r in rows] + [("stray", 'in"side', 't"'), ("last", "one", "here")] * 2, key=str)
+    assert sorted(got, key=str) == want
+
+
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([("a", "red red blue"), ("b", "red")], "id string, body string")
     got = {(r.id, r.term): r.weight for r in X.tfidf(df).collect()}
