@@ -359,4 +359,5 @@ def test_tfidf_of_odd_texts(spark):
     got = {(r.id, r.term): r.weight for r in X.tfidf(df, ngram_range=(1, 3)).collect()}
     assert {t for i, t in got if i == "c"} == {"xx", "yy", "xx yy", "yy xx", "xx yy xx", "yy xx yy"} and {t for i, t in got if i == "d"} == {"yy", "xx", "yy xx"}
     assert sum(w * w for (i, _), w in got.items() if i == "c") == pytest.approx(1)
-    assert {t for _, t in {(r.id, r.term) for r in X.tfidf(df, ngram_range=(2, 2), max_features=1).collect()}} == {"yy xx"}
+    # both pairs occur twice in all, so the smaller one is the vocabulary
+    assert {t for _, t in {(r.id, r.term) for r in X.tfidf(df, ngram_range=(2, 2), max_features=1).collect()}} == {"xx yy"}
