@@ -71,6 +71,18 @@ def _(q):
     return scored.select("id", "label", in_range())
 
 
+# one tree of depth 1 on one yes-or-no feature: a leaf's score is its share of the balanced classes
+@query("r4_closed_form", """
+with s as (select r.id, y, p.is_hate x, row_number() over (partition by y order by md5('42|' || r.id), r.id) <= floor(count(*) over (partition by y)*0.3+0.5) test
+  from replies r join ep p using (id)),
+n as (select y, count(*) n from s where not test group by 1),
+leaf as (select x, sum(1.0/n) filter (y = 1) a, sum(1.0/n) b from s join n using (y) where not test group by 1)
+select id, y as "label", round(coalesce(a, 0)/b, 6)::double score from s join leaf using (x) where test""", REPLIES)
+def _(q):
+    _, scored = M.train_reply_classifier(R.reply_hate_dataset(q.e), features=["comment_hate"], trees=1, depth=1, bootstrap=False)
+    return rounded(scored.select("id", "label", "score"), "score")
+
+
 def author_vectors(q, df):
     """A stored vector for each author, chosen by digest."""
     a = df.select(F.col("author").alias("id")).distinct()
@@ -254,6 +266,21 @@ def _(q):
     return M.score_text_baseline(model, data.where("split = 'test'")).select("id", "label", in_range())
 
 
+# a vocabulary of one term and next to no penalty: a row's score is its term's share of the balanced classes
+@query("r12_closed_form", r"""
+with t as (select id, is_hate y, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') w from d_comments where is_hate is not null),
+n as (select y, count(*) n from t group by 1),
+v as (select term from (select id, unnest(w) term from t) z group by term
+  having count(distinct id) >= 2 and count(distinct id) <= 0.95*(select sum(n) from n) order by count(*) desc, term limit 1),
+s as (select id, y, list_contains(w, (select term from v)) x from t),
+share as (select x, sum(1.0/n) filter (y = 1) a, sum(1.0/n) b from s join n using (y) group by 1)
+select id, y as "label", round(coalesce(a, 0)/b, 3)::double score from s join share using (x)""")
+def _(q):
+    rows = text_data(q)
+    model = M.train_text_baseline(rows, ngram_range=(1, 1), max_features=1, C=1e6, max_df=0.95, stop_words=())
+    return rounded(M.score_text_baseline(model, rows).select("id", "label", "score"), "score", to=3)
+
+
 @query("r12_top_coefficients", r"""
 with t as (select id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') w from d_comments where is_hate is not null),
 n as (select count(*) n from t),

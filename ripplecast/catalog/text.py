@@ -201,6 +201,27 @@ def _(q):
     return out.select("id", F.size("features").alias("width"), F.forall("features", lambda x: ~F.isnan(x)).alias("finite"))
 
 
+# all principal components keep the total variance of the weighted words and the numbers
+@query("t14_total_variance", rf"""
+with d as (select id, author, is_hate, case when trim(coalesce(body, '')) = '' then 'empty' else body end body from c_comments),
+t as (select id, unnest({TOKENS}) term from d),
+tf as (select id, cast(cast('0x' || substr(md5(term),1,8) as bigint) % 64 as int) slot, count(*) tf from t group by 1, 2),
+n as (select count(*) n from d),
+idf as (select slot, ln((1.0+max(n))/(1.0+count(*)))+1.0 idf from tf, n group by 1),
+w as (select id, slot, tf*idf w from tf join idf using (slot)),
+l as (select id, sqrt(sum(w*w)) l from w group by 1),
+words as (select (sum(w/l*w/l) - pow(sum(w/l), 2)/max(n))/(max(n)-1) v from w join l using (id), n group by slot),
+a as (select author, avg(is_hate) ratio from c_comments group by 1)
+select round((select sum(v) from words) + (select var_samp(ratio) from d join a using (author)), 6) variance, 65 directions, true falling""")
+def _(q):
+    per_author = q.c.groupBy("author").agg(F.avg("is_hate").alias("ratio"))
+    out = X.node_text_features(q.c.join(per_author, "author"), ["ratio"], dim=64, k=100)
+    per = out.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v"))
+    falling = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])  # 65 numbers
+    falls = F.forall(F.arrays_zip(F.slice(falling, 1, 64).alias("a"), F.slice(falling, 2, 64).alias("b")), lambda s: s["a"] >= s["b"] - 1e-9)
+    return per.agg(F.round(F.sum("v"), 6).alias("variance"), F.count("*").cast("int").alias("directions"), falls.alias("falling"))
+
+
 @query("t15_vector_or_fallback", """
 select d.id, case when e.vec_id is null then 'zero' else 'stored' end kind,
   round(coalesce(list_sum(list_transform(e.embedding[1:32], lambda x: cast(x as double))), 0), 4) total

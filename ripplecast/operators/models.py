@@ -47,12 +47,16 @@ def positive(column: str = "probability") -> Column:
 
 
 def train_reply_classifier(
-    data: DataFrame, features: Sequence[str] = tuple(REPLY_FEATURES), trees: int = 20, depth: int = 3, test: float = 0.3, seed: int = 42
+    data: DataFrame, features: Sequence[str] = tuple(REPLY_FEATURES), trees: int = 20, depth: int = 3, test: float = 0.3, seed: int = 42,
+    bootstrap: bool = True,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Balanced forest on a stratified split; returns the model and the scored test rows."""
+    """Balanced forest on a stratified split; returns the model and the scored test rows.
+
+    Without ``bootstrap`` every tree sees each training row once.
+    """
     split = cut_lineage(stratified_split(data, test, "label", "id", seed))
     forest = MC.RandomForestClassifier(
-        labelCol="label", featuresCol="_x", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
+        labelCol="label", featuresCol="_x", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, bootstrap=bootstrap)
     with held(weighted(split.where("split = 'train'"))) as rows:
         model = Pipeline(stages=[MF.VectorAssembler(inputCols=list(features), outputCol="_x"), forest]).fit(rows)
     scored = model.transform(split.where("split = 'test'"))
