@@ -1,4 +1,4 @@
 """All registered queries; importing a family registers it."""
 
-from . import cleaning, evaluate, features, graph, ordered, scoring, sources, streams, text, threads  # noqa: F401
+from . import cleaning, evaluate, features, graph, ordered, scoring, sources, streams, text, threads, trees  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
