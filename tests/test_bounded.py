@@ -6,6 +6,8 @@ import pyarrow as pa
 
 from ripplecast.catalog.registry import Inputs
 from ripplecast.operators import text as X
+from ripplecast.sources import fixtures
+from ripplecast.streaming import run
 
 ARROW = "spark.sql.execution.arrow."
 
@@ -40,3 +42,14 @@ def test_registered_queries_hand_over_small_batches(spark):
     finally:
         for n in names:
             spark.conf.set(n, before[n])
+
+
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    spark.range(0, 6, 1, 3).write.parquet(str(tmp_path / "a" / "conversations.parquet"))
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "b").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "b" / "conversations.parquet")
+    for where in ("a", "b"):
+        stream = fixtures.stream(spark, str(tmp_path / where), "conversations", files_per_batch=2)
+        rows = run.drain(stream, "read", path=str(tmp_path / f"out-{where}"))
+        assert sorted(r.id for r in rows.collect()) == list(range(6))
