@@ -53,3 +53,12 @@ def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
         stream = fixtures.stream(spark, str(tmp_path / where), "conversations", files_per_batch=2)
         rows = run.drain(stream, "read", path=str(tmp_path / f"out-{where}"))
         assert sorted(r.id for r in rows.collect()) == list(range(6))
+
+
+def test_tiers_share_one_python_step(spark):
+    lexicon = spark.createDataFrame([("Bad", "hate"), ("bad", "context"), ("so", "offensive"), ("", "context"), (None, "hate"), ("x", "other")], "term string, tier string")
+    texts = [("1", "BAD bad"), ("2", "so x"), ("3", ""), ("4", None), ("5", "so so bad")]
+    out = X.ordinal_label(spark.createDataFrame(texts, "id string, body string"), lexicon)
+    assert sorted((r.id, r.ordinal_label, r.context_terms) for r in out.collect()) == [("1", 2, 2), ("2", 1, 1), ("3", 0, 1), ("4", 0, 0), ("5", 2, 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert X.ordinal_label(spark.createDataFrame(texts, "id string, body string"), lexicon.where("tier = 'other'")).agg({"ordinal_label": "sum"}).first()[0] == 0
