@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import pyarrow as pa
 
 from ripplecast.catalog.registry import Inputs
@@ -62,3 +65,19 @@ def test_tiers_share_one_python_step(spark):
     assert sorted((r.id, r.ordinal_label, r.context_terms) for r in out.collect()) == [("1", 2, 2), ("2", 1, 1), ("3", 0, 1), ("4", 0, 0), ("5", 2, 2)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert X.ordinal_label(spark.createDataFrame(texts, "id string, body string"), lexicon.where("tier = 'other'")).agg({"ordinal_label": "sum"}).first()[0] == 0
+
+
+def test_hashed_places_are_worked_out_by_batch(spark):
+    texts = [("a b b",), (None,), ("c",), ("!",), ("a b b",)]
+    out = X.hashed_tfidf(spark.createDataFrame(texts, "body string"), dim=16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan  # once for each different word of a batch, not for each word
+    got = {r.body: r.tfidf for r in out.collect()}
+    assert got[None] == got["!"] == [0.0] * 16
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in "abc"}
+    idf = {w: math.log(6 / (1 + n)) + 1 for w, n in (("a", 2), ("b", 2), ("c", 1))}
+    v = [0.0] * 16
+    for w in "abb":
+        v[place[w]] += idf[w]
+    length = math.sqrt(sum(x * x for x in v))
+    assert len(set(place.values())) == 3 and all(abs(x / length - y) < 1e-12 for x, y in zip(v, got["a b b"], strict=True))
