@@ -81,3 +81,13 @@ def test_hashed_places_are_worked_out_by_batch(spark):
         v[place[w]] += idf[w]
     length = math.sqrt(sum(x * x for x in v))
     assert len(set(place.values())) == 3 and all(abs(x / length - y) < 1e-12 for x, y in zip(v, got["a b b"], strict=True))
+
+
+def test_basis_is_gathered_some_entries_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(X, "ENTRIES", 3)
+    rows = [(i, [(s, float(i + s % 3 + 1)) for s in range(i % 7)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, w array<struct<slot: int, weight: double>>")
+    out, energy = X.truncated_svd(df, "w", 6, 6)
+    want = sum(w * w for _, r in rows for _, w in r)
+    kept = sum(x * x for r in out.collect() for x in r.reduced)
+    assert abs(kept - want) < 1e-6 * want and abs(energy - want) < 1e-6 * want
