@@ -3,6 +3,10 @@
 Round k joins every open row with the row 2^k ancestors above it, so a reply
 chain of depth d takes about log2(d) joins instead of d.  Open rows are stored
 after each round; finished rows are not touched again.
+
+Rounds are written as tables, whose sizes are known: the estimates of a plan that
+goes on from stored rows multiply from join to join.  Both sides of a join grow
+with the forest, so they are merged and never sent to the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut_lineage
+from .lineage import forget, stored
 
 Merge = Callable[[Column, Column], Column]
 
@@ -32,7 +36,7 @@ def double(rows: DataFrame, carry: dict[str, Merge]) -> tuple[DataFrame, DataFra
     its ancestors, rows whose chain runs into a cycle).
     """
     names = list(carry)
-    state = cut_lineage(rows.select("id", "up", *names))
+    state = stored(rows.select("id", "up", *names), "round")
     done = state.where("up is null")
     parts, open_rows = [done], state.where("up is not null")
     left = open_rows.count()
@@ -42,9 +46,9 @@ def double(rows: DataFrame, carry: dict[str, Merge]) -> tuple[DataFrame, DataFra
             lookup = lookup.unionByName(p)
         above = lookup.select(
             F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(n).alias(f"_{n}") for n in names])
-        step = open_rows.join(above, "up").select(
+        step = open_rows.join(above.hint("merge"), "up").select(
             "id", F.col("_up").alias("up"), *[carry[n](F.col(n), F.col(f"_{n}")).alias(n) for n in names])
-        step = cut_lineage(step)
+        step = stored(step, "round")
         now = step.where("up is not null").count()
         parts.append(step.where("up is null"))
         open_rows = step.where("up is not null")
@@ -60,9 +64,9 @@ def double(rows: DataFrame, carry: dict[str, Merge]) -> tuple[DataFrame, DataFra
 
 def mark_closure(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """``id`` of the seeds, all their ancestors and all their descendants; on a cycle these are all its rows."""
-    state = cut_lineage(rows.select("id", "up").join(
+    state = stored(rows.select("id", "up").join(
         seeds.select("id").distinct().withColumn("_seed", F.lit(True)), "id", "left"
-    ).select("id", "up", F.coalesce("_seed", F.lit(False)).alias("below"), F.coalesce("_seed", F.lit(False)).alias("above")))
+    ).select("id", "up", F.coalesce("_seed", F.lit(False)).alias("below"), F.coalesce("_seed", F.lit(False)).alias("above")), "round")
     # below: a seed among the row and its ancestors seen so far; above: a seed among its descendants seen so far
     marks = None
     while True:
@@ -73,9 +77,10 @@ def mark_closure(rows: DataFrame, seeds: DataFrame) -> DataFrame:
         marks = now
         anc = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("below").alias("_below"))
         reached = state.where("above and up is not null").select(F.col("up").alias("id")).distinct().withColumn("_hit", F.lit(True))
-        step = state.join(anc, "up", "left").select(
+        step = state.join(anc.hint("merge"), "up", "left").select(
             "id", F.col("_up").alias("up"), (F.col("below") | F.coalesce("_below", F.lit(False))).alias("below"), "above")
-        step = step.join(reached, "id", "left").select(
+        step = step.join(reached.hint("merge"), "id", "left").select(
             "id", "up", "below", (F.col("above") | F.coalesce("_hit", F.lit(False))).alias("above"))
-        state = cut_lineage(step)
+        before, state = state, stored(step, "round")
+        forget(before)
     return state.where("below or above").select("id")

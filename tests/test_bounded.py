@@ -91,3 +91,18 @@ def test_basis_is_gathered_some_entries_at_a_time(spark, monkeypatch):
     want = sum(w * w for _, r in rows for _, w in r)
     kept = sum(x * x for r in out.collect() for x in r.reduced)
     assert abs(kept - want) < 1e-6 * want and abs(energy - want) < 1e-6 * want
+
+
+def test_size_estimates_of_trees_do_not_multiply(spark):
+    from ripplecast.operators import trees as L
+
+    from .test_trees import comments
+
+    # four rounds, each of which multiplied the estimates of the one before
+    rows = [("n0", "t3_L")] + [(f"n{i}", f"t1_n{i - 1}") for i in range(1, 10)] + [("m", "t1_n4")]
+    digits = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    labels = L.tree_labels(comments(spark, rows))
+    paths = L.heavy_paths(labels)
+    ways = L.compact_paths(paths)
+    assert max(digits(labels), digits(paths)) < 10 and digits(ways) < 40
+    assert {r.id: r.hops for r in ways.collect()}["n9"] == 9
