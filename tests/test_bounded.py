@@ -106,3 +106,18 @@ def test_size_estimates_of_trees_do_not_multiply(spark):
     ways = L.compact_paths(paths)
     assert max(digits(labels), digits(paths)) < 10 and digits(ways) < 40
     assert {r.id: r.hops for r in ways.collect()}["n9"] == 9
+
+
+def test_a_class_does_not_meet_in_one_task(spark, monkeypatch):
+    from ripplecast.operators import models, ordered
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = spark.range(200).selectExpr("cast(id as string) id", "cast(id % 10 = 0 as int) label")
+    rows = models.weighted(df)
+    assert "SortMergeJoin [label" not in plan(rows) and "ShuffledHashJoin [label" not in plan(rows)
+    assert {(r.label, round(r.weight, 6)) for r in rows.collect()} == {(0, 0.555556), (1, 5.0)}
+    whole = {tuple(r) for r in ordered.stratified_split(df, 0.3, "label").collect()}
+    monkeypatch.setattr(ordered, "SHARE", 4)
+    cut = ordered.stratified_split(df, 0.3, "label")
+    assert "_share" in plan(cut) and {tuple(r) for r in cut.collect()} == whole and len(whole) == 200
+    assert sorted(label for _, label, split in whole if split == "test") == [0] * 54 + [1] * 6
