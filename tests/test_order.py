@@ -253,6 +253,29 @@ def test_sums_of_vectors(spark):
         sums[k] = [a + b for a, b in zip(own, v or [0.0] * 3, strict=True)]
 
 
+def test_sums_can_take_the_place_of_their_vector(spark):
+    df = spark.createDataFrame([("a", t, [float(t), 1.0]) for t in range(9)], "k string, t int, v array<double>").repartition(3)
+    got = prefix.running_vectors(df, ["k"], ["t"], "v", 2, F.floor(F.col("t") / 4), "v")
+    assert got.columns == ["k", "t", "v"] and {r.t: r.v for r in got.collect()} == {t: [t * (t - 1) / 2, t] for t in range(9)}
+
+
+def test_similarity_sums_have_one_chunk_for_many_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(f"e{i}", "t3_a", "u", "s", i * 600, i % 2) for i in range(9)], "id string, link_id string, author string, subreddit string, created_utc bigint, is_hate int")
+    vectors = df.selectExpr("id", "array(cast(created_utc + 1 as float), cast(1 as float)) embedding")
+    chunks = []
+    real = ordered.running_vectors
+
+    def seen(rows, keys, order, vector, dim, chunk, out):
+        chunks.append(rows.select(chunk).distinct().count())
+        return real(rows, keys, order, vector, dim, chunk, out)
+
+    monkeypatch.setattr(ordered, "running_vectors", seen)
+    whole = sorted(map(tuple, ordered.context_similarity(df, vectors, 2).collect()))
+    monkeypatch.setattr(ordered, "SHARE", 4)
+    assert sorted(map(tuple, ordered.context_similarity(df, vectors, 2).collect())) == whole and len(whole) == 8
+    assert chunks == [1, 3]  # a chunk a minute, here one a row, before
+
+
 def test_edge_vectors_by_hand_and_in_a_classifier(spark):
     events = spark.createDataFrame([("e1", "a"), ("e2", None), ("e3", "nobody")], "id string, author string")
     authors = spark.createDataFrame([("a", [1.0, -2.0, 9.0]), ("[unknown]", [3.0])], "author string, embedding array<float>")
