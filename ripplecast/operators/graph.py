@@ -383,9 +383,10 @@ def parent_similarity(df: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of each comment's vector with its parent's; 0 without a parent or with a zero vector."""
     rows = with_parent(df)
     v = vectors.select("id", F.col("embedding").alias("_v"))
-    out = rows.select("id", "pid").join(v, "id", "left").join(
-        v.select(F.col("id").alias("pid"), F.col("_v").alias("_pv")), "pid", "left")
-    return out.select("id", C.cosine_or_zero(F.col("_v"), F.col("_pv")).alias("parent_similarity"))
+    # under the same names on both sides, so that vectors are shuffled by id once; only replies take theirs to the parent
+    own = rows.select("id", "pid").join(v, "id", "left").withColumn("_v", F.when(F.col("pid").isNotNull(), F.col("_v")))
+    out = own.alias("own").join(v.alias("up"), F.col("own.pid") == F.col("up.id"), "left")
+    return out.select("own.id", C.cosine_or_zero(F.col("own._v"), F.col("up._v")).alias("parent_similarity"))
 
 
 def node_labels(nodes: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.lineage import cut_lineage
-from ..plans.prefix import digest_rank
+from ..plans import prefix
+from ..plans.prefix import digest_rank, hash_chunk
 from .evaluate import top_k
 from .graph import parent_similarity
 from .ordered import author_gap, author_history, proximity_pairs, thread_context, with_rates
@@ -164,8 +165,10 @@ def hard_negatives(events: DataFrame, ratio: int = 5, seed: int = 42, label: str
     slim = slim.where("key is not null")
 
     def draw(members: DataFrame) -> DataFrame:
-        ranked = digest_rank(members, ["key", "_pos"], "id", seed, "_rank")
-        size = members.where("not _pos").groupBy("key").agg(F.count("*").alias("_m"))
+        sizes = members.groupBy("key").agg(F.count_if(~F.col("_pos")).alias("_m"), F.count_if(F.col("_pos")).alias("_p"))
+        large = sizes.where(F.greatest("_m", "_p") > prefix.LARGE).select("key")
+        ranked = digest_rank(members, ["key", "_pos"], "id", seed, "_rank", large=large)
+        size = sizes.where("_m > 0 and _p > 0").select("key", "_m")
         pos = ranked.where("_pos").select("key", F.col("id").alias("pos_id"), (F.col("_rank") - 1).alias("_k")).join(size, "key")
         want = pos.select("key", "pos_id", "_k", "_m", F.explode(F.sequence(F.lit(0), F.least(F.lit(ratio), F.col("_m")) - 1)).alias("_j"))
         want = want.select("key", "pos_id", ((F.col("_k") * ratio + F.col("_j")) % F.col("_m") + 1).alias("_rank"))
@@ -186,8 +189,16 @@ def cap_events(events: DataFrame, cap: int = 200_000, seed: int = 42, label: str
     """All positives and as many repeatably chosen negatives as fit under ``cap``."""
     positives = events.where(F.col(label) == 1)
     room = positives.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0))).scalar()
-    ranked = digest_rank(events.where(F.col(label) != 1), [], "id", seed, "_rank")
-    return positives.unionByName(ranked.where(F.col("_rank") <= room).drop("_rank"))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
+    rows = events.where(F.col(label) != 1).withColumn("_head", hash_chunk(digest))
+    # rows are chosen by the counts of 4,096 digest heads; only those of the head where the room ends are ranked
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
+    heads = rows.groupBy("_head").agg(F.count("*").alias("_n"))
+    heads = heads.select("_head", "_n", (room - F.coalesce(before, F.lit(0))).alias("_left")).where("_left > 0")
+    rows = rows.join(F.broadcast(heads), "_head")
+    place = F.row_number().over(Window.partitionBy("_head").orderBy(digest, "id"))
+    last = rows.where("_n > _left").withColumn("_place", place).where("_place <= _left")
+    return positives.unionByName(rows.where("_n <= _left").select(*events.columns)).unionByName(last.select(*events.columns))
 
 
 def recall_scores(

@@ -121,3 +121,99 @@ def test_a_class_does_not_meet_in_one_task(spark, monkeypatch):
     cut = ordered.stratified_split(df, 0.3, "label")
     assert "_share" in plan(cut) and {tuple(r) for r in cut.collect()} == whole and len(whole) == 200
     assert sorted(label for _, label, split in whole if split == "test") == [0] * 54 + [1] * 6
+
+
+def _moved(df):
+    """Rows that the shuffles of a finished query wrote."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleQueryStageExec":
+            todo.append(node.plan())
+        elif name == "BroadcastQueryStageExec":
+            todo.append(node.plan())
+        elif name != "ReusedExchangeExec":
+            if name == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def _comments(spark, n=1200):
+    # an author with a third of the rows, many with a few, equal times, the same row twice, nulls
+    rows = spark.range(n).selectExpr(
+        "if(id % 50 = 49, null, concat('i', id)) id", "if(id % 3 = 0, 'hot', if(id % 31 = 1, null, concat('a', id % 40))) author",
+        "if(id % 97 = 5, null, id div 4 * 40000) us", "cast(id % 7 = 0 as int) is_hate")
+    return rows.unionByName(rows.where("us % 3 = 0"))
+
+
+def test_most_authors_are_shuffled_once(spark, monkeypatch):
+    from ripplecast.operators import ordered
+    from ripplecast.plans import prefix
+
+    df = _comments(spark)
+    history, gap = ordered.author_history(df, unit=1), ordered.author_gap(df, "us")
+    rows = [sorted(map(str, out.collect())) for out in (history, gap)]
+    n = df.count()
+    # the rows, and the number of rows of each author from each of a few tasks
+    assert _moved(history) < 2 * n and _moved(gap) < 2 * n
+    for size in (100, 0):  # the hot one, and all of them, in chunks
+        monkeypatch.setattr(prefix, "LARGE", size)
+        assert rows == [sorted(map(str, out.collect())) for out in (ordered.author_history(df, unit=1), ordered.author_gap(df, "us"))]
+    assert len(rows[0]) == n and len(rows[1]) == df.where("author is not null and us is not null").count()
+
+
+def test_small_groups_are_not_cut_into_chunks(spark, monkeypatch):
+    from ripplecast.operators import scoring
+    from ripplecast.plans import prefix
+
+    df = spark.range(900).selectExpr(
+        "concat('e', id) id", "concat('t', id div 9) link_norm", "if(id % 3 = 0, 'hot', concat('s', id % 5)) subreddit", "concat('a', id % 90) author",
+        "if(id % 45 = 8, null, cast(id % 10 = 0 as int)) label")
+    whole = {tuple(r) for r in scoring.hard_negatives(df).collect()}
+    members = df.selectExpr("id", "link_norm k")
+    ranks = prefix.digest_rank(members, ["k"], "id", 42, large=prefix.large_keys(members, ["k"]))
+    got = {r.id: r["rank"] for r in ranks.collect()}
+    assert _moved(ranks) <= 900 + 4 * 100
+    assert got == {r.id: r["rank"] for r in prefix.digest_rank(members, ["k"], "id", 42).collect()}
+    for size in (100, 0):
+        monkeypatch.setattr(prefix, "LARGE", size)
+        assert whole == {tuple(r) for r in scoring.hard_negatives(df).collect()}
+    assert len({p for p, _ in whole}) == df.where("label = 1").count()
+
+
+def test_only_the_last_head_of_a_cap_is_ranked(spark):
+    from ripplecast.operators import scoring
+
+    df = spark.range(3000).selectExpr("concat('e', id % 2900) id", "cast(id % 20 = 0 as int) label", "id n")
+    digest = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    rows = [tuple(r) for r in df.collect()]
+    ranked = sorted((digest(i), i) for i, y, _ in rows if y == 0)
+    for cap in (0, 150, 151, 700, 2999, 10_000):
+        out = scoring.cap_events(df, cap)
+        got = out.collect()
+        assert sorted(r.n for r in got if r.label == 1) == list(range(0, 3000, 20)) and len({r.n for r in got}) == len(got)
+        assert sorted((digest(r.id), r.id) for r in got if r.label == 0) == ranked[: max(0, cap - 150)]
+        # the counts of heads from a few tasks, and the rows of one head; not the rows
+        assert out.columns == df.columns and _moved(out) < 8 * 2000 // 4
+
+
+def test_vectors_are_shuffled_by_id_once(spark):
+    from ripplecast.operators import graph
+
+    df = spark.range(60).selectExpr("concat('c', id) id", "if(id % 4 = 0, 't3_x', concat('t1_c', id div 2)) parent_id", "'t3_x' link_id")
+    df = df.unionByName(df.where("id = 'c3'"))
+    vectors = spark.range(0, 60, 1, 3).selectExpr("concat('c', id) id", "array(cast(id as float), cast(1 as float)) embedding").where("id <> 'c9'")
+    hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.parent_similarity(df, vectors)
+        got = sorted((r.id, round(r.parent_similarity, 9)) for r in out.collect())
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
+    cos = lambda a, b: (a * b + 1) / math.sqrt((a * a + 1) * (b * b + 1))
+    want = [(f"c{i}", 0.0 if i % 4 == 0 or 9 in (i, i // 2) else round(cos(i, i // 2), 9)) for i in [*range(60), 3]]
+    assert got == sorted(want)
