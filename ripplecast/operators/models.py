@@ -181,8 +181,8 @@ def top_coefficients(model: TextModel, k: int = 20) -> DataFrame:
     return top.unionByName(low)
 
 
-def sampled_events(events: DataFrame, ratio: int = 5, cap: int = 200_000, seed: int = 42) -> DataFrame:
-    """Positives and their hard negatives, not more than ``cap`` rows: what the edge classifier is trained on."""
+def sampled_events(events: DataFrame, ratio: int = 5, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Positives and all of their hard negatives (``cap`` limits the rows if it is given): what the edge classifier is trained on."""
     pairs = hard_negatives(events, ratio, seed)
     chosen = pairs.select(F.col("neg_id").alias("id")).distinct()
     both = events.where("label = 1").unionByName(events.where("label <> 1").join(chosen, "id", "left_semi").select(*events.columns))

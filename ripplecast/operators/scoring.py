@@ -185,9 +185,11 @@ def hard_negatives(events: DataFrame, ratio: int = 5, seed: int = 42, label: str
     return near.unionByName(draw(anyone))
 
 
-def cap_events(events: DataFrame, cap: int = 200_000, seed: int = 42, label: str = "label") -> DataFrame:
-    """All positives and as many repeatably chosen negatives as fit under ``cap``."""
+def cap_events(events: DataFrame, cap: int | None = 200_000, seed: int = 42, label: str = "label") -> DataFrame:
+    """All positives and as many repeatably chosen negatives as fit under ``cap``; all of them if that is None."""
     positives = events.where(F.col(label) == 1)
+    if cap is None:
+        return positives.unionByName(events.where(F.col(label) != 1))
     room = positives.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0))).scalar()
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
     rows = events.where(F.col(label) != 1).withColumn("_head", hash_chunk(digest))

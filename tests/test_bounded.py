@@ -217,3 +217,16 @@ def test_vectors_are_shuffled_by_id_once(spark):
     cos = lambda a, b: (a * b + 1) / math.sqrt((a * a + 1) * (b * b + 1))
     want = [(f"c{i}", 0.0 if i % 4 == 0 or 9 in (i, i // 2) else round(cos(i, i // 2), 9)) for i in [*range(60), 3]]
     assert got == sorted(want)
+
+
+def test_training_events_are_not_capped(spark, monkeypatch):
+    from ripplecast.operators import models
+
+    # every negative is a hard negative of the positive of its thread
+    df = spark.range(306).selectExpr(
+        "concat('e', id) id", "concat('t', id div 6) link_norm", "cast(null as string) subreddit", "cast(null as string) author", "if(id = 305, null, cast(id % 6 = 0 as int)) label")
+    real = models.cap_events
+    monkeypatch.setattr(models, "cap_events", lambda events, cap, seed: real(events, cap and cap // 1000, seed))  # 200,000 rows were the cap
+    got = [tuple(r) for r in models.sampled_events(df).select("id", "label").collect()]
+    assert sorted(got) == sorted((f"e{i}", int(i % 6 == 0)) for i in range(305))
+    assert models.sampled_events(df, cap=60_000).where("label = 0").count() == 60 - 51
