@@ -230,3 +230,21 @@ def test_training_events_are_not_capped(spark, monkeypatch):
     got = [tuple(r) for r in models.sampled_events(df).select("id", "label").collect()]
     assert sorted(got) == sorted((f"e{i}", int(i % 6 == 0)) for i in range(305))
     assert models.sampled_events(df, cap=60_000).where("label = 0").count() == 60 - 51
+
+
+def test_vector_sums_shuffle_their_rows_once(spark):
+    from pyspark.sql import functions as F
+    from ripplecast.plans import prefix
+
+    df = spark.range(600).selectExpr("if(id < 200, 'hot', if(id = 599, null, concat('t', id div 5))) k", "id t", "if(id % 7 = 0, null, array(cast(id as float), cast(1 as float))) v")
+    vector = F.transform("v", lambda x: 2 * x)  # made after the shuffle
+    out = prefix.running_vectors(df, ["k"], ["t"], vector, 2, F.floor(F.when(F.col("t") < 200, F.col("t")).otherwise(0) / 64), "s")
+    sums, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.t):
+        want[r.t] = sums.get(r.k, [0.0, 0.0])
+        sums[r.k] = [a + b for a, b in zip(want[r.t], [2 * x for x in r.v or (0, 0)], strict=True)]
+    got = {r.t: r.s for r in out.collect()}
+    assert out.columns == ["k", "t", "v", "s"] and got == {t: s for t, s in want.items() if t < 599}
+    # the rows, those of the one key in chunks again by chunk, and the ends of keys from each of a few tasks
+    moved = spark.range(600).count() + 200 + 4 * 81 + 20
+    assert _moved(out) <= moved
